@@ -5,8 +5,45 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from graphwright.llm.common import documents
+from graphwright.llm.common import documents, fresh_path
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphwright.llm.mixing import mix
+
+    out = mix(documents(spark, sf_dir))
+    return out.select("doc_id", "size", "source_size", "target", "taken", F.size("pieces").alias("n_pieces"))
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphwright.llm.sharding import assign_shards, byte_size
+
+    text = F.coalesce("text", F.lit(""))
+    slim = documents(spark, sf_dir).select("doc_id", "source", byte_size(F.col("text")).alias("size"), F.crc32(text).alias("text_crc32"))
+    out = assign_shards(slim, 40)
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphwright.llm.tokenfiles import digest_token_files, write_token_files
+
+    path = fresh_path(spark, "token-files")
+    write_token_files(documents(spark, sf_dir), path, "byte_bpe_50k.json")
+    return digest_token_files(spark, path)
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphwright.llm.quality import judge
+
+    return judge(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphwright.llm.tokens import token_counts
+
+    return token_counts(documents(spark, sf_dir), "word_bpe_49k.json", 2048)
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,7 +40,8 @@ def stream(seed: int, n: int) -> np.ndarray:
         return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(_SEED) + np.uint64(seed))
 
 
-_BYTE = stream(11, 256)[_LOWER]
+_EXACT = stream(11, 256)
+_FOLDED = _EXACT[_LOWER]
 _BASE = 0xD6E8FEB86659FD93
 _PLACES = stream(12, 64) | np.uint64(1)
 _SHORT = stream(13, 16)
@@ -108,8 +109,9 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each lower-cased word: a polynomial of its bytes by prefix sums, then mixed."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
+    """A 64-bit hash of each word, lower-cased if `fold`: a polynomial of its bytes by prefix sums, then mixed."""
+    values = _FOLDED if fold else _EXACT
     out = np.empty(len(starts), np.uint64)
     lo = 0
     while lo < len(starts):
@@ -118,7 +120,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         part = data[at : ends[hi - 1]]
         up, down = _POWERS.of(len(part) + 1)
         sums = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(_BYTE[part] * up[: len(part)], out=sums[1:])
+        np.cumsum(values[part] * up[: len(part)], out=sums[1:])
         s, e = starts[lo:hi] - at, ends[lo:hi] - at
         out[lo:hi] = (sums[e] - sums[s]) * down[s]
         lo = hi
