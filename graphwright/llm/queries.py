@@ -17,6 +17,12 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken", F.size("pieces").alias("n_pieces"))
 
 
+def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphwright.llm.secretscan import scan
+
+    return scan(documents(spark, sf_dir))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphwright.llm.sharding import assign_shards, byte_size
 
@@ -34,6 +40,12 @@ def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_token_files(spark, path)
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphwright.llm.lm import score
+
+    return score(documents(spark, sf_dir))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphwright.llm.quality import judge
 
