@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,8 +44,7 @@ PERCENTILE = 90
 #: A segment ends with the document that brings it to so many ids.
 SEGMENT_IDS = 1 << 20
 END_ID = 0
-#: Bytes of text that a part should have, about.
-PART_BYTES = 16 << 20
+_ALNUM = frozenset(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
 
 
 def _pack(values: np.ndarray, width: int) -> np.ndarray:
@@ -157,10 +157,11 @@ class _Encoder:
         self.after_space: dict[bytes, bytes] = {}
         self.at_start: dict[bytes, bytes] = {}
         self.line_end = self.whole([b"\n"])[0]
+        self.stops = dict(zip(b".,", self.whole([b".", b","]), strict=True))
 
     def whole(self, texts: list[bytes]) -> list[bytes]:
-        got = self.t.encode_batch([x.decode() for x in texts], add_special_tokens=False)
-        return [np.array(x.ids, np.uint16).tobytes() for x in got]
+        got = self.t.encode_batch_fast([x.decode() for x in texts], add_special_tokens=False)
+        return [array("H", x.ids).tobytes() for x in got]
 
     def _simple(self, data: np.ndarray) -> np.ndarray:
         """Byte positions of spaces and line ends that forbid cutting."""
@@ -215,11 +216,26 @@ class _Encoder:
         return out
 
     def _learn(self, kept: dict[bytes, bytes], runs: set[bytes], before: bytes) -> None:
+        """Puts all of `runs` into `kept`.
+
+        A full stop or comma behind a letter or digit is a pre-token of its own,
+        so such a run is encoded without it.
+        """
         if len(kept) > CACHE_SIZE:
             kept.clear()
-        missing = [x for x in runs if x not in kept]
+        missing, stopped = set(), []
+        for x in runs:
+            if x not in kept:
+                if len(x) > 1 and x[-1] in self.stops and (x[-2] in _ALNUM or x[-3:-2] == b"\xc3" and x[-2] not in (0x97, 0xB7)):
+                    stopped.append(x)
+                    if x[:-1] not in kept:
+                        missing.add(x[:-1])
+                else:
+                    missing.add(x)
         if missing:
             kept.update(zip(missing, self.whole([before + x for x in missing]), strict=True))
+        for x in stopped:
+            kept[x] = kept[x[:-1]] + self.stops[x[-1]]
 
 
 _encoders: dict[str, _Encoder] = {}

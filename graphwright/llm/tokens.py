@@ -32,7 +32,7 @@ TABLE_SIZE = 1 << 16
 TALLY_SIZE = 1 << 18
 PER_TASK = 1 << 15
 #: A worker's cache is emptied beyond so many entries; longer runs are not kept.
-CACHE_SIZE = 1 << 19
+CACHE_SIZE = 1 << 20
 CACHE_BYTES = 64
 
 _tokenizers: dict[str, object] = {}
