@@ -510,7 +510,9 @@ def sample_targets(spark, sf_dir):
     return pairs.withColumn("r", F.row_number().over(w)).where("r <= 2").drop("r")
 
 
-@query("SELECT * FROM (VALUES (CAST(8 AS BIGINT), CAST(4 AS BIGINT), CAST(2 AS BIGINT))) v(definitions, properties, required)")
+@query("""WITH placed AS (SELECT * FROM (VALUES ('Order', 'placedBy'), ('LineItem', 'quantity'), ('Customer', 'hasOrder')) v(class, prop)),
+restricted AS (SELECT * FROM (VALUES ('LineItem', 'ofPart'), ('Order', 'hasLine')) v(class, prop))
+SELECT CAST(7 + 1 AS BIGINT) AS definitions, (SELECT count(*) + 1 FROM (SELECT * FROM placed UNION SELECT * FROM restricted)) AS properties, (SELECT count(*) FROM restricted) AS required""")
 def schema_statistics(spark, sf_dir):
     """Statistics of the schema that the vocabulary of the test tables compiles to."""
     from graphwright.plans.compile import Engine, definitions_table, statistics
