@@ -117,7 +117,7 @@ def splitting_tree(sources: DataFrame, n_shards: int, seed: int) -> DataFrame:
     """
     root = sources.agg(F.array_sort(F.collect_list(F.struct("ord", "blocks"))).alias("q")).selectExpr(
         "1 as node", "0 as lo", f"{n_shards} as hi", "transform(q, x -> x.blocks) as q", "aggregate(q, 0L, (a, x) -> a + x.blocks) as n_all"
-    )
+    ).where("size(q) > 0")
     level, done = root, None
     for _ in range(max(1, (n_shards - 1).bit_length())):
         inner = level.where("hi - lo > 1").withColumn("mid", F.expr("(lo + hi) div 2"))
