@@ -2,12 +2,27 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """The same rows, computed once and kept in the folder of spark.checkpoint.dir, which all executors share."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints")
-    return df.checkpoint()
+    """The same rows, computed once, written as Parquet and read back.
+
+    They go to the folder of spark.checkpoint.dir, which all executors share
+    (a local one only under a local master), and are removed when the driver's
+    JVM ends.  The planner knows the size of what it reads.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = "/tmp/checkpoints"
+    path = f"{folder.rstrip('/')}/settled-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(where)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
