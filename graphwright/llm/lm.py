@@ -5,17 +5,18 @@ subword lattice model: the vocabulary of a public tokenizer, each piece with a
 unigram score (log10 probability), and a text's likelihood is the sum over all
 ways to segment its words into pieces, by a forward recursion in log space.
 Pieces do not cross words, so a text's score is the sum of its words' scores
-and of the end's, and words are scored once per worker.
+and of the end's.  Every distinct word is scored once, in the table of words.
 
 The vocabulary is not trained.  Its piece scores are estimated from the
 training documents: all their words, counted, are segmented by the tokenizer,
 and the pieces' frequencies, smoothed, are the scores.  Characters that no
 piece covers fall back to their UTF-8 bytes, as in the tokenizer.
 
-Word counts are gathered from all training documents with partial sums in every
-task.  The TABLE_SIZE most frequent words go to the workers as a broadcast of
-bounded size; the other words of a document meet their counts in a join.  So no
-word that many documents share is ever shuffled.
+The table of words is gathered from all documents with partial sums in every
+task; it counts training documents only.  The TABLE_SIZE most frequent words go
+to the workers as a broadcast of bounded size; the other words of a document
+meet their counts and scores in a join.  So no word that many documents share
+is ever shuffled.
 """
 
 from __future__ import annotations
@@ -38,7 +39,6 @@ HOLD_OUT, FOLDS = 1, 5
 TABLE_SIZE = 1 << 17
 #: A task hands on its counts when it holds so many words.
 TALLY_SIZE = 1 << 19
-CACHE_SIZE = 1 << 19
 SPACE = "▁"
 _LOG10 = math.log(10)
 
@@ -66,17 +66,19 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return rows
 
     for batch in batches:
+        held, at = batch.column("held_out").to_pylist(), 0
         for docs in _lists(batch.column("text")):
             for words in docs:
-                seen.update(words)
+                seen.update(dict.fromkeys(words, 0) if held[at] else words)
+                at += 1
             if len(seen) > TALLY_SIZE:
                 yield out()
     yield out()
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """word (UTF-8 bytes, lower-cased), n: over all texts of `docs`."""
-    return docs.select("text").mapInArrow(_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    """word (UTF-8 bytes, lower-cased), n: of all texts of `docs`, counted in those that are not held out."""
+    return docs.select("held_out", "text").mapInArrow(_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _piece_counts(model: str):
@@ -129,7 +131,6 @@ class Lattice:
                 self.logs[piece] = x
         self.longest = max(map(len, self.logs), default=1)
         self.starts = {p[:2] for p in self.logs}
-        self.known: dict[bytes, float] = {}
 
     def score(self, word: bytes) -> float:
         text = SPACE + word.decode()
@@ -166,17 +167,9 @@ class Lattice:
         else:
             best[j] = max(x, y) + math.log1p(math.exp(-abs(x - y)))
 
-    def of(self, words: set[bytes]) -> dict[bytes, float]:
-        if len(self.known) > CACHE_SIZE:
-            self.known = {}
-        known, score = self.known, self.score
-        for w in words:
-            if w not in known:
-                known[w] = score(w)
-        return known
 
-
-_models: dict[str, tuple] = {}
+_models: dict[str, Lattice] = {}
+_tables: dict[str, tuple] = {}
 
 
 def score(docs: DataFrame, model: str = "piece_bpe_32k.model") -> DataFrame:
@@ -189,73 +182,64 @@ def score(docs: DataFrame, model: str = "piece_bpe_32k.model") -> DataFrame:
     """
     spark = docs.sparkSession
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
-    train = slim.where("not held_out")
-    counts = table(word_counts(train), "words")
-    n_docs = train.select("doc_id").count()
-    words, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    counts = table(word_counts(slim), "words")
+    n_docs = slim.where("not held_out").select("doc_id").count()
+    words, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
     n_all, v = words + n_docs, distinct + (n_docs > 0)
-    pieces = piece_scores(counts, n_docs, model)
-    top = counts.orderBy(F.desc("n"), "word").limit(TABLE_SIZE).toArrow()
-    shared = spark.sparkContext.broadcast((b"\n".join(top.column("word").to_pylist()), top.column("n").to_numpy().tobytes(), pieces))
-    key, scale = uuid.uuid4().hex, n_all + 0.5 * (v + 1)
-    end_score = math.log10((n_docs + 0.5) / scale)
+    pieces, logs, end = piece_scores(counts.where("n > 0"), n_docs, model)
+    shared, key, scale = spark.sparkContext.broadcast((pieces, logs)), uuid.uuid4().hex, n_all + 0.5 * (v + 1)
 
-    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def lattice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _models:
             _models.clear()
-            names, numbers, (ids, logs, end) = shared.value
-            numbers = np.log10((np.frombuffer(numbers, np.int64) + 0.5) / scale).tolist()
-            _models[key] = dict(zip(names.split(b"\n") if names else [], numbers, strict=True)), Lattice(ids, logs), end
-        known, lattice, end = _models[key]
+            _models[key] = Lattice(*shared.value)
+        own = _models[key].score
+        for batch in batches:
+            scores = [own(w) / _LOG10 for w in batch.column("word").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(scores, pa.float64())], names=["word", "n", "score"])
+
+    scored = table(counts.mapInArrow(lattice, "word binary, n long, score double"), "word-scores")
+    top = scored.where("n > 0").orderBy(F.desc("n"), "word").limit(TABLE_SIZE).toArrow()
+    base_of = lambda n: np.log10((n + 0.5) / scale)
+    frequent = spark.sparkContext.broadcast((b"\n".join(top.column("word").to_pylist()), base_of(top.column("n").to_numpy()).tobytes(), top.column("score").to_numpy().tobytes()))
+    top_key, end_base, end_score = uuid.uuid4().hex, float(base_of(n_docs)), end / _LOG10
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if top_key not in _tables:
+            _tables.clear()
+            names, base, own = frequent.value
+            names = names.split(b"\n") if names else []
+            _tables[top_key] = tuple(dict(zip(names, np.frombuffer(x).tolist(), strict=True)) for x in (base, own))
+        base, own = _tables[top_key]
         for batch in batches:
             at = 0
             for texts in _lists(batch.column("text")):
-                every: set[bytes] = set()
+                hits, base_sums, own_sums, missed, times = [], [], [], [], []
                 for x in texts:
-                    every.update(x)
-                own = lattice.of(every)
-                scores = [(sum(map(own.__getitem__, x)) + end) / _LOG10 for x in texts]
-                hits, base, missed, times = [], [], [], []
-                rare = every.difference(known)
-                for x in texts:
-                    miss = Counter(filter(rare.__contains__, x)) if rare else {}
-                    got = [known[w] for w in x if w not in rare] if miss else list(map(known.__getitem__, x))
+                    got = [w for w in x if w in base]
+                    miss = Counter(w for w in x if w not in base) if len(got) < len(x) else {}
                     hits.append(len(got) + (n_docs > 0))
-                    base.append(math.fsum(got) + end_score)
+                    base_sums.append(math.fsum(map(base.__getitem__, got)) + end_base)
+                    own_sums.append(math.fsum(map(own.__getitem__, got)) + end_score)
                     missed.append(list(miss))
                     times.append(list(miss.values()))
                 rows = batch.slice(at, len(texts))
                 at += len(texts)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        rows.column("doc_id").cast(pa.int64()),
-                        rows.column("held_out"),
-                        pa.array([len(x) + 1 for x in texts], pa.int64()),
-                        pa.array(hits, pa.int64()),
-                        pa.array(base, pa.float64()),
-                        pa.array(scores, pa.float64()),
-                        pa.array(missed, pa.list_(pa.binary())),
-                        pa.array(times, pa.list_(pa.int32())),
-                    ],
-                    names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "missed", "times"],
-                )
+                lengths = pa.array([len(x) + 1 for x in texts], pa.int64())
+                arrays = [rows.column("doc_id").cast(pa.int64()), rows.column("held_out"), lengths, pa.array(hits, pa.int64()), pa.array(base_sums, pa.float64()), pa.array(own_sums, pa.float64())]
+                arrays += [pa.array(missed, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "missed", "times"])
 
     made = slim.mapInArrow(f, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, missed array<binary>, times array<int>")
     made = table(made.withColumn("row", F.monotonically_increasing_id()), "scored")
     rare = made.select("row", F.explode(F.arrays_zip("missed", "times")).alias("m")).select("row", F.col("m.missed").alias("word"), F.col("m.times").alias("times"))
-    rare = rare.join(counts, "word", "left")
+    rare = rare.join(scored, "word")
     found = rare.groupBy("row").agg(
         F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).cast("long").alias("more_known"),
-        F.sum(F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(float(scale)))).alias("more_score"),
+        F.sum(F.col("times") * F.log10((F.col("n") + 0.5) / F.lit(float(scale)))).alias("more_base"),
+        F.sum(F.col("times") * F.col("score")).alias("more_score"),
     )
     out = made.drop("missed", "times").join(found, "row", "left")
-    zero = F.lit(0)
-    return out.select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("more_known", zero)).alias("n_known"),
-        F.lit(int(n_all)).cast("long").alias("train_tokens"),
-        (F.col("base_score") + F.coalesce("more_score", F.lit(0.0))).alias("base_score"),
-        "score",
-    )
+    plus = lambda c, more, zero: (F.col(c) + F.coalesce(more, F.lit(zero))).alias(c)
+    known, base_sum, own_sum = plus("n_known", "more_known", 0), plus("base_score", "more_base", 0.0), plus("score", "more_score", 0.0)
+    return out.select("doc_id", "held_out", "n_tokens", known, F.lit(int(n_all)).cast("long").alias("train_tokens"), base_sum, own_sum)
