@@ -19,6 +19,7 @@ outside there, so only the stretches between such tokens are decoded.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 import uuid
 from collections.abc import Iterator
@@ -29,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphwright.llm import textvec as tv
+from graphwright.llm.common import table
 
 #: Fixed patterns of the contract.
 ASSIGN = re.compile(r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -39,7 +41,7 @@ KINDS = ("assign", "access", "hex", "crf")
 _HINTS = (b"passw", b"secret", b"token", b"api")
 _LONG_HEX = re.compile(rb"[0-9a-f]{24}")
 
-TRAIN_WINDOWS = 1600
+TRAIN_WINDOWS = 1200
 #: Words before and after the middle of a training window.
 REACH = 12
 CACHE_SIZE = 1 << 19
@@ -164,7 +166,7 @@ class CRF:
         self.weights, self.moves = weights, moves
 
     @classmethod
-    def fit(cls, sequences: list[tuple[list[list[int]], list[int]]], rounds: int = 120, l2: float = 1e-3) -> CRF:
+    def fit(cls, sequences: list[tuple[list[list[int]], list[int]]], rounds: int = 80, l2: float = 1e-3) -> CRF:
         """Maximum likelihood by Adam over all sequences at once; sequences are (feature rows, tags)."""
         n, longest = len(sequences), max((len(y) for _, y in sequences), default=0)
         w, t = np.zeros((len(NAMES), 3)), np.zeros((3, 3))
@@ -236,20 +238,47 @@ class CRF:
         return context + sum(gain(f"file {x}") for x in _FILE) + float(through)
 
 
+#: What a word of letters must not hold to be judged by its shape alone.
+_HINT = re.compile(rb"(?i:pass|pwd|secret|token|api|credential|auth|bearer|private|key)")
+
+
 class Scanner:
     """Decodes texts with a CRF; keeps which words are certain to be outside."""
 
     def __init__(self, crf: CRF) -> None:
-        self.crf, self.slack, self.certain = crf, crf.slack(), {}
+        self.crf, self.slack = crf, crf.slack()
+        self.certain: dict[bytes, bool] = {}
+        self.tokens: dict[str, bool] = {}
+        self.shapes: dict[tuple, bool] = {}
+
+    def _token_is_certain(self, tok: str) -> bool:
+        known = self.tokens.get(tok)
+        if known is None:
+            if len(self.tokens) > CACHE_SIZE:
+                self.tokens = {}
+            known = _context(tok) not in ("kw", "eq", "quote")
+            if known:
+                own = self.crf.weights[[INDEX[n] for n in _own_names(tok)]].sum(axis=0)
+                known = bool(own[O] - own[:2].max() > self.slack)
+            self.tokens[tok] = known
+        return known
 
     def _is_certain(self, word: bytes) -> bool:
-        for tok in _TOKEN.findall(word.decode()):
-            if _context(tok) in ("kw", "eq", "quote"):
-                return False
-            own = self.crf.weights[[INDEX[n] for n in _own_names(tok)]].sum(axis=0)
-            if own[O] - own[:2].max() <= self.slack:
-                return False
-        return True
+        """Words of letters, with a full stop or comma behind or not, depend on shape, length and variety only."""
+        core = word[:-1] if word[-1:] in (b".", b",") else word
+        if core.isalpha() and not _HINT.search(core):
+            dot = word[-1:] == b"."
+            n = len(core) + dot
+            shape = 0 if core.islower() else 1 if dot or core[1:].islower() and len(core) > 1 else 2 if core.isupper() else 3
+            varied = len(set(core)) + dot if n >= 12 else 0
+            key = (shape, n if n < 33 else 33, varied, word[-1:] == b",", dot)
+            known = self.shapes.get(key) if n < 33 else None
+            if known is None:
+                known = all(self._token_is_certain(t) for t in _TOKEN.findall(word.decode()))
+                if n < 33:
+                    self.shapes[key] = known
+            return known
+        return all(map(self._token_is_certain, _TOKEN.findall(word.decode())))
 
     def open_words(self, words: set[bytes]) -> set[bytes]:
         """Those that need decoding."""
@@ -292,56 +321,65 @@ class Scanner:
 # --- training windows -------------------------------------------------------
 
 
-def labelled_window(text: str, raw: bytes, spans: list[Span], word_at: int) -> tuple[list[list[int]], list[int]]:
-    """Feature rows and tags of the words around the one at `word_at`; tags are the patterns'."""
+def labelled_window(text: str, spans: list[Span], word_at: int) -> tuple[list[str], list[int]]:
+    """Tokens and tags of the words around the one at `word_at`; tags are the patterns'."""
     words = list(_WORD.finditer(text, max(0, word_at - 400), min(len(text), word_at + 400)))
     mid = next((k for k, m in enumerate(words) if m.end() > word_at), 0)
     near = words[max(0, mid - REACH) : mid + REACH]
-    secret = [(ASSIGN.match(text, a)[2] and ASSIGN.match(text, a).span(2)) if k == 0 else (a, z) for a, k, z in spans]
+    secret = [ASSIGN.match(text, a).span(2) if k == 0 else (a, z) for a, k, z in spans]
     tokens = [t for m in near for t in _TOKEN.finditer(text, m.start(), m.end())][:64]
-    tags = []
+    tags: list[int] = []
     for t in tokens:
         inside = next((s for s in secret if s[0] <= t.start() < s[1]), None)
         tags.append(O if inside is None else B if t.start() == inside[0] or not tags or tags[-1] == O else I)
-    return _feature_rows([t[0] for t in tokens], ["none"], "none", file_features(raw)), tags
+    return [t[0] for t in tokens], tags
 
 
 _DIGIT = re.compile(r"[0-9]")
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per document with a pattern's match a window around the first; of the others, one where a digit, quote or keyword is, or at the start."""
-    for batch in batches:
-        order, kinds, rows, tags = [], [], [], []
-        for rank, text in zip(batch.column("rank").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            if not text:
-                continue
-            raw = text.encode()
-            spans = base_spans(text) if _may_match(raw) else []
-            if not spans and rank % 16:
-                continue
-            hit = _DIGIT.search(text)
-            at = spans[0][0] if spans else hit.start() if hit else 0
-            x, y = labelled_window(text, raw, spans, at)
-            if y:
-                order.append(rank)
-                kinds.append(bool(spans))
-                rows.append(x)
-                tags.append(y)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(order, pa.int64()), pa.array(kinds, pa.bool_()), pa.array(rows, pa.list_(pa.list_(pa.int32()))), pa.array(tags, pa.list_(pa.int32()))],
-            names=["rank", "hit", "rows", "tags"],
-        )
+def _windows(most: int):
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of the documents with the lowest hashes, `most` with a pattern's match (a window around the first) and
+        `most` without (one where a digit is, or at the start), one window each."""
+        best: dict[bool, list[tuple]] = {True: [], False: []}
+        for batch in batches:
+            data, offsets = tv.buffers(batch.column("text"))
+            at = offsets.tolist()
+            for k, rank in enumerate(batch.column("rank").to_pylist()):
+                raw = data[at[k] : at[k + 1]].tobytes()
+                may = bool(raw) and _may_match(raw)
+                kept = best[False]
+                if not raw or not may and len(kept) >= most and rank >= -kept[0][0]:
+                    continue
+                text = raw.decode()
+                spans = base_spans(text) if may else []
+                kept = best[bool(spans)]
+                if len(kept) >= most and rank >= -kept[0][0]:
+                    continue
+                hit = _DIGIT.search(text)
+                tokens, tags = labelled_window(text, spans, spans[0][0] if spans else hit.start() if hit else 0)
+                if tags:
+                    heapq.heappush(kept, (-rank, tokens, tags, file_features(raw)))
+                    if len(kept) > most:
+                        heapq.heappop(kept)
+        rows = [(-x[0], hit, *x[1:]) for hit, xs in best.items() for x in xs]
+        columns = list(zip(*rows, strict=True)) or [[]] * 5
+        kinds = (pa.int64(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.string()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["rank", "hit", "tokens", "tags", "file"])
+
+    return f
 
 
 def train(docs: DataFrame, windows: int = TRAIN_WINDOWS) -> CRF:
     """A CRF from at most `windows` windows, half of them with a match if there are so many."""
     slim = docs.select(F.xxhash64(F.col("doc_id")).alias("rank"), "text")
-    found = slim.mapInArrow(_windows, "rank long, hit boolean, rows array<array<int>>, tags array<int>")
+    kind = "rank long, hit boolean, tokens array<string>, tags array<int>, file array<string>"
+    found = table(slim.mapInArrow(_windows(windows // 2), kind), "windows").coalesce(8)
     got = []
     for hit in (True, False):
-        got += found.where(F.col("hit") == F.lit(hit)).orderBy("rank", "tags").limit(windows // 2).collect()
-    return CRF.fit([(r["rows"], r["tags"]) for r in got])
+        got += found.where(F.col("hit") == F.lit(hit)).orderBy("rank", "tokens", "tags").limit(windows // 2).collect()
+    return CRF.fit([(_feature_rows(r["tokens"], ["none"], "none", r["file"]), r["tags"]) for r in got])
 
 
 _scanners: dict[str, Scanner] = {}
