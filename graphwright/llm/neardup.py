@@ -16,8 +16,10 @@ of the links.
     chance collisions of compressed registers) is within four standard
     deviations of the threshold are verified on the full shingle sets.
 4.  Under keys whose other nodes are still in different components, these are
-    compared on their registers in blocks of bounded size, and what is near
-    the threshold is verified likewise.  So no pair that shares a band is lost.
+    compared in blocks of bounded size: on their registers, then on a sketch of
+    their shingle sets, which for short documents holds nearly the whole set.
+    What is near the threshold is verified likewise, so no pair that shares a
+    band is lost.
 
 A pair at 0.85 shares no band with probability 1.2e-5, and less above.
 """
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphwright.llm import textvec as tv
-from graphwright.llm.common import table, without
+from graphwright.llm.common import table
 from graphwright.llm.graph import components
 
 SHINGLE = 5
@@ -41,6 +43,8 @@ REGISTERS = 192
 MANTISSA = 10
 #: Members of a block in step 4, about.
 BLOCK = 512
+#: Bins of the sketch in step 4, by the top bits of a shingle's hash; each keeps 16 bits of its least one.
+BINS = 512
 #: Bits of the filter that picks the documents whose shingle sets are needed.
 FILTER_BITS = 1 << 23
 
@@ -136,6 +140,28 @@ def floor_for(threshold: float) -> float:
     return threshold - 4 * (threshold * (1 - threshold) / REGISTERS) ** 0.5
 
 
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """The bins of a sorted set of shingle hashes; 0 marks an empty one."""
+    out = np.zeros(BINS, np.uint16)
+    bins, first = np.unique(shingles >> np.uint64(64 - BINS.bit_length() + 1), return_index=True)
+    out[bins.astype(np.int64)] = np.maximum((shingles[first] >> np.uint64(32)) & np.uint64(0xFFFF), 1)
+    return out
+
+
+def sketches_near(one: np.ndarray, others: np.ndarray, n_one: int, n_others: np.ndarray, threshold: float) -> np.ndarray:
+    """Which of the other sketches are within four standard deviations of the threshold.
+
+    The bins that either set fills are a sample, without replacement, of the
+    union; so the deviation shrinks as they approach all of it.
+    """
+    filled = ((others != 0) | (one != 0)).sum(axis=1)
+    same = ((others == one) & (one != 0)).sum(axis=1)
+    union = (n_one + n_others) / (1 + threshold)
+    rest = np.maximum(1 - filled / np.maximum(union, 1), 1 / np.maximum(filled, 1))
+    deviation = np.sqrt(threshold * (1 - threshold) / np.maximum(filled, 1) * rest)
+    return same >= (threshold - 4 * deviation) * filled
+
+
 def _estimates(floor: float):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,14 +176,20 @@ def _estimates(floor: float):
 
 def _compare_blocks(floor: float, ratio: float):
     def pairs(group: dict[str, np.ndarray], i: int, j: int):
-        regs, comp, size, block = group["registers"], group["comp"], group["n_shingles"], group["block"]
+        regs, comp, size, block, sketches = (group[c] for c in ("registers", "comp", "n_shingles", "block", "sketch"))
         left = np.flatnonzero(block == i)
         right = np.flatnonzero(block == j)
+        bands = regs[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS)
+        band = int(group["band"][0])
         for k, x in enumerate(left):
             others = right[k + 1 :] if i == j else right
             others = others[(comp[others] != comp[x]) & (np.minimum(size[others], size[x]) >= ratio * np.maximum(size[others], size[x]) - 1e-9)]
             if len(others):
                 near = others[similarity_estimate((regs[others] == regs[x]).sum(axis=1)) >= floor]
+                if len(near):
+                    near = near[sketches_near(sketches[x], sketches[near], size[x], size[near], ratio)]
+                if band and len(near):  # a pair that shares an earlier band too is found there
+                    near = near[~(bands[near, :band] == bands[x, :band]).all(axis=2).any(axis=1)]
                 for y in near:
                     yield x, y
 
@@ -166,9 +198,11 @@ def _compare_blocks(floor: float, ratio: float):
         node = table_.column("node").to_pylist()
         arrays = {
             "registers": np.frombuffer(b"".join(table_.column("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS),
+            "sketch": np.frombuffer(b"".join(table_.column("sketch").to_pylist()), np.uint16).reshape(-1, BINS),
             "comp": table_.column("comp").combine_chunks().dictionary_encode().indices.to_numpy(),
             "n_shingles": table_.column("n_shingles").to_numpy(),
             "block": table_.column("block").to_numpy(),
+            "band": table_.column("band").to_numpy(),
         }
         i, j, key = (table_.column(c).to_numpy() for c in ("i", "j", "key"))
         cuts = np.flatnonzero((np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
@@ -236,27 +270,31 @@ def _sets_of(wanted: bytes):
                 sets = _sorted_sets(shingles, at)
                 values = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)
+                bins = np.array([sketch(x) for x in sets], np.uint16).reshape(len(sets), BINS)
+                some = np.diff(by_doc) > 0
                 yield pa.RecordBatch.from_arrays(
                     [
-                        _binary(_digests(words, by_doc), np.diff(by_doc) > 0),
+                        _binary(_digests(words, by_doc), some),
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64))),
+                        _binary(bins, some),
                     ],
-                    names=["node", "shingles"],
+                    names=["node", "shingles", "sketch"],
                 )
 
     return f
 
 
-def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (a, b) of nodes whose full shingle sets reach the threshold."""
-    needed = table(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "needed")
-    ids = nodes.join(needed, "node", "left_semi").select("doc_id")
-    wanted = _id_filter(ids)
+def _sets(docs: DataFrame, nodes: DataFrame, needed: DataFrame) -> DataFrame:
+    """node, shingles, sketch of the needed nodes, by a second pass over their documents."""
+    wanted = _id_filter(nodes.join(needed, "node", "left_semi").select("doc_id"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = texts.mapInArrow(_sets_of(wanted), "node binary, shingles array<long>").where("node is not null")
-    sets = table(sets.join(needed, "node", "left_semi"), "sets").dropDuplicates(["node"])
-    a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-    b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
+    sets = texts.mapInArrow(_sets_of(wanted), "node binary, shingles array<long>, sketch binary").where("node is not null")
+    return table(sets.join(needed, "node", "left_semi").dropDuplicates(["node"]), "sets")
+
+
+def _verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Those pairs (a, b) of nodes whose full shingle sets reach the threshold."""
+    a, b = (sets.select(F.col("node").alias(x), F.col("shingles").alias("s" + x)) for x in "ab")
     both = F.size(F.array_intersect("sa", "sb")).cast("long")
     return (
         pairs.join(a, "a")
@@ -285,32 +323,33 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     )
     width = 2 * ROWS
     keys = F.expr(f"transform(sequence(0, {BANDS - 1}), b -> xxhash64(b, substring(registers, b * {width} + 1, {width})))")
-    bands = nodes.select(F.explode(keys).alias("key"), "node")
+    bands = nodes.select(F.posexplode(keys).alias("band", "key"), "node")
     hubs = bands.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
     crowd = table(bands.join(hubs.select("key", "hub"), "key").where("node <> hub"), "crowd")
     star = table(crowd.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "star")
-    met = star.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    met = table(star.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "met")
+    sets = _sets(docs, nodes, met)
     signs = table(nodes.join(met, "node", "left_semi").select("node", "n_shingles", "registers"), "signs")
 
     a, b = (signs.select(F.col("node").alias(x), F.col("n_shingles").alias("n" + x), F.col("registers").alias("r" + x)) for x in "ab")
     close = star.join(a, "a").join(b, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
     near = table(close.select("a", "b", "ra", "rb").mapInArrow(_estimates(floor), "a binary, b binary"), "near")
-    links = table(_verified(docs, nodes, near, percent), "links")
+    links = table(_verified(sets, near, percent), "links")
     groups = table(components(links), "components")
 
-    rest = crowd.select("key", "node").join(groups, "node", "left").select("key", "node", F.coalesce("root", "node").alias("comp"))
+    rest = crowd.select("band", "key", "node").join(groups, "node", "left").select("band", "key", "node", F.coalesce("root", "node").alias("comp"))
     rest = table(rest, "rest")
     mixed = rest.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
     mixed = mixed.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rest = rest.join(mixed, "key").join(signs, "node").withColumn("block", F.expr("pmod(xxhash64(node, 7), blocks)").cast("int"))
+    rest = rest.join(mixed, "key").join(signs, "node").join(sets.select("node", "sketch"), "node").withColumn("block", F.expr("pmod(xxhash64(node, 7), blocks)").cast("int"))
     dealt = rest.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select(
-        "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "comp", "n_shingles", "registers"
+        "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "band", "block", "node", "comp", "n_shingles", "registers", "sketch"
     )
     dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     more = dealt.mapInArrow(_compare_blocks(floor, ratio), "a binary, b binary").distinct()
-    more = table(more.join(star, ["a", "b"], "left_anti"), "more")
+    more = table(more, "more")
     if not more.isEmpty():
-        links = links.unionByName(table(_verified(docs, nodes, more, percent), "links"))
+        links = links.unionByName(table(_verified(sets, more, percent), "links"))
         groups = table(components(links), "components")
 
     least = groups.join(nodes.select("node", "doc_id"), "node").groupBy("root").agg(F.min("doc_id").alias("component_id"))
@@ -342,5 +381,3 @@ def keep_first(docs: DataFrame, percent: int = 80) -> DataFrame:
     many = ids.where("_again is not null").drop("_again")
     return once.unionByName(many.dropDuplicates(["doc_id"]))
 
-
-__all__ = ["near_duplicates", "keep_first", "signatures", "similarity_estimate", "compressed", "without"]
