@@ -16,6 +16,7 @@ from graphwright.functions import vocab as v
 from graphwright.functions.terms import contextual_text, local_name, pick_language
 from graphwright.operators import rules as r
 from graphwright.operators.tbox import TBox
+from graphwright.plans.tables import settled
 
 STRUCTURAL = ("part", "has", "contains", "member", "component", "composed")
 
@@ -42,7 +43,7 @@ class Generator:
             raise ValueError("0 <= least <= most")
         concrete = r.concrete_classes(self.t.classes, self.t.class_super, self.t.class_disjoint, self.t.enum_members)
         rows = self.t.classes.join(concrete, "uri").select(F.col("uri").alias("class"), F.coalesce(pick_language("label", "en"), local_name("uri")).alias("label"))
-        return rows.withColumn("n", self.between(F.lit(least), F.lit(most), "count", F.col("class")))
+        return settled(rows.withColumn("n", self.between(F.lit(least), F.lit(most), "count", F.col("class"))))
 
     def individuals(self, least: int = 1, most: int = 3) -> DataFrame:
         """class, i, uri, label."""
@@ -56,7 +57,7 @@ class Generator:
         rows = pairs.join(props.withColumnRenamed("uri", "prop"), "prop").join(r.effective_cardinality(self.t.restrictions), ["class", "prop"], "left")
         functional = F.coalesce("functional", F.lit(False))
         most = F.when(functional, 1).otherwise(F.col("max"))
-        return rows.withColumns({"min": F.coalesce("min", F.lit(0)), "max": most})
+        return settled(rows.withColumns({"min": F.coalesce("min", F.lit(0)), "max": most}))
 
     def _values(self, who: DataFrame) -> DataFrame:
         ranges = self.t.prop_range.groupBy("prop").agg(F.min_by("other", "ord").alias("range"))

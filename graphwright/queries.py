@@ -529,10 +529,3 @@ def compiled_schema(spark, sf_dir):
 
     return definitions_table(spark, Engine({"rules": {"disjoint_classes": {"enabled": True}}}).transform(_tbox(spark)))
 
-
-@query()
-def generate_individuals(spark, sf_dir):
-    """Seeded synthetic individuals of the vocabulary."""
-    from graphwright.operators.generate import Generator
-
-    return Generator(_tbox(spark), BASE, seed=7).generate(2, 5).select("s", "p", "o", "o_kind")
