@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from graphwright.llm.common import source_key, table, without, word_count
+from graphwright.llm.common import WORD, source_key, table, without, word_count
 from graphwright.llm.ranks import hash_bucket, hash_order, running_sum
 
 WEIGHTS = (5, 2, 1)
@@ -31,6 +31,8 @@ MAX_REPEATS = 3
 BLOCK_WORDS = 2048
 #: Draws with more likely outcomes than this use the normal approximation.
 EXACT_WIDTH = 4096
+#: A word with the white space behind it, and before it at the start of a text.
+SPACED_WORD = rf"(?:\A[\x20\x09-\x0D]+)?{WORD}[\x20\x09-\x0D]*"
 _PRIMES = (2147483647, 2147483629)
 
 
@@ -38,9 +40,9 @@ def _key(seed: int) -> Column:
     return F.xxhash64(F.lit(seed), F.col("doc_id"))
 
 
-def sized(docs: DataFrame, seed: int) -> DataFrame:
-    """doc_id, _source, size, _h of every document; the one pass over the texts."""
-    return docs.select("doc_id", source_key(F.col("source")).alias("_source"), word_count(F.col("text")).alias("size"), _key(seed).alias("_h"))
+def sized(docs: DataFrame, seed: int, *more: Column) -> DataFrame:
+    """doc_id, _source, size, _h of every document, and `more`; one pass over the texts."""
+    return docs.select("doc_id", source_key(F.col("source")).alias("_source"), word_count(F.col("text")).alias("size"), _key(seed).alias("_h"), *more)
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
@@ -165,6 +167,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, n_shards: int = 1
     empty table gives an empty result.
     """
     slim = table(sized(docs, seed), "sizes")
+    out = _dealt(slim, slim, weights, n_shards, block_words, seed)
+    taken = F.expr("aggregate(pieces, 0L, (a, p) -> a + p.words)")
+    return out.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "pieces")
+
+
+def _dealt(rows: DataFrame, slim: DataFrame, weights: tuple[float, ...], n_shards: int, block_words: int, seed: int) -> DataFrame:
+    """`rows`, which has the columns of `slim` for the same documents and others, with source_size, target and pieces."""
     sources = table(targets(slim, weights), "sources")
     sources = sources.withColumn("block_words", F.greatest(F.lit(block_words).cast("long"), F.expr("quota div 2147483648 + 1")))
     sources = table(sources.withColumn("blocks", F.expr("(quota + block_words - 1) div block_words")), "sources")
@@ -172,34 +181,44 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, n_shards: int = 1
     mult = F.expr(f"if(blocks % {_PRIMES[0]} <> 0, {_PRIMES[0]}L, {_PRIMES[1]}L)")
     plan = sources.join(tree, "ord", "left").withColumns({"mult": mult, "shift": F.expr(f"pmod(xxhash64({seed}, ord), 2147483647)")})
     plan = table(plan, "plan")
-    placed = running_sum(slim, ["_source"], hash_bucket(F.col("_h")), [hash_order(F.col("_h")), F.col("doc_id"), F.col("size")], F.col("size"), "start")
-    out = placed.join(plan, "_source").withColumn("pieces", F.expr(_pieces(n_shards, seed)))
-    taken = F.expr("aggregate(pieces, 0L, (a, p) -> a + p.words)")
-    return out.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "pieces")
+    order = [hash_order(F.col("_h")), F.col("doc_id"), F.col("size")]
+    placed = running_sum(rows, ["_source"], hash_bucket(F.col("_h")), order, F.col("size"), "start", slim)
+    return placed.join(plan, "_source").withColumn("pieces", F.expr(_pieces(n_shards, seed)))
 
 
-def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, seed: int = 17) -> DataFrame:
-    """The mix as whole documents, each as often as it is taken, columns as they came.
+def _texts(text: Column) -> Column:
+    """shard, place, pass, first_word and text of each piece; the texts of a whole pass together are the document's.
 
-    A source's last pass ends with the document in which its quota ends.  That
-    end is one hash value per source, so texts are read once and not shuffled.
+    White space goes with the word before it, and what leads a text with its
+    first word.
+    """
+    made = lambda p, t: F.struct(*[p[c].alias(c) for c in ("shard", "place", "pass", "first_word")], t.alias("text"))
+    words = F.regexp_extract_all(text, F.lit(SPACED_WORD), F.lit(0))
+    part = lambda w, p: F.array_join(F.slice(w, (p["first_word"] + 1).cast("int"), p["words"].cast("int")), "")
+    cut = F.transform(F.array(words), lambda w: F.transform("pieces", lambda p: made(p, part(w, p))))[0]
+    whole = F.forall("pieces", lambda p: p["words"] == F.col("size"))
+    return F.when(whole, F.transform("pieces", lambda p: made(p, text))).otherwise(cut)
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, n_shards: int = 16, block_words: int = BLOCK_WORDS, seed: int = 17) -> DataFrame:
+    """The mix itself: a row for each piece that mix() deals, with the piece as text, the other columns as they came.
+
+    Rows are in the order of shard and place; a shard is several partitions in
+    a row, each a range of places.  A column n_chars is that of the piece.
+    Texts are shuffled twice: to their place in the stream and to their shard.
     """
-    slim = table(sized(docs, seed), "sizes")
-    sources = table(targets(slim, weights), "sources")
-    placed = running_sum(slim, ["_source"], hash_bucket(F.col("_h")), [hash_order(F.col("_h")), F.col("doc_id"), F.col("size")], F.col("size"), "start")
-    ends = (
-        placed.join(sources, "_source")
-        .where("size > 0 and start < quota % source_size")
-        .groupBy("_source")
-        .agg(F.max(hash_order(F.col("_h"))).alias("_end"))
-    )
-    plan = table(sources.where("source_size > 0").join(ends, "_source", "left").selectExpr("_source as _plan", "quota div source_size as _full", "_end"), "plan")
     columns = docs.columns
-    rows = docs.withColumn("_plan", source_key(F.col("source"))).join(plan, "_plan")
-    copies = F.col("_full") + F.when(hash_order(_key(seed)) <= F.col("_end"), 1).otherwise(0)
-    copies = F.when(word_count(F.col("text")) > 0, copies).otherwise(0)
-    rows = rows.withColumn("_copies", copies.cast("int")).where("_copies > 0")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[F.col(f"`{c}`") for c in columns])
+    slim = table(sized(docs, seed), "sizes")
+    row = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row")
+    dealt = _dealt(sized(docs, seed, row), slim, weights, n_shards, block_words, seed)
+    parts = -(-int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // n_shards)
+    rows = dealt.where("size(pieces) > 0").select("_row", "size", F.explode(_texts(F.col("_row.text"))).alias("_piece"))
+    # The top 24 bits of a place are its range, from -(2 ** 23) on.
+    part = F.expr(f"cast(_piece.shard * {parts} + (((_piece.place >> 40) + 8388608) * {parts} >> 24) as int)")
+    rows = rows.repartitionById(n_shards * parts, part).sortWithinPartitions("_piece.shard", "_piece.place", "_piece.pass", "_piece.first_word")
+    new = {"text": F.col("_piece.text")}
+    new |= {c: F.when(F.col("_piece.text") == F.col("_row.text"), F.col(f"_row.`{c}`")).otherwise(F.length("_piece.text").cast(t)) for c, t in docs.dtypes if c == "n_chars"}
+    return rows.select(*[new.get(c, F.col(f"_row.`{c}`")).alias(c) for c in columns])
 
 
 __all__ = ["mix", "mixed_documents", "splitting_tree", "targets", "without"]

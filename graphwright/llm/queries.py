@@ -14,7 +14,8 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphwright.llm.mixing import mix
 
     out = mix(documents(spark, sf_dir))
-    return out.select("doc_id", "size", "source_size", "target", "taken", F.size("pieces").alias("n_pieces"))
+    digest = F.expr("aggregate(pieces, 0L, (a, p) -> xxhash64(a, p.shard, p.place))")
+    return out.select("doc_id", "size", "source_size", "target", "taken", F.size("pieces").alias("n_pieces"), digest.alias("digest"))
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,14 +30,16 @@ def _before(by: list[Column], order: list[Column], weight: str) -> Column:
     return F.coalesce(F.sum(weight).over(w), F.lit(0).cast("long"))
 
 
-def running_sum(df: DataFrame, by: list[str], bucket: Column, order: list[Column], weight: Column, out: str) -> DataFrame:
+def running_sum(df: DataFrame, by: list[str], bucket: Column, order: list[Column], weight: Column, out: str, slim: DataFrame | None = None) -> DataFrame:
     """df with `out`: the sum of `weight` (long) over the rows of its group that come before.
 
     `bucket` (0 to BUCKETS - 1) must not contradict `order`; the columns `by`
-    must not be null.  df is read twice, so it should be cheap to read.
+    must not be null.  df is read twice, so it should be cheap to read; else
+    `slim` has the same rows with as many columns as by, bucket and weight need.
     """
-    d = df.withColumns({"_k": bucket.cast("long"), "_w": weight.cast("long")})
-    sums = d.groupBy(*by, "_k").agg(F.sum("_w").alias("_w"))
+    keys_of = {"_k": bucket.cast("long"), "_w": weight.cast("long")}
+    d = df.withColumns(keys_of)
+    sums = (d if slim is None else slim.withColumns(keys_of)).groupBy(*by, "_k").agg(F.sum("_w").alias("_w"))
     sums = sums.withColumns({"_m": F.shiftright("_k", 8), "_t": F.shiftright("_k", 16)})
     middle = sums.groupBy(*by, "_m").agg(F.sum("_w").alias("_w")).withColumn("_t", F.shiftright("_m", 8))
     top = middle.groupBy(*by, "_t").agg(F.sum("_w").alias("_w"))

@@ -73,6 +73,44 @@ def test_mix_reruns_agree_and_edge_tables(small, empty, clashing):
     assert out.columns == clashing.columns and not out.isEmpty()
 
 
+def test_mixed_documents_are_the_dealt_pieces(small):
+    how = {"n_shards": 5, "block_words": 64}
+    pieces = mixing.mix(small, **how).select("doc_id", F.explode("pieces").alias("p")).select("doc_id", "p.*").collect()
+    rows = mixing.mixed_documents(small, **how).withColumn("n", word_count(F.col("text"))).collect()
+    order = sorted(pieces, key=lambda p: (p["shard"], p["place"], p["pass"], p["first_word"]))
+    assert [(r["doc_id"], r["n"]) for r in rows] == [(p["doc_id"], p["words"]) for p in order]
+    sizes = {r["source"]: r["n"] for r in small.groupBy("source").agg(F.sum(word_count(F.col("text"))).alias("n")).collect()}
+    taken = Counter()
+    for r in rows:
+        taken[r["source"]] += r["n"]
+        assert r["n_chars"] == len(r["text"]) or r["doc_id"] is None
+    assert all(abs(taken[s] - t) <= 1 for s, t in brute_targets(sizes).items())
+
+
+def test_texts_of_the_pieces_make_up_the_documents(spark):
+    texts = [" \n a  b\tc\n\nd e ", "one two\nthree", "\u00e9 \u00df\u2003x \U0001f600  y"]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    how = {"n_shards": 2, "block_words": 2}
+    rows = mixing.mixed_documents(docs, **how).collect()
+    pieces = mixing.mix(docs, **how).select("doc_id", F.explode("pieces").alias("p")).select("doc_id", "p.*").collect()
+    order = sorted(pieces, key=lambda p: (p["shard"], p["place"], p["pass"], p["first_word"]))
+    made = defaultdict(list)
+    for p, r in zip(order, rows, strict=True):
+        made[p["doc_id"], p["pass"]].append((p["first_word"], r["text"]))
+    assert {k: "".join(t for _, t in sorted(x)) for k, x in made.items()} == {(i, 0): t for i, t in enumerate(texts)}
+
+
+def test_op1_depends_on_the_tree(small, tmp_path, monkeypatch):
+    from graphwright.llm import queries
+
+    small.write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda: sorted(map(str, queries.op1_mixing(small.sparkSession, str(tmp_path)).collect()))
+    dealt, tree = run(), mixing.splitting_tree
+    assert run() == dealt
+    monkeypatch.setattr(mixing, "splitting_tree", lambda sources, n, seed: tree(sources, n, seed + 1))
+    assert run() != dealt
+
+
 @pytest.mark.parametrize("n", [1, 4, 40])
 def test_shards(small, n):
     out = sharding.assign_shards(small, n)
