@@ -130,3 +130,13 @@ def test_names(spark, names):
 def test_spark_type():
     defs = {"A": {"type": "object", "properties": {"n": {"type": "integer"}, "xs": {"type": "array", "items": {"type": "number"}}, "r": {"oneOf": [{}, {}]}}}}
     assert jsonschema.spark_type({"$ref": "#/definitions/A"}, defs).simpleString() == "struct<n:bigint,xs:array<double>,r:struct<@id:string>>"
+
+
+def test_generator_is_registered_over_the_whole_vocabulary(spark):
+    import __spark_entry__ as entry
+    import bench
+
+    assert "generate_individuals" in bench.HEADLINE
+    rows = entry.queries()["generate_individuals"](spark, entry.SMOKE_DIR).collect()
+    types = {r["o"].rsplit("#", 1)[-1] for r in rows if r["p"] == v.TYPE}
+    assert {"Customer", "Supplier", "Order", "LineItem", "Part", "Nation"} <= types
