@@ -476,6 +476,33 @@ def _nations(spark: SparkSession, sf_dir: str, style: str) -> DataFrame:
     return convert(t, schema, BASE, style, depth=1)
 
 
+@query("""SELECT 'http://ex.org/d#Order_' || o_orderkey AS uri, '{"uri":"http://ex.org/d#Order_' || o_orderkey || '","o_orderpriority":["' || o_orderpriority || '"],"placedBy":{"@id":"http://ex.org/d#Customer_' || o_custkey || '"}}' AS obj FROM orders
+UNION ALL SELECT 'http://ex.org/d#Customer_' || c_custkey, '{"uri":"http://ex.org/d#Customer_' || c_custkey || '","c_name":["' || c_name || '"],"customerNation":{"@id":"http://ex.org/d#Nation_' || c_nationkey || '"}}' FROM customer
+UNION ALL SELECT 'http://ex.org/d#Nation_' || n_nationkey, '{"uri":"http://ex.org/d#Nation_' || n_nationkey || '","n_name":["' || n_name || '"]}' FROM nation""")
+def instances_reference_orders(spark, sf_dir):
+    """All orders, customers and nations as JSON objects with references to each other."""
+    return _orders(spark, sf_dir, "reference").select("uri", "obj")
+
+
+@query("""SELECT 'http://ex.org/d#Order_' || o_orderkey AS uri, '{"uri":"http://ex.org/d#Order_' || o_orderkey || '","o_orderpriority":["' || o_orderpriority || '"],"placedBy":{"uri":"http://ex.org/d#Customer_' || c_custkey || '","c_name":["' || c_name || '"],"customerNation":{"uri":"http://ex.org/d#Nation_' || n_nationkey || '","n_name":["' || n_name || '"]}}}' AS obj
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey""")
+def instances_inline_orders(spark, sf_dir):
+    """All orders as JSON objects with their customers inside, and the nations inside those."""
+    return _orders(spark, sf_dir, "inline").where("type = 'Order'").select("uri", "obj")
+
+
+def _orders(spark: SparkSession, sf_dir: str, style: str) -> DataFrame:
+    from graphwright.functions.datatypes import object_reference
+    from graphwright.operators.instances import convert
+    from graphwright.sources.relational import graph
+
+    many = {"type": "array", "items": {"type": "string"}}
+    properties = {"Order": {"o_orderpriority": many, "placedBy": object_reference("Customer")}, "Customer": {"c_name": many, "customerNation": object_reference("Nation")}, "Nation": {"n_name": many}}
+    schema = {"definitions": {name: {"type": "object", "properties": p} for name, p in properties.items()}}
+    t = graph(spark, sf_dir, "Order", "Customer", "Nation").withColumns({"s_kind": F.lit("uri"), "ord": F.xxhash64("s", "p", "o")})
+    return convert(t, schema, BASE, style, depth=2)
+
+
 @query("SELECT l_partkey AS subject, CAST(count(DISTINCT l_suppkey) AS BIGINT) AS n_values, min(l_suppkey) AS first_value FROM lineitem GROUP BY l_partkey")
 def instances_multi_value(spark, sf_dir):
     """Values of suppliedBy by part: how many, and the one a single-valued property would keep."""

@@ -40,3 +40,10 @@ def test_query_agrees_with_its_sql(spark, con, name):
 def test_entry(spark):
     assert entry.entry(spark).count() == 4
     assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
+def test_conversions_run_over_all_orders(spark):
+    orders, customers, nations = (spark.read.parquet(f"{SF}/{t}.parquet").count() for t in ("orders", "customer", "nation"))
+    assert QUERIES["instances_reference_orders"](spark, SF).count() == orders + customers + nations
+    assert QUERIES["instances_inline_orders"](spark, SF).count() == orders
