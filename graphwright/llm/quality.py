@@ -1,30 +1,43 @@
 """Quality rules with risk-controlled thresholds.
 
 Rules reject a document where a feature reaches a cutoff.  Cutoffs come from
-labelled documents: in every stratum (language) and for every rule, the cutoffs
-of a fixed grid are tested from the most lenient on; one is certified while the
-exact (Clopper-Pearson) upper bound of its false-rejection rate, the share of
-good documents that it rejects, stays within the rule's part of the risk.  The
-first that fails ends the sequence, so each rule costs one test of level
-DELTA / (strata * rules): Bonferroni across strata and rules, fixed-sequence
-testing within.  With probability 1 - DELTA no stratum loses more than RISK of
-its good documents to all rules together.  Of the certified cutoffs the one
-with the best balance of bad and good rejections is used; a stratum with too
-few labels certifies none and loses nothing.
-
-Features come from one vectorised pass over the texts.  What reaches the driver
-is a histogram: strata x rules x (grid + 1) rows.
+labelled documents, in every stratum (language) for itself:
+
+1.  A third of the labelled documents, chosen by a hash of their doc_id, of
+    which FIT_ROWS at most are used per stratum, gives an order in which the
+    rules' cutoffs of a fixed grid are tightened: what catches most bad
+    documents and spares good ones comes first, lenient cutoffs before strict
+    ones.  This is a list of steps (rule, cutoff); it decides nothing else.
+2.  On all the others, the holdout, the rules together are tested after each
+    step: the exact (Clopper-Pearson) upper bound of the share of good
+    documents that they reject must stay within RISK.  The first step that
+    fails ends the sequence.
+
+The steps do not depend on the holdout, so a stratum's tests in sequence cost
+one test of its level, DELTA over the number of strata (Bonferroni).  With
+probability 1 - DELTA no stratum loses more than RISK of its good documents.
+A stratum with too few labels certifies no step and loses nothing: with k
+strata one step without any false rejection needs log(DELTA / k) / log(1 - RISK)
+good documents in the holdout, 59 for one stratum and 90 for five.
+
+Features come from one vectorised pass over the texts.  Steps, counts and
+cutoffs are tables with a few rows per stratum; there may be any number of
+strata, and none of this reaches the driver.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from graphwright.llm import textvec as tv
 from graphwright.llm.common import table
@@ -35,9 +48,8 @@ MAX_REPEAT_PERCENT = 50
 RISK, DELTA = 0.05, 0.05
 #: A good document rejected weighs as much as so many bad ones caught.
 GOOD_WEIGHT = 10
-#: More strata than this are refused: the histogram must stay small.
-MAX_STRATA = 10_000
-
+#: Labelled documents of a stratum that order its steps, at most; the bound of a sample, not of the holdout.
+FIT_ROWS = 4096
 #: Cutoffs of each rule, lenient ones first; a feature at or above the cutoff rejects.
 GRID = {
     "symbol_rate": [round(3.0 - 0.1 * i, 2) for i in range(28)],
@@ -118,10 +130,6 @@ def features(column: pa.Array) -> dict[str, np.ndarray]:
     return {c: np.concatenate(x) if x else np.zeros(0) for c, x in out.items()}
 
 
-def base_failed(f: dict[str, np.ndarray]) -> np.ndarray:
-    return (f["n_words"] < MIN_WORDS) | (100 * f["n_repeat_words"] > MAX_REPEAT_PERCENT * f["n_words"])
-
-
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         f = features(batch.column("text"))
@@ -148,64 +156,111 @@ def upper_bound(rejected: int, n: int, level: float) -> float:
     return hi
 
 
-def choose(good: list[int], bad: list[int], n_good: int, level: float, risk: float) -> int | None:
-    """Index of the cutoff to use; good and bad are rejections at each cutoff of the grid, lenient ones first."""
-    best, value = None, 0
-    limit = math.ceil(risk * n_good) + 1
-    for i, (g, b) in enumerate(zip(good, bad, strict=True)):
-        if g > limit or upper_bound(g, n_good, level) > risk:
-            break
-        if b - GOOD_WEIGHT * g > value:
-            best, value = i, b - GOOD_WEIGHT * g
-    return best
+def steps(values: np.ndarray, quality: np.ndarray) -> list[tuple[int, float]]:
+    """(rule, cutoff) one after the other, from features (a column per rule) of labelled documents.
 
-
-def fit(feats: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> dict[str | None, dict[str, float]]:
-    """Cutoffs by stratum and rule, from all labelled rows of `feats`; labels: doc_id, quality (1 good, 0 bad)."""
+    Time and again, of all rules and stricter cutoffs the one with the best
+    balance of bad and good documents newly rejected is aimed at; on the way
+    there every cutoff that catches another bad document is a step.
+    """
+    out: list[tuple[int, float]] = []
+    at, left = [0] * len(RULES), np.ones(len(quality), bool)
+    while True:
+        best = (0, 0, 0)
+        for r, rule in enumerate(RULES):
+            for i in range(at[r], len(GRID[rule])):
+                hit = left & (values[:, r] >= GRID[rule][i])
+                gain = int((hit & (quality == 0)).sum()) - GOOD_WEIGHT * int((hit & (quality == 1)).sum())
+                if gain > best[0]:
+                    best = (gain, r, i + 1)
+        gain, r, end = best
+        if not gain:
+            return out
+        for cut in GRID[RULES[r]][at[r] : end]:
+            hit = left & (values[:, r] >= cut)
+            if (hit & (quality == 0)).any():
+                out.append((r, cut))
+                left &= ~hit
+        at[r] = end
+
+
+def certified(good: list[int], n_good: int, level: float, risk: float) -> int:
+    """How many steps hold in sequence; good: good documents newly rejected by each."""
+    rejected = 0
+    for i, g in enumerate(good):
+        rejected += g
+        if upper_bound(rejected, n_good, level) > risk:
+            return i
+    return len(good)
+
+
+#: SQL for the third of the documents that orders the steps.
+_PART = "pmod(xxhash64(31, doc_id), 3) = 0"
+_CUTS = ", ".join(f"{r} double" for r in RULES)
+
+
+def _sample(labelled: DataFrame, most: int) -> DataFrame:
+    """Rows of a third of the documents, about `most` per stratum at most: the lowest of 65,536 buckets of a hash, up to the one that brings them there."""
+    part = labelled.where(_PART).withColumn("bucket", F.expr("pmod(xxhash64(32, doc_id), 65536)"))
+    sizes = part.groupBy("stratum", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("stratum").orderBy("bucket")) - F.col("n")
+    return part.join(sizes.withColumn("before", before).where(F.col("before") < most).select("stratum", "bucket"), ["stratum", "bucket"])
+
+
+def _order(rows: pd.DataFrame) -> pd.DataFrame:
+    found = steps(rows[RULES].to_numpy(), rows["quality"].to_numpy())
+    own = rows["stratum"].iloc[0]
+    return pd.DataFrame([(own, i, r, c) for i, (r, c) in enumerate(found)], columns=["stratum", "step", "rule", "cut"])
+
+
+def _upto(level: float, risk: float):
+    def f(rows: pd.DataFrame) -> pd.DataFrame:
+        """rows: stratum, step, rule, cut, good (newly rejected good documents), n_good."""
+        rows = rows.sort_values("step")
+        kept = rows.iloc[: certified(rows["good"].tolist(), int(rows["n_good"].iloc[0]), level, risk)]
+        last = {RULES[r]: c for r, c in zip(kept["rule"], kept["cut"], strict=True)}
+        return pd.DataFrame([{"stratum": rows["stratum"].iloc[0]} | {r: last.get(r) for r in RULES}]).astype({r: "float64" for r in RULES})
+
+    return f
+
+
+def fit(feats: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA, most: int = FIT_ROWS) -> DataFrame:
+    """stratum, and the cutoff of each rule or null: a table() from all labelled rows of `feats`.
+
+    labels: doc_id, quality (1 good, 0 bad).  A stratum without certified steps
+    has no row, or one of nulls.
+    """
     marks = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
     marks = marks.agg(F.min("quality").alias("quality"))
     seen = feats.where(f"n_words >= {MIN_WORDS} and 100 * n_repeat_words <= {MAX_REPEAT_PERCENT} * n_words").join(marks, "doc_id")
-    bins = [F.struct(F.lit(r).alias("rule"), _first_cutoff(r).alias("bin")) for r in RULES]
-    found = (
-        seen.select("lang", "quality", F.explode(F.array(*bins)).alias("x"))
-        .groupBy("lang", "x.rule", "x.bin")
-        .agg(F.sum((F.col("quality") == 1).cast("long")).alias("good"), F.sum((F.col("quality") == 0).cast("long")).alias("bad"))
-    )
-    rows = found.limit(MAX_STRATA * len(RULES) * 32).collect()
-    strata = {r["lang"] for r in rows}
-    if len(strata) > MAX_STRATA:
-        raise ValueError(f"more than {MAX_STRATA} strata")
-    level = delta / max(1, len(strata) * len(RULES))
-    cuts: dict[str | None, dict[str, float]] = {}
-    for lang in strata:
-        for rule in RULES:
-            own = [r for r in rows if r["lang"] == lang and r["rule"] == rule]
-            size = len(GRID[rule])
-            good, bad = ([sum(r[k] for r in own if r["bin"] <= i) for i in range(size)] for k in ("good", "bad"))
-            at = choose(good, bad, sum(r["good"] for r in own), level, risk / len(RULES))
-            if at is not None:
-                cuts.setdefault(lang, {})[rule] = GRID[rule][at]
-    return cuts
-
-
-def _first_cutoff(rule: str):
-    """Index of the first cutoff of the grid that the feature reaches, or the grid's length."""
-    out = F.when(F.col(rule) >= GRID[rule][0], 0)
-    for i, cut in enumerate(GRID[rule][1:], 1):
-        out = out.when(F.col(rule) >= cut, i)
-    return out.otherwise(len(GRID[rule]))
-
-
-def verdict(f: dict[str, np.ndarray], lang: list, cuts: dict) -> np.ndarray:
-    """True for what stays."""
-    keep = ~base_failed(f)
-    names = np.array([x if x is not None else "" for x in lang], object)
-    null = np.array([x is None for x in lang], bool)
-    for stratum, rules in cuts.items():
-        own = null if stratum is None else (names == stratum) & ~null
-        for rule, cut in rules.items():
-            keep &= ~(own & (f[rule] >= cut))
-    return keep
+    labelled = table(seen.select("doc_id", _stratum(F.col("lang")).alias("stratum"), "quality", *RULES), "labelled")
+    strata = table(labelled.where(f"not ({_PART})").groupBy("stratum").agg(F.count_if(F.col("quality") == 1).alias("n_good")), "strata")
+    order = table(_sample(labelled, most).select("stratum", "quality", *RULES).groupBy("stratum").applyInPandas(_order, "stratum string, step int, rule int, cut double"), "steps")
+    path = order.groupBy("stratum").agg(F.array_sort(F.collect_list(F.struct("step", "rule", "cut"))).alias("path"))
+    values = F.array(*RULES)
+    first = F.array_min(F.transform("path", lambda x: F.when(F.get(values, x["rule"]) >= x["cut"], x["step"])))
+    rejected = labelled.where(f"quality = 1 and not ({_PART})").join(path, "stratum").select("stratum", first.alias("step")).where("step is not null")
+    counts = rejected.groupBy("stratum", "step").agg(F.count(F.lit(1)).alias("good"))
+    tested = order.join(counts, ["stratum", "step"], "left").join(strata, "stratum").fillna(0, ["good"])
+    level = delta / max(1, strata.count())
+    return table(tested.groupBy("stratum").applyInPandas(_upto(level, risk), f"stratum string, {_CUTS}"), "cutoffs")
+
+
+def _stratum(lang: Column) -> Column:
+    """A language as a string that is never null."""
+    return F.when(lang.isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), lang))
+
+
+def _kept(feats: DataFrame, cuts: DataFrame) -> DataFrame:
+    """feats, which has a column stratum, with base_failed and kept.
+
+    The table of cutoffs has a row per stratum; the planner broadcasts it where
+    it is small, and a hot stratum is split by adaptive execution where not.
+    """
+    own = cuts.select("stratum", *[F.col(r).alias(f"cut_{r}") for r in RULES])
+    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+    reached = reduce(lambda a, b: a | b, [F.coalesce(F.col(r) >= F.col(f"cut_{r}"), F.lit(False)) for r in RULES])
+    return feats.join(own, "stratum", "left").withColumn("base_failed", failed).withColumn("kept", ~failed & ~reached)
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -213,32 +268,30 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Null texts count as empty and fail the base rule.  Null languages are a
     stratum.  Labels with nulls are ignored, several of one document count as
-    the worst.  Repeated rows get one verdict each.
+    the worst.  Repeated rows get one verdict each.  Other columns are not
+    looked at.
     """
     feats = table(feature_table(docs), "features")
-    cuts = fit(feats, labels)
-
-    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = {c: batch.column(c).to_numpy() for c in [*COUNTS, *RULES]}
-            arrays = [batch.column(c) for c in ["doc_id", *COUNTS]]
-            arrays += [pa.array(base_failed(x)), pa.array(verdict(x, batch.column("lang").to_pylist(), cuts))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", *COUNTS, "base_failed", "kept"])
-
-    counts = ", ".join(f"{c} long" for c in COUNTS)
-    return feats.mapInArrow(f, f"doc_id long, {counts}, base_failed boolean, kept boolean")
+    judged = _kept(feats.withColumn("stratum", _stratum(F.col("lang"))), fit(feats, labels))
+    return judged.select("doc_id", *COUNTS, "base_failed", "kept")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that stay, columns as they came.  Only labelled documents are measured for the cutoffs."""
-    ids = table(labels.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("_id")).distinct(), "labelled")
-    slim = docs.select("doc_id", "lang", "text")
-    cuts = fit(table(feature_table(slim.join(ids, F.col("doc_id").cast("long") == F.col("_id"), "left_semi")), "features"), labels)
+    """The documents that stay, columns as they came, whatever their names; repeated rows stay or go together.
+
+    Texts are measured twice, for the cutoffs and for the verdict, and never shuffled.
+    """
+    cuts = fit(feature_table(docs), labels)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    at = {c.lower(): n for c, n in zip(docs.columns, names, strict=True)}
+    plain = docs.toDF(*names).withColumn("stratum", _stratum(F.col(at["lang"]).cast("string")))
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = {n.lower(): n for n in batch.schema.names}
-            keep = verdict(features(batch.column(names["text"])), batch.column(names["lang"]).to_pylist(), cuts)
-            yield batch.filter(pa.array(keep))
+            x = features(batch.column(at["text"]))
+            arrays = [pa.array(x["n_words"].astype(np.int64)), pa.array(x["n_repeat_words"].astype(np.int64)), *[pa.array(x[r].astype(np.float64)) for r in RULES]]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=[*batch.schema.names, "n_words", "n_repeat_words", *RULES])
 
-    return docs.mapInArrow(f, docs.schema)
+    measured = T.StructType([*plain.schema.fields, *T._parse_datatype_string(f"n_words long, n_repeat_words long, {_CUTS}").fields])
+    kept = _kept(plain.mapInArrow(f, measured), cuts).where("kept")
+    return kept.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])

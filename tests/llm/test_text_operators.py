@@ -338,4 +338,44 @@ def test_exact_bound():
     p = quality.upper_bound(3, 50, 0.01)
     tail = sum(math.comb(50, i) * p**i * (1 - p) ** (50 - i) for i in range(4))
     assert abs(tail - 0.01) < 1e-9
-    assert quality.choose([0, 0, 40], [10, 20, 30], 1000, 0.01, 0.02) == 1
+    assert quality.certified([0, 0, 40], 1000, 0.01, 0.02) == 2 and quality.certified([1], 5, 0.05, 0.05) == 0
+
+
+def test_cutoffs_are_those_of_brute_force(spark, make):
+    """Two languages, overlapping features, some good documents with symbols, unlabelled rows, a language of few labels."""
+    rng = random.Random(19)
+    rows, marks = [], []
+    for i in range(900):
+        bad = rng.random() < 0.3
+        w = make(rng, 60).split(" ")
+        for k in rng.sample(range(60), rng.randint(10, 60) if bad else rng.choice([0, 0, 0, 0, 0, 0, 0, 30])):
+            w[k] += "#"
+        if bad and i % 2:
+            w += [w[0] + "\n"] + ["same line of it\n"] * 5
+        rows.append((i, " ".join(w), ["en", "fr", None][i % 3] if i < 890 else "xx"))
+        if i % 10:
+            marks.append((i, int(not bad), 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    feats = quality.feature_table(docs).selectExpr("*", f"{quality._PART} AS part").collect()
+    marks = {d: q for d, q, _ in marks}
+    judged = {r["doc_id"]: r for r in quality.judge(docs, labels).collect()}
+    own = [r for r in feats if r["doc_id"] in marks and not judged[r["doc_id"]]["base_failed"]]
+    strata = {r["lang"] for r in own if not r["part"]}
+    cuts = {}
+    for lang in strata:
+        fitted = [r for r in own if r["part"] and r["lang"] == lang]
+        path = quality.steps(np.array([[r[x] for x in quality.RULES] for r in fitted]).reshape(-1, len(quality.RULES)), np.array([marks[r["doc_id"]] for r in fitted]))
+        good = [r for r in own if not r["part"] and r["lang"] == lang and marks[r["doc_id"]] == 1]
+        for n in range(1, len(path) + 1):
+            k = sum(any(r[quality.RULES[rule]] >= cut for rule, cut in path[:n]) for r in good)
+            if sum(math.comb(len(good), i) * 0.05**i * 0.95 ** (len(good) - i) for i in range(k + 1)) > 0.05 / len(strata):
+                break
+            cuts[lang] = path[:n]
+    assert any(cuts.get(x) for x in ("en", "fr", None)) and not cuts.get("xx")
+    for r in feats:
+        wanted = not judged[r["doc_id"]]["base_failed"] and not any(r[quality.RULES[rule]] >= cut for rule, cut in cuts.get(r["lang"], []))
+        assert judged[r["doc_id"]]["kept"] == wanted
+    assert sum(not judged[i]["kept"] for i, q in marks.items() if not q) > 0.5 * sum(not q for q in marks.values())
+    kept = quality.keep_good(docs, labels)
+    assert {r["doc_id"] for r in kept.collect()} == {i for i, r in judged.items() if r["kept"]}
