@@ -68,6 +68,30 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _stands_in_files(df: DataFrame) -> bool:
+    """Whether every row is a row of a file: a file scan below nothing but projections and filters that always give the same."""
+    plan = df._jdf.queryExecution().analyzed()
+    if not plan.deterministic():
+        return False
+    while plan.getClass().getSimpleName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    return plan.getClass().getSimpleName() == "LogicalRelation" and plan.metadataOutput().nonEmpty()
+
+
+def identified(df: DataFrame) -> DataFrame:
+    """row (a struct of all columns, so that no name can clash), file and at: two longs that name the row.
+
+    A row is named by a hash of its file's path and its place in that file, so
+    the names do not depend on how files are split, and reading again gives the
+    same ones.  What is no plain scan of files is written to the shared folder
+    first.
+    """
+    if not _stands_in_files(df):
+        df = table(df, "rows")
+    place, row = df.metadataColumn("_metadata"), F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    return df.select(row.alias("row"), F.xxhash64(place["file_path"]).alias("file"), place["row_index"].alias("at"))
+
+
 def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
     return df.mapInArrow(f, schema)
 

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphwright.llm.common import WORD, source_key, table
+from graphwright.llm.common import WORD, identified, source_key, table
 
 MIN_SITES = 10
 MIN_WORDS = 5
@@ -96,18 +96,22 @@ def line_report(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
 
 
 def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """docs with boilerplate lines cut from the text, columns as they came; null texts stay null."""
+    """docs with boilerplate lines cut from the text, columns as they came whatever their names; null texts stay null.
+
+    Repeated rows, and rows of one or no doc_id, are documents of their own.
+    """
     bad = table(boilerplate(table(line_table(docs), "lines"), min_sites), "boilerplate")
     if bad.isEmpty():
         return docs
-    kept = table(docs.withColumn("_row", F.monotonically_increasing_id()), "texts")
-    lines = kept.select(F.col("_row").alias("row"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    rows = identified(docs)
+    lines = rows.select("file", "at", F.posexplode(F.split("row.text", "\n", -1)).alias("pos", "line"))
     lines = lines.where(F.regexp_count("line", F.lit(WORD)) >= MIN_WORDS)
-    lines = lines.select("row", "pos", _hashes(F.col("line"))[0].alias("h1"), _hashes(F.col("line"))[1].alias("h2"))
-    gone = matching(lines, bad).groupBy(F.col("row").alias("_row")).agg(F.collect_set("pos").alias("_gone"))
-    left = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left)
-    return kept.join(gone, "_row", "left").withColumn("text", text).select(*docs.columns)
+    lines = lines.select("file", F.col("at").alias("row"), "pos", _hashes(F.col("line"))[0].alias("h1"), _hashes(F.col("line"))[1].alias("h2"))
+    gone = matching(lines, bad).groupBy("file", F.col("row").alias("at")).agg(F.collect_set("pos").alias("gone"))
+    left = F.array_join(F.filter(F.split("row.text", "\n", -1), lambda x, i: ~F.array_contains("gone", i)), "\n")
+    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(left)
+    cut = [(text if c.lower() == "text" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns]
+    return rows.join(gone, ["file", "at"], "left").select(*cut)
 
 
 #: The report in SQL, with exact counts.

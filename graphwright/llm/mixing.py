@@ -4,15 +4,17 @@ Every source is a stream of its documents in a seeded hash order, repeated as
 often as its target asks, and cut into blocks of a fixed number of words.  The
 numbers of blocks of each source are the exact quotas.  A binary tree over the
 output shards splits them: at each node the left half's share is drawn from the
-multivariate hypergeometric distribution (source by source, each by inversion),
-so the leaves hold what a shuffle of all blocks would give, and sum exactly to
-the quotas.  A shard then takes its own range of each source's permuted block
-list, and orders its pieces by a hash.
+multivariate hypergeometric distribution (source by source, each drawn exactly
+at every size), so the leaves hold what a shuffle of all blocks would give, and
+sum exactly to the quotas.  A shard then takes its own range of each source's
+permuted block list, and orders its pieces by a hash.
 
 DataFrame and SQL functions only.  Documents are not gathered by source
 anywhere: their places in the stream come from ranks.running_sum().  The table
 of sources has one row per source; it is written to the shared folder, so the
-planner knows its size and broadcasts it only below its own threshold.
+planner knows its size and broadcasts it only below its own threshold.  The
+tree is drawn source by source in one row per node: it is meant for up to some
+ten thousand sources.
 """
 
 from __future__ import annotations
@@ -21,29 +23,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from graphwright.llm.common import WORD, source_key, table, without, word_count
-from graphwright.llm.ranks import hash_bucket, hash_order, running_sum
+from graphwright.llm.common import WORD, identified, source_key, table, word_count
+from graphwright.llm.ranks import hash_bucket, key_order, row_key, running_sum
 
 WEIGHTS = (5, 2, 1)
 #: A document is taken at most so often.
 MAX_REPEATS = 3
-#: Words of a block; raised where a source would have over 2 ** 31 blocks.
 BLOCK_WORDS = 2048
-#: Draws with more likely outcomes than this use the normal approximation.
-EXACT_WIDTH = 4096
+#: Candidates of one draw, and steps of one walk, at most.
+TRIES, WALKS = 200, 128
 #: A word with the white space behind it, and before it at the start of a text.
 SPACED_WORD = rf"(?:\A[\x20\x09-\x0D]+)?{WORD}[\x20\x09-\x0D]*"
-_PRIMES = (2147483647, 2147483629)
-
-
-def _key(seed: int) -> Column:
-    return F.xxhash64(F.lit(seed), F.col("doc_id"))
-
-
-def sized(docs: DataFrame, seed: int, *more: Column) -> DataFrame:
-    """doc_id, _source, size, _h of every document, and `more`; one pass over the texts."""
-    return docs.select("doc_id", source_key(F.col("source")).alias("_source"), word_count(F.col("text")).alias("size"), _key(seed).alias("_h"), *more)
-
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
     """_source, source_size, ord, weight, target (double), quota (long) of every source.
@@ -71,41 +61,53 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeats:
     return s.select("_source", "source_size", "ord", "weight", "target", F.least(quota.cast("long"), F.col("_limit").cast("long")).alias("quota"))
 
 
-def _draw(total: str, kind: str, take: str, u: str) -> str:
-    """SQL for a hypergeometric number: of `total` blocks `kind` are of the source and `take` are drawn; u is uniform.
+def _log_ratio(a: str, b: str) -> str:
+    """SQL for ln(a! / b!): Stirling's series from eleven on, as a difference, so that nothing large cancels."""
+    up, down = f"({a} + 11D)", f"({b} + 11D)"
+    series = lambda z: f"(1D / 12 - (1D / 360 - (1D / 1260 - 1D / (1680 * {z} * {z})) / ({z} * {z})) / ({z} * {z})) / {z}"
+    places = " * ".join(f"(({b} + {i}D) / ({a} + {i}D))" for i in range(1, 11))
+    return f"(({up} - 0.5D) * log1p(({up} - {down}) / {down}) + ({up} - {down}) * (ln({down}) - 1) + {series(up)} - {series(down)} + ln({places}))"
 
-    Inversion over all outcomes within 12 standard deviations of the mean, with
-    weights kept as logarithms relative to the first; the sums run twice, once
-    for the total and once to the outcome.
+
+def _draw(total: str, kind: str, take: str, salt: str) -> str:
+    """SQL for a hypergeometric number: of `total` blocks `kind` are of the source and `take` are drawn; salt seeds it.
+
+    Ratio of uniforms (Stadlober, 1990), whose work does not depend on the
+    numbers: a point under the hat gives a candidate, which is accepted by its
+    exact probability relative to the mode's.  About seven in ten are, so that
+    of TRIES all fail with probability below 1e-90.
+    """
+    uniform = lambda j: f"((pmod(xxhash64(p.salt, {j}), 9007199254740992) + 0.5D) / 9007199254740992D)"
+    facts = f"""transform(array(named_struct('total', {total}, 'kind', {kind}, 'take', {take})), q -> named_struct(
+        'total', q.total, 'kind', q.kind, 'take', q.take, 'k', least(q.kind, q.total - q.kind), 'm', least(q.take, q.total - q.take)))"""
+    facts = f"""transform({facts}, q -> named_struct('total', q.total, 'kind', q.kind, 'take', q.take, 'k', q.k, 'm', q.m, 'rest', q.total - q.k - q.m, 'salt', {salt},
+        'mode', cast(floor((q.m + 1D) * (q.k + 1D) / (q.total + 2D)) as bigint), 'mean', cast(q.m as double) * q.k / greatest(q.total, 1L),
+        'spread', sqrt(cast(q.m as double) * q.k / greatest(q.total, 1L) * (q.total - q.k) / greatest(q.total, 1L) * (q.total - q.m) / greatest(q.total - 1, 1L) + 0.5D)))"""
+    relative = " + ".join(_log_ratio(a, b) for a, b in (("p.mode", "x"), ("(p.k - p.mode)", "(p.k - x)"), ("(p.m - p.mode)", "(p.m - x)"), ("(p.rest + p.mode)", "(p.rest + x)")))
+    point = f"""greatest(-1D, least(1e18D, p.mean + 0.5D + (2 * sqrt(2 / e()) * p.spread + 3 - 2 * sqrt(3 / e())) * (w.v - 0.5D) / w.u))"""
+    attempt = f"""transform(array(named_struct('u', {uniform("2 * t")}, 'v', {uniform("2 * t + 1")})), w -> transform(array(cast(floor({point}) as bigint)),
+        x -> if(x >= 0 and x <= least(p.k, p.m), if(2 * ln(w.u) <= {relative}, x, cast(null as bigint)), cast(null as bigint)))[0])[0]"""
+    found = f"if(p.k = 0 or p.m = 0, 0L, coalesce(aggregate(sequence(1, {TRIES}), cast(null as bigint), (z, t) -> if(z is not null, z, {attempt})), p.mode))"
+    back = "transform(array(if(p.kind > p.k, p.m - z, z)), y -> if(p.take > p.m, p.kind - y, y))[0]"
+    return f"transform({facts}, p -> transform(array({found}), z -> {back})[0])[0]"
+
+
+def _permuted(block: str) -> str:
+    """SQL for the place of `block` in the shuffled list of its source's blocks.
+
+    A Feistel network with a key of the source permutes the numbers below the
+    next power of two (columns low and high: masks of its two halves; width:
+    bits of the low one), and is walked until it comes below `blocks`.  Half of
+    all numbers are, so WALKS steps are enough but for once in 2 ** WALKS.
     """
-    step = "ln(cast(p.kind - x as double) * (p.take - x)) - ln(cast(x + 1 as double) * (p.total - p.kind - p.take + x + 1))"
-    sums = f"""aggregate(sequence(p.a, p.b), named_struct('lw', 0D, 'top', -1e308D, 'sum', 0D),
-        (s, x) -> named_struct(
-          'lw', if(x < p.b, s.lw + {step}, s.lw),
-          'top', greatest(s.top, s.lw),
-          'sum', if(s.lw > s.top, s.sum * exp(greatest(s.top - s.lw, -700D)) + 1D, s.sum + exp(greatest(s.lw - s.top, -700D)))))"""
-    pick = f"""aggregate(sequence(p.a, p.b), named_struct('lw', 0D, 'left', p.u * z.sum, 'at', p.b, 'found', false),
-        (s, x) -> named_struct(
-          'lw', if(x < p.b, s.lw + {step}, s.lw),
-          'left', s.left - exp(greatest(s.lw - z.top, -700D)),
-          'at', if(not s.found and s.left - exp(greatest(s.lw - z.top, -700D)) <= 0, x, s.at),
-          'found', s.found or s.left - exp(greatest(s.lw - z.top, -700D)) <= 0)).at"""
-    normal = "least(p.hi, greatest(p.lo, cast(round(p.mean + p.sd * sqrt(-2 * ln(p.u)) * cos(2 * pi() * pmod(p.u * 1048576D, 1D))) as bigint)))"
-    facts = f"""transform(array(named_struct('total', {total}, 'kind', {kind}, 'take', {take}, 'u', {u})), q -> named_struct(
-        'total', q.total, 'kind', q.kind, 'take', q.take, 'u', q.u,
-        'lo', greatest(0L, q.take - (q.total - q.kind)), 'hi', least(q.kind, q.take),
-        'mean', if(q.total > 0, cast(q.take as double) * q.kind / q.total, 0D),
-        'sd', if(q.total > 1, sqrt(cast(q.take as double) * q.kind / q.total * (q.total - q.kind) / q.total * (q.total - q.take) / (q.total - 1)), 0D)))"""
-    ranged = f"""transform({facts}, r -> named_struct('total', r.total, 'kind', r.kind, 'take', r.take, 'u', r.u, 'lo', r.lo, 'hi', r.hi, 'mean', r.mean, 'sd', r.sd,
-        'a', greatest(r.lo, cast(floor(r.mean - 12 * r.sd - 2) as bigint)), 'b', least(r.hi, cast(ceil(r.mean + 12 * r.sd + 2) as bigint))))"""
-    exact = f"transform(array({sums}), z -> {pick})[0]"
-    return f"transform({ranged}, p -> case when p.lo >= p.hi then p.lo when p.b - p.a > {EXACT_WIDTH} then {normal} else {exact} end)[0]"
+    network = lambda x: f"""aggregate(sequence(1, 6), {x}, (y, r) -> if(r % 2 = 1,
+        y ^ (xxhash64(key, r, shiftright(y, width)) & low), y ^ shiftleft(xxhash64(key, r, y & low) & high, width)))"""
+    return f"aggregate(sequence(1, {WALKS}), {network(block)}, (x, t) -> if(x < blocks, x, {network('x')}))"
 
 
 def _split(seed: int) -> str:
     """SQL for the left half's blocks of each source, an array like q; the node's columns are node, q and n_left."""
-    u = f"(pmod(xxhash64({seed}, node, i), 9007199254740992) + 0.5D) / 9007199254740992D"
-    draw = _draw("acc.total", "q[i]", "acc.take", u)
+    draw = _draw("acc.total", "q[i]", "acc.take", f"xxhash64({seed}, node, i)")
     return f"""aggregate(sequence(0, size(q) - 1),
         named_struct('total', aggregate(q, 0L, (a, b) -> a + b), 'take', n_left, 'out', cast(array() as array<bigint>)),
         (acc, i) -> transform(array({draw}), d -> named_struct('total', acc.total - q[i], 'take', acc.take - d, 'out', concat(acc.out, array(d))))[0]).out"""
@@ -139,7 +141,7 @@ def splitting_tree(sources: DataFrame, n_shards: int, seed: int) -> DataFrame:
 def _pieces(n_shards: int, seed: int) -> str:
     """SQL for the pieces of a document: where its passes meet blocks, and the shards of these."""
     depth = max(1, (n_shards - 1).bit_length())
-    rank = "(mult * p.block + shift) % blocks"
+    rank = _permuted("p.block")
     shard = f"""aggregate(sequence(1, {depth}), named_struct('node', 1, 'lo', 0, 'hi', {n_shards}, 'rank', {rank}),
         (s, _) -> case when s.hi - s.lo <= 1 then s
           when s.rank < tree[s.node] then named_struct('node', 2 * s.node, 'lo', s.lo, 'hi', (s.lo + s.hi) div 2, 'rank', s.rank)
@@ -151,7 +153,7 @@ def _pieces(n_shards: int, seed: int) -> str:
         'pass', t.pass, 'block', b,
         'first', greatest(t.a, b * block_words) - t.a,
         'words', least(t.z, (b + 1) * block_words) - greatest(t.a, b * block_words)))))"""
-    return f"""transform({cut}, p -> named_struct('shard', {shard}, 'place', xxhash64({seed}, doc_id, p.pass, p.block), 'pass', p.pass, 'block', p.block, 'first_word', p.first, 'words', p.words))"""
+    return f"""transform({cut}, p -> named_struct('shard', {shard}, 'place', xxhash64({seed}, doc_id, at, p.pass, p.block), 'pass', p.pass, 'block', p.block, 'first_word', p.first, 'words', p.words))"""
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, n_shards: int = 16, block_words: int = BLOCK_WORDS, seed: int = 17) -> DataFrame:
@@ -163,27 +165,31 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, n_shards: int = 1
     that a source's quota reaches is taken in part, so quotas hold to the word.
 
     Null texts have size 0 and no pieces; a null source is one source, sorted
-    last; rows with one doc_id are separate documents next to each other; an
-    empty table gives an empty result.
+    last; rows with one doc_id, or none, are separate documents; an empty table
+    gives an empty result.  Other columns are not looked at.
     """
-    slim = table(sized(docs, seed), "sizes")
-    out = _dealt(slim, slim, weights, n_shards, block_words, seed)
+    slim = table(_sized(identified(docs), seed), "sizes")
     taken = F.expr("aggregate(pieces, 0L, (a, p) -> a + p.words)")
-    return out.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "pieces")
+    return _dealt(slim, weights, n_shards, block_words, seed).select("doc_id", "size", "source_size", "target", taken.alias("taken"), "pieces")
+
+
+def _sized(rows: DataFrame, seed: int) -> DataFrame:
+    """file, at, doc_id, _source, size, key of every row; one pass over the texts."""
+    key = row_key(seed, F.col("row.doc_id"), F.col("at"))
+    return rows.select("file", "at", "row.doc_id", source_key(F.col("row.source")).alias("_source"), word_count(F.col("row.text")).alias("size"), key.alias("key"))
 
 
-def _dealt(rows: DataFrame, slim: DataFrame, weights: tuple[float, ...], n_shards: int, block_words: int, seed: int) -> DataFrame:
-    """`rows`, which has the columns of `slim` for the same documents and others, with source_size, target and pieces."""
+def _dealt(slim: DataFrame, weights: tuple[float, ...], n_shards: int, block_words: int, seed: int) -> DataFrame:
+    """The rows of `slim`, a table() of _sized() rows, with source_size, target and pieces."""
     sources = table(targets(slim, weights), "sources")
-    sources = sources.withColumn("block_words", F.greatest(F.lit(block_words).cast("long"), F.expr("quota div 2147483648 + 1")))
-    sources = table(sources.withColumn("blocks", F.expr("(quota + block_words - 1) div block_words")), "sources")
+    sources = table(sources.withColumn("block_words", F.lit(block_words).cast("long")).withColumn("blocks", F.expr("(quota + block_words - 1) div block_words")), "sources")
     tree = splitting_tree(sources.select("ord", "blocks"), n_shards, seed)
-    mult = F.expr(f"if(blocks % {_PRIMES[0]} <> 0, {_PRIMES[0]}L, {_PRIMES[1]}L)")
-    plan = sources.join(tree, "ord", "left").withColumns({"mult": mult, "shift": F.expr(f"pmod(xxhash64({seed}, ord), 2147483647)")})
-    plan = table(plan, "plan")
-    order = [hash_order(F.col("_h")), F.col("doc_id"), F.col("size")]
-    placed = running_sum(rows, ["_source"], hash_bucket(F.col("_h")), order, F.col("size"), "start", slim)
-    return placed.join(plan, "_source").withColumn("pieces", F.expr(_pieces(n_shards, seed)))
+    bits = "length(bin(greatest(blocks - 1, 0L)))"
+    plan = sources.join(tree, "ord", "left").withColumns({"source_key": F.expr(f"xxhash64({seed}, ord)"), "width": F.expr(f"{bits} div 2").cast("int"), "bits": F.expr(bits)})
+    plan = plan.withColumns({"low": F.expr("shiftleft(1L, width) - 1"), "high": F.expr("shiftleft(1L, cast(bits - width as int)) - 1")})
+    plan = table(plan.drop("bits"), "plan")
+    placed = running_sum(slim, ["_source"], hash_bucket(F.col("key")), key_order("key"), F.col("size"), "start").drop("key")
+    return placed.join(plan.withColumnRenamed("source_key", "key"), "_source").withColumn("pieces", F.expr(_pieces(n_shards, seed)))
 
 
 def _texts(text: Column) -> Column:
@@ -205,20 +211,23 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, n_sha
 
     Rows are in the order of shard and place; a shard is several partitions in
     a row, each a range of places.  A column n_chars is that of the piece.
-    Texts are shuffled twice: to their place in the stream and to their shard.
+    Whole rows are shuffled twice: to meet their pieces, and to their shard.
+    Documents without words or beyond their source's quota are not in the mix.
     """
     columns = docs.columns
-    slim = table(sized(docs, seed), "sizes")
-    row = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row")
-    dealt = _dealt(sized(docs, seed, row), slim, weights, n_shards, block_words, seed)
+    rows = identified(docs)
+    slim = table(_sized(rows, seed), "sizes")
+    dealt = _dealt(slim, weights, n_shards, block_words, seed).where("size(pieces) > 0").select("file", "at", "size", "pieces")
     parts = -(-int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // n_shards)
-    rows = dealt.where("size(pieces) > 0").select("_row", "size", F.explode(_texts(F.col("_row.text"))).alias("_piece"))
+    cut = rows.join(dealt.hint("merge"), ["file", "at"]).select("row", F.explode(_texts(F.col("row.text"))).alias("piece"))
+    new = {"text": F.col("piece.text")}
+    new |= {c: F.when(F.col("piece.text") == F.col("row.text"), F.col(f"row.`{c}`")).otherwise(F.length("piece.text").cast(t)) for c, t in docs.dtypes if c == "n_chars"}
+    whole = F.struct(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in columns])
+    cut = cut.select(whole.alias("row"), *[F.col(f"piece.{c}").alias(c) for c in ("shard", "place", "pass", "first_word")])
     # The top 24 bits of a place are its range, from -(2 ** 23) on.
-    part = F.expr(f"cast(_piece.shard * {parts} + (((_piece.place >> 40) + 8388608) * {parts} >> 24) as int)")
-    rows = rows.repartitionById(n_shards * parts, part).sortWithinPartitions("_piece.shard", "_piece.place", "_piece.pass", "_piece.first_word")
-    new = {"text": F.col("_piece.text")}
-    new |= {c: F.when(F.col("_piece.text") == F.col("_row.text"), F.col(f"_row.`{c}`")).otherwise(F.length("_piece.text").cast(t)) for c, t in docs.dtypes if c == "n_chars"}
-    return rows.select(*[new.get(c, F.col(f"_row.`{c}`")).alias(c) for c in columns])
+    part = F.expr(f"cast(shard * {parts} + (((place >> 40) + 8388608) * {parts} >> 24) as int)")
+    cut = cut.repartitionById(n_shards * parts, part).sortWithinPartitions("shard", "place", "pass", "first_word")
+    return cut.select("row.*")
 
 
-__all__ = ["mix", "mixed_documents", "splitting_tree", "targets", "without"]
+__all__ = ["mix", "mixed_documents", "splitting_tree", "targets"]

@@ -14,7 +14,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphwright.llm.mixing import mix
 
     out = mix(documents(spark, sf_dir))
-    digest = F.expr("aggregate(pieces, 0L, (a, p) -> xxhash64(a, p.shard, p.place))")
+    digest = F.expr("aggregate(pieces, 0L, (a, p) -> xxhash64(a, p.shard, p.place, p.block, p.words))")
     return out.select("doc_id", "size", "source_size", "target", "taken", F.size("pieces").alias("n_pieces"), digest.alias("digest"))
 
 

@@ -4,6 +4,10 @@ Rows of a group are dealt to 2 ** 24 buckets by a key; sums of buckets, of 256
 buckets and of 65,536 buckets give every bucket its start, and only within a
 bucket are rows sorted.  No window holds more than 256 sums or the rows of one
 bucket, so a group may hold any share of all rows.  DataFrame operations only.
+
+Ranks are taken of narrow rows (file, at and what the order needs, see
+common.identified()); what belongs to them meets its rank by one join on
+(file, at), so a text is moved once, whatever is ranked.
 """
 
 from __future__ import annotations
@@ -30,16 +34,25 @@ def _before(by: list[Column], order: list[Column], weight: str) -> Column:
     return F.coalesce(F.sum(weight).over(w), F.lit(0).cast("long"))
 
 
-def running_sum(df: DataFrame, by: list[str], bucket: Column, order: list[Column], weight: Column, out: str, slim: DataFrame | None = None) -> DataFrame:
-    """df with `out`: the sum of `weight` (long) over the rows of its group that come before.
+def row_key(seed: int, doc_id: Column, at: Column) -> Column:
+    """A 64-bit key of a row; the place in the file is in it, so that rows of one doc_id, or without, are spread too."""
+    return F.xxhash64(F.lit(seed), doc_id, at)
+
+
+def key_order(key: str) -> list[Column]:
+    """The order of rows by their key; file and at decide between equal ones."""
+    return [hash_order(F.col(key)), F.col("at"), F.col("file")]
+
+
+def running_sum(slim: DataFrame, by: list[str], bucket: Column, order: list[Column], weight: Column, out: str) -> DataFrame:
+    """slim with `out`: the sum of `weight` (long) over the rows of its group that come before.
 
     `bucket` (0 to BUCKETS - 1) must not contradict `order`; the columns `by`
-    must not be null.  df is read twice, so it should be cheap to read; else
-    `slim` has the same rows with as many columns as by, bucket and weight need.
+    must not be null.  slim is read twice and shuffled once, so it should be a
+    table() of few narrow columns, none of them named with a leading underscore.
     """
-    keys_of = {"_k": bucket.cast("long"), "_w": weight.cast("long")}
-    d = df.withColumns(keys_of)
-    sums = (d if slim is None else slim.withColumns(keys_of)).groupBy(*by, "_k").agg(F.sum("_w").alias("_w"))
+    d = slim.withColumns({"_k": bucket.cast("long"), "_w": weight.cast("long")})
+    sums = d.groupBy(*by, "_k").agg(F.sum("_w").alias("_w"))
     sums = sums.withColumns({"_m": F.shiftright("_k", 8), "_t": F.shiftright("_k", 16)})
     middle = sums.groupBy(*by, "_m").agg(F.sum("_w").alias("_w")).withColumn("_t", F.shiftright("_m", 8))
     top = middle.groupBy(*by, "_t").agg(F.sum("_w").alias("_w"))

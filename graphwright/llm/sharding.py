@@ -5,8 +5,9 @@ is its rank over its source's rows.  In the order of fractional ranks every
 stretch holds the sources in proportion, and cutting it at equal counts gives
 shards that all match the mixture and differ by one row at most.
 
-DataFrame functions only.  Both ranks come from ranks.running_sum(), so neither
-a source nor the whole table is ever sorted in one task.
+DataFrame functions only.  Both ranks come from ranks.running_sum() over narrow
+rows, so neither a source nor the whole table is ever sorted in one task, and
+whole rows are shuffled once: to meet their shard and slot.
 """
 
 from __future__ import annotations
@@ -14,8 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphwright.llm.common import source_key, table, without
-from graphwright.llm.ranks import BUCKETS, hash_bucket, hash_order, running_sum
+from graphwright.llm.common import identified, source_key, table, without
+from graphwright.llm.ranks import BUCKETS, hash_bucket, key_order, row_key, running_sum
 
 
 def byte_size(text: Column) -> Column:
@@ -25,24 +26,22 @@ def byte_size(text: Column) -> Column:
 def assign_shards(docs: DataFrame, n_shards: int, seed: int = 29) -> DataFrame:
     """docs with shard (0 to n_shards - 1) and slot (0, 1, ... within the shard).
 
-    docs needs doc_id and source and is read several times; columns named shard
-    or slot are replaced.  A null source is one source.  Repeated rows are
+    docs needs doc_id and source and is read twice; columns named shard or slot
+    are replaced, others keep their values whatever their names.  A null source
+    is one source; null doc_ids are rows like others.  Repeated rows are
     separate rows.  With fewer rows than shards some shards are empty; an empty
     table gives an empty result.
     """
-    d = without(docs, "shard", "slot")
-    columns = d.columns
-    d = d.withColumns({"_source": source_key(F.col("source")), "_h": F.xxhash64(F.lit(seed), F.col("doc_id"))})
-    counts = table(d.groupBy("_source").agg(F.count(F.lit(1)).alias("_n")), "counts")
-    total = counts.agg(F.sum("_n")).first()[0] or 0
-    ranked = running_sum(d, ["_source"], hash_bucket(F.col("_h")), [hash_order(F.col("_h")), F.col("doc_id")], F.lit(1), "_rank")
-    ranked = ranked.join(counts, "_source")
-    twice = (2 * F.col("_rank") + 1).cast("double") / (2 * F.col("_n")).cast("double")
-    bucket = F.least(F.lit(BUCKETS - 1), F.floor(twice * BUCKETS))
-    ranked = ranked.withColumn("_f", twice).withColumn("_b", bucket.cast("long"))
-    placed = running_sum(ranked, [], F.col("_b"), [F.col("_f"), F.col("_source"), F.col("_rank")], F.lit(1), "_at")
-    shard = F.expr(f"_at * {n_shards} div {max(total, 1)}")
-    placed = placed.withColumn("shard", shard.cast("int"))
+    d = identified(without(docs, "shard", "slot"))
+    slim = table(d.select("file", "at", source_key(F.col("row.source")).alias("source"), row_key(seed, F.col("row.doc_id"), F.col("at")).alias("key")), "keys")
+    counts = table(slim.groupBy("source").agg(F.count(F.lit(1)).alias("n")), "counts")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    ranked = running_sum(slim, ["source"], hash_bucket(F.col("key")), key_order("key"), F.lit(1), "rank").join(counts, "source")
+    share = (2 * F.col("rank") + 1).cast("double") / (2 * F.col("n")).cast("double")
+    ranked = table(ranked.select("file", "at", "source", "rank", share.alias("share")), "ranked")
+    bucket = F.least(F.lit(BUCKETS - 1), F.floor(F.col("share") * BUCKETS))
+    placed = running_sum(ranked, [], bucket, [F.col("share"), F.col("source"), F.col("rank")], F.lit(1), "place")
+    placed = placed.withColumn("shard", F.expr(f"place * {n_shards} div {max(total, 1)}").cast("int"))
     first = F.expr(f"(shard * {total}L + {n_shards - 1}) div {n_shards}")
-    placed = placed.withColumn("slot", F.col("_at") - first)
-    return placed.select(*[F.col(f"`{c}`") for c in columns], "shard", "slot")
+    placed = placed.select("file", "at", "shard", (F.col("place") - first).alias("slot"))
+    return d.join(placed.hint("merge"), ["file", "at"]).select("row.*", "shard", "slot")

@@ -3,9 +3,16 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
+#: Names that operators use within; each such column holds doc_id + 1.
+CLASHING = (
+    "size", "node", "row", "kept", "component_id", "n_words", "file", "at", "key", "source_size", "target", "pieces", "stratum", "gone", "pos", "line", "cut", "piece", "place", "share", "rank",
+    "_h", "_source", "_k", "_n", "_w", "_start", "_at", "_rank", "_plan", "_copies", "_copy", "_end", "_full", "_row", "_gone", "_again", "_id", "_metadata", "c0", "symbol_rate", "base_failed",
+)
+
 
 def words(rng: random.Random, n: int) -> str:
     return " ".join("".join(rng.choice("abdeilmnorstu") for _ in range(rng.randint(2, 7))) for _ in range(n))
@@ -16,6 +23,17 @@ def make():
     return words
 
 
+@pytest.fixture(scope="session")
+def clashing_names():
+    return CLASHING
+
+
+@pytest.fixture(scope="session")
+def same_rows():
+    """Whether two tables have the same rows, however often each."""
+    return lambda a, b: a.columns == b.columns and a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
 @pytest.fixture(scope="session")
 def small(spark):
     """Documents with nulls, empty and long texts, copies, near copies, ties and repeated rows."""
@@ -58,8 +76,7 @@ def empty(spark):
 @pytest.fixture(scope="session")
 def clashing(small):
     """Extra columns named like those that operators add."""
-    extra = ("shard", "slot", "size", "node", "row", "kept", "component_id", "_h", "_source", "n_words")
     out = small
-    for c in extra:
-        out = out.withColumn(c, small["doc_id"])
+    for c in CLASHING:
+        out = out.withColumn(c, F.col("doc_id") + 1)
     return out
