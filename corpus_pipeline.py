@@ -42,7 +42,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with shard and slot, in the order of the shards' files."""
+    """All documents with shard and slot."""
     return assign_shards(docs, N_SHARDS)
 
 
