@@ -15,18 +15,19 @@ from pyspark.sql import functions as F
 
 from graphwright.functions import vocab as v
 from graphwright.operators.tbox import list_members
-from graphwright.plans.tables import settled
+from graphwright.plans.tables import Parts, settled
 
 
 def fixpoint(seed: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], most_rounds: int = 1000) -> DataFrame:
-    """The least set of rows with `seed` and closed under step(new, all)."""
-    known = fresh = settled(seed.distinct())
+    """The least set of rows with `seed` and closed under step(new, all).  A round writes what it found, and nothing again."""
+    parts = Parts()
+    known = fresh = parts.add(seed.distinct())
     for _ in range(most_rounds):
         found = step(fresh, known).select(*known.columns).distinct()
-        fresh = settled(found.join(known, known.columns, "left_anti"))
+        fresh = parts.add(found.join(known, known.columns, "left_anti"))
         if fresh.isEmpty():
             return known
-        known = settled(known.unionByName(fresh))
+        known = parts.all(fresh)
     raise RuntimeError(f"no fix-point after {most_rounds} rounds")
 
 
@@ -80,7 +81,7 @@ def schema_tables(t: DataFrame) -> dict[str, DataFrame]:
     edge = lambda p: t.where((F.col("p") == p) & (F.col("o_kind") != "literal")).select(F.col("s").alias("src"), F.col("o").alias("dst"))
     flip = lambda d: d.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     both = lambda d: d.unionByName(flip(d))
-    with_lists = not t.where(F.col("p").isin(v.OWL + "intersectionOf", v.OWL + "unionOf")).isEmpty()
+    with_lists = not t.where(F.col("p").isin(v.OWL + "intersectionOf", v.OWL + "unionOf", v.OWL + "oneOf")).isEmpty()
     members = list_members(t) if with_lists else t.select(F.col("s").alias("head"), F.col("o").alias("member")).limit(0)
     lists = lambda p: edge(p).join(members.select(F.col("head").alias("dst"), "member"), "dst")
     inter = lists(v.OWL + "intersectionOf").select("src", F.col("member").alias("dst"))
@@ -95,6 +96,7 @@ def schema_tables(t: DataFrame) -> dict[str, DataFrame]:
         "sub": transitive_closure(sub), "subprop": transitive_closure(subprop), "domain": edge(v.DOMAIN), "range": edge(v.RANGE), "inverse": inverse,
         "intersection": inter, "symmetric": kind("SymmetricProperty"), "transitive": kind("TransitiveProperty"),
         "some": value("someValuesFrom"), "all": value("allValuesFrom"), "has": value("hasValue"),
+        "one_of": lists(v.OWL + "oneOf").select(F.col("member").alias("s"), F.col("src").alias("c")),
     }
 
 
@@ -103,11 +105,15 @@ def owl_rl(triples: DataFrame, schema: dict[str, DataFrame] | None = None) -> Da
 
     Rules (names of the W3C tables): cax-sco, cax-eqc, cls-uni, cls-int1/2,
     prp-spo1, prp-eqp, prp-dom, prp-rng, prp-inv, prp-symp, prp-trp, cls-svf1/2,
-    cls-avf, cls-hv1/2.  sameAs is left to equivalence_groups().
+    cls-avf, cls-hv1/2, cls-oo.  Which individuals are the same (prp-fp, prp-ifp,
+    cls-maxc2) is left to same_individuals(), contradictions to consistency.check().
     """
     facts = triples.select("s", "p", "o", "o_kind")
     sch = {k: small(d) for k, d in (schema or schema_tables(triples)).items()}
     sch = {k: d for k, d in sch.items() if d is not None}
+    if "one_of" in sch:
+        members = sch["one_of"].select("s", F.lit(v.TYPE).alias("p"), F.col("c").alias("o"), F.lit("uri").alias("o_kind"))
+        facts = facts.unionByName(members)
     is_type = F.col("p") == v.TYPE
 
     def types(rows: DataFrame) -> DataFrame:
@@ -169,3 +175,30 @@ def owl_rl(triples: DataFrame, schema: dict[str, DataFrame] | None = None) -> Da
         return reduce(DataFrame.unionByName, out)
 
     return fixpoint(facts, step)
+
+
+def same_individuals(facts: DataFrame) -> DataFrame:
+    """node, root: individuals that are the same, by the least of them.
+
+    facts: s, p, o, o_kind with the axioms among them (owl_rl()'s result, or a
+    graph as it is).  Stated sameAs, several values of a functional property,
+    several subjects of an inverse-functional one, and several values where at
+    most one is allowed.  Each is a star around the least individual, so no
+    pairs within a group are made.
+    """
+    links = facts.where("o_kind <> 'literal'").select("s", "p", "o")
+    kind = lambda k: facts.where((F.col("p") == v.TYPE) & (F.col("o") == v.OWL + k)).select(F.col("s").alias("p")).distinct()
+
+    def star(rows: DataFrame, by: list[str], node: str) -> DataFrame:
+        least = rows.groupBy(*by).agg(F.min(node).alias("a"), F.max(node).alias("z")).where("a <> z").drop("z")
+        return rows.join(least, by).select("a", F.col(node).alias("b"))
+
+    functional = star(links.join(kind("FunctionalProperty"), "p", "left_semi"), ["s", "p"], "o")
+    inverse = star(links.join(kind("InverseFunctionalProperty"), "p", "left_semi"), ["o", "p"], "s")
+    one = facts.where((F.col("p") == v.OWL + "maxCardinality") & (F.col("o") == "1")).select(F.col("s").alias("node"))
+    on = facts.where(F.col("p") == v.OWL + "onProperty").select(F.col("s").alias("node"), F.col("o").alias("p")).join(one, "node")
+    typed = facts.where(F.col("p") == v.TYPE).select("s", F.col("o").alias("node"))
+    limited = star(links.join(typed.join(on, "node").select("s", "p").distinct(), ["s", "p"], "left_semi"), ["s", "p"], "o")
+    stated = links.where(F.col("p") == v.OWL + "sameAs").select(F.col("s").alias("a"), F.col("o").alias("b"))
+    pairs = settled(reduce(DataFrame.unionByName, [stated, functional, inverse, limited]).where("a <> b").distinct())
+    return equivalence_groups(pairs)

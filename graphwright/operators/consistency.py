@@ -74,7 +74,8 @@ def _issue(df: DataFrame, kind: str, subject: Column, message: Column, prop: Col
 
 
 def check(tbox: DataFrame, abox: DataFrame, reason: bool = True) -> DataFrame:
-    """Issues of T-box and A-box together: owl:Nothing, disjoint classes, functional, irreflexive and asymmetric properties.
+    """Issues of T-box and A-box together: owl:Nothing, disjoint and complementary classes, functional, irreflexive,
+    asymmetric and disjoint properties, and values where none is allowed.
 
     With `reason`, entailments count too.  An error of the reasoner is an issue.
     """
@@ -106,15 +107,31 @@ def check(tbox: DataFrame, abox: DataFrame, reason: bool = True) -> DataFrame:
     one_way = facts.join(kind("AsymmetricProperty"), "p", "left_semi")
     back = one_way.where("s < o").join(one_way.select(F.col("o").alias("s"), "p", F.col("s").alias("o")), ["s", "p", "o"])
     issues.append(_issue(back, "asymmetric_violation", F.col("s"), F.concat(F.lit("Asymmetric property "), local_name("p"), F.lit(" holds both ways for "), local_name("s")), F.col("p"), values=F.array("o")))
+    apart = t.where(F.col("p") == v.OWL + "complementOf").select(F.col("s").alias("a"), F.col("o").alias("b"))
+    both = disjoint_members(typed.select("s", "o"), apart, "s", "o")
+    text = F.concat(F.lit("Individual "), local_name("s"), F.lit(" belongs to a class and its complement: "), local_name("a"), F.lit(" and "), local_name("b"))
+    issues.append(_issue(both, "complement_violation", F.col("s"), text, classes=F.array("a", "b")))
+    pairs = t.where(F.col("p") == v.OWL + "propertyDisjointWith").select(F.least("s", "o").alias("p"), F.greatest("s", "o").alias("q")).distinct()
+    held = facts.select("s", "p", "o")
+    twice = held.join(pairs, "p").join(held.select("s", F.col("p").alias("q"), "o"), ["s", "q", "o"])
+    text = F.concat(F.lit("Disjoint properties "), local_name("p"), F.lit(" and "), local_name("q"), F.lit(" both link "), local_name("s"), F.lit(" to "), local_name("o"))
+    issues.append(_issue(twice, "disjoint_property_violation", F.col("s"), text, F.col("p"), values=F.array("o")))
+    none = t.where((F.col("p") == v.OWL + "maxCardinality") & (F.col("o") == "0")).select(F.col("s").alias("node"))
+    none = none.join(t.where(F.col("p") == v.OWL + "onProperty").select(F.col("s").alias("node"), F.col("o").alias("p")), "node")
+    some = typed.select("s", F.col("o").alias("node")).join(none, "node").select("s", "p").distinct().join(held, ["s", "p"])
+    text = F.concat(F.lit("Property "), local_name("p"), F.lit(" may have no value but has one for "), local_name("s"))
+    issues.append(_issue(some.select("s", "p").distinct(), "max_cardinality_violation", F.col("s"), text, F.col("p")))
     return reduce(DataFrame.unionByName, issues)
 
 
-def report(issues: DataFrame) -> str:
-    """Counts by type and the first messages of each."""
-    rows = issues.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.slice(F.array_sort(F.collect_list("message")), 1, 20).alias("first")).orderBy("type").collect()
-    if not rows:
+def report(issues: DataFrame, most: int = 20) -> str:
+    """Counts by type and the first messages of each, picked map-side; there are about ten types."""
+    issues = settled(issues)
+    counts = {r["type"]: r["n"] for r in issues.groupBy("type").agg(F.count(F.lit(1)).alias("n")).orderBy("type").collect()}
+    if not counts:
         return "A-box validation: consistent\n"
-    out = [f"A-box validation: {sum(r['n'] for r in rows)} issues"]
-    for r in rows:
-        out += ["", f"{r['type']} ({r['n']})", *[f"  - {m}" for m in r["first"]]]
+    out = [f"A-box validation: {sum(counts.values())} issues"]
+    for kind, n in counts.items():
+        first = issues.where(F.col("type") == kind).select("message").orderBy("message").limit(most).collect()
+        out += ["", f"{kind} ({n})", *[f"  - {r['message']}" for r in first]]
     return "\n".join(out) + "\n"

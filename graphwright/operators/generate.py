@@ -8,6 +8,8 @@ candidates is sorted or paired with the sources.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,12 +20,20 @@ from graphwright.operators import rules as r
 from graphwright.operators.tbox import TBox
 from graphwright.plans.tables import settled
 
+#: Words in names of properties that link structure (fixed values).
 STRUCTURAL = ("part", "has", "contains", "member", "component", "composed")
 
 
+#: The tables of the model that the generator reads, several times each.
+_READ = ("classes", "class_super", "class_disjoint", "enum_members", "properties", "prop_domain", "prop_range", "restrictions")
+
+
 class Generator:
+    """Individuals, values and links.  Tables with a row per axiom, and those with a row per individual or link, are settled."""
+
     def __init__(self, tbox: TBox, base: str = "https://example.org", seed: int = 1) -> None:
-        self.t, self.base, self.seed = tbox, base.rstrip("#/") + "#", seed
+        self.t = replace(tbox, **{name: settled(getattr(tbox, name)) for name in _READ})
+        self.base, self.seed = base.rstrip("#/") + "#", seed
 
     def draw(self, *about: Column | str) -> Column:
         return F.xxhash64(F.lit(self.seed), *[F.lit(a) if isinstance(a, str) else a for a in about])
@@ -47,7 +57,10 @@ class Generator:
 
     def individuals(self, least: int = 1, most: int = 3) -> DataFrame:
         """class, i, uri, label."""
-        rows = self.classes(least, most).where("n > 0").withColumn("i", F.explode(F.expr("sequence(1, n)")))
+        return self._individuals(self.classes(least, most))
+
+    def _individuals(self, counts: DataFrame) -> DataFrame:
+        rows = counts.where("n > 0").withColumn("i", F.explode(F.expr("sequence(1, n)")))
         return rows.select("class", "i", self.uri(F.col("class"), F.col("i")).alias("uri"), F.concat("label", F.lit(" "), F.col("i").cast("string")).alias("label"))
 
     def _applicable(self, kind: str) -> DataFrame:
@@ -90,6 +103,7 @@ class Generator:
         pools = kinds.unionByName(below).distinct().join(counts.select(F.col("class").alias("type"), "n"), "type")
         w = Window.partitionBy("prop").orderBy("type")
         pools = pools.withColumn("lo", F.sum("n").over(w) - F.col("n")).groupBy("prop").agg(F.array_sort(F.collect_list(F.struct("lo", "n", "type"))).alias("pool"), F.sum("n").alias("total"))
+        pools = settled(pools)
         rows = who.join(props.join(pools, "prop").where("total > 0").select("class", "prop", "functional", "inverse_functional", "irreflexive", "min", "max", "pool", "total"), "class")
         about = (F.col("uri"), F.col("prop"))
         structural = F.lower(local_name("prop")).rlike("|".join(STRUCTURAL))
@@ -111,11 +125,11 @@ class Generator:
     def _both_ways(self, links: DataFrame) -> DataFrame:
         p = self.t.properties.where("kind = 'object'")
         back = links.join(p.where("inverse_of is not null").select(F.col("uri").alias("p"), "inverse_of"), "p")
-        all_links = links.unionByName(back.select(F.col("o").alias("s"), F.col("inverse_of").alias("p"), F.col("s").alias("o"))).distinct()
+        all_links = settled(links.unionByName(back.select(F.col("o").alias("s"), F.col("inverse_of").alias("p"), F.col("s").alias("o"))).distinct())
         flags = p.select(F.col("uri").alias("p"), F.coalesce("functional", F.lit(False)).alias("f"), F.coalesce("asymmetric", F.lit(False)).alias("a"))
         rows = all_links.join(flags, "p")
         single = rows.where("f").groupBy("s", "p", "a").agg(F.min("o").alias("o"))
-        rows = rows.where("not f").select("s", "p", "o", "a").unionByName(single.select("s", "p", "o", "a"))
+        rows = settled(rows.where("not f").select("s", "p", "o", "a").unionByName(single.select("s", "p", "o", "a")))
         reverse = rows.where("a").select(F.col("o").alias("s"), "p", F.col("s").alias("o"))
         kept = rows.where("not a or s < o").select("s", "p", "o").unionByName(rows.where("a and s >= o").select("s", "p", "o").join(reverse.where("s >= o"), ["s", "p", "o"], "left_anti"))
         clash = rows.where("a and s > o").select("s", "p", "o").join(reverse, ["s", "p", "o"], "left_semi")
@@ -123,9 +137,10 @@ class Generator:
 
     def generate(self, least: int = 1, most: int = 3) -> DataFrame:
         """Triples: types, labels, values and links of all individuals, and the ontology's declaration."""
-        who, none = self.individuals(least, most), F.lit(None).cast("string")
+        counts = self.classes(least, most)
+        who, none = settled(self._individuals(counts)), F.lit(None).cast("string")
         row = lambda d, p, o, kind, dt=none, lang=none: d.select(F.col("uri").alias("s"), F.lit(p).alias("p"), o.alias("o"), F.lit(kind).alias("o_kind"), dt.alias("o_datatype"), lang.alias("o_lang"))
-        links = self._both_ways(self._links(who, self.classes(least, most)))
+        links = self._both_ways(settled(self._links(who, counts)))
         head = who.sparkSession.createDataFrame([(self.base.rstrip("#"),)], "uri string")
         parts = [
             row(who, v.TYPE, F.col("class"), "uri"), row(who, v.TYPE, F.lit(v.NAMED), "uri"), row(who, v.LABEL, F.col("label"), "literal", none, F.lit("en")),

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from graphwright.functions import vocab as v
 from graphwright.functions.terms import local_name
+from graphwright.plans.tables import settled
 
 DECLARED = (v.CLASS, v.RDFS + "Class", v.OBJECT_PROPERTY, v.DATATYPE_PROPERTY, v.RDF + "Property")
 
@@ -129,14 +130,14 @@ def convert(triples: DataFrame, schema: dict, base: str = "https://example.org#"
 
 
 def number(objs: DataFrame) -> DataFrame:
-    """Adds idx, from 0 within each type.
+    """Adds idx, from 0 within each type, in the order of IRIs.
 
-    Rows are ranked within ranges of the IRI first, so that no task holds a
-    whole type; the ranges' starts are sums over one row per type and range.
+    Rows are dealt to ranges of the IRI and settled; a type's rows of a range
+    start where its rows of the ranges before end, so no task holds a type.
     """
-    ranged = objs.withColumn("_part", F.expr("conv(substring(sha1(uri), 1, 3), 16, 10)").cast("int"))
     from pyspark.sql.window import Window
 
+    ranged = settled(objs.repartitionByRange("uri").withColumn("_part", F.spark_partition_id()))
     starts = ranged.groupBy("type", "_part").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("type").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = starts.select("type", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
@@ -144,6 +145,14 @@ def number(objs: DataFrame) -> DataFrame:
     return ranged.join(starts, ["type", "_part"]).select("type", "uri", (F.col("_start") + inner).cast("long").alias("idx"), "obj")
 
 
+def convert_and_validate(triples: DataFrame, schema: dict, base: str = "https://example.org#", style: str = "reference", depth: int = 3) -> tuple[DataFrame, DataFrame]:
+    """The instances of convert(), settled, and their results by jsonschema.validate()."""
+    from graphwright.operators import jsonschema
+
+    made = settled(convert(triples, schema, base, style, depth))
+    return made, jsonschema.validate(made, schema)
+
+
 def grouped(instances: DataFrame) -> dict[str, list]:
     """All instances on the driver, by type; for documents of moderate size."""
     out: dict[str, list] = {}

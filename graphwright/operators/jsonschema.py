@@ -215,6 +215,11 @@ def summary(results: DataFrame) -> DataFrame:
     )
 
 
+def summary_by_type(results: DataFrame) -> DataFrame:
+    """type, total, validated, errors."""
+    return results.groupBy("type").agg(F.count(F.lit(1)).alias("total"), F.count_if("valid").alias("validated"), F.count_if(~F.col("valid")).alias("errors"))
+
+
 def report(results: DataFrame, most: int = 50) -> str:
     """Totals and the first errors."""
     s = summary(results).first()

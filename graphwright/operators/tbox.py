@@ -12,18 +12,19 @@ from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from graphwright.functions import vocab as v
 from graphwright.plans.tables import settled
 
-#: Facets of a restriction, in order of precedence: one node gives one facet.
+#: Facets of a restriction, in order of precedence: one node gives one facet (fixed values).
 FACETS = [
     ("minCardinality", "min"), ("maxCardinality", "max"), ("cardinality", "exact"),
     ("minQualifiedCardinality", "min"), ("maxQualifiedCardinality", "max"), ("qualifiedCardinality", "exact"),
     ("allValuesFrom", "all"), ("someValuesFrom", "some"), ("hasValue", "value"),
 ]
 CHARACTERISTICS = ("Functional", "InverseFunctional", "Transitive", "Symmetric", "Asymmetric", "Irreflexive", "Reflexive")
-#: Predicates that are structure and not annotations.
+#: Predicates that are structure and not annotations (fixed values).
 STRUCTURAL = [
     v.TYPE, v.LABEL, v.COMMENT, v.SUBCLASS, v.SUBPROP, v.DOMAIN, v.RANGE, v.OWL + "equivalentClass", v.OWL + "disjointWith", v.OWL + "onProperty",
     v.OWL + "minCardinality", v.OWL + "maxCardinality", v.OWL + "cardinality", v.OWL + "allValuesFrom", v.OWL + "someValuesFrom", v.OWL + "hasValue",
@@ -127,17 +128,23 @@ def list_members(t: DataFrame) -> DataFrame:
     """head, pos, member, member_kind of every RDF list.
 
     Each cell jumps to its predecessor's predecessor until it meets the head,
-    so a list of n cells takes log2(n) joins.
+    so a list of n cells takes log2(n) joins.  A list that comes back to one of
+    its own cells has no head: it raises an error.
     """
     rest = t.where(F.col("p") == v.REST).select(F.col("s").alias("prev"), F.col("o").alias("cell"))
     first = t.where(F.col("p") == v.FIRST).select(F.col("s").alias("cell"), F.col("o").alias("member"), F.col("o_kind").alias("member_kind"))
     at = first.select("cell").distinct().join(rest, "cell", "left").select("cell", F.coalesce("prev", "cell").alias("head"), F.when(F.col("prev").isNull(), 0).otherwise(1).alias("pos"))
+    rounds = None
     while True:
         at = settled(at)
+        rounds = at.count().bit_length() + 1 if rounds is None else rounds - 1
         up = at.select(F.col("cell").alias("head"), F.col("head").alias("higher"), F.col("pos").alias("more"))
         step = at.join(up, "head")
-        if step.where("higher <> head").isEmpty():
+        open_ = step.where("higher <> head")
+        if open_.isEmpty():
             return at.join(first, "cell").select("head", "pos", "member", "member_kind")
+        if not rounds:
+            raise ValueError(f"rdf:rest goes in a circle at {open_.agg(F.min('cell')).first()[0]}")
         at = step.select("cell", F.col("higher").alias("head"), (F.col("pos") + F.col("more")).alias("pos"))
 
 
@@ -174,7 +181,8 @@ def restrictions(t: DataFrame) -> DataFrame:
     rows = nodes.join(is_one, "node", "left_semi").join(on, "node").join(facet, "node")
     number = lambda k: F.when(F.col("facet") == k, F.col("o").try_cast("int"))
     kind = F.when(F.col("facet") == "all", "allValuesFrom").when(F.col("facet") == "some", "someValuesFrom").when(F.col("facet") == "value", "hasValue").otherwise("cardinality")
-    order = (F.col("ord") * 1000 + F.col("pos")).alias("ord")
+    # one row per restriction of the ontology
+    order = (F.row_number().over(Window.orderBy("ord", "pos", "node")) - 1).cast("long").alias("ord")
     return rows.select(
         "class", order, "prop", kind.alias("kind"), number("min").alias("min"), number("max").alias("max"), number("exact").alias("exact"),
         F.when(F.col("facet").isin("all", "some"), F.col("o")).alias("filler"), F.when(F.col("facet") == "value", F.col("o")).alias("value"), F.col("dt").alias("value_dt"),

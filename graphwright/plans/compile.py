@@ -24,7 +24,7 @@ from graphwright.operators.tbox import TBox
 from graphwright.plans.config import PARITY, RULES, Config
 
 SCHEMA_ID = "http://json-schema.org/draft-07/schema#"
-#: Keys that root metadata may set.
+#: Keys that root metadata may set (fixed values).
 ROOT_KEYS = {"title", "description", "$id", "$comment", "$defs", "additionalProperties", "type"}
 Rows = dict[str, list[dict]]
 

@@ -14,15 +14,31 @@ def settled(df: DataFrame) -> DataFrame:
     (a local one only under a local master), and are removed when the driver's
     JVM ends.  The planner knows the size of what it reads.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = "/tmp/checkpoints"
-    path = f"{folder.rstrip('/')}/settled-{uuid.uuid4().hex}"
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(where)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Parts().add(df)
+
+
+class Parts:
+    """A table that grows: every part is written once and stays as it is."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+    def add(self, df: DataFrame) -> DataFrame:
+        """The rows of `df`, settled as a further part."""
+        spark = df.sparkSession
+        context = spark.sparkContext
+        folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = "/tmp/checkpoints"
+        path = f"{folder.rstrip('/')}/settled-{uuid.uuid4().hex}"
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(where)
+        df.write.parquet(path)
+        self.paths.append(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    def all(self, like: DataFrame) -> DataFrame:
+        """The rows of all parts, which have the columns of `like`."""
+        return like.sparkSession.read.schema(like.schema).parquet(*self.paths)

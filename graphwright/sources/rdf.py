@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -27,7 +27,10 @@ EXTENSIONS = {
     "rdf": "xml", "rdfs": "xml", "owl": "xml", "xml": "xml",
 }
 _PARSERS = {"turtle": Turtle, "n3": Turtle, "nt": Turtle, "xml": RdfXml, "json-ld": JsonLd}
-_LINE = r"^\s*(<[^>]*>|_:\S+)\s+<([^>]*)>\s+(?:<([^>]*)>|(_:[^\s.]+(?:\.[^\s.]+)*)|\"((?:[^\"\\\\]|\\\\.)*)\"(?:\^\^<([^>]*)>|@([A-Za-z0-9-]+))?)\s*\.\s*(?:#.*)?$"
+_LINE = r'^\s*(<[^>]*>|_:\S+)\s+<([^>]*)>\s+(?:<([^>]*)>|(_:[^\s.]+(?:\.[^\s.]+)*)|"((?:[^"\\]|\\.)*)"(?:\^\^<([^>]*)>|@([A-Za-z0-9-]+))?)\s*\.\s*(?:#.*)?$'
+_BLANK = r"^\s*(#|$)"
+#: What a text with escapes consists of: runs of \uXXXX (surrogates come in pairs), \UXXXXXXXX, other escapes, plain text.
+_PIECE = r"(?:\\u[0-9A-Fa-f]{4})+|\\U[0-9A-Fa-f]{8}|\\.|[^\\]+"
 
 
 def detect_format(path: str, head: str = "") -> str | None:
@@ -80,20 +83,45 @@ def _distinct(df: DataFrame) -> DataFrame:
     return df.groupBy(*keys).agg(F.min("ord").alias("ord")).select(*COLUMNS)
 
 
-def read_ntriples(spark: SparkSession, path: str, distinct: bool = True) -> DataFrame:
-    """N-Triples by regular expression, line by line; lines that are no triple are skipped."""
-    lines = spark.read.text(path).where(~F.col("value").rlike(r"^\s*(#|$)") & F.col("value").rlike(_LINE))
+def unescaped(text: Column) -> Column:
+    """A text with the escapes of N-Triples resolved, in one pass from left to right."""
+    letters = F.create_map(*[F.lit(x) for pair in {"t": "\t", "n": "\n", "r": "\r", "b": "\b", "f": "\f"}.items() for x in pair])
+
+    def piece(x: Column) -> Column:
+        code = F.substring(x, 2, 1)
+        wide = F.decode(F.unhex(F.substring(x, F.lit(3), F.length(x))), "UTF-32")
+        short = F.decode(F.unhex(F.replace(x, F.lit("\\u"), F.lit(""))), "UTF-16BE")
+        plain = F.coalesce(F.try_element_at(letters, code), code)
+        return F.when(~F.startswith(x, F.lit("\\")), x).when((code == "u") & (F.length(x) > 2), short).when((code == "U") & (F.length(x) > 2), wide).otherwise(plain)
+
+    whole = F.array_join(F.transform(F.regexp_extract_all(text, F.lit(_PIECE), F.lit(0)), piece), "")
+    return F.when(F.contains(text, F.lit("\\")), whole).otherwise(text)
+
+
+def ntriples_errors(spark: SparkSession, path: str) -> DataFrame:
+    """value: the lines that are no triple, no comment and not empty."""
+    return spark.read.text(path).where(~F.col("value").rlike(_BLANK) & ~F.col("value").rlike(_LINE)).select("value")
+
+
+def read_ntriples(spark: SparkSession, path: str, distinct: bool = True, bad: str = "raise") -> DataFrame:
+    """N-Triples by regular expression, line by line.
+
+    A line that is no triple raises an error; with bad="skip" it is left out,
+    and ntriples_errors() has it.
+    """
+    if bad not in ("raise", "skip"):
+        raise ValueError(f"bad is raise or skip, not {bad!r}")
+    lines = spark.read.text(path).where(~F.col("value").rlike(_BLANK))
+    good = F.col("value").rlike(_LINE)
+    lines = lines.where(good if bad == "skip" else F.when(good, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("not a triple: "), F.substring("value", 1, 200))).cast("boolean")))
     at = lambda i: F.regexp_extract("value", _LINE, i)
-    some = lambda i: F.when(at(i) != "", at(i))
+    some = lambda i: F.when(at(i) != "", unescaped(at(i)))
     literal = F.col("value").rlike(r'^\s*(<[^>]*>|_:\S+)\s+<[^>]*>\s+"')
-    plain = at(5)
-    for escape, value in (("\\t", "\t"), ("\\n", "\n"), ("\\r", "\r"), ('\\"', '"'), ("\\\\", "\\")):
-        plain = F.replace(plain, F.lit(escape), F.lit(value))
     kind = lambda c: F.when(F.startswith(c, F.lit("_:")), "bnode").otherwise("uri")
-    subject = F.regexp_replace(at(1), "^<|>$", "")
-    target = F.when(literal, plain).otherwise(F.coalesce(some(4), at(3)))
+    subject = F.regexp_replace(unescaped(at(1)), "^<|>$", "")
+    target = F.when(literal, unescaped(at(5))).otherwise(F.coalesce(some(4), unescaped(at(3))))
     df = lines.select(
-        F.lit(path).alias("graph"), subject.alias("s"), kind(subject).alias("s_kind"), at(2).alias("p"), target.alias("o"),
+        F.lit(path).alias("graph"), subject.alias("s"), kind(subject).alias("s_kind"), unescaped(at(2)).alias("p"), target.alias("o"),
         F.when(literal, "literal").otherwise(kind(target)).alias("o_kind"), some(6).alias("o_datatype"), F.lower(some(7)).alias("o_lang"),
         F.monotonically_increasing_id().alias("ord"),
     )
@@ -157,4 +185,4 @@ class _Reader(DataSourceReader):
             yield from parse(f.read(), self.options.get("syntax"), partition.value)[0]
 
 
-__all__ = ["TRIPLES", "detect_format", "from_string", "parse", "read_ntriples", "read_prefixes", "read_rdf", "RdfSource", "unescape"]
+__all__ = ["TRIPLES", "detect_format", "from_string", "ntriples_errors", "parse", "read_ntriples", "read_prefixes", "read_rdf", "RdfSource", "unescape"]

@@ -39,7 +39,10 @@ _LETTERS = {"t": "\t", "b": "\b", "n": "\n", "r": "\r", "f": "\f"}
 
 
 def unescape(text: str) -> str:
-    return _ESCAPE.sub(lambda m: chr(int(m[1] or m[2], 16)) if m[1] or m[2] else _LETTERS.get(m[3], m[3]), text) if "\\" in text else text
+    if "\\" not in text:
+        return text
+    out = _ESCAPE.sub(lambda m: chr(int(m[1] or m[2], 16)) if m[1] or m[2] else _LETTERS.get(m[3], m[3]), text)
+    return out.encode("utf-16", "surrogatepass").decode("utf-16", "replace")  # joins pairs of surrogates
 
 
 class Turtle:

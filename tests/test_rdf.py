@@ -1,10 +1,12 @@
 from __future__ import annotations
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from graphwright.functions import vocab as v
 from graphwright.sources import sinks
-from graphwright.sources.rdf import RdfSource, detect_format, from_string, parse, read_ntriples, read_prefixes, read_rdf
+from graphwright.sources.rdf import RdfSource, detect_format, from_string, ntriples_errors, parse, read_ntriples, read_prefixes, read_rdf
 
 TURTLE = """@prefix : <http://t.org/x#> . @prefix owl: <http://www.w3.org/2002/07/owl#> . @prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> .
 @base <http://t.org/x> .
@@ -82,3 +84,41 @@ def test_files_and_sinks(spark, tmp_path):
     spark.dataSource.register(RdfSource)
     assert spark.read.format("rdf").option("path", f"{tmp_path}/x.ttl").load().count() == 24
     assert from_string(spark, XML, "xml").count() == len(set(rows(XML, "xml")))
+
+
+def test_ntriples_escapes_and_bad_lines(spark, tmp_path):
+    lines = [
+        r'<http://t.org/a> <http://t.org/p> "tab\t nl\n cr\r quote\" back\\ back-t\\t u\u00e9 pair\uD83D\uDE00 wide\U0001F600 \\u0041" .',
+        r"<http://t.org/\u00e9> <http://t.org/p> <http://t.org/b> . # end",
+        "# a comment",
+        "",
+        r'_:x <http://t.org/p> ""@EN .',
+    ]
+    (tmp_path / "a.nt").write_text("\n".join(lines))
+    got = {r["s"]: (r["o"], r["o_kind"], r["o_lang"]) for r in read_ntriples(spark, f"{tmp_path}/a.nt").collect()}
+    assert got == {
+        "http://t.org/a": ('tab\t nl\n cr\r quote" back\\ back-t\\t u\u00e9 pair\U0001f600 wide\U0001f600 \\u0041', "literal", None),
+        "http://t.org/\u00e9": ("http://t.org/b", "uri", None), "_:x": ("", "literal", "en"),
+    }
+    assert {(r[1], r[4]) for r in parse(lines[0], "nt", "t")[0]} == {("http://t.org/a", got["http://t.org/a"][0])}
+    (tmp_path / "b.nt").write_text("\n".join([lines[0], "<http://t.org/a> <http://t.org/p> .", '<a> <b> "open .']))
+    with pytest.raises(Exception, match="not a triple"):
+        read_ntriples(spark, f"{tmp_path}/b.nt").count()
+    assert read_ntriples(spark, f"{tmp_path}/b.nt", bad="skip").count() == 1 and ntriples_errors(spark, f"{tmp_path}/b.nt").count() == 2
+
+
+def test_any_literal_comes_back(spark, tmp_path):
+    found = []
+    text = st.text(st.characters(codec="utf-8"), max_size=12) | st.text('\\"\n\rtnuU0041 \t\x0b\x85\u2028.@^<>', max_size=12)
+
+    @settings(max_examples=400, deadline=None, database=None)
+    @given(text)
+    def draw(x):
+        found.append(x)
+
+    draw()
+    rows = [(f"http://t.org/{i}", "uri", "http://t.org/p", x, "literal", None, None) for i, x in enumerate(found)]
+    t = spark.createDataFrame(rows, "s string, s_kind string, p string, o string, o_kind string, o_datatype string, o_lang string")
+    sinks.write_ntriples(t, f"{tmp_path}/out.nt")
+    back = {r["s"]: r["o"] for r in read_ntriples(spark, f"{tmp_path}/out.nt").collect()}
+    assert back == {r[0]: r[3] for r in rows}
