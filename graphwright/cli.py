@@ -51,7 +51,7 @@ def main(argv: list[str] | None = None) -> int:
         config.set_option(rule, "language", a.language)
     from pyspark.sql import SparkSession
 
-    from graphwright.operators.tbox import TBox
+    from graphwright.operators.tbox import TBox, counts
     from graphwright.plans.compile import Engine
     from graphwright.sources.rdf import read_rdf
 
@@ -59,6 +59,7 @@ def main(argv: list[str] | None = None) -> int:
     tbox = TBox.of(read_rdf(spark, a.input, None if a.rdf_format == "auto" else a.rdf_format))
     schema = Engine(config, a.profile).transform(tbox)
     if a.verbose:
+        print(", ".join(f"{r['n']} {r['what']}" for r in counts(tbox).collect()), file=sys.stderr)
         print(f"{len(schema.get('definitions', {}))} definitions, rules: {', '.join(config.enabled_rules())}", file=sys.stderr)
     if a.format == "yaml":
         import yaml

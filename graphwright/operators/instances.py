@@ -119,11 +119,11 @@ def convert(triples: DataFrame, schema: dict, base: str = "https://example.org#"
     spark, definitions = triples.sparkSession, schema.get("definitions", {})
     names = spark.createDataFrame([(n,) for n in definitions], "name string")
     props = property_table(spark, definitions, deep)
-    who = individuals(triples, names, base)
-    found = values(triples, who, props).withColumn("json", json_value(F.col("o"), F.col("o_kind"), F.col("kind")))
+    who = settled(individuals(triples, names, base))
+    found = settled(values(triples, who, props).withColumn("json", json_value(F.col("o"), F.col("o_kind"), F.col("kind"))))
     out = objects(found, who)
     for _ in range(depth if style == "inline" else 0):
-        inner = out.select(F.col("uri").alias("o"), F.col("obj").alias("inner"))
+        inner = settled(out.select(F.col("uri").alias("o"), F.col("obj").alias("inner")))
         replaced = found.join(inner, "o", "left").withColumn("json", F.when((F.col("kind") == "ref") & (F.col("o_kind") != "literal") & (F.col("o") != F.col("uri")), F.coalesce("inner", "json")).otherwise(F.col("json"))).drop("inner")
         out = objects(replaced.select(*found.columns), who)
     return number(out)

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from graphwright.functions.terms import local_name
 
@@ -108,6 +109,23 @@ def disjoint_unions(class_super: DataFrame, class_disjoint: DataFrame) -> DataFr
     return kids.join(whole, "parent", "left_semi").select("parent", "child", "class")
 
 
+def disjoint_groups(class_disjoint: DataFrame) -> DataFrame:
+    """class, together: each class with a disjointness axiom, and the sorted names of it and all classes disjoint with it."""
+    apart = symmetric(class_disjoint.select(local_name("class").alias("class"), local_name("other").alias("other")))
+    return apart.groupBy(F.col("a").alias("class")).agg(F.array_sort(F.array_distinct(F.concat(F.collect_set("b"), F.array(F.first("a"))))).alias("together"))
+
+
+def unused_targets(targets: DataFrame, links: DataFrame) -> DataFrame:
+    """The targets (target) that no link (o) goes to yet."""
+    return targets.join(links.select(F.col("o").alias("target")), "target", "left_anti")
+
+
+def sample_targets(links: DataFrame, source: str, target: str, k: int) -> DataFrame:
+    """The least k distinct targets of each source; the planner limits groups to k rows before the shuffle."""
+    w = Window.partitionBy(source).orderBy(target)
+    return links.select(source, target).distinct().withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
+
+
 def concrete_classes(classes: DataFrame, class_super: DataFrame, class_disjoint: DataFrame, enum_members: DataFrame) -> DataFrame:
     """uri of classes that may have individuals: no owl:Thing, no enumeration, no parent of subclasses of which some two are disjoint."""
     kids = class_super.select(F.col("other").alias("parent"), F.col("class").alias("child")).where("parent <> child").distinct()

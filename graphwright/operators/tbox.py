@@ -141,10 +141,11 @@ def list_members(t: DataFrame) -> DataFrame:
         up = at.select(F.col("cell").alias("head"), F.col("head").alias("higher"), F.col("pos").alias("more"))
         step = at.join(up, "head")
         open_ = step.where("higher <> head")
-        if open_.isEmpty():
+        if (done := open_.isEmpty()) or not rounds:
+            round_ = (at.where("cell = head and pos > 0") if done else open_).agg(F.min("cell")).first()[0]
+            if round_ is not None:
+                raise ValueError(f"rdf:rest goes in a circle at {round_}")
             return at.join(first, "cell").select("head", "pos", "member", "member_kind")
-        if not rounds:
-            raise ValueError(f"rdf:rest goes in a circle at {open_.agg(F.min('cell')).first()[0]}")
         at = step.select("cell", F.col("higher").alias("head"), (F.col("pos") + F.col("more")).alias("pos"))
 
 
@@ -249,3 +250,12 @@ def expressions(t: DataFrame) -> DataFrame:
     members = blank.join(lists, "node").join(list_members(t).where("member_kind = 'uri'"), "head").select("class", "op", F.col("member").alias("other"), F.col("pos").cast("long").alias("ord"))
     negated = t.where((F.col("p") == v.OWL + "complementOf") & (F.col("o_kind") == "uri")).select(F.col("s").alias("node"), F.col("o").alias("other"), "ord")
     return members.unionByName(blank.join(negated, "node").select("class", F.lit("complement").alias("op"), "other", "ord"))
+
+
+def counts(t: TBox) -> DataFrame:
+    """what, n: classes, object properties, datatype properties and individuals of a model."""
+    props = t.properties.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    known = t.properties.sparkSession.createDataFrame([("object",), ("datatype",)], "kind string").join(props, "kind", "left")
+    some = lambda df, what: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(what).alias("what"), "n")
+    kinds = known.select(F.concat("kind", F.lit(" properties")).alias("what"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    return some(t.classes, "classes").unionByName(kinds).unionByName(some(t.individuals, "individuals"))

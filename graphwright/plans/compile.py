@@ -66,6 +66,8 @@ def tables(t: TBox, config: Config, profile: str) -> dict[str, DataFrame]:
         out["equivalent"] = t.class_equiv
     if "disjoint_classes" in on:
         out["unions"] = r.disjoint_unions(t.class_super, t.class_disjoint)
+        if profile == "documented":
+            out["disjoint_groups"] = r.disjoint_groups(t.class_disjoint)
     if "individuals_to_examples" in on:
         out |= {"individuals": t.individuals, "ind_type": t.ind_type, "ind_prop": t.ind_prop}
     return out
@@ -332,6 +334,8 @@ def _equivalent_classes(doc: Document, rows: Rows, c: Config) -> None:
 def _disjoint_classes(doc: Document, rows: Rows, c: Config) -> None:
     order = {x["uri"]: i for i, x in enumerate(rows["classes"])}
     kids: dict[str, list[dict]] = {}
+    if not rows["unions"]:
+        _disjoint_comment(doc, rows.get("disjoint_groups", []), {dt.local(x["uri"]): i for i, x in enumerate(rows["classes"])})
     for x in rows["unions"]:
         kids.setdefault(x["parent"], []).append(x)
     for parent, found in sorted(kids.items()):
@@ -347,6 +351,18 @@ def _disjoint_classes(doc: Document, rows: Rows, c: Config) -> None:
         doc.definitions[clean(parent)] = new
 
 
+def _disjoint_comment(doc: Document, groups: list[dict], order: dict[str, int]) -> None:
+    """Where disjoint classes make up no union, a comment names their groups: each class stands in the first that has it."""
+    named: list[list[str]] = []
+    done: set[str] = set()
+    for x in sorted(groups, key=lambda x: (order.get(x["class"], len(order)), x["class"])):
+        if x["class"] not in done:
+            named.append(x["together"])
+            done |= set(x["together"])
+    if named:
+        doc.add_to_root("$comment", f"Disjoint class groups: {named}")
+
+
 def _ontology_pairs(rows: Rows) -> tuple[str | None, dict[str, str], list[str]]:
     uri = rows["ontology"][0]["uri"] if rows["ontology"] else None
     own = [x for x in rows["annotations"] if x["subject"] == uri]

@@ -92,18 +92,35 @@ def issue_report(spark, sf_dir):
 
 @query("SELECT o_orderkey AS id, 'lines' AS missing FROM orders LEFT JOIN (SELECT DISTINCT l_orderkey FROM lineitem) ON o_orderkey = l_orderkey WHERE l_orderkey IS NULL")
 def json_missing_required(spark, sf_dir):
-    return min_cardinality_violation(spark, sf_dir).select(F.col("o_orderkey").alias("id"), F.lit("lines").alias("missing"))
+    """Orders as JSON instances that must have lines, through the validator."""
+    lines = load(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("l_linenumber").alias("lines"))
+    o = load(spark, sf_dir, "orders").select("o_orderkey").join(lines, "o_orderkey", "left")
+    bad = _validated(o, "Order", "o_orderkey", ["lines"], {"lines": {"type": "integer"}}, ["lines"]).where("not valid")
+    return bad.select(F.col("idx").alias("id"), F.regexp_extract("error", "'(.*)' is a required", 1).alias("missing"))
 
 
 @query("SELECT o_orderkey AS id, o_orderpriority AS value FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH')")
 def json_enum_invalid(spark, sf_dir):
-    o = load(spark, sf_dir, "orders")
-    return o.where(~F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")).select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("value"))
+    """Orders whose priority is not in the schema's enumeration, through the validator."""
+    priority = {"o_orderpriority": {"type": "string", "enum": ["1-URGENT", "2-HIGH"]}}
+    bad = _validated(load(spark, sf_dir, "orders"), "Order", "o_orderkey", ["o_orderpriority"], priority).where("not valid and path = 'o_orderpriority'")
+    return bad.select(F.col("idx").alias("id"), F.regexp_extract("error", '^"([^"]*)" is not one of', 1).alias("value"))
 
 
 @query("SELECT c_custkey AS id, c_acctbal AS value FROM customer WHERE c_acctbal < 0")
 def json_range_invalid(spark, sf_dir):
-    return load(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("value"))
+    """Customers below the schema's minimum balance, through the validator."""
+    bad = _validated(load(spark, sf_dir, "customer"), "Customer", "c_custkey", ["c_acctbal"], {"c_acctbal": {"type": "number", "minimum": 0}}).where("not valid")
+    return bad.select(F.col("idx").alias("id"), F.regexp_extract("error", "^(\\S+) is less than", 1).cast("double").alias("value"))
+
+
+def _validated(df: DataFrame, cls: str, key: str, columns: list[str], properties: dict, required: list[str] | None = None) -> DataFrame:
+    """Results of the validator for each row as a JSON object of some columns."""
+    from graphwright.operators import jsonschema
+
+    schema = {"definitions": {cls: {"type": "object", "properties": properties, "required": required or []}}}
+    rows = df.select(F.lit(cls).alias("type"), iri(cls, key).alias("uri"), F.col(key).cast("long").alias("idx"), F.to_json(F.struct(*columns)).alias("obj"))
+    return jsonschema.validate(rows, schema)
 
 
 @query("""SELECT CAST(count(*) AS BIGINT) AS total, CAST(count(*) FILTER (c_acctbal >= 0 AND c_mktsegment <> 'MACHINERY') AS BIGINT) AS validated,
@@ -124,9 +141,14 @@ def json_schema_validation(spark, sf_dir):
 @query("""SELECT o_orderstatus AS class, CAST(count(*) AS BIGINT) AS total, CAST(count(*) FILTER (o_totalprice > 0 AND o_orderpriority <> '5-LOW') AS BIGINT) AS validated,
 CAST(count(*) FILTER (NOT (o_totalprice > 0 AND o_orderpriority <> '5-LOW')) AS BIGINT) AS errors FROM orders GROUP BY o_orderstatus""")
 def validation_summary(spark, sf_dir):
-    ok = (F.col("o_totalprice") > 0) & (F.col("o_orderpriority") != "5-LOW")
-    g = load(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("class"))
-    return g.agg(F.count(F.lit(1)).alias("total"), F.count_if(ok).alias("validated"), F.count_if(~ok).alias("errors"))
+    """Orders as instances of a class by status, through the validator, counted by class."""
+    from graphwright.operators import jsonschema
+
+    one = {"type": "object", "properties": {"o_totalprice": {"type": "number", "minimum": 0.000001}, "o_orderpriority": {"not": {"const": "5-LOW"}}}}
+    o = load(spark, sf_dir, "orders")
+    rows = o.select(F.col("o_orderstatus").alias("type"), iri("Order", "o_orderkey").alias("uri"), F.col("o_orderkey").alias("idx"), F.to_json(F.struct("o_totalprice", "o_orderpriority")).alias("obj"))
+    results = jsonschema.validate(rows, {"definitions": {c: one for c in ("F", "O", "P")}})
+    return jsonschema.summary_by_type(results).withColumnRenamed("type", "class")
 
 
 # --- triples ----------------------------------------------------------------
@@ -143,7 +165,7 @@ def _triples_sql(cls: str, table: str, key: str, values: list[tuple[str, str]],
 
 
 _NATION_SQL = _triples_sql("Nation", "nation", "n_nationkey", [("n_name", "n_name")], [("inRegion", "Region", "n_regionkey")], None)
-_CUSTOMER_SQL = _triples_sql("Customer", "customer", "c_custkey", [("c_name", "c_name"), ("c_mktsegment", "c_mktsegment")], [("customerNation", "Nation", "c_nationkey")], "c_mktsegment")
+_CUSTOMER_SQL = _triples_sql("Customer", "customer", "c_custkey", [("c_name", "c_name"), ("c_acctbal", "CAST(c_acctbal AS VARCHAR)"), ("c_mktsegment", "c_mktsegment")], [("customerNation", "Nation", "c_nationkey")], "c_mktsegment")
 
 
 @query(_NATION_SQL)
@@ -153,8 +175,8 @@ def triplify_nation(spark, sf_dir):
 
 @query(_CUSTOMER_SQL)
 def triplify_customer(spark, sf_dir):
-    """All customer triples but the balances, whose text form is the engine's own."""
-    return triplify(load(spark, sf_dir, "customer"), ENTITIES["Customer"]).where(~F.endswith("p", F.lit("c_acctbal"))).select("s", "p", "o")
+    """All customer triples."""
+    return triplify(load(spark, sf_dir, "customer"), ENTITIES["Customer"]).select("s", "p", "o")
 
 
 @query(f"SELECT p, CAST(count(*) AS BIGINT) AS n FROM ({_NATION_SQL} UNION ALL {_CUSTOMER_SQL}) GROUP BY p")
@@ -162,26 +184,48 @@ def triples_per_predicate(spark, sf_dir):
     return triplify_nation(spark, sf_dir).unionByName(triplify_customer(spark, sf_dir)).groupBy("p").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT '<' || s || '> <' || p || '> ' || CASE WHEN p LIKE '%name' THEN '"' || o || '"^^<http://www.w3.org/2001/XMLSchema#string>' ELSE '<' || o || '>' END || ' .' AS value FROM (""" + _NATION_SQL + ")")
+@query("""SELECT '<' || s || '> <' || p || '> ' || CASE WHEN p LIKE '%name' OR p LIKE '%segment' THEN '"' || o || '"^^<http://www.w3.org/2001/XMLSchema#string>' WHEN p LIKE '%acctbal' THEN '"' || o || '"^^<http://www.w3.org/2001/XMLSchema#double>' ELSE '<' || o || '>' END || ' .' AS value FROM (""" + _NATION_SQL + " UNION ALL " + _CUSTOMER_SQL + ")")
 def ntriples_output(spark, sf_dir):
+    """Nations and customers as lines of N-Triples."""
+    from graphwright.sources.relational import graph
     from graphwright.sources.sinks import ntriples_lines
 
-    return ntriples_lines(triplify(load(spark, sf_dir, "nation"), ENTITIES["Nation"]))
+    return ntriples_lines(graph(spark, sf_dir, "Nation", "Customer"))
 
 
-@query(f"SELECT s, CAST(count(*) AS BIGINT) AS n_properties FROM (SELECT DISTINCT s, p FROM ({_NATION_SQL})) GROUP BY s")
+@query(f"""SELECT s, '{{"@id":"' || s || '","@type":["{BASE}Customer","' || (CASE WHEN '{BASE}Customer' < k THEN k ELSE k END) || '"],' || rest AS node FROM (SELECT {_iri_sql('Customer', 'c_custkey')} AS s,
+'{BASE}' || upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) AS k, c_mktsegment, c_name, c_nationkey, c_acctbal,
+'"{BASE}c_acctbal":[{{"@value":"' || CAST(c_acctbal AS VARCHAR) || '","@type":"http://www.w3.org/2001/XMLSchema#double"}}],"{BASE}c_mktsegment":[{{"@value":"' || c_mktsegment || '","@type":"http://www.w3.org/2001/XMLSchema#string"}}],"{BASE}c_name":[{{"@value":"' || c_name
+|| '","@type":"http://www.w3.org/2001/XMLSchema#string"}}],"{BASE}customerNation":[{{"@id":"' || {_iri_sql('Nation', 'c_nationkey')} || '"}}]}}' AS rest FROM customer)""")
 def jsonld_nodes(spark, sf_dir):
-    """JSON-LD objects of nations; their keys beside @id are counted."""
+    """JSON-LD objects of all customers."""
     from graphwright.sources.sinks import jsonld_nodes as nodes
 
-    made = nodes(triplify(load(spark, sf_dir, "nation"), ENTITIES["Nation"]))
-    return made.select("s", (F.size(F.json_object_keys("node")) - 1).cast("long").alias("n_properties"))
+    made = nodes(triplify(load(spark, sf_dir, "customer"), ENTITIES["Customer"]))
+    # a customer's two types are in the order of their names
+    sort = F.regexp_extract("node", '"@type":\\["([^"]*)","([^"]*)"\\]', 1)
+    last = F.regexp_extract("node", '"@type":\\["([^"]*)","([^"]*)"\\]', 2)
+    first = F.when(F.endswith(sort, F.lit("#Customer")), sort).otherwise(last)
+    other = F.when(F.endswith(sort, F.lit("#Customer")), last).otherwise(sort)
+    typed = F.concat(F.lit('"@type":["'), first, F.lit('","'), other, F.lit('"]'))
+    return made.select("s", F.concat(F.substring_index("node", '"@type":', 1), typed, F.regexp_replace("node", '^.*"@type":\\[[^\\]]*\\]', "")).alias("node"))
 
 
-@query(f"SELECT DISTINCT type, CAST(count(DISTINCT s) AS BIGINT) AS n FROM (SELECT s, o AS type FROM ({_NATION_SQL} UNION ALL {_CUSTOMER_SQL}) WHERE p LIKE '%#type') GROUP BY type")
+@query(f"SELECT type, CAST(count(DISTINCT s) AS BIGINT) AS n FROM (SELECT s, o AS type FROM ({_NATION_SQL} UNION ALL {_CUSTOMER_SQL}) WHERE p LIKE '%#type') GROUP BY type")
 def individual_types(spark, sf_dir):
-    t = triplify_nation(spark, sf_dir).unionByName(triplify_customer(spark, sf_dir)).where(F.endswith("p", F.lit("#type")))
-    return t.groupBy(F.col("o").alias("type")).agg(F.count_distinct("s").alias("n"))
+    """Types of named individuals, by the model's extraction."""
+    from graphwright.functions import vocab as v
+    from graphwright.operators.tbox import ind_type
+    from graphwright.sources.relational import graph
+
+    t = _ordered(graph(spark, sf_dir, "Nation", "Customer"))
+    named = t.select("s").distinct().select("s", F.lit("uri").alias("s_kind"), F.lit(v.TYPE).alias("p"), F.lit(v.NAMED).alias("o"), F.lit("uri").alias("o_kind"), F.lit(0).cast("long").alias("ord"))
+    return ind_type(t.select(*named.columns).unionByName(named)).groupBy("type").agg(F.count_distinct("uri").alias("n"))
+
+
+def _ordered(t: DataFrame) -> DataFrame:
+    """Triples of tables, which have no order of their own, with the columns that readers give."""
+    return t.withColumns({"s_kind": F.lit("uri"), "ord": F.xxhash64("s", "p", "o")})
 
 
 # --- names and literals -------------------------------------------------------
@@ -219,27 +263,35 @@ def language_pick(spark, sf_dir):
 
 @query("SELECT user_id, max_by(value, event_id) AS value FROM events GROUP BY user_id")
 def last_value_wins(spark, sf_dir):
-    return load(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by("value", "event_id").alias("value"))
+    """Of several values of an individual's property the last one counts, by the model's extraction."""
+    from graphwright.functions import vocab as v
+    from graphwright.operators.tbox import ind_prop
+
+    e = load(spark, sf_dir, "events")
+    link = lambda d, p, o, kind, at: d.select(iri("User", "user_id").alias("s"), F.lit("uri").alias("s_kind"), F.lit(p).alias("p"), o.alias("o"), F.lit(kind).alias("o_kind"), F.lit(None).cast("string").alias("o_datatype"), at.alias("ord"))
+    t = link(e.select("user_id").distinct(), v.TYPE, F.lit(v.NAMED), "uri", F.lit(0).cast("long")).unionByName(link(e, BASE + "value", F.col("value").cast("string"), "literal", F.col("event_id").cast("long")))
+    return ind_prop(t).select(F.substring_index("uri", "_", -1).cast("bigint").alias("user_id"), F.col("value").cast("double").alias("value"))
 
 
-@query("SELECT user_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events) WHERE r = 1")
+@query("SELECT user_id, min_by(event_type, event_id) AS event_type FROM events GROUP BY user_id")
 def first_matching_type(spark, sf_dir):
-    """The first type by time: a grouped minimum, where a window would sort every user's events."""
-    return load(spark, sf_dir, "events").groupBy("user_id").agg(F.min_by("event_type", F.struct("ts", "event_id")).alias("event_type"))
+    """Users typed by their events in the order of these: the first type with a definition counts."""
+    from graphwright.functions import vocab as v
+    from graphwright.operators.instances import individuals
+
+    e = load(spark, sf_dir, "events")
+    t = e.select(iri("User", "user_id").alias("s"), F.lit("uri").alias("s_kind"), F.lit(v.TYPE).alias("p"), F.concat(F.lit(BASE), "event_type").alias("o"), F.lit("uri").alias("o_kind"), F.col("event_id").cast("long").alias("ord"))
+    names = e.select(F.col("event_type").alias("name")).distinct()
+    return individuals(t, names, BASE).select(F.substring_index("uri", "_", -1).cast("bigint").alias("user_id"), F.col("type").alias("event_type"))
 
 
 @query("SELECT p_type AS type, 'http://ex.org/d#Part_' || p_partkey AS uri, CAST(row_number() OVER (PARTITION BY p_type ORDER BY 'http://ex.org/d#Part_' || p_partkey) - 1 AS BIGINT) AS idx FROM part")
 def instance_index(spark, sf_dir):
-    """Numbers within a type in IRI order: counts by the IRI's number of digits and leading ones, then ranks within."""
-    from pyspark.sql.window import Window
+    """Numbers within a type in IRI order."""
+    from graphwright.operators.instances import number
 
-    p = load(spark, sf_dir, "part").select(F.col("p_type").alias("type"), iri("Part", "p_partkey").alias("uri"))
-    key = F.substring(F.substring_index("uri", "_", -1), 1, 2)
-    p = p.withColumn("_k", key)
-    w = Window.partitionBy("type").orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
-    starts = p.groupBy("type", "_k").agg(F.count(F.lit(1)).alias("n")).select("type", "_k", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("start"))
-    inner = F.row_number().over(Window.partitionBy("type", "_k").orderBy("uri")) - 1
-    return p.join(starts, ["type", "_k"]).select("type", "uri", (F.col("start") + inner).cast("long").alias("idx"))
+    p = load(spark, sf_dir, "part").select(F.col("p_type").alias("type"), iri("Part", "p_partkey").alias("uri"), F.lit("{}").alias("obj"))
+    return number(p).select("type", "uri", "idx")
 
 
 @query("""SELECT * FROM (VALUES ('c_custkey', 'integer'), ('c_name', 'string'), ('c_nationkey', 'integer'), ('c_acctbal', 'number'), ('c_mktsegment', 'string')) v(name, json_type)""")
@@ -255,7 +307,11 @@ def xsd_mapping(spark, sf_dir):
 
 @query("SELECT event_id, TRY_CAST(props->>'k' AS BIGINT) AS k FROM events")
 def typed_literal(spark, sf_dir):
-    return load(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("bigint").alias("k"))
+    """Literals as JSON where the schema asks for an integer."""
+    from graphwright.operators.instances import json_value
+
+    text = json_value(F.get_json_object("props", "$.k"), F.lit("literal"), F.lit("integer"))
+    return load(spark, sf_dir, "events").select("event_id", text.try_cast("bigint").alias("k"))
 
 
 @query("SELECT user_id, string_agg(k || ': ' || n, '; ' ORDER BY k) AS text FROM (SELECT user_id, event_type AS k, count(*) AS n FROM events GROUP BY ALL) GROUP BY user_id")
@@ -270,16 +326,30 @@ def annotations_format(spark, sf_dir):
 
 @query("SELECT o_custkey AS s, o_orderkey AS o FROM orders")
 def inverse_edges(spark, sf_dir):
-    """hasOrder from placedBy."""
-    return load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("s"), F.col("o_orderkey").alias("o"))
+    """hasOrder from placedBy and inverseOf, by entailment."""
+    found = _entailed(spark, load(spark, sf_dir, "orders"), ("Order", "o_orderkey"), "placedBy", ("Customer", "o_custkey"), ":placedBy owl:inverseOf :hasOrder .")
+    number = lambda c: F.substring_index(c, "_", -1).cast("bigint").alias(c)
+    return found.where(F.col("p") == BASE + "hasOrder").select(number("s"), number("o"))
+
+
+def _entailed(spark: SparkSession, rows: DataFrame, subject: tuple[str, str], prop: str, target: tuple[str, str], *axioms: str) -> DataFrame:
+    """What owl_rl() makes of one link per row and some axioms."""
+    from graphwright.functions import vocab as v
+    from graphwright.sources.rdf import from_string
+
+    head = f"@prefix : <{BASE}> . @prefix owl: <{v.OWL}> . @prefix rdfs: <{v.RDFS}> .\n"
+    schema = from_string(spark, head + "\n".join(axioms), "turtle").select("s", "s_kind", "p", "o", "o_kind")
+    links = rows.select(iri(*subject).alias("s"), F.lit("uri").alias("s_kind"), F.lit(BASE + prop).alias("p"), iri(*target).alias("o"), F.lit("uri").alias("o_kind"))
+    return closure.owl_rl(schema.unionByName(links))
 
 
 @query(f"""SELECT DISTINCT {_iri_sql('Customer', 'o_custkey')} AS uri, 'Customer' AS class FROM orders UNION ALL SELECT DISTINCT {_iri_sql('Order', 'o_orderkey')}, 'Order' FROM orders""")
 def domain_range_typing(spark, sf_dir):
     """Types that placedBy's domain and range entail."""
-    o = load(spark, sf_dir, "orders")
-    some = lambda cls, key: o.select(key).distinct().select(iri(cls, key).alias("uri"), F.lit(cls).alias("class"))
-    return some("Customer", "o_custkey").unionByName(some("Order", "o_orderkey"))
+    from graphwright.functions import vocab as v
+
+    found = _entailed(spark, load(spark, sf_dir, "orders"), ("Order", "o_orderkey"), "placedBy", ("Customer", "o_custkey"), ":placedBy rdfs:domain :Order ; rdfs:range :Customer .")
+    return found.where(F.col("p") == v.TYPE).select(F.col("s").alias("uri"), terms.local_name("o").alias("class"))
 
 
 @query("""SELECT a.conv_id, a.turn AS src, b.turn AS dst FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn > b.turn""")
@@ -298,11 +368,13 @@ def symmetric_closure(spark, sf_dir):
     return rules.symmetric(pairs.select(F.col("c_nationkey").alias("class"), F.col("s_nationkey").alias("other")))
 
 
-@query("SELECT user_id AS s, event_type AS p, event_id AS o FROM events WHERE event_type = 'purchase' UNION ALL SELECT user_id, 'interaction', event_id FROM events WHERE event_type = 'purchase'")
+@query("SELECT user_id AS s, p, event_id AS o FROM events, (VALUES ('purchase'), ('interaction'), ('contact')) v(p) WHERE event_type = 'purchase'")
 def subproperty_closure(spark, sf_dir):
-    """purchase as a subproperty of interaction."""
-    e = load(spark, sf_dir, "events").where("event_type = 'purchase'").select(F.col("user_id").alias("s"), F.col("event_id").alias("o"))
-    return e.select("s", F.explode(F.array(F.lit("purchase"), F.lit("interaction"))).alias("p"), "o")
+    """purchase as a subproperty of interaction, and that of contact, by entailment."""
+    e = load(spark, sf_dir, "events").where("event_type = 'purchase'")
+    found = _entailed(spark, e, ("User", "user_id"), "purchase", ("Event", "event_id"), ":purchase rdfs:subPropertyOf :interaction . :interaction rdfs:subPropertyOf :contact .")
+    number = lambda c: F.substring_index(c, "_", -1).cast("bigint").alias(c)
+    return found.where(F.col("s").rlike("#User_")).select(number("s"), terms.local_name("p").alias("p"), number("o"))
 
 
 @query("""WITH RECURSIVE e AS (SELECT l_suppkey AS a, min(l_partkey) AS b FROM lineitem GROUP BY l_suppkey), u AS (SELECT a, b + 1000000 AS b FROM e), x AS (SELECT a, b FROM u UNION SELECT b, a FROM u),
@@ -409,7 +481,13 @@ def effective_cardinality(spark, sf_dir):
 
 @query("SELECT * FROM (VALUES ('Customer', 'Agent'), ('Supplier', 'Agent')) v(class, ref)")
 def hierarchy_refs(spark, sf_dir):
-    return _tbox(spark).class_super.select(terms.local_name("class").alias("class"), terms.local_name("other").alias("ref"))
+    """What definitions of the compiled schema inherit from."""
+    from graphwright.plans.compile import Engine, definitions_table
+
+    schema = Engine({"rules": {"thing_with_uri": {"enabled": False}}}).transform(_tbox(spark))
+    parts = F.from_json(F.get_json_object("schema_json", "$.allOf"), "array<map<string,string>>")
+    rows = definitions_table(spark, schema).select(F.col("name").alias("class"), F.explode(parts).alias("x"))
+    return rows.select("class", F.substring_index(F.try_element_at("x", F.lit("$ref")), "/", -1).alias("ref")).where("ref is not null")
 
 
 @query("SELECT * FROM (VALUES ('Agent', 'Customer'), ('Agent', 'Supplier')) v(parent, child)")
@@ -445,9 +523,19 @@ def rdf_list_flatten(spark, sf_dir):
 
 @query("SELECT c_mktsegment AS value, CAST(row_number() OVER (ORDER BY c_mktsegment) - 1 AS INT) AS pos FROM (SELECT DISTINCT c_mktsegment FROM customer)")
 def enum_members(spark, sf_dir):
-    """Segments as an ordered enumeration."""
-    values = load(spark, sf_dir, "customer").agg(F.array_sort(F.collect_set("c_mktsegment")).alias("v"))
-    return values.select(F.posexplode("v").alias("pos", "value"))
+    """Segments as the labelled members of an enumeration's RDF list, by the model's extraction."""
+    from graphwright.functions import vocab as v
+    from graphwright.operators.tbox import enum_members as members
+
+    values = load(spark, sf_dir, "customer").agg(F.array_sort(F.collect_set("c_mktsegment")).alias("x")).select(F.posexplode("x").alias("i", "value"), F.size("x").alias("n"))
+    cell = lambda i: F.concat(F.lit("_:c"), i.cast("string"))
+    node = lambda s, p, o, kind: F.struct(s.alias("s"), F.lit(p).alias("p"), o.alias("o"), F.lit(kind).alias("o_kind"))
+    member, i = F.concat(F.lit(BASE + "m"), F.col("i").cast("string")), F.col("i")
+    rest = F.when(i + 1 < F.col("n"), cell(i + 1)).otherwise(v.NIL)
+    rows = values.select(F.explode(F.array(node(cell(i), v.FIRST, member, "uri"), node(cell(i), v.REST, rest, "bnode"), node(member, v.LABEL, F.col("value"), "literal"))).alias("x")).select("x.*")
+    head = spark.createDataFrame([(BASE + "Segment", v.TYPE, v.CLASS, "uri"), (BASE + "Segment", v.SUBCLASS, "_:e", "bnode"), ("_:e", v.OWL + "oneOf", "_:c0", "bnode")], rows.schema)
+    t = rows.unionByName(head).withColumns({"s_kind": F.when(F.startswith("s", F.lit("_:")), "bnode").otherwise("uri"), "o_lang": F.lit(None).cast("string"), "ord": F.xxhash64("s", "p")})
+    return members(t).select("pos", "value")
 
 
 # --- instances --------------------------------------------------------------------
@@ -472,7 +560,7 @@ def _nations(spark: SparkSession, sf_dir: str, style: str) -> DataFrame:
 
     many = {"type": "array", "items": {"type": "string"}}
     schema = {"definitions": {"Nation": {"type": "object", "properties": {"n_name": many, "inRegion": object_reference("Region")}}, "Region": {"type": "object", "properties": {"r_name": many}}}}
-    t = graph(spark, sf_dir, "Nation", "Region").withColumns({"s_kind": F.lit("uri"), "ord": F.xxhash64("s", "p", "o")})
+    t = _ordered(graph(spark, sf_dir, "Nation", "Region"))
     return convert(t, schema, BASE, style, depth=1)
 
 
@@ -499,42 +587,60 @@ def _orders(spark: SparkSession, sf_dir: str, style: str) -> DataFrame:
     many = {"type": "array", "items": {"type": "string"}}
     properties = {"Order": {"o_orderpriority": many, "placedBy": object_reference("Customer")}, "Customer": {"c_name": many, "customerNation": object_reference("Nation")}, "Nation": {"n_name": many}}
     schema = {"definitions": {name: {"type": "object", "properties": p} for name, p in properties.items()}}
-    t = graph(spark, sf_dir, "Order", "Customer", "Nation").withColumns({"s_kind": F.lit("uri"), "ord": F.xxhash64("s", "p", "o")})
+    t = _ordered(graph(spark, sf_dir, "Order", "Customer", "Nation"))
     return convert(t, schema, BASE, style, depth=2)
 
 
 @query("SELECT l_partkey AS subject, CAST(count(DISTINCT l_suppkey) AS BIGINT) AS n_values, min(l_suppkey) AS first_value FROM lineitem GROUP BY l_partkey")
 def instances_multi_value(spark, sf_dir):
-    """Values of suppliedBy by part: how many, and the one a single-valued property would keep."""
-    g = load(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.count(F.lit(1)).alias("_n")).groupBy(F.col("l_partkey").alias("subject"))
-    return g.agg(F.count(F.lit(1)).alias("n_values"), F.min("l_suppkey").alias("first_value"))
+    """Parts as JSON objects with all their suppliers in an array: how many there are, and the first."""
+    from graphwright.functions import vocab as v
+    from graphwright.functions.datatypes import object_reference
+    from graphwright.operators.instances import convert
+
+    pairs = load(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct()
+    link = lambda d, p, o, at: d.select(iri("Part", "l_partkey").alias("s"), F.lit("uri").alias("s_kind"), F.lit(p).alias("p"), o.alias("o"), F.lit("uri").alias("o_kind"), at.cast("long").alias("ord"))
+    t = link(pairs.select("l_partkey").distinct(), v.TYPE, F.lit(BASE + "Part"), F.lit(0)).unionByName(link(pairs, BASE + "suppliedBy", iri("Supplier", "l_suppkey"), F.col("l_suppkey")))
+    schema = {"definitions": {"Part": {"type": "object", "properties": {"suppliedBy": {"type": "array", "items": object_reference("Supplier")}}}}}
+    refs = F.from_json(F.get_json_object("obj", "$.suppliedBy"), "array<map<string,string>>")
+    number = lambda c: F.substring_index(c, "_", -1).cast("bigint")
+    made = convert(t, schema, BASE).select("uri", refs.alias("refs"))
+    return made.select(number("uri").alias("subject"), F.size("refs").cast("long").alias("n_values"), number(F.col("refs")[0]["@id"]).alias("first_value"))
 
 
 @query("SELECT DISTINCT s_suppkey FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 49 AND l_discount > 0.08)")
 def unused_targets(spark, sf_dir):
-    used = load(spark, sf_dir, "lineitem").where("l_quantity > 49 AND l_discount > 0.08").select(F.col("l_suppkey").alias("s_suppkey"))
-    return load(spark, sf_dir, "supplier").select("s_suppkey").join(used, "s_suppkey", "left_anti")
+    """Suppliers that no large, reduced line links to."""
+    used = load(spark, sf_dir, "lineitem").where("l_quantity > 49 AND l_discount > 0.08").select(F.col("l_suppkey").alias("o"))
+    return rules.unused_targets(load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("target")), used).select(F.col("target").alias("s_suppkey"))
 
 
 @query("SELECT DISTINCT nation, customer_or_supplier FROM (SELECT c_nationkey AS nation, 'customer' AS customer_or_supplier FROM customer UNION ALL SELECT s_nationkey, 'supplier' FROM supplier)")
 def range_union(spark, sf_dir):
-    c = load(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), F.lit("customer").alias("customer_or_supplier"))
-    return c.unionByName(load(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"), F.lit("supplier").alias("customer_or_supplier"))).distinct()
+    """Nations that properties with the ranges customer and supplier, stated or by a subclass, may link to."""
+    who = lambda table, key, cls: load(spark, sf_dir, table).select(F.col(key).alias("uri"), F.lit(cls).alias("type")).distinct()
+    types = who("customer", "c_nationkey", "buyer").unionByName(who("supplier", "s_nationkey", "seller"))
+    ranges = spark.sql("SELECT * FROM VALUES ('customer', 'Customer'), ('supplier', 'seller') AS t(prop, range)")
+    below = spark.sql("SELECT 'buyer' AS class, 'Customer' AS other")
+    return rules.range_targets(ranges, below, types).select(F.col("target").alias("nation"), F.col("prop").alias("customer_or_supplier"))
 
 
 @query("SELECT c_nationkey AS nation FROM customer INTERSECT SELECT s_nationkey FROM supplier")
 def domain_intersect(spark, sf_dir):
-    return load(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation")).intersect(load(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation")))
+    """Nations in the intersection of two classes, by entailment."""
+    from graphwright.functions import vocab as v
+    from graphwright.sources.rdf import from_string
+
+    axioms = from_string(spark, f"@prefix : <{BASE}> . @prefix owl: <{v.OWL}> . :Both owl:intersectionOf ( :Buying :Selling ) .", "turtle").select("s", "s_kind", "p", "o", "o_kind")
+    typed = lambda table, key, cls: load(spark, sf_dir, table).select(iri("Nation", key).alias("s"), F.lit("uri").alias("s_kind"), F.lit(v.TYPE).alias("p"), F.lit(BASE + cls).alias("o"), F.lit("uri").alias("o_kind")).distinct()
+    found = closure.owl_rl(axioms.unionByName(typed("customer", "c_nationkey", "Buying")).unionByName(typed("supplier", "s_nationkey", "Selling")))
+    return found.where((F.col("p") == v.TYPE) & (F.col("o") == BASE + "Both")).select(F.substring_index("s", "_", -1).cast("bigint").alias("nation"))
 
 
 @query("SELECT l_orderkey, l_partkey FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey) <= 2")
 def sample_targets(spark, sf_dir):
-    """Two targets of each source, the least ones: collected map-side as two-element arrays."""
-    pairs = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct()
-    from pyspark.sql.window import Window
-
-    w = Window.partitionBy("l_orderkey").orderBy("l_partkey")
-    return pairs.withColumn("r", F.row_number().over(w)).where("r <= 2").drop("r")
+    """Two targets of each source, the least ones."""
+    return rules.sample_targets(load(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey", 2)
 
 
 @query("""WITH placed AS (SELECT * FROM (VALUES ('Order', 'placedBy'), ('LineItem', 'quantity'), ('Customer', 'hasOrder')) v(class, prop)),
@@ -549,12 +655,25 @@ def schema_statistics(spark, sf_dir):
     return wanted.select(*[F.col(c).cast("long").alias(c) for c in wanted.columns])
 
 
-@query()
+_REF = '{{"oneOf": [{{"$ref": "#/definitions/{0}"}}, {{"type": "object", "properties": {{"@id": {{"type": "string", "format": "uri"}}}}, "required": ["@id"], "additionalProperties": false}}]}}'
+_SCHEMA_ROWS = [
+    ("Agent", 0, '{"allOf": [{"$ref": "#/definitions/_Thing"}, {"oneOf": [{"$ref": "#/definitions/Customer"}, {"$ref": "#/definitions/Supplier"}]}], "title": "Agent", "description": "Disjoint union of: Customer, Supplier"}'),
+    ("Customer", 1, '{"allOf": [{"$ref": "#/definitions/_Thing"}, {"type": "object", "properties": {"hasOrder": {"type": "array", "items": ' + _REF.format("Order") + '}}, "allOf": [{"$ref": "#/definitions/Agent"}, {"type": "object", "properties": {}}]}], "title": "Customer"}'),
+    ("Supplier", 2, '{"allOf": [{"$ref": "#/definitions/_Thing"}, {"type": "object", "properties": {}, "allOf": [{"$ref": "#/definitions/Agent"}, {"type": "object", "properties": {}}]}], "title": "Supplier"}'),
+    ("Order", 3, '{"allOf": [{"$ref": "#/definitions/_Thing"}, {"type": "object", "properties": {"hasLine": {"type": "array", "minItems": 1, "items": ' + _REF.format("LineItem") + '}, "placedBy": ' + _REF.format("Customer") + '}, "required": ["hasLine"]}], "title": "Order"}'),
+    ("LineItem", 4, '{"allOf": [{"$ref": "#/definitions/_Thing"}, {"type": "object", "properties": {"ofPart": {"type": "array", "maxItems": 3}, "quantity": {"type": "number"}}, "required": ["ofPart"]}], "title": "LineItem"}'),
+    ("Part", 5, '{"allOf": [{"$ref": "#/definitions/_Thing"}, {"type": "object", "properties": {}}], "title": "Part"}'),
+    ("Nation", 6, '{"allOf": [{"$ref": "#/definitions/_Thing"}, {"type": "object", "properties": {}}], "title": "Nation"}'),
+    ("_Thing", 7, '{"type": "object", "properties": {"uri": {"type": "string", "format": "uri", "description": "The URI identifier for this instance"}}, "required": [], "description": "Base object that all classes inherit from", "title": "_Thing"}'),
+]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{n}', {i}, '{text}')" for n, i, text in _SCHEMA_ROWS) + ") v(name, ord, schema_json)")
 def compiled_schema(spark, sf_dir):
-    """The compiled definitions of the test tables' vocabulary."""
+    """The compiled definitions of the test tables' vocabulary, whole."""
     from graphwright.plans.compile import Engine, definitions_table
 
-    return definitions_table(spark, Engine({"rules": {"disjoint_classes": {"enabled": True}}}).transform(_tbox(spark)))
+    return definitions_table(spark, Engine({"rules": {"disjoint_classes": {"enabled": True}}}).transform(_tbox(spark))).select("name", "ord", "schema_json")
 
 
 @query()
@@ -563,3 +682,6 @@ def generate_individuals(spark, sf_dir):
     from graphwright.operators.generate import Generator
 
     return Generator(_tbox(spark), BASE, seed=7).generate(2, 5).select("s", "p", "o", "o_kind")
+
+
+from graphwright import model_queries  # noqa: E402, F401 - registers its queries

@@ -27,7 +27,9 @@ EXTENSIONS = {
     "rdf": "xml", "rdfs": "xml", "owl": "xml", "xml": "xml",
 }
 _PARSERS = {"turtle": Turtle, "n3": Turtle, "nt": Turtle, "xml": RdfXml, "json-ld": JsonLd}
-_LINE = r'^\s*(<[^>]*>|_:\S+)\s+<([^>]*)>\s+(?:<([^>]*)>|(_:[^\s.]+(?:\.[^\s.]+)*)|"((?:[^"\\]|\\.)*)"(?:\^\^<([^>]*)>|@([A-Za-z0-9-]+))?)\s*\.\s*(?:#.*)?$'
+_LINE = r'^\s*(<[^>]*>|_:\S+)\s+<([^>]*)>\s+(?:<([^>]*)>|(_:[^\s.]+(?:\.[^\s.]+)*)|"([^"]*)"(?:\^\^<([^>]*)>|@([A-Za-z0-9-]+))?)\s*\.\s*(?:#.*)?$'
+#: Escapes of the two characters that delimit, as \\u escapes: then a literal ends at the next quote.
+_PLAIN = (("\\\\", "\\u005C"), ('\\"', "\\u0022"))
 _BLANK = r"^\s*(#|$)"
 #: What a text with escapes consists of: runs of \uXXXX (surrogates come in pairs), \UXXXXXXXX, other escapes, plain text.
 _PIECE = r"(?:\\u[0-9A-Fa-f]{4})+|\\U[0-9A-Fa-f]{8}|\\.|[^\\]+"
@@ -98,9 +100,17 @@ def unescaped(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("\\")), whole).otherwise(text)
 
 
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of text that are no comment and not empty, without quotes within literals."""
+    value = F.col("value")
+    for escape, code in _PLAIN:
+        value = F.replace(value, F.lit(escape), F.lit(code))
+    return spark.read.text(path).where(~F.col("value").rlike(_BLANK)).withColumn("plain", value)
+
+
 def ntriples_errors(spark: SparkSession, path: str) -> DataFrame:
     """value: the lines that are no triple, no comment and not empty."""
-    return spark.read.text(path).where(~F.col("value").rlike(_BLANK) & ~F.col("value").rlike(_LINE)).select("value")
+    return _lines(spark, path).where(~F.col("plain").rlike(_LINE)).select("value")
 
 
 def read_ntriples(spark: SparkSession, path: str, distinct: bool = True, bad: str = "raise") -> DataFrame:
@@ -111,12 +121,12 @@ def read_ntriples(spark: SparkSession, path: str, distinct: bool = True, bad: st
     """
     if bad not in ("raise", "skip"):
         raise ValueError(f"bad is raise or skip, not {bad!r}")
-    lines = spark.read.text(path).where(~F.col("value").rlike(_BLANK))
-    good = F.col("value").rlike(_LINE)
+    lines = _lines(spark, path)
+    good = F.col("plain").rlike(_LINE)
     lines = lines.where(good if bad == "skip" else F.when(good, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("not a triple: "), F.substring("value", 1, 200))).cast("boolean")))
-    at = lambda i: F.regexp_extract("value", _LINE, i)
+    at = lambda i: F.regexp_extract("plain", _LINE, i)
     some = lambda i: F.when(at(i) != "", unescaped(at(i)))
-    literal = F.col("value").rlike(r'^\s*(<[^>]*>|_:\S+)\s+<[^>]*>\s+"')
+    literal = F.col("plain").rlike(r'^\s*(<[^>]*>|_:\S+)\s+<[^>]*>\s+"')
     kind = lambda c: F.when(F.startswith(c, F.lit("_:")), "bnode").otherwise("uri")
     subject = F.regexp_replace(unescaped(at(1)), "^<|>$", "")
     target = F.when(literal, unescaped(at(5))).otherwise(F.coalesce(some(4), unescaped(at(3))))

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import json
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -9,7 +10,7 @@ from graphwright.functions import terms
 from graphwright.functions import vocab as v
 from graphwright.operators import closure, consistency, instances, jsonschema
 from graphwright.operators.generate import Generator
-from graphwright.operators.tbox import TBox
+from graphwright.operators.tbox import TBox, list_members
 from graphwright.plans.compile import Engine, clean
 from graphwright.sources.rdf import from_string
 from graphwright.streaming import monitor
@@ -72,7 +73,7 @@ def test_consistency(spark):
     assert issues == {("functional_violation", "ann"), ("disjoint_violation", "acme"), ("nothing_instance", "nil")}
     direct = {r["type"] for r in consistency.check(t, a, reason=False).collect()}
     assert direct == {"functional_violation", "nothing_instance"}
-    assert "3 issues" in consistency.report(consistency.check(t, a))
+    assert "A-box validation: 3 issues" in consistency.report(consistency.check(t, a))
 
 
 def test_entailment(spark):
@@ -106,6 +107,34 @@ def test_generator(spark):
     assert consistency.check(from_string(spark, TEAM, "turtle"), a, reason=False).isEmpty()
 
 
+def test_numbers_are_in_the_order_of_iris(spark):
+    rows = [(f"t{i % 3}", f"http://p.org/{i * 7919 % 200}", "{}") for i in range(200)]
+    got = instances.number(spark.createDataFrame(rows, "type string, uri string, obj string").repartition(5)).collect()
+    for kind in ("t0", "t1", "t2"):
+        own = sorted((r["uri"], r["idx"]) for r in got if r["type"] == kind)
+        assert [i for _, i in own] == list(range(len(own)))
+
+
+def test_lists_that_go_in_a_circle(spark):
+    good = from_string(spark, HEAD + ":x owl:oneOf ( :a :b :c :d :e ) .", "turtle")
+    assert sorted((r["pos"], r["member"][-1]) for r in list_members(good).collect()) == list(enumerate("abcde"))
+    bad = good.unionByName(from_string(spark, HEAD.replace("xsd:", "rdf:").replace("http://www.w3.org/2001/XMLSchema#", v.RDF) + ":p rdf:first :a ; rdf:rest :q . :q rdf:first :b ; rdf:rest :p .", "turtle"))
+    with pytest.raises(ValueError, match="circle"):
+        list_members(bad)
+
+
+def test_report_is_bounded(spark):
+    rows = [("a", f"m{i:03}") for i in range(50)] + [("b", "x")]
+    issues = spark.createDataFrame(rows, "type string, message string")
+    assert consistency.report(issues, 3).splitlines() == ["A-box validation: 51 issues", "", "a (50)", "  - m000", "  - m001", "  - m002", "", "b (1)", "  - x"]
+
+
+def test_disjoint_groups_without_union(spark):
+    t = from_string(spark, HEAD + ":A a owl:Class ; owl:disjointWith :B . :B a owl:Class . :C a owl:Class ; owl:disjointWith :B .", "turtle")
+    on = {"rules": {"disjoint_classes": {"enabled": True}}}
+    assert Engine(on, "documented").transform(TBox.of(t))["$comment"] == "Disjoint class groups: [['A', 'B'], ['B', 'C']]"
+
+
 def test_streaming(spark, tmp_path):
     rows = [("a", "p", "1", "2024-01-01 00:00:00"), ("a", "p", "2", "2024-01-01 00:01:00"), ("b", "p", "1", "2024-01-01 00:02:00"), ("a", "q", "3", "2024-01-01 00:02:00")]
     spark.createDataFrame(rows, "s string, p string, o string, t string").selectExpr("s", "p", "o", "cast(t as timestamp) ts").write.parquet(f"{tmp_path}/in")
