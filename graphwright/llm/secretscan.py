@@ -5,9 +5,14 @@ The CRF tags tokens as the beginning or the inside of a secret, or as outside,
 from a token's shape, its neighbours and features of the whole text, and adds
 what it decodes (Viterbi) beside the patterns' spans.
 
-It is trained on the driver by maximum likelihood, on at most TRAIN_WINDOWS
-windows of a few dozen tokens, chosen by the hash of their doc_id among all
-documents and labelled by the patterns.
+It is trained on the driver by maximum likelihood on windows of a few dozen
+tokens: TRAIN_WINDOWS passages at most, chosen by the hash of their doc_id among
+all documents and labelled by the patterns; and, so that it learns more than
+the patterns know, the same passages with made-up secrets in them (PER_PASSAGE
+each): other keywords, other signs or words between keyword and value, headers,
+keys told by their prefix; and with what only looks like one: short hexadecimal
+numbers, base64 in prose, versions, dates, names of files, keywords before plain
+words.  All of it follows from the seed.
 
 Decoding covers every token, but most need no work: a token is certain to be
 outside if, with no keyword, assignment sign or quote among the four tokens
@@ -20,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import random
 import re
 import uuid
 from collections.abc import Iterator
@@ -42,6 +48,8 @@ _HINTS = (b"passw", b"secret", b"token", b"api")
 _LONG_HEX = re.compile(rb"[0-9a-f]{24}")
 
 TRAIN_WINDOWS = 1200
+#: Made-up secrets, and as many look-alikes, that a passage is used with.
+PER_PASSAGE = 1
 #: Words before and after the middle of a training window.
 REACH = 12
 CACHE_SIZE = 1 << 19
@@ -49,6 +57,8 @@ CACHE_SIZE = 1 << 19
 _TOKEN = re.compile(r"[A-Za-z0-9+/_.\-]+|[^\x00-\x7F]+|[^\x20\x09-\x0D]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _KEYWORD = re.compile(r"(?i:passw|passphrase|pwd$|secret|token|api_?key|credential|auth|bearer|private|^key$)", re.ASCII)
+#: Some letters, a sign, and a long rest with letters and digits in one piece.
+_PREFIXED = re.compile(r"[A-Za-z]{2,6}[_-](?:[a-z]{2,6}[_-])?(?=[A-Za-z_-]*[0-9])(?=[0-9_-]*[A-Za-z])[A-Za-z0-9_-]{16,}$")
 B, I, O = 0, 1, 2  # noqa: E741
 
 Span = tuple[int, int, int]
@@ -78,7 +88,7 @@ def _may_match(raw: bytes) -> bool:
 _LENGTHS = (2, 6, 12, 20, 32)
 _SHAPES = ("lower", "title", "upper", "digits", "hexlike", "mixed", "sign", "beyond", "other")
 _CONTEXTS = ("kw", "eq", "quote", "letters", "digits", "other", "none")
-_LEADS = ("kw eq", "eq", "kw", "none")
+_LEADS = ("kw eq", "eq", "kw", "kw word", "none")
 _FILE = ("digits", "code")
 
 
@@ -120,12 +130,19 @@ def _own_names(tok: str) -> list[str]:
         out.append(f"varied{min(4, int(5 * len(set(tok)) / min(len(tok), 32)))}")
     if _KEYWORD.search(tok):
         out.append("keyword")
+    if shape == "mixed":
+        if _PREFIXED.match(tok):
+            out.append("prefixed")
+        if any(c.isupper() for c in tok) and any(c.islower() for c in tok):
+            out.append("both cases")
+        signs = sum(not c.isalnum() for c in tok)
+        out.append(f"signs{min(3, signs)}")
     return out
 
 
 NAMES = ["bias"]
 NAMES += [f"len{n}" for n in range(6)] + [f"shape {s}" for s in _SHAPES] + [f"{s} {n}" for s in _SHAPES for n in range(6)]
-NAMES += [f"digits{n}" for n in range(4)] + [f"varied{n}" for n in range(5)] + ["keyword"]
+NAMES += [f"digits{n}" for n in range(4)] + [f"varied{n}" for n in range(5)] + ["keyword", "prefixed", "both cases"] + [f"signs{n}" for n in range(4)]
 NAMES += [f"lead {x}" for x in _LEADS] + [f"before {x}" for x in _CONTEXTS] + [f"after {x}" for x in _CONTEXTS] + [f"file {x}" for x in _FILE]
 INDEX = {n: i for i, n in enumerate(NAMES)}
 
@@ -135,7 +152,9 @@ def _lead(before: list[str]) -> str:
     seen = [c for c in before[-4:] if c != "quote"]
     if seen and seen[-1] == "eq":
         return "kw eq" if "kw" in seen[:-1] else "eq"
-    return "kw" if seen and seen[-1] == "kw" else "none"
+    if seen and seen[-1] == "kw":
+        return "kw"
+    return "kw word" if len(seen) > 1 and seen[-2] == "kw" else "none"
 
 
 def file_features(raw: bytes) -> list[str]:
@@ -320,14 +339,17 @@ class Scanner:
 
 # --- training windows -------------------------------------------------------
 
+#: Characters of a passage before and behind its middle.
+_AROUND = 400
+
 
 def labelled_window(text: str, spans: list[Span], word_at: int) -> tuple[list[str], list[int]]:
-    """Tokens and tags of the words around the one at `word_at`; tags are the patterns'."""
-    words = list(_WORD.finditer(text, max(0, word_at - 400), min(len(text), word_at + 400)))
+    """Tokens and tags of the words around the one at `word_at`; secrets are the spans, of assignments the value."""
+    words = list(_WORD.finditer(text, max(0, word_at - _AROUND), min(len(text), word_at + _AROUND)))
     mid = next((k for k, m in enumerate(words) if m.end() > word_at), 0)
     near = words[max(0, mid - REACH) : mid + REACH]
     secret = [ASSIGN.match(text, a).span(2) if k == 0 else (a, z) for a, k, z in spans]
-    tokens = [t for m in near for t in _TOKEN.finditer(text, m.start(), m.end())][:64]
+    tokens = [t for m in near for t in _TOKEN.finditer(text, m.start(), m.end())][:48]
     tags: list[int] = []
     for t in tokens:
         inside = next((s for s in secret if s[0] <= t.start() < s[1]), None)
@@ -335,13 +357,76 @@ def labelled_window(text: str, spans: list[Span], word_at: int) -> tuple[list[st
     return [t[0] for t in tokens], tags
 
 
+_LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+_KEYS = "credential credentials pwd db_pwd passphrase auth authorization private_key client_secret secret_key access_token session_token password passwd api-key signing_key token secret".split()
+_HEADERS = ("Bearer ", "bearer ", "Authorization: Bearer ", "authorization: Basic ", "x-api-key: ", "private_key ")
+_SIGNS = ("=", ": ", " = ", ":", " : ", " is ", " was ", ' "', ": '", '="')
+_PREFIXES = "gh sk pk xox glp npm key tok pat shp ak rk".split()
+_PLAIN_WORDS = "none required missing stored expired unknown empty here below optional hidden rotated".split()
+
+
+def _random(rng: random.Random, letters: str, n: int) -> str:
+    return "".join(rng.choice(letters) for _ in range(n))
+
+
+def made_secret(rng: random.Random) -> tuple[str, str]:
+    """A phrase, and the secret in it."""
+    letters = rng.choice([_LOWER + _DIGITS, _LOWER + _UPPER + _DIGITS, _LOWER + _UPPER + _DIGITS, _LOWER + _UPPER + _DIGITS + "+/", _UPPER + _DIGITS, _LOWER + _UPPER + _DIGITS + "-_."])
+    value = _random(rng, letters, rng.randint(10, 44))
+    at = rng.randrange(1, len(value))
+    value = rng.choice(_LOWER + _UPPER) + value[:at] + rng.choice(_DIGITS) + value[at:] + rng.choice(_LOWER + _DIGITS)
+    form = rng.random()
+    if form < 0.6:
+        sign = rng.choice(_SIGNS)
+        if sign[-1] in "\"'":
+            return rng.choice(_KEYS) + sign + value + sign[-1], value
+        return rng.choice(_KEYS) + sign + value, value
+    if form < 0.8:
+        if rng.random() < 0.5:
+            value = "ey" + value + "." + _random(rng, _LOWER + _UPPER + _DIGITS + "-_", 30)
+        return rng.choice(_HEADERS) + value, value
+    value = rng.choice(_PREFIXES) + rng.choice(["_", "-", "p_", "b-", "_live_", "-test-"]) + _random(rng, _LOWER + _UPPER + _DIGITS, rng.randint(20, 40)) + rng.choice(_DIGITS)
+    return rng.choice(["", "", "use ", "with "]) + value, value
+
+
+def look_alike(rng: random.Random) -> str:
+    """What is no secret: codes and numbers in prose, keywords before plain words."""
+    code, n = _random(rng, "0123456789abcdef", rng.randint(6, 20)), rng.randint(1, 40)
+    kind = rng.randrange(9)
+    if kind < 2:
+        return f"{rng.choice(['the', 'a', 'no', 'your'])} {rng.choice(_KEYS)}{rng.choice([' ', ': ', ' is ', ' = ', ' was '])}{rng.choice(_PLAIN_WORDS)}"
+    return [
+        f"commit {code}", f"{rng.choice(['checksum', 'digest', 'id', 'build'])} {code.upper()}", f"v{n}.{rng.randint(0, 20)}.{rng.randint(0, 99)}",
+        f"20{n:02}-0{rng.randint(1, 9)}-1{rng.randint(0, 9)}T1{rng.randint(0, 9)}:00", f"data {_random(rng, _LOWER + _UPPER + _DIGITS + '+/', rng.randint(16, 60))}",
+        f"{rng.choice(['report', 'img', 'table'])}_{n}_final{rng.randint(1, 9)}.pdf", f"{rng.choice(['id', 'ref', 'case', 'name'])}{rng.choice(['=', ': '])}{rng.choice(['AB', 'x', 'item'])}{rng.randint(100, 99999)}",
+    ][kind - 2]
+
+
+def examples(passages: list[tuple[str, int]], seed: int = 41) -> list[tuple[list[str], list[int]]]:
+    """Labelled windows of passages, each (text, its middle): as they are, with made-up secrets, and with look-alikes."""
+    rng, out = random.Random(seed), []
+    for text, mid in passages:
+        out.append(labelled_window(text, base_spans(text), mid))
+        for k in range(2 * PER_PASSAGE):
+            at = text.find(" ", min(mid + rng.randint(-60, 60), len(text) - 1) % max(1, len(text)))
+            at = len(text) if at < 0 else at
+            phrase, secret = made_secret(rng) if k % 2 == 0 else (look_alike(rng), None)
+            whole = f"{text[:at]} {phrase}{rng.choice(['', '', '.', ','])} {text[at:]}"
+            spans, start = base_spans(whole), at + 1
+            if secret:
+                start += phrase.index(secret)
+                spans = [x for x in spans if x[2] <= at + 1 or x[0] >= at + 1 + len(phrase)] + [(start, 3, start + len(secret))]
+            out.append(labelled_window(whole, sorted(spans), start))
+    return [x for x in out if x[1]]
+
+
 _DIGIT = re.compile(r"[0-9]")
 
 
 def _windows(most: int):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of the documents with the lowest hashes, `most` with a pattern's match (a window around the first) and
-        `most` without (one where a digit is, or at the start), one window each."""
+        """Of the documents with the lowest hashes, `most` with a pattern's match (a passage around the first) and
+        `most` without (one where a digit is, or at the start), one passage each."""
         best: dict[bool, list[tuple]] = {True: [], False: []}
         for batch in batches:
             data, offsets = tv.buffers(batch.column("text"))
@@ -358,28 +443,30 @@ def _windows(most: int):
                 if len(kept) >= most and rank >= -kept[0][0]:
                     continue
                 hit = _DIGIT.search(text)
-                tokens, tags = labelled_window(text, spans, spans[0][0] if spans else hit.start() if hit else 0)
-                if tags:
-                    heapq.heappush(kept, (-rank, tokens, tags, file_features(raw)))
-                    if len(kept) > most:
-                        heapq.heappop(kept)
+                mid = spans[0][0] if spans else hit.start() if hit else 0
+                lo = max(0, mid - _AROUND)
+                heapq.heappush(kept, (-rank, text[lo : mid + _AROUND], mid - lo, file_features(raw)))
+                if len(kept) > most:
+                    heapq.heappop(kept)
         rows = [(-x[0], hit, *x[1:]) for hit, xs in best.items() for x in xs]
         columns = list(zip(*rows, strict=True)) or [[]] * 5
-        kinds = (pa.int64(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.string()))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["rank", "hit", "tokens", "tags", "file"])
+        kinds = (pa.int64(), pa.bool_(), pa.string(), pa.int32(), pa.list_(pa.string()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["rank", "hit", "passage", "mid", "file"])
 
     return f
 
 
 def train(docs: DataFrame, windows: int = TRAIN_WINDOWS) -> CRF:
-    """A CRF from at most `windows` windows, half of them with a match if there are so many."""
+    """A CRF from at most `windows` passages, half of them with a match if there are so many."""
     slim = docs.select(F.xxhash64(F.col("doc_id")).alias("rank"), "text")
-    kind = "rank long, hit boolean, tokens array<string>, tags array<int>, file array<string>"
+    kind = "rank long, hit boolean, passage string, mid int, file array<string>"
     found = table(slim.mapInArrow(_windows(windows // 2), kind), "windows").coalesce(8)
-    got = []
+    sequences = []
     for hit in (True, False):
-        got += found.where(F.col("hit") == F.lit(hit)).orderBy("rank", "tokens", "tags").limit(windows // 2).collect()
-    return CRF.fit([(_feature_rows(r["tokens"], ["none"], "none", r["file"]), r["tags"]) for r in got])
+        rows = found.where(F.col("hit") == F.lit(hit)).orderBy("rank", "passage").limit(windows // 2).collect()
+        for i, r in enumerate(rows):
+            sequences += [(_feature_rows(t, ["none"], "none", r["file"]), y) for t, y in examples([(r["passage"], r["mid"])], 41 + i)]
+    return CRF.fit(sequences)
 
 
 _scanners: dict[str, Scanner] = {}
