@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphwright.llm.common import dropped, table
 
 
+#: A node with more than one in HOT of all edges is joined by a broadcast: HOT at most are.
+HOT = 1000
+
+
 def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
     """(node, root) of every node that has an edge; root is the least node of its component.
 
@@ -15,7 +19,8 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
     shrinks the edges to stars in a number of rounds that grows with the
     logarithm of the longest path.  Every round is two grouped minima, with
     partial aggregation before the shuffle, joined back to the edges; it is
-    written to the shared folder.  Only a count and a checksum reach the driver.
+    written to the shared folder.  The centres of large stars are few and are
+    broadcast with their minima.  Only a count and a checksum reach the driver.
     """
     now = table(
         edges.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v")).where("u <> v").distinct(),
@@ -27,17 +32,9 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
         if not state[0]:
             break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = table(large, "edges")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(least, "u")
-            .where("v <> m")
-            .select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(least.select("u", F.col("m").alias("v")))
-            .distinct()
-        )
+        large = table(_with_least(both, 2 * state[0], F.least("u", F.min("v"))).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
+        joined = _with_least(large, state[0], F.min("v"))
+        small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.where("v = m").select("u", F.col("m").alias("v"))).distinct()
         before, now = now, table(small, "edges")
         dropped(before)
         dropped(large)
@@ -45,5 +42,14 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
+def _with_least(edges: DataFrame, total: int, least: Column) -> DataFrame:
+    """edges (u, v) with m: the least of each u."""
+    found = edges.groupBy("u").agg(least.alias("m"), F.count(F.lit(1)).alias("n"))
+    limit = max(512, total // HOT)
+    hot = F.broadcast(found.where(F.col("n") > limit).select("u", "m"))
+    cold = edges.join(hot, "u", "left_anti").join(found.where(F.col("n") <= limit).select("u", "m"), "u")
+    return cold.select("u", "v", "m").unionByName(edges.join(hot, "u").select("u", "v", "m"))
+
+
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())

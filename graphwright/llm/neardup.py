@@ -15,13 +15,24 @@ of the links.
 3.  Pairs whose estimated similarity (matching registers, corrected for the
     chance collisions of compressed registers) is within four standard
     deviations of the threshold are verified on the full shingle sets.
-4.  Under keys whose other nodes are still in different components, these are
-    compared in blocks of bounded size: on their registers, then on a sketch of
-    their shingle sets, which for short documents holds nearly the whole set.
-    What is near the threshold is verified likewise, so no pair that shares a
-    band is lost.
-
-A pair at 0.85 shares no band with probability 1.2e-5, and less above.
+4.  Keys whose nodes are still in different components are searched exactly.
+    Those of up to BLOCK nodes are one block.  A crowded one is split by prefix
+    filters: sets are put in one order, rare shingles first, and two sets at
+    the threshold must share one of the first |set| - ceil(threshold * |set|) +
+    1; all nodes of crowded keys meet under such shingles instead, so those that
+    a common passage brought together part again.  A pair is compared where its
+    places in the two prefixes leave enough room for the threshold, which its
+    first shingle in common does.  Blocks are compared on registers, then on a
+    sketch of the shingle sets, which for short documents holds nearly the
+    whole set; what is near the threshold is verified likewise.
+
+Rows of crowded keys and hubs are not joined in one task: joins on them are
+split by adaptive execution, or salted, or the hub's side is broadcast where it
+is bounded (_meet(), graph.components()).
+
+What can be missed: a pair at 0.85 shares no band with probability 1.2e-5, at
+0.8 with 6.8e-4, and less above; of pairs at the threshold each of the filters
+on registers and sketches loses one in 30,000.
 """
 
 from __future__ import annotations
@@ -34,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphwright.llm import textvec as tv
-from graphwright.llm.common import table
+from graphwright.llm.common import identified, table
 from graphwright.llm.graph import components
 
 SHINGLE = 5
@@ -43,6 +54,10 @@ REGISTERS = 192
 MANTISSA = 10
 #: Members of a block in step 4, about.
 BLOCK = 512
+#: Shingles that are known to be frequent in crowded keys, at most; any choice gives the same links.
+FREQUENT = 1 << 16
+#: A key of more rows than one in HOT is joined apart from the others, over SALTS partitions; so there are HOT such keys at most.
+HOT, SALTS = 1000, 64
 #: Bins of the sketch in step 4, by the top bits of a shingle's hash; each keeps 16 bits of its least one.
 BINS = 512
 #: Bits of the filter that picks the documents whose shingle sets are needed.
@@ -108,20 +123,19 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes = np.array([len(x) for x in _sorted_sets(shingles, at)], np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id")[lo:hi].cast(pa.int64()),
+                    *[batch.column(c)[lo:hi] for c in ("file", "at", "doc_id")],
                     _binary(_digests(words, by_doc), some),
                     pa.array(sizes),
                     _binary(_registers(shingles, at), some),
                 ],
-                names=["doc_id", "node", "n_shingles", "registers"],
+                names=["file", "at", "doc_id", "node", "n_shingles", "registers"],
             )
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, node (digest of the words; null without words), n_shingles, registers."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        _signatures, "doc_id long, node binary, n_shingles long, registers binary"
-    )
+def signatures(rows: DataFrame) -> DataFrame:
+    """file, at, doc_id, node (digest of the words; null without words), n_shingles, registers of identified() rows."""
+    slim = rows.select("file", "at", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").alias("text"))
+    return slim.mapInArrow(_signatures, "file long, at long, doc_id long, node binary, n_shingles long, registers binary")
 
 
 def similarity_estimate(matches, n_registers: int = REGISTERS):
@@ -176,7 +190,7 @@ def _estimates(floor: float):
 
 def _compare_blocks(floor: float, ratio: float):
     def pairs(group: dict[str, np.ndarray], i: int, j: int):
-        regs, comp, size, block, sketches = (group[c] for c in ("registers", "comp", "n_shingles", "block", "sketch"))
+        regs, comp, size, block, sketches, place = (group[c] for c in ("registers", "comp", "n_shingles", "block", "sketch", "place"))
         left = np.flatnonzero(block == i)
         right = np.flatnonzero(block == j)
         bands = regs[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS)
@@ -184,11 +198,14 @@ def _compare_blocks(floor: float, ratio: float):
         for k, x in enumerate(left):
             others = right[k + 1 :] if i == j else right
             others = others[(comp[others] != comp[x]) & (np.minimum(size[others], size[x]) >= ratio * np.maximum(size[others], size[x]) - 1e-9)]
+            if band < 0:  # from this shingle on there must be room for an intersection at the threshold
+                room = np.minimum(size[x] - place[x], size[others] - place[others])
+                others = others[room >= ratio / (1 + ratio) * (size[x] + size[others]) - 1e-6]
             if len(others):
                 near = others[similarity_estimate((regs[others] == regs[x]).sum(axis=1)) >= floor]
                 if len(near):
                     near = near[sketches_near(sketches[x], sketches[near], size[x], size[near], ratio)]
-                if band and len(near):  # a pair that shares an earlier band too is found there
+                if band > 0 and len(near):  # a pair that shares an earlier band too is found there
                     near = near[~(bands[near, :band] == bands[x, :band]).all(axis=2).any(axis=1)]
                 for y in near:
                     yield x, y
@@ -202,6 +219,7 @@ def _compare_blocks(floor: float, ratio: float):
             "comp": table_.column("comp").combine_chunks().dictionary_encode().indices.to_numpy(),
             "n_shingles": table_.column("n_shingles").to_numpy(),
             "block": table_.column("block").to_numpy(),
+            "place": table_.column("place").to_numpy(),
             "band": table_.column("band").to_numpy(),
         }
         i, j, key = (table_.column(c).to_numpy() for c in ("i", "j", "key"))
@@ -292,66 +310,142 @@ def _sets(docs: DataFrame, nodes: DataFrame, needed: DataFrame) -> DataFrame:
     return table(sets.join(needed, "node", "left_semi").dropDuplicates(["node"]), "sets")
 
 
+def _hot(rows: DataFrame, key: str, total: int) -> DataFrame:
+    """The keys of more than one in HOT of `total` rows: HOT at most, so they can be broadcast."""
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(BLOCK, total // HOT)).select(key)
+
+
+def _meet(pairs: DataFrame, side: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """pairs (a, b, ...) with the rows of `side`, one per key; pairs of hot keys are spread over SALTS partitions."""
+    cold = pairs.join(F.broadcast(hot), key, "left_anti").join(side, key)
+    salted = pairs.join(F.broadcast(hot), key, "left_semi").withColumn("salt", F.pmod(F.xxhash64("a", "b"), F.lit(SALTS)).cast("int"))
+    copies = side.join(F.broadcast(hot), key, "left_semi").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return cold.unionByName(salted.join(copies, [key, "salt"]).drop("salt"))
+
+
 def _verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (a, b) of nodes whose full shingle sets reach the threshold."""
+    """Those pairs (a, b) of nodes, a table(), whose full shingle sets reach the threshold; a may be a hub of any number."""
     a, b = (sets.select(F.col("node").alias(x), F.col("shingles").alias("s" + x)) for x in "ab")
     both = F.size(F.array_intersect("sa", "sb")).cast("long")
     return (
-        pairs.join(a, "a")
-        .join(b, "b")
+        _meet(pairs.join(b, "b"), a, "a", _hot(pairs, "a", pairs.count()))
         .select("a", "b", both.alias("both"), (F.size("sa") + F.size("sb")).cast("long").alias("sum"))
         .where(100 * F.col("both") >= percent * (F.col("sum") - F.col("both")))
         .select("a", "b")
     )
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of `docs` (doc_id, text).
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shingles that are frequent among a batch's sets, with their numbers."""
+    for batch in batches:
+        hashes, n = np.unique(batch.column("shingles").flatten().to_numpy(), return_counts=True)
+        often = n > max(2, batch.num_rows // 64)
+        yield pa.RecordBatch.from_arrays([pa.array(hashes[often]), pa.array(n[often])], names=["shingle", "n"])
 
-    Links have 100 * intersection >= percent * union.  component_id is the
-    least doc_id that links lead to.  Null and wordless texts have no shingles
-    and are linked with nothing; equal texts are; repeated rows with one doc_id
-    are one document.  A null doc_id counts only where a group has no other.
+
+def prefix(shingles: np.ndarray, frequent: np.ndarray, rank: np.ndarray, percent: int) -> np.ndarray:
+    """The first shingles of a set, rare ones first, of which any set at the threshold has one.
+
+    The order is that of the hashes, and behind them the frequent ones (sorted
+    hashes) by rank; it is the same for all sets, whatever is frequent.
     """
+    at = np.minimum(np.searchsorted(frequent, shingles), max(0, len(frequent) - 1))
+    place = np.where(frequent[at] == shingles, rank[at], -1) if len(frequent) else np.full(len(shingles), -1)
+    keep = len(shingles) - (percent * len(shingles) + 99) // 100 + 1
+    return shingles[np.lexsort((shingles, place))[:keep]]
+
+
+def _prefixes(frequent: tuple[bytes, bytes], percent: int):
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, rank = (np.frombuffer(x, np.int64) for x in frequent)
+        for batch in batches:
+            offsets, values = batch.column("shingles").offsets.to_numpy(), batch.column("shingles").values.to_numpy()
+            found = [prefix(values[a:z], known, rank, percent) for a, z in zip(offsets[:-1], offsets[1:], strict=True)]
+            ends = np.cumsum([0, *[len(x) for x in found]]).astype(np.int32)
+            tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("comp"), tokens], names=["node", "comp", "tokens"])
+
+    return f
+
+
+def _split(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """band (-1), key, node, comp, blocks, place: nodes (node, comp) under the shingles of their prefixes, those with one component left out."""
+    own = table(sets.join(members, "node").select("node", "comp", "shingles"), "crowded")
+    top = own.select("shingles").mapInArrow(_tally, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shingle").limit(FREQUENT).toArrow()
+    hashes, rank = top.column("shingle").to_numpy(), np.arange(top.num_rows)[::-1]
+    order = np.argsort(hashes)
+    tokens = own.mapInArrow(_prefixes((hashes[order].tobytes(), rank[order].tobytes()), percent), "node binary, comp binary, tokens array<long>")
+    finer = tokens.select(F.lit(-1).alias("band"), "node", "comp", F.posexplode("tokens").alias("place", "key"))
+    return _mixed(table(finer, "finer"), "finer-keys")
+
+
+def _mixed(members: DataFrame, name: str) -> DataFrame:
+    """members (band, key, node, comp, place) of keys with several components, with blocks: about how many times BLOCK there are."""
+    keys = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+    keys = table(keys.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), name)
+    return members.join(keys, "key").select("band", "key", "node", "comp", "place", "blocks")
+
+
+def _bands(nodes: DataFrame) -> DataFrame:
+    """band, key, node, hub (the least node) of all nodes under keys that several have, hubs themselves left out."""
+    width = 2 * ROWS
+    keys = F.expr(f"transform(sequence(0, {BANDS - 1}), b -> xxhash64(b, substring(registers, b * {width} + 1, {width})))")
+    bands = nodes.select(F.posexplode(keys).alias("band", "key"), "node")
+    hubs = table(bands.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1"), "hubs")
+    limit = max(BLOCK, (hubs.agg(F.sum("n")).first()[0] or 0) // HOT)
+    hot = F.broadcast(hubs.where(F.col("n") > limit).select("key", "hub"))  # HOT rows at most
+    cold = bands.join(hot, "key", "left_anti").join(hubs.where(F.col("n") <= limit).select("key", "hub"), "key")
+    return table(cold.unionByName(bands.join(hot, "key").select(cold.columns)).where("node <> hub"), "crowd")
+
+
+def _grouped(docs: DataFrame, rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Tables of signatures() of all rows, of nodes, and of the nodes that are linked (node, root)."""
     floor, ratio = floor_for(percent / 100), percent / 100
-    signed = table(signatures(docs), "signatures")
+    signed = table(signatures(rows), "signatures")
     nodes = table(
         signed.where("node is not null")
         .groupBy("node")
         .agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n_docs"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers")),
         "nodes",
     )
-    width = 2 * ROWS
-    keys = F.expr(f"transform(sequence(0, {BANDS - 1}), b -> xxhash64(b, substring(registers, b * {width} + 1, {width})))")
-    bands = nodes.select(F.posexplode(keys).alias("band", "key"), "node")
-    hubs = bands.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    crowd = table(bands.join(hubs.select("key", "hub"), "key").where("node <> hub"), "crowd")
+    crowd = _bands(nodes)
     star = table(crowd.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "star")
     met = table(star.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "met")
     sets = _sets(docs, nodes, met)
     signs = table(nodes.join(met, "node", "left_semi").select("node", "n_shingles", "registers"), "signs")
 
     a, b = (signs.select(F.col("node").alias(x), F.col("n_shingles").alias("n" + x), F.col("registers").alias("r" + x)) for x in "ab")
-    close = star.join(a, "a").join(b, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    close = _meet(star.join(b, "b"), a, "a", _hot(star, "a", star.count())).where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
     near = table(close.select("a", "b", "ra", "rb").mapInArrow(_estimates(floor), "a binary, b binary"), "near")
     links = table(_verified(sets, near, percent), "links")
     groups = table(components(links), "components")
 
-    rest = crowd.select("band", "key", "node").join(groups, "node", "left").select("band", "key", "node", F.coalesce("root", "node").alias("comp"))
-    rest = table(rest, "rest")
-    mixed = rest.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    mixed = mixed.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rest = rest.join(mixed, "key").join(signs, "node").join(sets.select("node", "sketch"), "node").withColumn("block", F.expr("pmod(xxhash64(node, 7), blocks)").cast("int"))
-    dealt = rest.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select(
-        "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "band", "block", "node", "comp", "n_shingles", "registers", "sketch"
+    least = F.coalesce("root", "node").alias("comp")
+    rest = crowd.select("band", "key", "node").join(groups, "node", "left").select("band", "key", "node", least, F.lit(0).alias("place"))
+    rest = table(_mixed(table(rest, "rest"), "keys"), "mixed")
+    split = _split(rest.where("blocks > 1").select("node", "comp").distinct(), sets, percent)
+    dealt = rest.where("blocks = 1").unionByName(split).join(signs, "node").join(sets.select("node", "sketch"), "node")
+    dealt = dealt.withColumn("block", F.expr("pmod(xxhash64(node, 7), blocks)").cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select(
+        "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "band", "block", "node", "comp", "place", "n_shingles", "registers", "sketch"
     )
     dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    more = dealt.mapInArrow(_compare_blocks(floor, ratio), "a binary, b binary").distinct()
-    more = table(more, "more")
+    more = table(dealt.mapInArrow(_compare_blocks(floor, ratio), "a binary, b binary").distinct(), "more")
     if not more.isEmpty():
         links = links.unionByName(table(_verified(sets, more, percent), "links"))
         groups = table(components(links), "components")
+    return signed, nodes, groups
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of `docs` (doc_id, text).
 
+    Links have 100 * intersection >= percent * union.  component_id is the
+    least doc_id that links lead to.  Null and wordless texts have no shingles
+    and are linked with nothing; equal texts are; repeated rows with one doc_id
+    are one document.  A null doc_id counts only where a group has no other.
+    Other columns are not looked at.
+    """
+    signed, nodes, groups = _grouped(docs, identified(docs), percent)
     least = groups.join(nodes.select("node", "doc_id"), "node").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     grouped = groups.join(least, "root").select("node", "component_id")
     alone = nodes.where("n_docs > 1").join(groups, "node", "left_anti").select("node", F.col("doc_id").alias("component_id"))
@@ -365,19 +459,17 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """The documents with one of each near-duplicate group, columns as they came.
+    """The documents with one of each near-duplicate group, columns as they came whatever their names.
 
-    The least doc_id of a group stays; of rows that repeat one doc_id, one stays.
+    Rows are judged by their texts: of a group the row of the least doc_id
+    stays (any doc_id before none, the first in its file of several).  Texts
+    without words all stay.
     """
-    found = near_duplicates(docs, percent)
-    gone = table(found.where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    left = docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
-    again = found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    again = table(again.select(F.col("doc_id").alias("_again")), "again")
-    if again.isEmpty():
-        return left
-    ids = left.join(again, left["doc_id"].cast("long") == again["_again"], "left")
-    once = ids.where("_again is null").drop("_again")
-    many = ids.where("_again is not null").drop("_again")
-    return once.unionByName(many.dropDuplicates(["doc_id"]))
-
+    rows = identified(docs)
+    signed, _, groups = _grouped(docs, rows, percent)
+    member = signed.where("node is not null").select("file", "at", "doc_id", "node").join(groups, "node", "left")
+    member = table(member.select(F.coalesce("root", "node").alias("root"), "doc_id", "at", "file"), "members")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at", "file")).alias("x")
+    kept = member.groupBy("root").agg(first).select("x.at", "x.file")
+    gone = table(member.join(kept, ["file", "at"], "left_anti").select("file", "at"), "gone")
+    return rows.join(gone, ["file", "at"], "left_anti").select("row.*")

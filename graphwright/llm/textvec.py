@@ -53,20 +53,26 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-class _Powers:
-    """Powers of the base and of its inverse, grown as long words need them."""
+_UP, _DOWN = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
 
-    def __init__(self) -> None:
-        self.up = self.down = np.zeros(0, np.uint64)
 
-    def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            n = max(n, STEP_BYTES + 4096)
-            self.up, self.down = _powers(_BASE, n), _powers(pow(_BASE, -1, 1 << 64), n)
-        return self.up, self.down
+def _both_powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, for the bytes of one step."""
+    global _UP, _DOWN
+    if not len(_UP):
+        _UP, _DOWN = _powers(_BASE, STEP_BYTES + 1), _powers(pow(_BASE, -1, 1 << 64), STEP_BYTES + 1)
+    return _UP, _DOWN
 
 
-_POWERS = _Powers()
+def _long_word(values: np.ndarray) -> np.uint64:
+    """The polynomial of a word longer than a step."""
+    up, _ = _both_powers()
+    total, ahead, step = 0, 1, pow(_BASE, STEP_BYTES, 1 << 64)
+    for at in range(0, len(values), STEP_BYTES):
+        part = values[at : at + STEP_BYTES]
+        total = (total + int((part * up[: len(part)]).sum(dtype=np.uint64)) * ahead) % (1 << 64)
+        ahead = ahead * step % (1 << 64)
+    return np.uint64(total)
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -118,7 +124,11 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bo
         hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + STEP_BYTES, "right")))
         at = starts[lo]
         part = data[at : ends[hi - 1]]
-        up, down = _POWERS.of(len(part) + 1)
+        if len(part) > STEP_BYTES:
+            out[lo] = _long_word(values[part])
+            lo = hi
+            continue
+        up, down = _both_powers()
         sums = np.zeros(len(part) + 1, np.uint64)
         np.cumsum(values[part] * up[: len(part)], out=sums[1:])
         s, e = starts[lo:hi] - at, ends[lo:hi] - at

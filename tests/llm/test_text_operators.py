@@ -70,12 +70,61 @@ def test_near_duplicates_of_near_copies(spark, make):
     assert sorted([(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got], key=str) == brute_groups(rows, 85)
 
 
+def test_prefixes_of_similar_sets_meet():
+    rng = np.random.default_rng(12)
+    common = rng.integers(-(2**63), 2**63, 40)
+    frequent = np.sort(common)
+    rank = rng.permutation(40)
+    for known in (frequent, frequent[:0]):
+        for _ in range(300):
+            n = int(rng.integers(1, 60))
+            pool = np.unique(np.concatenate((rng.choice(common, 20, replace=False), rng.integers(-(2**63), 2**63, n))))
+            a, b = (np.sort(pool[rng.random(len(pool)) < 0.93]) for _ in range(2))
+            both = len(np.intersect1d(a, b))
+            if len(a) and 100 * both >= 80 * (len(a) + len(b) - both):
+                assert np.intersect1d(neardup.prefix(a, known, rank[: len(known)], 80), neardup.prefix(b, known, rank[: len(known)], 80)).size
+
+
+def test_crowded_keys(spark, make, monkeypatch):
+    """Many documents around one passage: their keys are crowded, few of them are linked, and no pairs but near ones are compared."""
+    rng = random.Random(21)
+    passage, rows = make(rng, 110), []
+    for _ in range(700):
+        rows.append((len(rows), passage + " " + make(rng, 30)))
+    for i in range(0, 60, 2):
+        w = rows[i][1].split(" ")
+        w[rng.randrange(len(w))] = "changed"
+        rows.append((len(rows), " ".join(w)))
+    monkeypatch.setattr(neardup, "BLOCK", 32)
+    split, made = neardup._split, []
+
+    def counted(members, sets, percent):
+        out = split(members, sets, percent)
+        made.append((members.count(), out.selectExpr("sum(blocks)").first()[0] or 0))
+        return out
+
+    monkeypatch.setattr(neardup, "_split", counted)
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 85).collect()
+    assert sorted([(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got], key=str) == brute_groups(rows, 85)
+    members, dealt = made[0]
+    assert members > 600 and dealt < members
+
+
+def test_keep_first_decides_by_row(spark, make):
+    rng = random.Random(22)
+    a, b, c = (make(rng, 80) for _ in range(3))
+    rows = [(5, a), (7, b), (7, a), (None, b), (None, c), (None, c), (9, ""), (9, None), (5, a)]
+    left = neardup.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, left), key=str) == sorted([(5, a), (7, b), (None, c), (9, ""), (9, None)], key=str)
+
+
 def test_near_duplicates_edges(small, empty, clashing):
     assert neardup.near_duplicates(empty).count() == 0 and neardup.keep_first(empty).count() == 0
     left = neardup.keep_first(clashing)
     assert left.columns == clashing.columns
     ids = [r["doc_id"] for r in left.collect()]
     assert 1 not in ids and 2 not in ids and ids.count(4) == 1 and 0 in ids and None in ids
+    assert left.join(clashing, left.columns, "left_anti").where("doc_id is not null and text is not null and lang is not null and source is not null").isEmpty()
 
 
 def test_registers_and_estimate():
@@ -130,6 +179,75 @@ def test_decontamination(spark, make):
     assert decontaminate.contaminated(docs.limit(0), bench).count() == 0
 
 
+def test_matches_do_not_depend_on_slices(spark, make, clashing, same_rows, monkeypatch):
+    """Items with a preamble in common, copies with a word changed, short items, items without id, repeated rows."""
+    rng = random.Random(14)
+    preamble = make(rng, 40)
+    items = [(i, preamble + " " + make(rng, 20)) for i in range(64)] + [(None, make(rng, 30)), (90, "tiny item"), (91, "tiny item"), (90, "tiny item")]
+    rows = []
+    for k in range(41, 59):
+        w = items[k - 41][1].split(" ")
+        w[k] = "other"
+        rows.append((k, make(rng, 30) + " " + " ".join(w) + " " + make(rng, 30)))
+    rows += [(100, "a " + items[64][1] + " b"), (101, "is a tiny item too"), (101, "is a tiny item too"), (102, make(rng, 90))]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    wanted = None
+    for n in (4096, 20, 1):
+        monkeypatch.setattr(decontaminate, "SLICE_ITEMS", n)
+        got = sorted(map(str, decontaminate.contaminated(docs, bench).collect()))
+        left = sorted(r["doc_id"] for r in decontaminate.keep_clean(docs, bench).collect())
+        wanted = wanted or (got, left)
+        assert (got, left) == wanted
+        if n == 20:
+            assert {100, 101}.isdisjoint(left) and 102 in left and sum("doc_id=101" in x for x in got) == 4
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, bench).collect() if r["doc_id"] < 100} == {k for k in brute_matches(rows[:18], items[:65] + items[65:67])}
+    assert same_rows(decontaminate.keep_clean(clashing, bench), clashing)
+
+
+def test_windows_at_the_threshold(make):
+    """Recall of the search among windows that reach the threshold, by full comparison, and no match below it."""
+    rng = random.Random(15)
+    items = [make(rng, rng.randint(30, 80)) for _ in range(60)]
+    index = decontaminate.Index(list(range(60)), items, decontaminate.Weights(60, np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+    texts = []
+    for item in items * 8:
+        w = item.split(" ")
+        for k in rng.sample(range(len(w)), max(1, len(w) // 50)) if rng.random() < 0.7 else rng.sample([0, 1, 2, 3, len(w) - 1, len(w) - 2], 3):
+            w[k] = "other"
+        texts.append(make(rng, 40) + " " + " ".join(w) + " " + make(rng, 40))
+    found = {(r, i) for r, i, *_ in decontaminate.search(index, pa.array(texts))}
+    wanted = {(r, r % 60) for r, text in enumerate(texts) if brute_matches([(0, text)], [(0, items[r % 60])])}  # no two items share a shingle
+    assert found <= wanted and len(wanted) > 150 and len(found) >= 0.97 * len(wanted)
+
+
+def test_very_long_text(make):
+    """A million words, items at both ends and in the middle; long stretches are summed bit by bit."""
+    import tracemalloc
+
+    rng = random.Random(16)
+    some = make(rng, 20000).split(" ")
+    words = (some * 50)[:1_000_000]
+    item, long_item = make(rng, 40), make(rng, 30000)
+    for at in (0, 500_000, len(words) - 40):
+        words[at : at + 40] = item.split(" ")
+    words[600_000:630_000] = long_item.split(" ")
+    text = pa.array([" ".join(words), "x" * 3_000_000 + " " + item], pa.large_string())
+    index = decontaminate.Index([1, 2], [item, long_item], decontaminate.Weights(2, np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+    tracemalloc.start()
+    found = [(r, i, s) for r, i, s, *_ in decontaminate.search(index, text)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == [(0, 0, 1.0), (0, 1, 1.0), (1, 0, 1.0)] and peak < 200 << 20
+
+
+def test_hashes_of_long_words_are_those_of_their_bytes():
+    text = "a" * 100 + "bc" * ((tv.STEP_BYTES >> 1) + 7) + "D"
+    data, offsets = tv.buffers(pa.array([text, text.lower(), text[:-1]]))
+    h = tv.word_hashes(data, *tv.word_bounds(data, offsets)[:2])
+    whole = sum(int(tv._FOLDED[b]) * pow(tv._BASE, i, 1 << 64) for i, b in enumerate(text.encode())) % (1 << 64)
+    assert h[0] == h[1] == tv.mix(np.array([whole], np.uint64))[0] != h[2]
+
+
 def brute_matches(rows, items):
     shingles = lambda w: [tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))] if w else []
     own = {i: lower_words(t) for i, t in items if t is not None}
@@ -201,7 +319,8 @@ def test_crf_learns_and_pruned_decoding_is_exact(spark, make):
     hit = miss = wrong = 0
     for text in texts[200:]:
         raw = text.encode()
-        got = scanner.spans(text, raw, scanner.open_words(set(raw.split())))
+        words = raw.split()
+        got = scanner.spans(raw, words, tv.word_bounds(*tv.buffers(pa.array([text])))[0], scanner.open_words(set(words)))
         tokens = [t for m in secretscan._WORD.finditer(text) for t in secretscan._TOKEN.finditer(text, m.start(), m.end())]
         tags = scanner.crf.decode(secretscan._feature_rows([t[0] for t in tokens], [], "none", secretscan.file_features(raw)))
         whole = []
@@ -218,6 +337,36 @@ def test_crf_learns_and_pruned_decoding_is_exact(spark, make):
     assert hit / max(1, hit + miss) >= 0.9 and wrong <= 5
 
 
+def test_crf_finds_secrets_that_no_pattern_knows(spark, make):
+    """Held-out texts with forms that the patterns do not match; and texts with numbers, hashes and plain keywords, which hold none."""
+    rng = random.Random(77)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    docs = spark.createDataFrame([(i, make(rng, 80) + rng.choice([" password=abcd1234efgh", " 17 of 20", ""])) for i in range(400)], "doc_id long, text string")
+    forms = ["credential: {}", "bearer {}", "private_key = {}", "pwd={}", "passphrase is {}", "ghp_{}", 'client credential "{}"', "auth: {}", "the admin credential was {}", "Authorization: Bearer eyJ{}"]
+    harmless = ["commit 3f2a91c", "version 2.14.3 of it", "the password is stored", "on 2024-03-11 at 10:30", "token: none", "invoice_2023_final.pdf", "a credential was missing", "room 12b", "id=AB123", "x = 4711"]
+    rows, secrets = [], {}
+    for i in range(300):
+        w = make(rng, 70).split(" ")
+        if i < 200:
+            value = "".join(rng.choice(letters) for _ in range(rng.randint(18, 36))) + "7k"
+            phrase = forms[i % 10].format(value)
+            secrets[i] = value
+        else:
+            phrase = harmless[i % 10]
+        w.insert(rng.randrange(1, 69), phrase)
+        rows.append((i, " ".join(w)))
+    texts = dict(rows)
+    got = secretscan.scan(spark.createDataFrame(rows, "doc_id long, text string"), secretscan.train(docs)).collect()
+    assert all(r["n_assign"] + r["n_access"] + r["n_hex"] == 0 for r in got)
+    found = wrong = 0
+    for r in got:
+        cut = [texts[r["doc_id"]][int(a) : int(z)] for _, a, z in (x.split(":") for x in r["spans"].split(",") if x)]
+        own = secrets.get(r["doc_id"])
+        found += any(own in x for x in cut) if own else 0
+        wrong += sum(not own or own not in x for x in cut)
+    assert found >= 0.9 * len(secrets) and wrong <= 0.1 * found
+
+
 # --- language models ------------------------------------------------------------
 
 
