@@ -58,27 +58,31 @@ def _lists(column: pa.Array) -> Iterator[list[list[bytes]]]:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: Counter[bytes] = Counter()
+    seen: tuple[Counter[bytes], Counter[bytes]] = (Counter(), Counter())  # in training and in held-out texts
 
     def out() -> pa.RecordBatch:
-        rows = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
-        seen.clear()
-        return rows
+        words = [*seen[0], *seen[1]]
+        n = np.zeros((2, len(words)), np.int64)
+        n[0, : len(seen[0])], n[1, len(seen[0]) :] = list(seen[0].values()), list(seen[1].values())
+        for x in seen:
+            x.clear()
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(n[0]), pa.array(n[1])], names=["word", "n", "held"])
 
     for batch in batches:
         held, at = batch.column("held_out").to_pylist(), 0
         for docs in _lists(batch.column("text")):
             for words in docs:
-                seen.update(dict.fromkeys(words, 0) if held[at] else words)
+                seen[bool(held[at])].update(words)
                 at += 1
-            if len(seen) > TALLY_SIZE:
+            if len(seen[0]) + len(seen[1]) > TALLY_SIZE:
                 yield out()
     yield out()
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """word (UTF-8 bytes, lower-cased), n: of all texts of `docs`, counted in those that are not held out."""
-    return docs.select("held_out", "text").mapInArrow(_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    """word (UTF-8 bytes, lower-cased) of all texts of `docs`, n: how often it is in training texts, held: in held-out ones."""
+    made = docs.select("held_out", "text").mapInArrow(_counts, "word binary, n long, held long")
+    return made.groupBy("word").agg(F.sum("n").alias("n"), F.sum("held").alias("held"))
 
 
 def _piece_counts(model: str):
@@ -196,21 +200,23 @@ def score(docs: DataFrame, model: str = "piece_bpe_32k.model") -> DataFrame:
         own = _models[key].score
         for batch in batches:
             scores = [own(w) / _LOG10 for w in batch.column("word").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(scores, pa.float64())], names=["word", "n", "score"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("word", "n", "held")], pa.array(scores, pa.float64())], names=["word", "n", "held", "score"])
 
-    scored = table(counts.mapInArrow(lattice, "word binary, n long, score double"), "word-scores")
-    top = scored.where("n > 0").orderBy(F.desc("n"), "word").limit(TABLE_SIZE).toArrow()
+    scored = table(counts.mapInArrow(lattice, "word binary, n long, held long, score double"), "word-scores")
+    top = scored.orderBy(F.desc(F.col("n") + F.col("held")), "word").limit(TABLE_SIZE).toArrow()
+    scored = scored.drop("held")
     base_of = lambda n: np.log10((n + 0.5) / scale)
-    frequent = spark.sparkContext.broadcast((b"\n".join(top.column("word").to_pylist()), base_of(top.column("n").to_numpy()).tobytes(), top.column("score").to_numpy().tobytes()))
+    frequent = spark.sparkContext.broadcast((b"\n".join(top.column("word").to_pylist()), base_of(top.column("n").to_numpy()).tobytes(), top.column("score").to_numpy().tobytes(), top.column("n").to_numpy().tobytes()))
     top_key, end_base, end_score = uuid.uuid4().hex, float(base_of(n_docs)), end / _LOG10
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if top_key not in _tables:
             _tables.clear()
-            names, base, own = frequent.value
+            names, base, own, n = frequent.value
             names = names.split(b"\n") if names else []
-            _tables[top_key] = tuple(dict(zip(names, np.frombuffer(x).tolist(), strict=True)) for x in (base, own))
-        base, own = _tables[top_key]
+            tables = [dict(zip(names, np.frombuffer(x).tolist(), strict=True)) for x in (base, own)]
+            _tables[top_key] = (*tables, {w for w, k in zip(names, np.frombuffer(n, np.int64).tolist(), strict=True) if not k})
+        base, own, unseen = _tables[top_key]
         for batch in batches:
             at = 0
             for texts in _lists(batch.column("text")):
@@ -218,7 +224,7 @@ def score(docs: DataFrame, model: str = "piece_bpe_32k.model") -> DataFrame:
                 for x in texts:
                     got = [w for w in x if w in base]
                     miss = Counter(w for w in x if w not in base) if len(got) < len(x) else {}
-                    hits.append(len(got) + (n_docs > 0))
+                    hits.append(len(got) + (n_docs > 0) - (sum(w in unseen for w in got) if unseen else 0))
                     base_sums.append(math.fsum(map(base.__getitem__, got)) + end_base)
                     own_sums.append(math.fsum(map(own.__getitem__, got)) + end_score)
                     missed.append(list(miss))

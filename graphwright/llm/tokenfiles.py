@@ -156,6 +156,7 @@ class _Encoder:
         self.special = [x.content.encode() for x in self.t.get_added_tokens_decoder().values()]
         self.after_space: dict[bytes, bytes] = {}
         self.at_start: dict[bytes, bytes] = {}
+        self.long: list[tuple[dict[bytes, bytes], bytes]] = []
         self.line_end = self.whole([b"\n"])[0]
         self.stops = dict(zip(b".,", self.whole([b".", b","]), strict=True))
 
@@ -199,6 +200,9 @@ class _Encoder:
             for x in lines:
                 first.add(x[0])
                 spaced.update(x[1:])
+        for kept, x in self.long:
+            kept.pop(x, None)
+        self.long = []
         self._learn(self.at_start, first, b"")
         self._learn(self.after_space, spaced, b" ")
         whole = dict(zip(sorted(hard), self.whole([docs[i] for i in sorted(hard)]), strict=True)) if hard else {}
@@ -216,13 +220,14 @@ class _Encoder:
         return out
 
     def _learn(self, kept: dict[bytes, bytes], runs: set[bytes], before: bytes) -> None:
-        """Puts all of `runs` into `kept`.
+        """Puts all of `runs` into `kept`; those of more than CACHE_BYTES stay until the next texts.
 
         A full stop or comma behind a letter or digit is a pre-token of its own,
         so such a run is encoded without it.
         """
         if len(kept) > CACHE_SIZE:
             kept.clear()
+        self.long += [(kept, x) for x in runs if len(x) > CACHE_BYTES]
         missing, stopped = set(), []
         for x in runs:
             if x not in kept:
@@ -230,6 +235,8 @@ class _Encoder:
                     stopped.append(x)
                     if x[:-1] not in kept:
                         missing.add(x[:-1])
+                        if len(x) > CACHE_BYTES:
+                            self.long.append((kept, x[:-1]))
                 else:
                     missing.add(x)
         if missing:

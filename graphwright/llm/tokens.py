@@ -31,7 +31,7 @@ from graphwright.llm import textvec as tv
 TABLE_SIZE = 1 << 16
 TALLY_SIZE = 1 << 18
 PER_TASK = 1 << 15
-#: A worker's cache is emptied beyond so many entries; longer runs are not kept.
+#: A worker's cache is emptied beyond so many entries; runs of more bytes are not kept.
 CACHE_SIZE = 1 << 20
 CACHE_BYTES = 64
 
@@ -105,16 +105,22 @@ class _Lengths:
     """The broadcast table and a worker's own cache over it."""
 
     def __init__(self, name: str, table: tuple[bytes, bytes]) -> None:
-        self.name, self.count = name, None
-        runs = table[0].split(b"\n") if table[0] else []
-        self.fixed = dict(zip(runs, np.frombuffer(table[1], np.uint16).tolist(), strict=True))
-        self.cache = dict(self.fixed)
+        self.name, self.table, self.count = name, table, None
+        self.long: list[bytes] = []
+        self.cache = self._fixed()
+
+    def _fixed(self) -> dict[bytes, int]:
+        runs = self.table[0].split(b"\n") if self.table[0] else []
+        return dict(zip(runs, np.frombuffer(self.table[1], np.uint16).tolist(), strict=True))
 
     def of(self, runs: set[bytes]) -> dict[bytes, int]:
-        """A table with the lengths of all of `runs`; what is missing is encoded."""
+        """A table with the lengths of all of `runs`, until the next call; what is missing is encoded."""
+        for r in self.long:
+            del self.cache[r]
         if len(self.cache) > CACHE_SIZE:
-            self.cache = dict(self.fixed)
+            self.cache = self._fixed()
         missing = [r for r in runs if r not in self.cache]
+        self.long = [r for r in missing if len(r) > CACHE_BYTES]
         if missing:
             if self.count is None:
                 self.count = counter(self.name)
