@@ -43,3 +43,27 @@ def test_run_is_the_stages_together(spark, tmp_path, small, make):
     out = cp.run(spark, where)
     assert out.agg(F.count_distinct("shard")).first()[0] <= cp.N_SHARDS
     assert out.where(word_count(F.col("text")) == 0).isEmpty()
+
+
+def test_stages_keep_values_and_take_empty_tables(spark, tmp_path, clashing, empty, make, same_rows):
+    """Clashing names, null and repeated doc_ids, null texts; and no rows at all."""
+    where = folder(spark, tmp_path, empty, make)
+    for name, stage in cp.STAGES:
+        docs = stage(spark, empty, where)
+        assert docs.count() == 0 and docs.columns[: len(empty.columns)] == empty.columns
+        if name in ("quality rules", "near-duplicates", "decontamination"):
+            out = stage(spark, clashing, where)
+            assert out.columns == clashing.columns
+            left, right = out.drop("text").distinct(), clashing.drop("text").distinct()
+            assert left.exceptAll(right).isEmpty() and not left.isEmpty()
+    assert same_rows(cp.STAGES[-1][1](spark, clashing, where).drop("shard", "slot"), clashing)
+
+
+def test_stages_read_as_files(spark, tmp_path, small, make):
+    """A repeated document counts once from the second stage on; every later row stands in exactly one shard."""
+    where = folder(spark, tmp_path, small, make)
+    docs = spark.read.parquet(f"{where}/documents.parquet").unionByName(small.where("doc_id = 0"))
+    kept = cp.near_dedup(spark, cp.quality_rules(spark, docs, where), where)
+    assert [r["doc_id"] for r in kept.where("doc_id in (0, 1, 2, 3)").collect()] == [0]
+    dealt = cp.shard(spark, kept, where)
+    assert dealt.count() == kept.count() == dealt.select("shard", "slot").distinct().count()

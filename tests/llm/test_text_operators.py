@@ -528,3 +528,26 @@ def test_cutoffs_are_those_of_brute_force(spark, make):
     assert sum(not judged[i]["kept"] for i, q in marks.items() if not q) > 0.5 * sum(not q for q in marks.values())
     kept = quality.keep_good(docs, labels)
     assert {r["doc_id"] for r in kept.collect()} == {i for i, r in judged.items() if r["kept"]}
+
+
+@pytest.mark.parametrize("name", ["op2_decontamination", "op3_secret_scans", "op5_token_output", "op6_lm_scoring", "op8_quality_rules", "op9_token_counts", "op10_minhash_near_dedup"])
+def test_registered_queries(spark, small, tmp_path, name):
+    """The columns that each query promises, with one row per row of the table where it promises that."""
+    from graphwright.llm import queries
+
+    small.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, small.where("doc_id = 5").first()["text"])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = queries.queries()[name](spark, str(tmp_path))
+    wanted = {
+        "op2_decontamination": "doc_id bigint, item_id bigint", "op3_secret_scans": "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string",
+        "op5_token_output": "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint", "op6_lm_scoring": "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double",
+        "op8_quality_rules": "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean",
+        "op9_token_counts": "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean", "op10_minhash_near_dedup": "doc_id bigint, n_shingles bigint, component_id bigint, kept boolean",
+    }[name]
+    assert {tuple(x.split(" ")) for x in wanted.split(", ")} <= set(out.dtypes)
+    ids = [r["doc_id"] for r in out.select("doc_id").collect()]
+    if name == "op2_decontamination":
+        assert ids == [5]
+    else:
+        assert sorted(map(str, ids)) == sorted(str(r["doc_id"]) for r in small.collect())
