@@ -1,7 +1,9 @@
 """Validation of JSON instances against a compiled schema (draft-07).
 
-One validator is built per Python worker and runs over Arrow batches of
-instances; there is no shuffle.
+Definitions of common keywords become one expression over the parsed instance,
+which tells what is valid without leaving the JVM.  Everything else, and
+whatever is not valid, goes to a validator in Python workers, which finds the
+first error.  There is no shuffle.
 """
 
 from __future__ import annotations
@@ -9,9 +11,10 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -173,6 +176,113 @@ def is_circular(definitions: dict, name: str, seen: frozenset = frozenset()) ->
     return any(is_circular(definitions, x["$ref"].rsplit("/", 1)[-1], seen | {name}) for x in definitions[name].get("allOf", []) if "$ref" in x)
 
 
+class Unsupported(Exception):
+    """A schema that only the validator can judge."""
+
+
+#: Keywords without effect on validity.
+_NOTES = {"title", "description", "$comment", "$schema", "$id", "format", "default", "examples", "definitions"}
+#: Schemas within one definition, references followed, that an expression is made of at most.
+_MOST = 120
+
+
+class _Expression:
+    """Whether a variant is valid, as a Column that is never null."""
+
+    def __init__(self, definitions: dict) -> None:
+        self.definitions, self.left = definitions, _MOST
+
+    @staticmethod
+    def _at(x: Column, name: str) -> Column:
+        if not re.fullmatch(r"[A-Za-z0-9_@ :-]+", name):
+            raise Unsupported(name)
+        return F.try_variant_get(x, f"$['{name}']", "variant")
+
+    @staticmethod
+    def _kind(x: Column, kind: str) -> Column:
+        if kind in ("object", "array"):
+            return F.try_variant_get(x, "$", "map<string,variant>" if kind == "object" else "array<variant>").isNotNull()
+        of = F.schema_of_variant(x)
+        if kind in ("string", "boolean", "null"):
+            return of == {"string": "STRING", "boolean": "BOOLEAN", "null": "VOID"}[kind]
+        number = of.rlike("^(BIGINT|DECIMAL|DOUBLE)")
+        if kind == "number":
+            return number
+        if kind == "integer":
+            value = F.try_variant_get(x, "$", "double")
+            return number & (value == F.floor(value))
+        raise Unsupported(kind)
+
+    def _equals(self, x: Column, value) -> Column:
+        if isinstance(value, bool):
+            return self._kind(x, "boolean") & (F.try_variant_get(x, "$", "boolean") == value)
+        if isinstance(value, str):
+            return self._kind(x, "string") & (F.try_variant_get(x, "$", "string") == value)
+        raise Unsupported(repr(value))
+
+    def valid(self, x: Column, schema) -> Column:
+        self.left -= 1
+        if self.left < 0:
+            raise Unsupported("too large")
+        if isinstance(schema, bool):
+            return F.lit(schema)
+        if "$ref" in schema:
+            name = schema["$ref"].removeprefix("#/definitions/")
+            if name not in self.definitions:
+                raise Unsupported(schema["$ref"])
+            return self.valid(x, self.definitions[name])
+        tests = [test for k, rule in schema.items() if k not in _NOTES for test in self._tests(x, k, rule, schema)]
+        return F.coalesce(reduce(lambda a, b: a & b, tests, F.lit(True)), F.lit(False))
+
+    def _tests(self, x: Column, k: str, rule, schema: dict) -> list[Column]:
+        both, either = (lambda a, b: a & b), (lambda a, b: a | b)
+        if k == "type":
+            return [reduce(either, [self._kind(x, t) for t in (rule if isinstance(rule, list) else [rule])])]
+        if k == "enum" and rule:
+            return [reduce(either, [self._equals(x, y) for y in rule])]
+        if k == "const":
+            return [self._equals(x, rule)]
+        if k == "required":
+            return [~self._kind(x, "object") | reduce(both, [self._at(x, n).isNotNull() for n in rule], F.lit(True))]
+        if k == "properties":
+            some = [(self._at(x, n), y) for n, y in rule.items()]
+            return [~self._kind(x, "object") | reduce(both, [at.isNull() | self.valid(at, y) for at, y in some], F.lit(True))]
+        if k == "additionalProperties" and rule is False and "patternProperties" not in schema:
+            keys = F.map_keys(F.try_variant_get(x, "$", "map<string,variant>"))
+            return [F.coalesce(F.size(F.array_except(keys, F.array(*map(F.lit, schema.get("properties", {}))).cast("array<string>"))) == 0, F.lit(True))]
+        items = F.try_variant_get(x, "$", "array<variant>")
+        if k == "items" and isinstance(rule, dict):
+            return [items.isNull() | F.forall(items, lambda y: self.valid(y, rule))]
+        if k in ("minItems", "maxItems"):
+            return [items.isNull() | (F.size(items) >= rule if k == "minItems" else F.size(items) <= rule)]
+        if k in ("minimum", "maximum") and abs(rule) < 2**53:
+            value = F.try_variant_get(x, "$", "double")
+            return [~self._kind(x, "number") | (value >= rule if k == "minimum" else value <= rule)]
+        if k in ("minLength", "maxLength"):
+            n = F.length(F.try_variant_get(x, "$", "string"))
+            return [~self._kind(x, "string") | (n >= rule if k == "minLength" else n <= rule)]
+        if k in ("allOf", "anyOf", "oneOf"):
+            parts = [self.valid(x, y) for y in rule]
+            return [reduce(both, parts, F.lit(True)) if k == "allOf" else reduce(either, parts, F.lit(False)) if k == "anyOf" else reduce(lambda a, b: a + b, [p.cast("int") for p in parts], F.lit(0)) == 1]
+        if k == "not":
+            return [~self.valid(x, rule)]
+        if hasattr(Validator, "_" + k.lstrip("$")):
+            raise Unsupported(k)
+        return []
+
+
+def surely_valid(schema: dict) -> Column:
+    """Over type and obj: true only for instances that are valid; false for what the validator must look at."""
+    out, definitions, parsed = F.lit(False), schema.get("definitions", {}), F.try_parse_json("obj")
+    for name in definitions:
+        if not is_circular(definitions, name):
+            try:
+                out = F.when(F.col("type") == name, _Expression(definitions).valid(parsed, definitions[name])).otherwise(out)
+            except Unsupported:
+                continue
+    return F.coalesce(out, F.lit(False))
+
+
 def validate(instances: DataFrame, schema: dict) -> DataFrame:
     """RESULTS of every instance (type, uri, idx, obj): its first error, if any.
 
@@ -186,8 +296,10 @@ def validate(instances: DataFrame, schema: dict) -> DataFrame:
     def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         validator = Validator(root)
         for batch in batches:
+            good = batch.loc[batch["obj"].isna(), ["type", "uri", "idx"]]
+            yield good.assign(valid=True, path=None, error=None)
             out = []
-            for r in batch.itertuples(index=False):
+            for r in batch[batch["obj"].notna()].itertuples(index=False):
                 if r.type not in definitions:
                     found = ((), f"no definition of type '{r.type}'")
                 elif r.type in skipped:
@@ -203,7 +315,9 @@ def validate(instances: DataFrame, schema: dict) -> DataFrame:
                 out.append((r.type, r.uri, r.idx, found is None, path, None if found is None else found[1]))
             yield pd.DataFrame(out, columns=["type", "uri", "idx", "valid", "path", "error"])
 
-    return instances.select("type", "uri", "idx", "obj").mapInPandas(f, RESULTS)
+    # an instance that is surely valid goes to the worker without its text
+    rows = instances.select("type", "uri", "idx", F.when(~surely_valid(schema), F.coalesce("obj", F.lit("null"))).alias("obj"))
+    return rows.mapInPandas(f, RESULTS)
 
 
 def summary(results: DataFrame) -> DataFrame:

@@ -1,10 +1,12 @@
 from __future__ import annotations
 
 import json
+import random
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from graphwright.functions import terms
 from graphwright.functions import vocab as v
@@ -59,6 +61,48 @@ def test_validator():
     assert ok(5, {"not": {"type": "string"}}) and ok(5, {"anyOf": [{"type": "string"}, {"maximum": 5}]}) and not ok(5, {"allOf": [{"maximum": 4}]})
 
 
+def test_expressions_agree_with_the_validator(spark):
+    rng = random.Random(3)
+    scalars = [0, -1, 5, 2.5, 3.0, 1e20, "", "a", "abc", True, False, None]
+
+    def value(depth=3):
+        kind = rng.random()
+        if depth and kind < 0.3:
+            return {n: value(depth - 1) for n in rng.sample(["a", "b", "@id", "x y"], rng.randint(0, 3))}
+        return [value(depth - 1) for _ in range(rng.randint(0, 3))] if depth and kind < 0.5 else rng.choice(scalars)
+
+    def schema(depth=3):
+        out = {}
+        for k in rng.sample(["type", "enum", "const", "properties", "required", "items", "minItems", "maxItems", "minimum", "maximum", "minLength", "maxLength", "allOf", "anyOf", "oneOf", "not", "additionalProperties", "$ref", "title", "pattern", "uniqueItems"], rng.randint(1, 4)):
+            some = lambda n=2: [schema(depth - 1) for _ in range(rng.randint(1, n))]
+            if k in ("allOf", "anyOf", "oneOf", "not", "items", "properties") and not depth:
+                continue
+            out[k] = {
+                "type": lambda: rng.choice(["string", "integer", "number", "boolean", "object", "array", "null", ["string", "null"]]), "enum": lambda: rng.sample(["a", "abc", True, 5], 2), "const": lambda: rng.choice(["a", False, 0]),
+                "properties": lambda: {n: schema(depth - 1) for n in rng.sample(["a", "b", "@id", "x y"], 2)}, "required": lambda: rng.sample(["a", "b", "@id"], rng.randint(0, 2)), "items": lambda: schema(depth - 1), "minItems": lambda: rng.randint(0, 2),
+                "maxItems": lambda: rng.randint(0, 3), "minimum": lambda: rng.choice([0, 2.5]), "maximum": lambda: rng.choice([4, 3.0]), "minLength": lambda: 1, "maxLength": lambda: 2, "allOf": some, "anyOf": some, "oneOf": some, "not": lambda: schema(depth - 1),
+                "additionalProperties": lambda: False, "$ref": lambda: "#/definitions/Base", "title": lambda: "t", "pattern": lambda: "^a", "uniqueItems": lambda: True,
+            }[k]()
+        return out
+
+    base, rows, quick = {"type": ["object", "string"], "required": ["a"]}, [], 0
+    for i in range(40):
+        one = schema()
+        definitions = {"Base": base, "T": one}
+        values = [value() for _ in range(30)]
+        df = spark.createDataFrame([("T", json.dumps(x)) for x in values], "type string, obj string").coalesce(1)
+        got = [r[0] for r in df.select(jsonschema.surely_valid({"definitions": definitions})).collect()]
+        wanted = [jsonschema.Validator({"definitions": definitions}).ok(x, one) for x in values]
+        assert all(w or not g for g, w in zip(got, wanted, strict=True)), (one, [x for x, g, w in zip(values, got, wanted, strict=True) if g and not w])
+        try:
+            jsonschema._Expression(definitions).valid(F.try_parse_json("obj"), one)
+            assert got == wanted, (one, [x for x, g, w in zip(values, got, wanted, strict=True) if g != w])
+            quick += 1
+        except jsonschema.Unsupported:
+            assert not any(got)
+    assert quick >= 15
+
+
 def test_circular_definitions():
     ref = lambda n: {"$ref": f"#/definitions/{n}"}
     defs = {"Train": {"properties": {"parts": {"type": "array", "items": ref("Train")}}}, "Car": {"properties": {"inside": ref("Train")}}, "A": {"allOf": [ref("B")]}, "B": {"allOf": [ref("A")]}}
