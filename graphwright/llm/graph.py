@@ -8,47 +8,46 @@ from pyspark.sql import functions as F
 from graphwright.llm.common import dropped, table
 
 
-#: A node with more than one in HOT of all edges is joined by a broadcast: HOT at most are.
-HOT = 1000
-
-
-def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
+def components(edges: DataFrame, left: str = "a", right: str = "b", rounds: int | None = None) -> DataFrame:
     """(node, root) of every node that has an edge; root is the least node of its component.
 
     Alternating large-star and small-star steps (Kiveris et al., 2014): each
     shrinks the edges to stars in a number of rounds that grows with the
     logarithm of the longest path.  Every round is two grouped minima, with
     partial aggregation before the shuffle, joined back to the edges; it is
-    written to the shared folder.  The centres of large stars are few and are
-    broadcast with their minima.  Only a count and a checksum reach the driver.
+    written to the shared folder.  Where a centre may have any number of edges,
+    the minima are a table too, so that adaptive execution can split its edges
+    in the join.  Only a count and a checksum reach the driver.
+
+    After `rounds` it may stop before it is done: nodes of one root are then in
+    one component, but not the other way round.
     """
     now = table(
         edges.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v")).where("u <> v").distinct(),
         "edges",
     )
-    was = None
-    while (state := _state(now)) != was:
-        was = state
+    was, done = None, 0
+    while (rounds is None or done < rounds) and (state := _state(now)) != was:
+        was, done = state, done + 1
         if not state[0]:
             break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = table(_with_least(both, 2 * state[0], F.least("u", F.min("v"))).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
-        joined = _with_least(large, state[0], F.min("v"))
+        large = table(both.join(table(_least(both, F.least("u", F.min("v"))), "least"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
+        joined = large.join(_least(large, F.min("v")), "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.where("v = m").select("u", F.col("m").alias("v"))).distinct()
         before, now = now, table(small, "edges")
         dropped(before)
         dropped(large)
+    if rounds is not None:
+        now = now.groupBy("u").agg(F.min("v").alias("v"))
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+    if rounds is not None:
+        roots = roots.join(now.select(F.col("u").alias("node")), "node", "left_anti")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
-def _with_least(edges: DataFrame, total: int, least: Column) -> DataFrame:
-    """edges (u, v) with m: the least of each u."""
-    found = edges.groupBy("u").agg(least.alias("m"), F.count(F.lit(1)).alias("n"))
-    limit = max(512, total // HOT)
-    hot = F.broadcast(found.where(F.col("n") > limit).select("u", "m"))
-    cold = edges.join(hot, "u", "left_anti").join(found.where(F.col("n") <= limit).select("u", "m"), "u")
-    return cold.select("u", "v", "m").unionByName(edges.join(hot, "u").select("u", "v", "m"))
+def _least(edges: DataFrame, least: Column) -> DataFrame:
+    return edges.groupBy("u").agg(least.alias("m"))
 
 
 def _state(edges: DataFrame) -> tuple:

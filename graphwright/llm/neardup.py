@@ -15,7 +15,8 @@ of the links.
 3.  Pairs whose estimated similarity (matching registers, corrected for the
     chance collisions of compressed registers) is within four standard
     deviations of the threshold are verified on the full shingle sets.
-4.  Keys whose nodes are still in different components are searched exactly.
+4.  Keys whose nodes are not all known to be in one component (one round of the
+    search for components tells) are searched exactly.
     Those of up to BLOCK nodes are one block.  A crowded one is split by prefix
     filters: sets are put in one order, rare shingles first, and two sets at
     the threshold must share one of the first |set| - ceil(threshold * |set|) +
@@ -26,9 +27,9 @@ of the links.
     sketch of the shingle sets, which for short documents holds nearly the
     whole set; what is near the threshold is verified likewise.
 
-Rows of crowded keys and hubs are not joined in one task: joins on them are
-split by adaptive execution, or salted, or the hub's side is broadcast where it
-is bounded (_meet(), graph.components()).
+Joins on keys and hubs, of which one may hold any share of all rows, are
+between two shuffled tables of which one has a row per key, so that adaptive
+execution splits a hot key's rows; a hub's set is never repeated in a shuffle.
 
 What can be missed: a pair at 0.85 shares no band with probability 1.2e-5, at
 0.8 with 6.8e-4, and less above; of pairs at the threshold each of the filters
@@ -56,8 +57,6 @@ MANTISSA = 10
 BLOCK = 512
 #: Shingles that are known to be frequent in crowded keys, at most; any choice gives the same links.
 FREQUENT = 1 << 16
-#: A key of more rows than one in HOT is joined apart from the others, over SALTS partitions; so there are HOT such keys at most.
-HOT, SALTS = 1000, 64
 #: Bins of the sketch in step 4, by the top bits of a shingle's hash; each keeps 16 bits of its least one.
 BINS = 512
 #: Bits of the filter that picks the documents whose shingle sets are needed.
@@ -310,25 +309,13 @@ def _sets(docs: DataFrame, nodes: DataFrame, needed: DataFrame) -> DataFrame:
     return table(sets.join(needed, "node", "left_semi").dropDuplicates(["node"]), "sets")
 
 
-def _hot(rows: DataFrame, key: str, total: int) -> DataFrame:
-    """The keys of more than one in HOT of `total` rows: HOT at most, so they can be broadcast."""
-    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(BLOCK, total // HOT)).select(key)
-
-
-def _meet(pairs: DataFrame, side: DataFrame, key: str, hot: DataFrame) -> DataFrame:
-    """pairs (a, b, ...) with the rows of `side`, one per key; pairs of hot keys are spread over SALTS partitions."""
-    cold = pairs.join(F.broadcast(hot), key, "left_anti").join(side, key)
-    salted = pairs.join(F.broadcast(hot), key, "left_semi").withColumn("salt", F.pmod(F.xxhash64("a", "b"), F.lit(SALTS)).cast("int"))
-    copies = side.join(F.broadcast(hot), key, "left_semi").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return cold.unionByName(salted.join(copies, [key, "salt"]).drop("salt"))
-
-
 def _verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (a, b) of nodes, a table(), whose full shingle sets reach the threshold; a may be a hub of any number."""
+    """Those pairs (a, b) of nodes whose full shingle sets reach the threshold; a may be the hub of any number."""
     a, b = (sets.select(F.col("node").alias(x), F.col("shingles").alias("s" + x)) for x in "ab")
     both = F.size(F.array_intersect("sa", "sb")).cast("long")
     return (
-        _meet(pairs.join(b, "b"), a, "a", _hot(pairs, "a", pairs.count()))
+        pairs.join(b, "b")
+        .join(a, "a")
         .select("a", "b", both.alias("both"), (F.size("sa") + F.size("sb")).cast("long").alias("sum"))
         .where(100 * F.col("both") >= percent * (F.col("sum") - F.col("both")))
         .select("a", "b")
@@ -391,11 +378,8 @@ def _bands(nodes: DataFrame) -> DataFrame:
     width = 2 * ROWS
     keys = F.expr(f"transform(sequence(0, {BANDS - 1}), b -> xxhash64(b, substring(registers, b * {width} + 1, {width})))")
     bands = nodes.select(F.posexplode(keys).alias("band", "key"), "node")
-    hubs = table(bands.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1"), "hubs")
-    limit = max(BLOCK, (hubs.agg(F.sum("n")).first()[0] or 0) // HOT)
-    hot = F.broadcast(hubs.where(F.col("n") > limit).select("key", "hub"))  # HOT rows at most
-    cold = bands.join(hot, "key", "left_anti").join(hubs.where(F.col("n") <= limit).select("key", "hub"), "key")
-    return table(cold.unionByName(bands.join(hot, "key").select(cold.columns)).where("node <> hub"), "crowd")
+    hubs = table(bands.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "hub"), "hubs")
+    return table(bands.join(hubs, "key").where("node <> hub"), "crowd")
 
 
 def _grouped(docs: DataFrame, rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -415,13 +399,13 @@ def _grouped(docs: DataFrame, rows: DataFrame, percent: int) -> tuple[DataFrame,
     signs = table(nodes.join(met, "node", "left_semi").select("node", "n_shingles", "registers"), "signs")
 
     a, b = (signs.select(F.col("node").alias(x), F.col("n_shingles").alias("n" + x), F.col("registers").alias("r" + x)) for x in "ab")
-    close = _meet(star.join(b, "b"), a, "a", _hot(star, "a", star.count())).where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    close = star.join(b, "b").join(a, "a").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
     near = table(close.select("a", "b", "ra", "rb").mapInArrow(_estimates(floor), "a binary, b binary"), "near")
     links = table(_verified(sets, near, percent), "links")
-    groups = table(components(links), "components")
+    known = table(components(links, rounds=1), "known")
 
     least = F.coalesce("root", "node").alias("comp")
-    rest = crowd.select("band", "key", "node").join(groups, "node", "left").select("band", "key", "node", least, F.lit(0).alias("place"))
+    rest = crowd.select("band", "key", "node").join(known, "node", "left").select("band", "key", "node", least, F.lit(0).alias("place"))
     rest = table(_mixed(table(rest, "rest"), "keys"), "mixed")
     split = _split(rest.where("blocks > 1").select("node", "comp").distinct(), sets, percent)
     dealt = rest.where("blocks = 1").unionByName(split).join(signs, "node").join(sets.select("node", "sketch"), "node")
@@ -430,10 +414,8 @@ def _grouped(docs: DataFrame, rows: DataFrame, percent: int) -> tuple[DataFrame,
     )
     dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     more = table(dealt.mapInArrow(_compare_blocks(floor, ratio), "a binary, b binary").distinct(), "more")
-    if not more.isEmpty():
-        links = links.unionByName(table(_verified(sets, more, percent), "links"))
-        groups = table(components(links), "components")
-    return signed, nodes, groups
+    links = links.unionByName(table(_verified(sets, more, percent), "links"))
+    return signed, nodes, table(components(links), "components")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
