@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from graphwright.functions import vocab as v
 from graphwright.functions.terms import local_name
 from graphwright.plans.tables import settled
+from graphwright.sources.sinks import bounded
 
 DECLARED = (v.CLASS, v.RDFS + "Class", v.OBJECT_PROPERTY, v.DATATYPE_PROPERTY, v.RDF + "Property")
 
@@ -154,9 +155,9 @@ def convert_and_validate(triples: DataFrame, schema: dict, base: str = "https://
 
 
 def grouped(instances: DataFrame) -> dict[str, list]:
-    """All instances on the driver, by type; for documents of moderate size."""
+    """All instances on the driver, by type; at most as many as one document may hold."""
     out: dict[str, list] = {}
-    for r in instances.orderBy("type", "idx").toLocalIterator():
+    for r in bounded(instances).orderBy("type", "idx").toLocalIterator():
         out.setdefault(r["type"], []).append(json.loads(r["obj"]))
     return out
 
@@ -170,7 +171,7 @@ def jsonld(instances: DataFrame, schema: dict, base: str) -> tuple[dict, DataFra
 
 def jsonld_document(instances: DataFrame, schema: dict, base: str) -> dict:
     context, nodes = jsonld(instances, schema, base)
-    return {"@context": context, "@graph": [json.loads(r["node"]) for r in nodes.orderBy("type", "uri").toLocalIterator()]}
+    return {"@context": context, "@graph": [json.loads(r["node"]) for r in bounded(nodes).orderBy("type", "uri").toLocalIterator()]}
 
 
 def display(instances: DataFrame) -> str:

@@ -22,8 +22,11 @@ from graphwright.functions import datatypes as dt
 from graphwright.operators import rules as r
 from graphwright.operators.tbox import TBox
 from graphwright.plans.config import PARITY, RULES, Config
+from graphwright.sources.sinks import bounded
 
 SCHEMA_ID = "http://json-schema.org/draft-07/schema#"
+#: Individuals that a schema may have as examples; with more the rule is refused.
+MOST_EXAMPLES = 10_000
 #: Keys that root metadata may set (fixed values).
 ROOT_KEYS = {"title", "description", "$id", "$comment", "$defs", "additionalProperties", "type"}
 Rows = dict[str, list[dict]]
@@ -69,7 +72,7 @@ def tables(t: TBox, config: Config, profile: str) -> dict[str, DataFrame]:
         if profile == "documented":
             out["disjoint_groups"] = r.disjoint_groups(t.class_disjoint)
     if "individuals_to_examples" in on:
-        out |= {"individuals": t.individuals, "ind_type": t.ind_type, "ind_prop": t.ind_prop}
+        out |= {"individuals": bounded(t.individuals, MOST_EXAMPLES), "ind_type": t.ind_type, "ind_prop": t.ind_prop}
     return out
 
 

@@ -53,7 +53,20 @@ def write_jsonld(triples: DataFrame, path: str) -> None:
     jsonld_nodes(triples).select(F.col("node").alias("value")).write.mode("overwrite").text(path)
 
 
+#: Rows of what is written as one document, through the driver; more are refused.
+DOCUMENT_ROWS = 1_000_000
+
+
+def bounded(df: DataFrame, most: int | None = None) -> DataFrame:
+    """The table, if it has no more rows than one document may."""
+    most = DOCUMENT_ROWS if most is None else most
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"over {most} rows are too many for one document; write N-Triples or lines of JSON instead")
+    return df
+
+
 def _sorted(triples: DataFrame) -> Iterator:
+    bounded(triples)
     yield from triples.select("s", "p", "o", "o_kind", "o_datatype", "o_lang").orderBy("s", "p", "o").toLocalIterator()
 
 
@@ -125,7 +138,7 @@ def save(triples: DataFrame, path: str) -> None:
     elif extension in (".rdf", ".owl", ".xml"):
         Path(path).write_text(to_rdfxml(triples))
     elif extension in (".jsonld", ".json"):
-        nodes = [json.loads(r["node"]) for r in jsonld_nodes(triples).orderBy("s").toLocalIterator()]
+        nodes = [json.loads(r["node"]) for r in jsonld_nodes(bounded(triples)).orderBy("s").toLocalIterator()]
         Path(path).write_text(json.dumps(nodes, indent=2, ensure_ascii=False))
     else:
         Path(path).write_text(to_turtle(triples))
