@@ -129,7 +129,7 @@ def to_rdfxml(triples: DataFrame, prefixes: dict[str, str] | None = None) -> str
 
 
 def save(triples: DataFrame, path: str) -> None:
-    """By extension: .nt and .jsonl as folders written in parallel, .rdf/.owl/.xml, .jsonld and by default Turtle as files."""
+    """By extension: .nt and .jsonl as folders written in parallel, .rdf/.owl/.xml, .jsonld and by default Turtle (.ttl, .n3: it is N3 too) as files."""
     extension = Path(path).suffix.lower()
     if extension == ".nt":
         write_ntriples(triples, path)
