@@ -76,28 +76,44 @@ def small(df: DataFrame) -> DataFrame | None:
     return None if n == 0 else F.broadcast(kept) if n <= BROADCAST_ROWS else kept
 
 
-def schema_tables(t: DataFrame) -> dict[str, DataFrame]:
-    """Closed schema relations of a graph: sub (class, super), subprop, domain, range, inverse, and kinds of properties."""
+#: What a schema is stated with: predicates, and classes of properties.
+_STATED = [v.SUBCLASS, v.SUBPROP, v.DOMAIN, v.RANGE, v.FIRST, v.REST] + [
+    v.OWL + x for x in ("equivalentClass", "equivalentProperty", "inverseOf", "onProperty", "someValuesFrom", "allValuesFrom", "hasValue", "intersectionOf", "unionOf", "oneOf")
+]
+_KINDS = [v.OWL + "SymmetricProperty", v.OWL + "TransitiveProperty"]
+
+
+def schema_tables(triples: DataFrame) -> dict[str, DataFrame]:
+    """Closed schema relations of a graph, as far as it states them.
+
+    sub (class, super), subprop, domain, range, inverse, intersection, kinds of
+    properties, restrictions and one_of.  The graph is read once, for its
+    axioms; which kinds there are decides what is worked out at all.
+    """
+    is_axiom = F.col("p").isin(*_STATED) | (F.col("p") == v.TYPE) & F.col("o").isin(*_KINDS)
+    t = settled(triples.where(is_axiom).select("s", "p", "o", "o_kind"))
+    stated = {r[0].removeprefix(v.OWL) for r in t.select(F.when(F.col("p") == v.TYPE, F.col("o")).otherwise(F.col("p"))).distinct().collect()}  # at most as many as named above
+    has = lambda *names: any(n in stated for n in names)
     edge = lambda p: t.where((F.col("p") == p) & (F.col("o_kind") != "literal")).select(F.col("s").alias("src"), F.col("o").alias("dst"))
     flip = lambda d: d.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     both = lambda d: d.unionByName(flip(d))
-    with_lists = not t.where(F.col("p").isin(v.OWL + "intersectionOf", v.OWL + "unionOf", v.OWL + "oneOf")).isEmpty()
-    members = list_members(t) if with_lists else t.select(F.col("s").alias("head"), F.col("o").alias("member")).limit(0)
+    members = list_members(t) if has("intersectionOf", "unionOf", "oneOf") else t.select(F.col("s").alias("head"), F.col("o").alias("member")).limit(0)
     lists = lambda p: edge(p).join(members.select(F.col("head").alias("dst"), "member"), "dst")
     inter = lists(v.OWL + "intersectionOf").select("src", F.col("member").alias("dst"))
     union = lists(v.OWL + "unionOf").select(F.col("member").alias("src"), F.col("src").alias("dst"))
-    sub = reduce(DataFrame.unionByName, [edge(v.SUBCLASS), both(edge(v.OWL + "equivalentClass")), inter, union])
-    subprop = edge(v.SUBPROP).unionByName(both(edge(v.OWL + "equivalentProperty")))
     kind = lambda k: t.where((F.col("p") == v.TYPE) & (F.col("o") == v.OWL + k)).select(F.col("s").alias("prop")).distinct()
-    inverse = both(edge(v.OWL + "inverseOf"))
     on = t.where(F.col("p") == v.OWL + "onProperty").select(F.col("s").alias("node"), F.col("o").alias("prop"))
     value = lambda p: t.where(F.col("p") == v.OWL + p).select(F.col("s").alias("node"), F.col("o").alias("filler")).join(on, "node")
-    return {
-        "sub": transitive_closure(sub), "subprop": transitive_closure(subprop), "domain": edge(v.DOMAIN), "range": edge(v.RANGE), "inverse": inverse,
-        "intersection": inter, "symmetric": kind("SymmetricProperty"), "transitive": kind("TransitiveProperty"),
-        "some": value("someValuesFrom"), "all": value("allValuesFrom"), "has": value("hasValue"),
-        "one_of": lists(v.OWL + "oneOf").select(F.col("member").alias("s"), F.col("src").alias("c")),
-    }
+    out: dict[str, DataFrame] = {}
+    if has(v.SUBCLASS, "equivalentClass", "intersectionOf", "unionOf"):
+        out["sub"] = transitive_closure(reduce(DataFrame.unionByName, [edge(v.SUBCLASS), both(edge(v.OWL + "equivalentClass")), inter, union]))
+    if has(v.SUBPROP, "equivalentProperty"):
+        out["subprop"] = transitive_closure(edge(v.SUBPROP).unionByName(both(edge(v.OWL + "equivalentProperty"))))
+    direct = {"domain": (v.DOMAIN, lambda: edge(v.DOMAIN)), "range": (v.RANGE, lambda: edge(v.RANGE)), "inverse": ("inverseOf", lambda: both(edge(v.OWL + "inverseOf"))), "intersection": ("intersectionOf", lambda: inter)}
+    direct |= {"symmetric": ("SymmetricProperty", lambda: kind("SymmetricProperty")), "transitive": ("TransitiveProperty", lambda: kind("TransitiveProperty"))}
+    direct |= {"some": ("someValuesFrom", lambda: value("someValuesFrom")), "all": ("allValuesFrom", lambda: value("allValuesFrom")), "has": ("hasValue", lambda: value("hasValue"))}
+    direct["one_of"] = ("oneOf", lambda: lists(v.OWL + "oneOf").select(F.col("member").alias("s"), F.col("src").alias("c")))
+    return out | {name: make() for name, (needs, make) in direct.items() if has(needs)}
 
 
 def owl_rl(triples: DataFrame, schema: dict[str, DataFrame] | None = None) -> DataFrame:

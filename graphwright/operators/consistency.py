@@ -82,6 +82,9 @@ def check(tbox: DataFrame, abox: DataFrame, reason: bool = True) -> DataFrame:
     columns = ["s", "s_kind", "p", "o", "o_kind"]
     t = settled(tbox.select(*columns).unionByName(abox.select(*columns)).distinct())
     facts, issues = t, []
+    kinds = [v.OWL + k for k in ("FunctionalProperty", "IrreflexiveProperty", "AsymmetricProperty", "AllDisjointClasses")]
+    stated = [v.FIRST, v.REST] + [v.OWL + p for p in ("disjointWith", "members", "complementOf", "propertyDisjointWith", "maxCardinality", "onProperty")]
+    axioms = settled(t.where(F.col("p").isin(*stated) | (F.col("p") == v.TYPE) & F.col("o").isin(*kinds)))
     if reason:
         try:
             facts = closure.owl_rl(t)
@@ -94,10 +97,10 @@ def check(tbox: DataFrame, abox: DataFrame, reason: bool = True) -> DataFrame:
     nothing = typed.where((F.col("o") == v.NOTHING) & ~F.startswith("s", F.lit("_:")))
     issues.append(_issue(nothing, "nothing_instance", F.col("s"), F.concat(F.lit("Individual "), local_name("s"), F.lit(" is typed as owl:Nothing"))))
     types = typed.where(~F.col("o").isin(v.NAMED, v.THING)).join(named, "s", "left_semi")
-    both = disjoint_members(types, disjoint_pairs(t), "s", "o")
+    both = disjoint_members(types, disjoint_pairs(axioms), "s", "o")
     text = F.concat(F.lit("Individual "), local_name("s"), F.lit(" belongs to disjoint classes: "), local_name("a"), F.lit(" and "), local_name("b"))
     issues.append(_issue(both, "disjoint_violation", F.col("s"), text, classes=F.array("a", "b")))
-    kind = lambda k: t.where((F.col("p") == v.TYPE) & (F.col("o") == v.OWL + k)).select(F.col("s").alias("p")).distinct()
+    kind = lambda k: axioms.where((F.col("p") == v.TYPE) & (F.col("o") == v.OWL + k)).select(F.col("s").alias("p")).distinct()
     own = facts.join(kind("FunctionalProperty"), "p", "left_semi")
     many = own.groupBy("s", "p").agg(F.array_sort(F.collect_set("o")).alias("os")).where("size(os) > 1")
     text = F.concat(F.lit("Functional property "), local_name("p"), F.lit(" has "), F.size("os").cast("string"), F.lit(" values for "), local_name("s"))
@@ -107,17 +110,17 @@ def check(tbox: DataFrame, abox: DataFrame, reason: bool = True) -> DataFrame:
     one_way = facts.join(kind("AsymmetricProperty"), "p", "left_semi")
     back = one_way.where("s < o").join(one_way.select(F.col("o").alias("s"), "p", F.col("s").alias("o")), ["s", "p", "o"])
     issues.append(_issue(back, "asymmetric_violation", F.col("s"), F.concat(F.lit("Asymmetric property "), local_name("p"), F.lit(" holds both ways for "), local_name("s")), F.col("p"), values=F.array("o")))
-    apart = t.where(F.col("p") == v.OWL + "complementOf").select(F.col("s").alias("a"), F.col("o").alias("b"))
+    apart = axioms.where(F.col("p") == v.OWL + "complementOf").select(F.col("s").alias("a"), F.col("o").alias("b"))
     both = disjoint_members(typed.select("s", "o"), apart, "s", "o")
     text = F.concat(F.lit("Individual "), local_name("s"), F.lit(" belongs to a class and its complement: "), local_name("a"), F.lit(" and "), local_name("b"))
     issues.append(_issue(both, "complement_violation", F.col("s"), text, classes=F.array("a", "b")))
-    pairs = t.where(F.col("p") == v.OWL + "propertyDisjointWith").select(F.least("s", "o").alias("p"), F.greatest("s", "o").alias("q")).distinct()
+    pairs = axioms.where(F.col("p") == v.OWL + "propertyDisjointWith").select(F.least("s", "o").alias("p"), F.greatest("s", "o").alias("q")).distinct()
     held = facts.select("s", "p", "o")
     twice = held.join(pairs, "p").join(held.select("s", F.col("p").alias("q"), "o"), ["s", "q", "o"])
     text = F.concat(F.lit("Disjoint properties "), local_name("p"), F.lit(" and "), local_name("q"), F.lit(" both link "), local_name("s"), F.lit(" to "), local_name("o"))
     issues.append(_issue(twice, "disjoint_property_violation", F.col("s"), text, F.col("p"), values=F.array("o")))
-    none = t.where((F.col("p") == v.OWL + "maxCardinality") & (F.col("o") == "0")).select(F.col("s").alias("node"))
-    none = none.join(t.where(F.col("p") == v.OWL + "onProperty").select(F.col("s").alias("node"), F.col("o").alias("p")), "node")
+    none = axioms.where((F.col("p") == v.OWL + "maxCardinality") & (F.col("o") == "0")).select(F.col("s").alias("node"))
+    none = none.join(axioms.where(F.col("p") == v.OWL + "onProperty").select(F.col("s").alias("node"), F.col("o").alias("p")), "node")
     some = typed.select("s", F.col("o").alias("node")).join(none, "node").select("s", "p").distinct().join(held, ["s", "p"])
     text = F.concat(F.lit("Property "), local_name("p"), F.lit(" may have no value but has one for "), local_name("s"))
     issues.append(_issue(some.select("s", "p").distinct(), "max_cardinality_violation", F.col("s"), text, F.col("p")))
