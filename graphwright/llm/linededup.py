@@ -116,12 +116,12 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame
 
 #: The report in SQL, with exact counts.
 REPORT_SQL = rf"""
-WITH d AS (SELECT doc_id, source, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
-x AS (SELECT doc_id, source, unnest(lines) AS line FROM d),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+x AS (SELECT r, source, unnest(lines) AS line FROM d),
 y AS (SELECT * FROM x WHERE len(regexp_extract_all(line, '{WORD}')) >= {MIN_WORDS}),
 b AS (SELECT line FROM y GROUP BY line HAVING count(DISTINCT coalesce('0' || source, '1')) >= {MIN_SITES}),
-g AS (SELECT doc_id, count(*) AS n, sum(strlen(line) + 1) AS gone FROM y JOIN b USING (line) GROUP BY doc_id)
+g AS (SELECT r, count(*) AS n, sum(strlen(line) + 1) AS gone FROM y JOIN b USING (line) GROUP BY r)
 SELECT doc_id, CAST(len(lines) AS BIGINT) AS n_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_removed,
   CAST(CASE WHEN coalesce(n, 0) >= len(lines) THEN 0 ELSE strlen(array_to_string(lines, chr(10))) - coalesce(gone, 0) END AS BIGINT) AS bytes_left
-FROM d LEFT JOIN g USING (doc_id)
+FROM d LEFT JOIN g USING (r)
 """
