@@ -227,18 +227,18 @@ class _Encoder:
         """
         if len(kept) > CACHE_SIZE:
             kept.clear()
-        self.long += [(kept, x) for x in runs if len(x) > CACHE_BYTES]
+        fresh = [x for x in runs if x not in kept]
+        self.long += [(kept, x) for x in fresh if len(x) > CACHE_BYTES]
         missing, stopped = set(), []
-        for x in runs:
-            if x not in kept:
-                if len(x) > 1 and x[-1] in self.stops and (x[-2] in _ALNUM or x[-3:-2] == b"\xc3" and x[-2] not in (0x97, 0xB7)):
-                    stopped.append(x)
-                    if x[:-1] not in kept:
-                        missing.add(x[:-1])
-                        if len(x) > CACHE_BYTES:
-                            self.long.append((kept, x[:-1]))
-                else:
-                    missing.add(x)
+        for x in fresh:
+            if x[-1:] in (b".", b",") and len(x) > 1 and (x[-2] in _ALNUM or x[-3:-2] == b"\xc3" and x[-2] not in (0x97, 0xB7)):
+                stopped.append(x)
+                if x[:-1] not in kept:
+                    missing.add(x[:-1])
+                    if len(x) > CACHE_BYTES:
+                        self.long.append((kept, x[:-1]))
+            else:
+                missing.add(x)
         if missing:
             kept.update(zip(missing, self.whole([before + x for x in missing]), strict=True))
         for x in stopped:
