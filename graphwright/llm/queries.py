@@ -77,11 +77,25 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), percent=85)
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphwright.llm.packing import pack
+
+    return pack(documents(spark, sf_dir), 2048, "word_bpe_49k.json", 1)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphwright.llm.negatives import hard_negatives, points
+
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(points(e.select("vec_id", label.alias("label"), "embedding")), F.col("vec_id") % 50 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from graphwright.llm.linededup import REPORT_SQL
+    from graphwright.llm import linededup, negatives
 
-    return {"op7_line_dedup": REPORT_SQL}
+    return {"op7_line_dedup": linededup.REPORT_SQL, "op13_hard_negatives": negatives.SQL}
