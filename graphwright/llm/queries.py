@@ -77,6 +77,12 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), percent=85)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphwright.llm.trie import prefix_trie
+
+    return prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphwright.llm.packing import pack
 
@@ -96,6 +102,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from graphwright.llm import linededup, negatives
+    from graphwright.llm import linededup, negatives, trie
 
-    return {"op7_line_dedup": linededup.REPORT_SQL, "op13_hard_negatives": negatives.SQL}
+    return {"op7_line_dedup": linededup.REPORT_SQL, "op11_prefix_trie": trie.SQL, "op13_hard_negatives": negatives.SQL}
