@@ -41,6 +41,8 @@ FAMILY, MOST_SHARED = 20, 4
 STEP = 1 << 40
 #: Characters of conv_ids that one row of a list has.
 LIST_TEXT = 1 << 16
+#: Stands for the least conversation of a node at a seam, which has no sequence of its own yet; more than any conv_id.
+SEAM = (1 << 63) - 1
 NO_ENDS = hashlib.sha256(b"").hexdigest()
 
 
@@ -297,7 +299,7 @@ class _Minima:
     def least_of(self, lo: int, hi: int) -> int:
         """The least conversation of the blocks lo to hi - 1."""
         if lo >= hi:
-            return 1 << 62
+            return SEAM
         level = (hi - lo).bit_length() - 1
         return int(min(self.leasts[level][lo], self.leasts[level][hi - (1 << level)]))
 
@@ -316,7 +318,9 @@ def _resolver(minima: _Minima, end: int):
                 j, v, left, right, least = minima.at[x["block"]], x["v"], x["left"], x["right"], x["conv_id"]
                 was_open, left_block, right_block = left is None, None, None
                 lo, hi = j, j + 1  # whole blocks between the two ends
-                if right is None:
+                if right is None and least == SEAM and minima.inner[j] < v:
+                    hi, right_block = j, x["block"]
+                elif right is None:
                     b = minima.after(j, v)
                     hi = len(minima.blocks) if b is None else b
                     if b is None:
@@ -376,7 +380,7 @@ def prefix_trie(conversations: DataFrame) -> DataFrame:
     places = F.broadcast(spark.createDataFrame(offsets, "block int, beta long, beta_next long, shared long, c0 long, f0 long, a0 long, n0 long"))
 
     # open nodes, and the values at the seams, which stand at index 0 of their blocks
-    seam_nodes = spark.createDataFrame([(r["block"], r["beta"], None, None, 1, 1 << 62) for r in rows[1:]], "block int, v long, left long, right long, k long, conv_id long")
+    seam_nodes = spark.createDataFrame([(r["block"], r["beta"], None, None, 1, SEAM) for r in rows[1:]], "block int, v long, left long, right long, k long, conv_id long")
     loose = of("node").where("left is null or right is null").select("block", "v", "left", "right", "k", "conv_id").unionByName(seam_nodes)
     loose = loose.mapInArrow(_resolver(minima, end), _LOOSE)
     chain = lambda kind, side: of(kind).select(F.col("block").alias(f"{side}_block"), F.col("v").alias(f"{side}_v"), "upto", (F.col("block") * F.lit(STEP) + F.col("i")).alias(f"{side}_at"), F.col("conv_id").alias(f"{side}_least"))
