@@ -18,10 +18,16 @@ from graphwright.operators.tbox import list_members
 from graphwright.plans.tables import Parts, settled
 
 
-def fixpoint(seed: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], most_rounds: int = 1000) -> DataFrame:
-    """The least set of rows with `seed` and closed under step(new, all).  A round writes what it found, and nothing again."""
-    parts = Parts()
-    known = fresh = parts.add(seed.distinct())
+def fixpoint(seed: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], most_rounds: int = 1000, closed: Parts | None = None) -> DataFrame:
+    """The least set of rows with `seed` and closed under step(new, all).  A round writes what it found, and nothing again.
+
+    `closed`, if given, has rows that are closed already and share none with
+    `seed`: only what follows from the seed is worked out; the parts found are
+    added to it.
+    """
+    parts = Parts() if closed is None else closed
+    fresh = parts.add(seed.distinct())
+    known = parts.all(fresh)
     for _ in range(most_rounds):
         found = step(fresh, known).select(*known.columns).distinct()
         fresh = parts.add(found.join(known, known.columns, "left_anti"))
@@ -78,7 +84,7 @@ def small(df: DataFrame) -> DataFrame | None:
 
 #: What a schema is stated with: predicates, and classes of properties.
 _STATED = [v.SUBCLASS, v.SUBPROP, v.DOMAIN, v.RANGE, v.FIRST, v.REST] + [
-    v.OWL + x for x in ("equivalentClass", "equivalentProperty", "inverseOf", "onProperty", "someValuesFrom", "allValuesFrom", "hasValue", "intersectionOf", "unionOf", "oneOf")
+    v.OWL + x for x in ("equivalentClass", "equivalentProperty", "inverseOf", "onProperty", "someValuesFrom", "allValuesFrom", "hasValue", "intersectionOf", "unionOf", "oneOf", "propertyChainAxiom")
 ]
 _KINDS = [v.OWL + "SymmetricProperty", v.OWL + "TransitiveProperty"]
 
@@ -87,17 +93,20 @@ def schema_tables(triples: DataFrame) -> dict[str, DataFrame]:
     """Closed schema relations of a graph, as far as it states them.
 
     sub (class, super), subprop, domain, range, inverse, intersection, kinds of
-    properties, restrictions and one_of.  The graph is read once, for its
-    axioms; which kinds there are decides what is worked out at all.
+    properties, restrictions, one_of and chain.  The graph is read once, for its
+    axioms; which kinds there are decides what is worked out at all.  Tables that
+    are parts of the axioms are to be broadcast if these are counted to be few;
+    closures are counted themselves.
     """
     is_axiom = F.col("p").isin(*_STATED) | (F.col("p") == v.TYPE) & F.col("o").isin(*_KINDS)
     t = settled(triples.where(is_axiom).select("s", "p", "o", "o_kind"))
-    stated = {r[0].removeprefix(v.OWL) for r in t.select(F.when(F.col("p") == v.TYPE, F.col("o")).otherwise(F.col("p"))).distinct().collect()}  # at most as many as named above
+    counts = {r[0].removeprefix(v.OWL): r[1] for r in t.groupBy(F.when(F.col("p") == v.TYPE, F.col("o")).otherwise(F.col("p"))).count().collect()}  # at most as many as named above
+    stated, hinted = set(counts), (F.broadcast if sum(counts.values()) <= BROADCAST_ROWS else lambda d: d)
     has = lambda *names: any(n in stated for n in names)
     edge = lambda p: t.where((F.col("p") == p) & (F.col("o_kind") != "literal")).select(F.col("s").alias("src"), F.col("o").alias("dst"))
     flip = lambda d: d.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     both = lambda d: d.unionByName(flip(d))
-    members = list_members(t) if has("intersectionOf", "unionOf", "oneOf") else t.select(F.col("s").alias("head"), F.col("o").alias("member")).limit(0)
+    members = list_members(t) if has("intersectionOf", "unionOf", "oneOf", "propertyChainAxiom") else t.select(F.col("s").alias("head"), F.col("o").alias("member"), F.lit(0).alias("pos")).limit(0)
     lists = lambda p: edge(p).join(members.select(F.col("head").alias("dst"), "member"), "dst")
     inter = lists(v.OWL + "intersectionOf").select("src", F.col("member").alias("dst"))
     union = lists(v.OWL + "unionOf").select(F.col("member").alias("src"), F.col("src").alias("dst"))
@@ -106,30 +115,69 @@ def schema_tables(triples: DataFrame) -> dict[str, DataFrame]:
     value = lambda p: t.where(F.col("p") == v.OWL + p).select(F.col("s").alias("node"), F.col("o").alias("filler")).join(on, "node")
     out: dict[str, DataFrame] = {}
     if has(v.SUBCLASS, "equivalentClass", "intersectionOf", "unionOf"):
-        out["sub"] = transitive_closure(reduce(DataFrame.unionByName, [edge(v.SUBCLASS), both(edge(v.OWL + "equivalentClass")), inter, union]))
-    if has(v.SUBPROP, "equivalentProperty"):
-        out["subprop"] = transitive_closure(edge(v.SUBPROP).unionByName(both(edge(v.OWL + "equivalentProperty"))))
+        out["sub"] = small(transitive_closure(reduce(DataFrame.unionByName, [edge(v.SUBCLASS), both(edge(v.OWL + "equivalentClass")), inter, union])))
+    chains, single = None, None
+    if has("propertyChainAxiom"):
+        chains, single = chain_steps(edge(v.OWL + "propertyChainAxiom").join(members.select(F.col("head").alias("dst"), "pos", "member"), "dst"))
+        out["chain"] = hinted(settled(chains))
+    if has(v.SUBPROP, "equivalentProperty", "propertyChainAxiom"):
+        edges = edge(v.SUBPROP).unionByName(both(edge(v.OWL + "equivalentProperty")))
+        out["subprop"] = small(transitive_closure(edges if single is None else edges.unionByName(single)))  # a chain of one property is a subproperty
     direct = {"domain": (v.DOMAIN, lambda: edge(v.DOMAIN)), "range": (v.RANGE, lambda: edge(v.RANGE)), "inverse": ("inverseOf", lambda: both(edge(v.OWL + "inverseOf"))), "intersection": ("intersectionOf", lambda: inter)}
     direct |= {"symmetric": ("SymmetricProperty", lambda: kind("SymmetricProperty")), "transitive": ("TransitiveProperty", lambda: kind("TransitiveProperty"))}
     direct |= {"some": ("someValuesFrom", lambda: value("someValuesFrom")), "all": ("allValuesFrom", lambda: value("allValuesFrom")), "has": ("hasValue", lambda: value("hasValue"))}
     direct["one_of"] = ("oneOf", lambda: lists(v.OWL + "oneOf").select(F.col("member").alias("s"), F.col("src").alias("c")))
-    return out | {name: make() for name, (needs, make) in direct.items() if has(needs)}
+    out |= {name: hinted(make()) for name, (needs, make) in direct.items() if has(needs)}
+    return {k: d for k, d in out.items() if d is not None}
+
+
+#: Links along the first properties of a chain; they are facts while the fix-point runs.
+PARTIAL = "chain:"
+
+
+def chain_steps(axioms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(left, right, result) and (src, dst) from the members (src, dst, pos, member) of property chains.
+
+    A chain of n properties becomes n - 1 steps of two: links along its first k
+    properties have a name of their own, and chains that begin alike share it.
+    Chains of one property are edges from it to the whole.
+    """
+    chains = axioms.groupBy("src", "dst").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "member"))), lambda x: x["member"]).alias("m"))
+    several, one = chains.where("size(m) > 1"), chains.where("size(m) = 1")
+    at = several.withColumn("k", F.explode(F.sequence(F.lit(1), F.size("m") - 1)))
+    name = lambda n: F.concat(F.lit(PARTIAL), F.md5(F.array_join(F.slice("m", F.lit(1), n), " ").cast("binary")))
+    left = F.when(F.col("k") == 1, F.col("m")[0]).otherwise(name(F.col("k")))
+    result = F.when(F.col("k") == F.size("m") - 1, F.col("src")).otherwise(name(F.col("k") + 1))
+    return at.select(left.alias("left"), F.element_at("m", F.col("k") + 1).alias("right"), result.alias("result")).distinct(), one.select(F.col("m")[0].alias("src"), F.col("src").alias("dst"))
 
 
 def owl_rl(triples: DataFrame, schema: dict[str, DataFrame] | None = None) -> DataFrame:
     """s, p, o, o_kind: the facts of a graph and what OWL 2 RL derives from them.
 
     Rules (names of the W3C tables): cax-sco, cax-eqc, cls-uni, cls-int1/2,
-    prp-spo1, prp-eqp, prp-dom, prp-rng, prp-inv, prp-symp, prp-trp, cls-svf1/2,
-    cls-avf, cls-hv1/2, cls-oo.  Which individuals are the same (prp-fp, prp-ifp,
-    cls-maxc2) is left to same_individuals(), contradictions to consistency.check().
+    prp-spo1, prp-spo2, prp-eqp, prp-dom, prp-rng, prp-inv, prp-symp, prp-trp,
+    cls-svf1/2, cls-avf, cls-hv1/2, cls-oo.  Individuals that are the same stay
+    apart here: equality.entail() merges them.  Contradictions are left to
+    consistency.check().
     """
     facts = triples.select("s", "p", "o", "o_kind")
-    sch = {k: small(d) for k, d in (schema or schema_tables(triples)).items()}
-    sch = {k: d for k, d in sch.items() if d is not None}
-    if "one_of" in sch:
-        members = sch["one_of"].select("s", F.lit(v.TYPE).alias("p"), F.col("c").alias("o"), F.lit("uri").alias("o_kind"))
-        facts = facts.unionByName(members)
+    sch = schema or schema_tables(triples)
+    return without_partial(fixpoint(with_members(facts, sch), rules(sch)), sch)
+
+
+def with_members(facts: DataFrame, sch: dict[str, DataFrame]) -> DataFrame:
+    """The facts and the types that enumerations state."""
+    if "one_of" not in sch:
+        return facts
+    return facts.unionByName(sch["one_of"].select("s", F.lit(v.TYPE).alias("p"), F.col("c").alias("o"), F.lit("uri").alias("o_kind")))
+
+
+def without_partial(facts: DataFrame, sch: dict[str, DataFrame]) -> DataFrame:
+    return facts.where(~F.startswith("p", F.lit(PARTIAL))) if "chain" in sch else facts
+
+
+def rules(sch: dict[str, DataFrame]) -> Callable[[DataFrame, DataFrame], DataFrame]:
+    """One round of the rules that a schema has rows for, from what is new and all that is known."""
     is_type = F.col("p") == v.TYPE
 
     def types(rows: DataFrame) -> DataFrame:
@@ -167,6 +215,12 @@ def owl_rl(triples: DataFrame, schema: dict[str, DataFrame] | None = None) -> Da
             for a, b in ((new, known), (known, new)):
                 left, right = only(a, "transitive").select("s", "p", F.col("o").alias("m")), only(b, "transitive").select(F.col("s").alias("m"), "p", "o", "o_kind")
                 out.append(left.join(right, ["m", "p"]).select("s", "p", "o", "o_kind"))
+        if "chain" in sch:
+            firsts, nexts = (sch["chain"].select(F.col(c).alias("p")).distinct() for c in ("left", "right"))  # rows of the ontology
+            for a, b in ((things, all_links), (all_links.where("o_kind <> 'literal'"), links)):
+                left = a.join(firsts, "p", "left_semi").join(sch["chain"].withColumnRenamed("left", "p"), "p").select("s", F.col("o").alias("m"), "right", "result")
+                right = b.join(nexts, "p", "left_semi").select(F.col("s").alias("m"), F.col("p").alias("right"), "o", "o_kind")
+                out.append(left.join(right, ["m", "right"]).select("s", F.col("result").alias("p"), "o", "o_kind"))
         for some_links, some_types in ((links, all_types), (all_links, typed)):
             if "some" in sch:
                 rows = some_links.join(sch["some"].withColumnRenamed("prop", "p"), "p")
@@ -190,7 +244,7 @@ def owl_rl(triples: DataFrame, schema: dict[str, DataFrame] | None = None) -> Da
             out.append(types(met.select("s", F.col("src").alias("c"))))
         return reduce(DataFrame.unionByName, out)
 
-    return fixpoint(facts, step)
+    return step
 
 
 def same_individuals(facts: DataFrame) -> DataFrame:

@@ -39,6 +39,16 @@ class Parts:
         self.paths.append(path)
         return spark.read.schema(df.schema).parquet(path)
 
+    def drop(self) -> None:
+        """Frees the parts, which no later plan may read."""
+        from pyspark.sql import SparkSession
+
+        spark = SparkSession.getActiveSession()
+        for path in self.paths:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        self.paths = []
+
     def all(self, like: DataFrame) -> DataFrame:
         """The rows of all parts, which have the columns of `like`."""
         return like.sparkSession.read.schema(like.schema).parquet(*self.paths)
