@@ -78,9 +78,11 @@ def _stands_in_files(df: DataFrame) -> bool:
     return plan.getClass().getSimpleName() == "LogicalRelation" and plan.metadataOutput().nonEmpty()
 
 
-def identified(df: DataFrame) -> DataFrame:
+def identified(df: DataFrame, paths: bool = False) -> DataFrame:
     """row (a struct of all columns, so that no name can clash), file and at: two longs that name the row.
 
+    With `paths`, file is the path itself, so that files have an order.
+
     A row is named by a hash of its file's path and its place in that file, so
     the names do not depend on how files are split, and reading again gives the
     same ones.  What is no plain scan of files is written to the shared folder
@@ -89,7 +91,7 @@ def identified(df: DataFrame) -> DataFrame:
     if not _stands_in_files(df):
         df = table(df, "rows")
     place, row = df.metadataColumn("_metadata"), F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    return df.select(row.alias("row"), F.xxhash64(place["file_path"]).alias("file"), place["row_index"].alias("at"))
+    return df.select(row.alias("row"), (place["file_path"] if paths else F.xxhash64(place["file_path"])).alias("file"), place["row_index"].alias("at"))
 
 
 def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:

@@ -1,10 +1,11 @@
 """Packing of token ids into sequences: concatenate and cut.
 
 All documents are encoded once; their ids, with an end id behind each, form one
-stream in the order of doc_id.  Two passes of prefix sums give every document
-its place in the stream: running sums within each part of the sorted table,
-then sums over the parts' totals (as many rows as there are parts).  The stream
-is cut every `length` ids; a document that crosses a cut leaves a record for
+stream in the order of the files and of the rows in them.  Two passes of prefix
+sums give every document its place in the stream: running sums within each
+segment (what a task reads of a file, a million rows at most), then sums over
+the segments' totals.  Ids are never shuffled.  The stream is cut every
+`length` ids; a document that crosses a cut leaves a record for
 each piece.  What remains behind the last full sequence is cut into sequences
 whose lengths are powers of two, the largest first, so nothing is padded.
 """
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from graphwright.llm import textvec as tv
-from graphwright.llm.common import table
+from graphwright.llm.common import identified, table
 from graphwright.llm.tokens import CACHE_BYTES, CACHE_SIZE, public_path, tokenizer
 
 #: Words that are encoded in one call, with spaces between them.
@@ -125,34 +126,38 @@ def _encoder(name: str) -> Runs:
     return _runs[name]
 
 
+#: Binary logarithm of the rows of a file that a segment has at most.
+SEGMENT_BITS = 20
+_STREAM = "doc_id long, n long, ids binary, file string, segment long, part int, at long, before long"
+
+
 def encoded(docs: DataFrame, name: str, end_id: int) -> DataFrame:
-    """doc_id, n, ids (little-endian numbers of the width that the vocabulary needs) of every text with its end id."""
+    """The ids of every text with its end id, as little-endian numbers of the width that the vocabulary needs.
+
+    A row's segment is (file, segment, part); `before` counts the ids before it in that.
+    """
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = _encoder(name)
+        e, part = _encoder(name), TaskContext.get().partitionId()
         end = np.array([end_id], e.dtype).tobytes()
+        held: dict[tuple[str, int], int] = {}  # a task reads few files
         for batch in batches:
             data, offsets = tv.buffers(batch.column("text"))
             for lo, hi in tv.runs(offsets):
                 whole = data[offsets[lo] : offsets[hi]].tobytes()
                 at = (offsets[lo : hi + 1] - offsets[lo]).tolist()
                 ids = [x + end for x in e.texts([whole[a:b] for a, b in zip(at[:-1], at[1:], strict=True)])]
-                n = pa.array([len(x) // e.dtype.itemsize for x in ids], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), n, pa.array(ids, pa.large_binary()).cast(pa.binary())], names=["doc_id", "n", "ids"])
-
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return slim.mapInArrow(f, "doc_id long, n long, ids binary")
-
+                n = [len(x) // e.dtype.itemsize for x in ids]
+                own = batch.slice(lo, hi - lo)
+                segments, before = (own.column("at").to_numpy() >> SEGMENT_BITS).tolist(), []
+                for key, k in zip(zip(own.column("file").to_pylist(), segments, strict=True), n, strict=True):
+                    before.append(done := held.get(key, 0))
+                    held[key] = done + k
+                arrays = [own.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.large_binary()).cast(pa.binary()), own.column("file"), pa.array(segments, pa.int64()), pa.array(np.full(len(n), part, np.int32)), own.column("at"), pa.array(before, pa.int64())]
+                yield pa.RecordBatch.from_arrays(arrays, names=[c.split()[0] for c in _STREAM.split(", ")])
 
-def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds the part, and the ids before each row in it."""
-    part, held = TaskContext.get().partitionId(), 0
-    for batch in batches:
-        n = batch.column("n").to_numpy(zero_copy_only=False)
-        ends = held + np.cumsum(n)
-        before = pa.array(ends - n, pa.int64())
-        held = int(ends[-1]) if len(ends) else held
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n"), batch.column("ids"), pa.array(np.full(len(n), part, np.int32)), before], names=["doc_id", "n", "ids", "part", "before"])
+    rows = identified(docs, paths=True)
+    return rows.select(F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").alias("text"), "file", "at").mapInArrow(f, _STREAM)
 
 
 def windows(first: np.ndarray, last: np.ndarray, total: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -172,19 +177,17 @@ def windows(first: np.ndarray, last: np.ndarray, total: int, length: int) -> tup
 def pack(docs: DataFrame, length: int = 2048, name: str = "word_bpe_49k.json", end_id: int = 1, with_ids: bool = False) -> DataFrame:
     """Pieces of all rows of docs (doc_id, text): doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    Null texts count as empty, so they are their end id; null doc_ids come
-    first; rows of one doc_id follow each other by their ids, so the result does
-    not depend on how the input is split, and repeated rows each have pieces of
-    their own.  With `with_ids` a piece has its ids as an array too.  No rows:
-    no pieces.
+    Null texts count as empty, so they are their end id; null doc_ids and
+    repeated rows have pieces like others.  The order is that of the rows in
+    their files, however these are split; what is no plain scan of files is
+    written first.  With `with_ids` a piece has its ids as an array too.  No
+    rows: no pieces.
     """
-    spark = docs.sparkSession
-    rows = table(encoded(docs, name, end_id).withColumns({"key": F.xxhash64("ids"), "again": F.monotonically_increasing_id()}), "token-ids")
-    order = ["doc_id", "n", "key", "again"]  # `again` decides between equal rows only
-    sorted_rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "n", "ids")
-    placed = table(sorted_rows.mapInArrow(_running, "doc_id long, n long, ids binary, part int, before long"), "token-stream")
-    totals = placed.groupBy("part").agg(F.sum("n").alias("total")).withColumn("end", F.sum("total").over(Window.orderBy("part")))
-    totals = table(totals.select("part", (F.col("end") - F.col("total")).alias("base"), "end"), "token-parts")  # one row for each part
+    placed = table(encoded(docs, name, end_id), "token-stream")
+    key = ["file", "segment", "part"]
+    totals = placed.groupBy(*key).agg(F.sum("n").alias("total"), F.min("at").alias("at"))
+    totals = totals.withColumn("end", F.sum("total").over(Window.orderBy("file", "at")))
+    totals = table(totals.select(*key, (F.col("end") - F.col("total")).alias("base"), "end"), "token-segments")
     total = totals.agg(F.max("end")).first()[0] or 0
     kind = "ids_crc32 long" + (", ids array<int>" if with_ids else "")
 
@@ -208,7 +211,8 @@ def pack(docs: DataFrame, length: int = 2048, name: str = "word_bpe_49k.json", e
                 arrays, names = [*arrays, pa.array([x.tolist() for x in parts], pa.list_(pa.int32()))], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    based = placed.join(totals.select("part", "base"), "part").select("doc_id", "n", (F.col("base") + F.col("before")).alias("first"), "ids")
+    bases = F.broadcast(totals.drop("end"))  # a row for each task's part of a file and million rows
+    based = placed.join(bases, key).select("doc_id", "n", (F.col("base") + F.col("before")).alias("first"), "ids")
     pieces = based.mapInArrow(f, f"doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, {kind}")
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * with_ids)
 

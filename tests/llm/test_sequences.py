@@ -152,9 +152,18 @@ def test_pieces_hold_every_id_once(small, clashing, length):
             assert {i: len(x) for i, x in whole.items()} == dict(sizes)
 
 
-def test_packing_of_nothing_and_of_any_split(spark, small, empty, same_rows):
+def test_packing_of_nothing_and_of_any_split(spark, small, empty, same_rows, tmp_path, monkeypatch):
     assert packing.pack(empty).count() == 0
-    assert same_rows(packing.pack(small, 128), packing.pack(small.repartition(7), 128))
+    small.repartition(3).sortWithinPartitions("doc_id").write.option("parquet.block.size", 4096).parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    whole = packing.pack(docs, 128)
+    monkeypatch.setattr(packing, "SEGMENT_BITS", 3)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        assert same_rows(whole, packing.pack(docs, 128))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
 def test_runs_agree_with_the_library():
