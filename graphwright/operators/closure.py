@@ -71,6 +71,41 @@ def equivalence_groups(edges: DataFrame, left: str = "a", right: str = "b") -> D
         now = new
 
 
+def strongly_connected(edges: DataFrame, source: str = "src", target: str = "dst") -> DataFrame:
+    """node, root: nodes that reach each other, with the least of them; only nodes on a cycle.
+
+    Nodes without an edge in or out are taken away first, as often as there are
+    any.  Then the least name that reaches a node is carried forward; of those
+    that got one name, what leads back to it is its component.  The rest goes
+    round again.  Rounds grow with the longest path.
+    """
+    e = settled(edges.select(F.col(source).alias("src"), F.col(target).alias("dst")).where("src <> dst").distinct())
+    found = Parts()
+    out: DataFrame | None = None
+    while True:
+        left = -1
+        while left != (n := e.count()):
+            left = n
+            e = settled(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        if not left:
+            break
+        colour = settled(e.select(F.col("src").alias("node")).distinct().withColumn("root", F.col("node")))
+        while True:
+            sent = e.join(colour.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("root").alias("near"))
+            new = settled(colour.join(sent, "node", "left").select("node", F.least("root", "near").alias("root"), (F.col("near") < F.col("root")).alias("changed")))
+            if new.where("changed").isEmpty():
+                break
+            colour = new.drop("changed")
+        same = settled(e.join(colour.withColumnRenamed("node", "src"), "src").join(colour.select(F.col("node").alias("dst"), F.col("root").alias("_to")), "dst").where("root = _to").select("src", "dst", "root"))
+        back = fixpoint(colour.where("node = root"), lambda new, known: new.join(same.select(F.col("dst").alias("node"), "root", "src"), ["node", "root"]).select(F.col("src").alias("node"), "root"))  # noqa: B023
+        out = found.add(back)
+        gone = back.select(F.col("node").alias("src"))
+        e = settled(e.join(gone, "src", "left_anti").join(gone.withColumnRenamed("src", "dst"), "dst", "left_anti").select("src", "dst"))
+    none = e.select(F.col("src").alias("node"), F.col("src").alias("root"))
+    members = none if out is None else found.all(out)
+    return members.join(members.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("root"), "root", "left_semi").select("node", "root")
+
+
 #: A schema table of so many rows at most is broadcast.
 BROADCAST_ROWS = 200_000
 

@@ -2,7 +2,13 @@
 
 The schema is turned into a small table of (type, property, how to write it),
 which the planner broadcasts by its size; the rest is one equi-join and two
-grouped aggregates over the triples.
+grouped aggregates over the triples, which share one shuffle.
+
+Inline objects are built bottom-up, each once: types in the order of their
+references, so an object meets the finished ones that it holds by one join.
+Within types that refer to each other in a circle the individuals are ordered
+instead, and references within a strongly connected component of them, which
+nothing can hold whole, stay references.
 """
 
 from __future__ import annotations
@@ -14,7 +20,8 @@ from pyspark.sql import functions as F
 
 from graphwright.functions import vocab as v
 from graphwright.functions.terms import local_name
-from graphwright.plans.tables import settled
+from graphwright.operators import closure
+from graphwright.plans.tables import Parts, settled
 from graphwright.sources.sinks import bounded
 
 DECLARED = (v.CLASS, v.RDFS + "Class", v.OBJECT_PROPERTY, v.DATATYPE_PROPERTY, v.RDF + "Property")
@@ -44,6 +51,26 @@ def _properties_of(definitions: dict, schema: dict, deep: bool, seen: frozenset)
     return out | schema.get("properties", {})
 
 
+def fallback_table(spark: SparkSession, definitions: dict, base: str, deep: bool = False) -> DataFrame | None:
+    """type, name, p, rank: further IRIs that a property may have, in order of preference; None if there is none.
+
+    They are base and name, base without its sign, a slash and name, and the
+    name in two example namespaces (fixed values).  Those whose local name is
+    the property's are found by it anyway.
+    """
+    rows = []
+    for cls in definitions:
+        for name in class_properties(definitions, cls, deep):
+            if name != "uri":
+                candidates = [f"{base}{name}", f"{base.rstrip('#/')}/{name}", f"http://example.org#{name}", f"https://example.org#{name}"]
+                rows += [(cls, name, p, rank) for rank, p in enumerate(candidates, 1) if _local(p) != name and p not in candidates[: rank - 1]]
+    return spark.createDataFrame(rows, "type string, name string, p string, rank int") if rows else None
+
+
+def _local(uri: str) -> str:
+    return uri.rsplit("#", 1)[-1] if "#" in uri else uri.rsplit("/", 1)[-1]
+
+
 def property_table(spark: SparkSession, definitions: dict, deep: bool = False) -> DataFrame:
     """type, name, is_array, kind (string, integer, number, boolean, ref, any), of every definition's properties."""
     rows = []
@@ -78,10 +105,22 @@ def individuals(triples: DataFrame, names: DataFrame, base: str) -> DataFrame:
     return hit.where("type is not null").groupBy("uri").agg(F.min_by("type", F.struct("ord", "type")).alias("type"))
 
 
-def values(triples: DataFrame, who: DataFrame, props: DataFrame) -> DataFrame:
-    """type, uri, name, is_array, kind, o, o_kind, ord of all values that the schema has a place for."""
-    t = triples.where(~F.col("p").isin(v.TYPE, v.LABEL, v.COMMENT)).select(F.col("s").alias("uri"), local_name("p").alias("name"), "o", "o_kind", "ord")
-    return t.join(who, "uri").join(props, ["type", "name"])
+def values(triples: DataFrame, who: DataFrame, props: DataFrame, fallback: DataFrame | None = None) -> DataFrame:
+    """type, uri, name, is_array, kind, o, o_kind, ord of all values that the schema has a place for.
+
+    A predicate belongs to the property of its local name.  A property without
+    values by that takes those of the first of its `fallback` IRIs that has any.
+    """
+    t = triples.where(~F.col("p").isin(v.TYPE, v.LABEL, v.COMMENT)).select(F.col("s").alias("uri"), "p", "o", "o_kind", "ord").join(who, "uri")
+    named = t.withColumn("name", local_name("p")).join(props, ["type", "name"])
+    if fallback is None:
+        return named.drop("p")
+    probed = settled(t.join(fallback, ["type", "p"]).join(props, ["type", "name"]))
+    if probed.isEmpty():
+        return named.drop("p")
+    best = probed.groupBy("type", "uri", "name").agg(F.min("rank").alias("rank"))
+    best = best.join(named.select("type", "uri", "name").distinct(), ["type", "uri", "name"], "left_anti")
+    return named.drop("p").unionByName(probed.join(best, ["type", "uri", "name", "rank"]).drop("p", "rank"))
 
 
 def json_value(o: Column, o_kind: Column, kind: Column) -> Column:
@@ -100,20 +139,26 @@ def json_value(o: Column, o_kind: Column, kind: Column) -> Column:
 
 
 def objects(found: DataFrame, who: DataFrame) -> DataFrame:
-    """type, uri, obj: one JSON object of each individual, its properties by name."""
-    lists = found.groupBy("type", "uri", "name").agg(F.array_sort(F.collect_list(F.struct("ord", "o", "json"))).alias("x"), F.first("is_array").alias("is_array"))
+    """The columns of who (type, uri, ...) and obj: one JSON object of each individual, its properties by name.
+
+    Values are dealt to their individuals once; both groupings and the join
+    need no further shuffle of them.
+    """
+    dealt = found.select("type", "uri", "name", "is_array", "ord", "o", "json").repartition("type", "uri")
+    lists = dealt.groupBy("type", "uri", "name").agg(F.array_sort(F.collect_list(F.struct("ord", "o", "json"))).alias("x"), F.first("is_array").alias("is_array"))
     items = F.array_join(F.transform("x", lambda e: e["json"]), ",")
     text = F.concat(quoted(F.col("name")), F.lit(":"), F.when(F.col("is_array"), F.concat(F.lit("["), items, F.lit("]"))).otherwise(F.col("x")[0]["json"]))
     body = lists.where("name <> 'uri'").groupBy("type", "uri").agg(F.array_join(F.array_sort(F.collect_list(text)), ",").alias("body"))
     rows = who.join(body, ["type", "uri"], "left")
-    return rows.select("type", "uri", F.concat(F.lit('{"uri":'), quoted(F.col("uri")), F.when(F.col("body").isNotNull(), F.concat(F.lit(","), F.col("body"))).otherwise(""), F.lit("}")).alias("obj"))
+    return rows.select(*who.columns, F.concat(F.lit('{"uri":'), quoted(F.col("uri")), F.when(F.col("body").isNotNull(), F.concat(F.lit(","), F.col("body"))).otherwise(""), F.lit("}")).alias("obj"))
 
 
-def convert(triples: DataFrame, schema: dict, base: str = "https://example.org#", style: str = "reference", depth: int = 3, deep: bool = False) -> DataFrame:
+def convert(triples: DataFrame, schema: dict, base: str = "https://example.org#", style: str = "reference", depth: int | None = None, deep: bool = False) -> DataFrame:
     """type, uri, idx, obj: the individuals of a graph as JSON, numbered within their type by IRI.
 
-    style "inline" puts referenced individuals in place of references, `depth`
-    levels deep; what lies deeper, and so every cycle, ends in references.
+    style "inline" puts referenced individuals in place of references, at any
+    depth; what refers to each other in a circle keeps references there.  With
+    `depth`, objects end after so many levels, and circles are followed as far.
     """
     if style not in ("reference", "inline"):
         raise ValueError(f"no style {style!r}")
@@ -121,32 +166,117 @@ def convert(triples: DataFrame, schema: dict, base: str = "https://example.org#"
     names = spark.createDataFrame([(n,) for n in definitions], "name string")
     props = property_table(spark, definitions, deep)
     who = settled(individuals(triples, names, base))
-    found = settled(values(triples, who, props).withColumn("json", json_value(F.col("o"), F.col("o_kind"), F.col("kind"))))
-    out = objects(found, who)
-    for _ in range(depth if style == "inline" else 0):
+    found = settled(values(triples, who, props, fallback_table(spark, definitions, base, deep)).withColumn("json", json_value(F.col("o"), F.col("o_kind"), F.col("kind"))))
+    numbered = settled(ranked(who))
+    if style == "reference":
+        return objects(found, numbered).select("type", "uri", "idx", "obj")
+    if depth is None:
+        return _inlined(found, numbered).select("type", "uri", "idx", "obj")
+    out = objects(found, numbered)
+    for _ in range(depth):
         inner = settled(out.select(F.col("uri").alias("o"), F.col("obj").alias("inner")))
-        replaced = found.join(inner, "o", "left").withColumn("json", F.when((F.col("kind") == "ref") & (F.col("o_kind") != "literal") & (F.col("o") != F.col("uri")), F.coalesce("inner", "json")).otherwise(F.col("json"))).drop("inner")
-        out = objects(replaced.select(*found.columns), who)
-    return number(out)
-
-
-def number(objs: DataFrame) -> DataFrame:
-    """Adds idx, from 0 within each type, in the order of IRIs.
+        out = objects(_with_objects(found, inner), numbered)
+    return out.select("type", "uri", "idx", "obj")
+
+
+def _refers() -> Column:
+    return (F.col("kind") == "ref") & (F.col("o_kind") != "literal") & (F.col("o") != F.col("uri"))
+
+
+def _with_objects(found: DataFrame, inner: DataFrame) -> DataFrame:
+    """The values with finished objects (o, inner) in place of references to them."""
+    joined = found.join(inner, "o", "left").withColumn("json", F.when(_refers(), F.coalesce("inner", "json")).otherwise(F.col("json")))
+    return joined.select(*found.columns)
+
+
+def _inlined(found: DataFrame, who: DataFrame) -> DataFrame:
+    """Objects of all individuals with what they refer to inside, type by type."""
+    edges = settled(found.where(_refers()).select("type", "uri", "o").distinct().join(who.select(F.col("uri").alias("o"), F.col("type").alias("target")), "o"))
+    present = [r[0] for r in who.select("type").distinct().collect()]  # names of definitions
+    pairs = [(r[0], r[1]) for r in edges.select("type", "target").distinct().collect()]
+    done, parts = Parts(), []
+    for group in _in_order(present, pairs):
+        own, mine = found.where(F.col("type").isin(*group)), who.where(F.col("type").isin(*group))
+        outer = {b for a, b in pairs if a in group and b not in group}
+        if outer:
+            finished = done.all(parts[0]).where(F.col("type").isin(*outer)).select(F.col("uri").alias("o"), F.col("obj").alias("inner"))
+            own = _with_objects(own, finished)
+        if any((a, b) in pairs for a in group for b in group):
+            inside = edges.where(F.col("type").isin(*group) & F.col("target").isin(*group)).select(F.col("uri").alias("src"), F.col("o").alias("dst"))
+            _inline_by_level(settled(own), settled(mine), settled(inside.distinct()), done, parts)
+        else:
+            parts.append(done.add(objects(own, mine)))
+    return done.all(parts[0]) if parts else objects(found, who)
+
+
+def _in_order(nodes: list[str], pairs: list[tuple[str, str]]) -> list[list[str]]:
+    """Groups of types that refer to each other, those referred to before those that refer; types of an ontology."""
+    reach = {n: {n} for n in nodes}
+    grew = True
+    while grew:
+        grew = False
+        for a, b in pairs:
+            if not reach[b] <= reach[a]:
+                reach[a] |= reach[b]
+                grew = True
+    groups = {tuple(sorted(m for m in reach[n] if n in reach[m])) for n in nodes}
+    return [list(g) for g in sorted(groups, key=lambda g: (len(reach[g[0]]), g))]
+
+
+def _inline_by_level(found: DataFrame, who: DataFrame, edges: DataFrame, done: Parts, parts: list[DataFrame]) -> None:
+    """Builds the objects of types that refer to each other.
+
+    In each round those are built whose references are all built.  Where none
+    is left that can be, strongly connected components are found among the
+    rest, and references within them stay as they are.
+    """
+    open_edges, waiting, first = edges, who, len(parts)
+    kept = None  # references that are not followed
+    while not waiting.isEmpty():
+        blocked = open_edges.select(F.col("src").alias("uri")).distinct()
+        ready = settled(waiting.join(blocked, "uri", "left_anti"))
+        if ready.isEmpty():
+            roots = closure.strongly_connected(open_edges)
+            ends = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"_{c}"))
+            both = settled(open_edges.join(ends("src"), "src", "left").join(ends("dst"), "dst", "left").withColumn("_cut", F.coalesce(F.col("_src") == F.col("_dst"), F.lit(False))).select("src", "dst", "_cut"))
+            cut = both.where("_cut").select(F.col("src").alias("uri"), F.col("dst").alias("o"))
+            kept = cut if kept is None else kept.unionByName(cut)
+            open_edges = both.where("not _cut").drop("_cut")
+            continue
+        own = found.join(ready.select("uri"), "uri", "left_semi").select(*found.columns)
+        if len(parts) > first:
+            inner = done.all(parts[0]).join(who.select("uri"), "uri", "left_semi").select(F.col("uri").alias("o"), F.col("obj").alias("inner"))
+            followed = own if kept is None else own.join(kept, ["uri", "o"], "left_anti").select(*found.columns)
+            made = _with_objects(followed, inner)
+            own = made if kept is None else made.unionByName(own.join(kept, ["uri", "o"], "left_semi").select(*found.columns))
+        parts.append(done.add(objects(own, ready.select(*who.columns))))
+        built = ready.select(F.col("uri").alias("dst"))
+        open_edges = settled(open_edges.join(built, "dst", "left_anti").select("src", "dst"))
+        waiting = settled(waiting.join(ready.select("uri"), "uri", "left_anti"))
+
+
+def ranked(who: DataFrame) -> DataFrame:
+    """type, uri and idx, from 0 within each type, in the order of IRIs.
 
     Rows are dealt to ranges of the IRI and settled; a type's rows of a range
     start where its rows of the ranges before end, so no task holds a type.
     """
     from pyspark.sql.window import Window
 
-    ranged = settled(objs.repartitionByRange("uri").withColumn("_part", F.spark_partition_id()))
+    ranged = settled(who.select("type", "uri").repartitionByRange("uri").withColumn("_part", F.spark_partition_id()))
     starts = ranged.groupBy("type", "_part").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("type").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = starts.select("type", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     inner = F.row_number().over(Window.partitionBy("type", "_part").orderBy("uri")) - 1
-    return ranged.join(starts, ["type", "_part"]).select("type", "uri", (F.col("_start") + inner).cast("long").alias("idx"), "obj")
+    return ranged.join(starts, ["type", "_part"]).select("type", "uri", (F.col("_start") + inner).cast("long").alias("idx"))
+
+
+def number(objs: DataFrame) -> DataFrame:
+    """type, uri, idx, obj: the objects with the numbers of ranked(); only names are sorted."""
+    return objs.join(ranked(objs), ["type", "uri"]).select("type", "uri", "idx", "obj")
 
 
-def convert_and_validate(triples: DataFrame, schema: dict, base: str = "https://example.org#", style: str = "reference", depth: int = 3) -> tuple[DataFrame, DataFrame]:
+def convert_and_validate(triples: DataFrame, schema: dict, base: str = "https://example.org#", style: str = "reference", depth: int | None = None) -> tuple[DataFrame, DataFrame]:
     """The instances of convert(), settled, and their results by jsonschema.validate()."""
     from graphwright.operators import jsonschema
 

@@ -561,7 +561,7 @@ def _nations(spark: SparkSession, sf_dir: str, style: str) -> DataFrame:
     many = {"type": "array", "items": {"type": "string"}}
     schema = {"definitions": {"Nation": {"type": "object", "properties": {"n_name": many, "inRegion": object_reference("Region")}}, "Region": {"type": "object", "properties": {"r_name": many}}}}
     t = _ordered(graph(spark, sf_dir, "Nation", "Region"))
-    return convert(t, schema, BASE, style, depth=1)
+    return convert(t, schema, BASE, style)
 
 
 @query("""SELECT 'http://ex.org/d#Order_' || o_orderkey AS uri, '{"uri":"http://ex.org/d#Order_' || o_orderkey || '","o_orderpriority":["' || o_orderpriority || '"],"placedBy":{"@id":"http://ex.org/d#Customer_' || o_custkey || '"}}' AS obj FROM orders
@@ -588,7 +588,7 @@ def _orders(spark: SparkSession, sf_dir: str, style: str) -> DataFrame:
     properties = {"Order": {"o_orderpriority": many, "placedBy": object_reference("Customer")}, "Customer": {"c_name": many, "customerNation": object_reference("Nation")}, "Nation": {"n_name": many}}
     schema = {"definitions": {name: {"type": "object", "properties": p} for name, p in properties.items()}}
     t = _ordered(graph(spark, sf_dir, "Order", "Customer", "Nation"))
-    return convert(t, schema, BASE, style, depth=2)
+    return convert(t, schema, BASE, style)
 
 
 @query("SELECT l_partkey AS subject, CAST(count(DISTINCT l_suppkey) AS BIGINT) AS n_values, min(l_suppkey) AS first_value FROM lineitem GROUP BY l_partkey")
@@ -684,4 +684,4 @@ def generate_individuals(spark, sf_dir):
     return Generator(_tbox(spark), BASE, seed=7).generate(2, 5).select("s", "p", "o", "o_kind")
 
 
-from graphwright import model_queries, reasoning_queries  # noqa: E402, F401 - register their queries
+from graphwright import instance_queries, model_queries, reasoning_queries  # noqa: E402, F401 - register their queries

@@ -43,6 +43,39 @@ def test_conversion(spark):
     assert [r["idx"] for r in found.where("type = 'Human'").collect()] == [0]
 
 
+def brute_components(edges):
+    nodes = {x for e in edges for x in e}
+    reach = {n: {n} for n in nodes}
+    while True:
+        grown = {n: r | {b for a, b in edges if a in r} for n, r in reach.items()}
+        if grown == reach:
+            break
+        reach = grown
+    groups = {n: min(m for m in nodes if m in reach[n] and n in reach[m]) for n in nodes}
+    return {(n, r) for n, r in groups.items() if sum(x == r for x in groups.values()) > 1}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_strongly_connected_components(spark, seed):
+    rng = random.Random(seed)
+    edges = [(f"n{rng.randrange(14)}", f"n{rng.randrange(14)}") for _ in range(18)] + [("x", "x"), ("x", "y")]
+    got = {tuple(r) for r in closure.strongly_connected(spark.createDataFrame(edges, "src string, dst string")).collect()}
+    assert got == brute_components(edges)
+
+
+def test_inline_by_components(spark):
+    """A chain, a circle that a chain leads to and from, and one held twice."""
+    text = HEAD + """:a a :N ; :to :b . :b a :N ; :to :c . :c a :N ; :to :d , :e . :d a :N ; :to :b . :e a :N ; :to :f . :f a :N . :g a :N ; :to :f , :g , :gone . :h a :M ; :has :a ."""
+    ref = {"oneOf": [{"$ref": "#/definitions/N"}, {"type": "object"}]}
+    schema = {"definitions": {"N": {"type": "object", "properties": {"to": {"type": "array", "items": ref}}}, "M": {"type": "object", "properties": {"has": ref}}}}
+    got = {r["uri"].split("#")[1]: json.loads(r["obj"].replace("http://p.org/x#", "")) for r in instances.convert(from_string(spark, text, "turtle"), schema, "http://p.org/x#", "inline").collect()}
+    f = {"uri": "f"}
+    e = {"uri": "e", "to": [f]}
+    b, c, d = {"uri": "b", "to": [{"@id": "c"}]}, {"uri": "c", "to": [{"@id": "d"}, e]}, {"uri": "d", "to": [{"@id": "b"}]}
+    a = {"uri": "a", "to": [b]}
+    assert got == {"a": a, "b": b, "c": c, "d": d, "e": e, "f": f, "g": {"uri": "g", "to": [f, {"@id": "g"}, {"@id": "gone"}]}, "h": {"uri": "h", "has": a}}
+
+
 def test_shallow_and_deep_inheritance():
     inner = {"type": "object", "properties": {"own": {}}, "allOf": [{"$ref": "#/definitions/Up"}, {"properties": {}}]}
     defs = {"_T": {"properties": {"uri": {}}}, "Up": {"allOf": [{"$ref": "#/definitions/_T"}, {"properties": {"far": {}}}]}, "Low": {"allOf": [{"$ref": "#/definitions/_T"}, inner]}}
