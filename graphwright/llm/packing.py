@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,7 +51,7 @@ class Runs:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.dtype = np.dtype(f"<u{2 if self.code == 'H' else 4}")
-        self.kept: dict[bytes, bytes] = {}
+        self.kept: dict[bytes, bytes] = {b"": b""}
         self.long: list[bytes] = []
         self.stops = {c: self._alone([bytes([c])])[0] for c in b".,"}
 
@@ -72,7 +73,7 @@ class Runs:
             out += [raw[size * a : size * b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
         return out
 
-    def _learn(self, runs: set[bytes]) -> None:
+    def _learn(self, runs: list[bytes]) -> None:
         """Puts all of `runs` into the cache; those of more than CACHE_BYTES stay until the next call."""
         kept = self.kept
         for x in self.long:
@@ -80,6 +81,7 @@ class Runs:
         self.long = []
         if len(kept) > CACHE_SIZE:
             kept.clear()
+            kept[b""] = b""
         stopped, missing = [], set()
         for x in runs:
             if x in kept:
@@ -100,15 +102,31 @@ class Runs:
             missing.add(x)
         self.long = [x for x in missing if len(x) > CACHE_BYTES]
 
-    def texts(self, docs: list[bytes]) -> list[bytes]:
-        """The ids of each text."""
-        split = [(x if b"<|" in x or b"\xcc" in x or b"\xcd" in x else x.lower()).split() for x in docs]
-        runs: set[bytes] = set()
-        for x in split:
-            runs.update(x)
+    def texts(self, docs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in one array, and the n + 1 offsets of the texts in it.
+
+        Only the distinct runs of the texts meet Python; their ids are put in
+        the runs' places by array operations.
+        """
+        docs = pc.fill_null(docs.cast(pa.large_string()), "")
+        low = pc.if_else(pc.match_substring_regex(docs, _AS_IT_IS), docs, pc.ascii_lower(docs))
+        split = pc.ascii_split_whitespace(low)
+        found = split.flatten().dictionary_encode()
+        runs = found.dictionary.cast(pa.large_binary()).to_pylist()
         self._learn(runs)
-        get = self.kept.__getitem__
-        return [b"".join(map(get, x)) for x in split]
+        ids = [self.kept[x] for x in runs]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // self.dtype.itemsize
+        whole = np.frombuffer(b"".join(ids), self.dtype)
+        at = found.indices.to_numpy(zero_copy_only=False)
+        n = sizes[at]
+        ends = np.concatenate(([0], np.cumsum(n)))
+        from_start = (np.cumsum(sizes) - sizes)[at] - ends[:-1]
+        words = split.offsets.to_numpy().astype(np.int64)
+        return whole[np.repeat(from_start, n) + np.arange(ends[-1])], ends[words - words[0]]
+
+
+#: Texts in which the case of ASCII letters may matter: a combining mark, or the start of a special string.
+_AS_IT_IS = "<\\||[\u0300-\u036f]"
 
 
 def _latin(run: bytes) -> bool:
@@ -126,6 +144,8 @@ def _encoder(name: str) -> Runs:
     return _runs[name]
 
 
+#: Bytes of text that are encoded at a time.
+STEP_BYTES = 1 << 22
 #: Binary logarithm of the rows of a file that a segment has at most.
 SEGMENT_BITS = 20
 _STREAM = "doc_id long, n long, ids binary, file string, segment long, part int, at long, before long"
@@ -142,13 +162,13 @@ def encoded(docs: DataFrame, name: str, end_id: int) -> DataFrame:
         end = np.array([end_id], e.dtype).tobytes()
         held: dict[tuple[str, int], int] = {}  # a task reads few files
         for batch in batches:
-            data, offsets = tv.buffers(batch.column("text"))
-            for lo, hi in tv.runs(offsets):
-                whole = data[offsets[lo] : offsets[hi]].tobytes()
-                at = (offsets[lo : hi + 1] - offsets[lo]).tolist()
-                ids = [x + end for x in e.texts([whole[a:b] for a, b in zip(at[:-1], at[1:], strict=True)])]
-                n = [len(x) // e.dtype.itemsize for x in ids]
+            _, offsets = tv.buffers(batch.column("text"))
+            for lo, hi in tv.runs(offsets, STEP_BYTES):
                 own = batch.slice(lo, hi - lo)
+                found, starts = e.texts(own.column("text"))
+                cuts = starts.tolist()
+                ids = [found[a:b].tobytes() + end for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                n = (np.diff(starts) + 1).tolist()
                 segments, before = (own.column("at").to_numpy() >> SEGMENT_BITS).tolist(), []
                 for key, k in zip(zip(own.column("file").to_pylist(), segments, strict=True), n, strict=True):
                     before.append(done := held.get(key, 0))
