@@ -37,8 +37,8 @@ class Runs:
     """Ids of texts by a lower-casing BPE with word ends, whose pre-tokenizer drops white space.
 
     A text's ids are those of its runs between ASCII white space, which are
-    kept.  Ids of a run do not depend on the case of ASCII letters, unless a
-    combining mark follows one or a special string is near; a full stop or comma
+    kept.  Ids of a run do not depend on the case of ASCII letters, unless it
+    has a combining mark or the start of a special string; a full stop or comma
     behind a letter or digit is a pre-token of its own.  Runs of Latin letters
     alone are one pre-token each, which ends with the only id that has the word
     end, so many of them are encoded in one call.
@@ -73,8 +73,8 @@ class Runs:
             out += [raw[size * a : size * b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
         return out
 
-    def _learn(self, runs: list[bytes]) -> None:
-        """Puts all of `runs` into the cache; those of more than CACHE_BYTES stay until the next call."""
+    def _learn(self, runs: list[bytes], odd: bool) -> None:
+        """Puts all of `runs` into the cache; those of more than CACHE_BYTES stay until the next call.  odd: some are to stay as they are."""
         kept = self.kept
         for x in self.long:
             kept.pop(x, None)
@@ -82,25 +82,25 @@ class Runs:
         if len(kept) > CACHE_SIZE:
             kept.clear()
             kept[b""] = b""
-        stopped, missing = [], set()
+        derived, missing = [], set()
         for x in runs:
             if x in kept:
                 continue
-            if x[-1:] in (b".", b",") and len(x) > 1 and (x[-2] in _ALNUM or x[-3:-2] == b"\xc3" and x[-2] not in (0x97, 0xB7)):
-                stopped.append(x)
-                x = x[:-1]
-                if x in kept:
-                    continue
-            missing.add(x)
+            y, stop = x if odd and (b"<|" in x or b"\xcc" in x or b"\xcd" in x) else x.lower(), b""
+            if y[-1:] in (b".", b",") and len(y) > 1 and (y[-2] in _ALNUM or y[-3:-2] == b"\xc3" and y[-2] not in (0x97, 0xB7)):
+                y, stop = y[:-1], self.stops[y[-1]]
+            if y != x:
+                derived.append((x, y, stop))
+            if y not in kept:
+                missing.add(y)
         letters, other = [], []
         for x in missing:
             (letters if x.isalpha() or _latin(x) else other).append(x)
         kept.update(zip(letters, self._together(letters), strict=True))
         kept.update(zip(other, self._alone(other), strict=True))
-        for x in stopped:
-            kept[x] = kept[x[:-1]] + self.stops[x[-1]]
-            missing.add(x)
-        self.long = [x for x in missing if len(x) > CACHE_BYTES]
+        for x, y, stop in derived:
+            kept[x] = kept[y] + stop
+        self.long = [x for x in missing if len(x) > CACHE_BYTES] + [x for x, _, _ in derived if len(x) > CACHE_BYTES]
 
     def texts(self, docs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in one array, and the n + 1 offsets of the texts in it.
@@ -108,12 +108,11 @@ class Runs:
         Only the distinct runs of the texts meet Python; their ids are put in
         the runs' places by array operations.
         """
-        docs = pc.fill_null(docs.cast(pa.large_string()), "")
-        low = pc.if_else(pc.match_substring_regex(docs, _AS_IT_IS), docs, pc.ascii_lower(docs))
-        split = pc.ascii_split_whitespace(low)
+        split = pc.ascii_split_whitespace(pc.fill_null(docs.cast(pa.large_string()), ""))
         found = split.flatten().dictionary_encode()
         runs = found.dictionary.cast(pa.large_binary()).to_pylist()
-        self._learn(runs)
+        odd = pc.any(pc.match_substring_regex(found.dictionary, _AS_IT_IS)).as_py()
+        self._learn(runs, bool(odd))
         ids = [self.kept[x] for x in runs]
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // self.dtype.itemsize
         whole = np.frombuffer(b"".join(ids), self.dtype)
@@ -125,7 +124,7 @@ class Runs:
         return whole[np.repeat(from_start, n) + np.arange(ends[-1])], ends[words - words[0]]
 
 
-#: Texts in which the case of ASCII letters may matter: a combining mark, or the start of a special string.
+#: Runs in which the case of ASCII letters may matter: a combining mark, or the start of a special string.
 _AS_IT_IS = "<\\||[\u0300-\u036f]"
 
 
