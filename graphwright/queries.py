@@ -684,4 +684,4 @@ def generate_individuals(spark, sf_dir):
     return Generator(_tbox(spark), BASE, seed=7).generate(2, 5).select("s", "p", "o", "o_kind")
 
 
-from graphwright import instance_queries, model_queries, reasoning_queries  # noqa: E402, F401 - register their queries
+from graphwright import instance_queries, model_queries, reasoning_queries, source_queries  # noqa: E402, F401 - register their queries

@@ -1,8 +1,8 @@
 """RDF files as a DataFrame of triples.
 
 N-Triples are read as text lines, so they split and scale like any text file.
-The other syntaxes have document-wide state; each file is parsed whole, files
-in parallel.
+Turtle and N3 are read in blocks if a file is large (turtle_blocks).  The other
+syntaxes have document-wide state; each file is parsed whole, files in parallel.
 """
 
 from __future__ import annotations
@@ -12,7 +12,6 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from graphwright.sources.jsonld import JsonLd
 from graphwright.sources.rdfxml import RdfXml
@@ -138,10 +137,26 @@ def read_ntriples(spark: SparkSession, path: str, distinct: bool = True, bad: st
     return _distinct(df) if distinct else df
 
 
-def read_rdf(spark: SparkSession, path: str, syntax: str | None = None, base: str = "") -> DataFrame:
-    """Triples of one or more files (a path, folder or glob), as a set."""
-    if (syntax or detect_format(path)) == "nt":
+def _splits(spark: SparkSession, path: str) -> bool:
+    """Whether Spark would read a file of the path in several pieces."""
+    most = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    largest = spark.read.format("binaryFile").load(path).agg(F.max("length")).first()[0]
+    return largest is not None and largest > most
+
+
+def read_rdf(spark: SparkSession, path: str, syntax: str | None = None, base: str = "", split: bool | None = None) -> DataFrame:
+    """Triples of one or more files (a path, folder or glob), as a set.
+
+    Turtle and N3 are read in blocks with `split`, by default if a file is
+    larger than what Spark gives to one task; the result is the same.
+    """
+    kind = syntax or detect_format(path)
+    if kind == "nt":
         return read_ntriples(spark, path)
+    if kind in ("turtle", "n3") and (split or split is None and _splits(spark, path)):
+        from graphwright.sources.turtle_blocks import read_turtle
+
+        return _distinct(read_turtle(spark, path, base))
 
     def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -167,32 +182,24 @@ def from_string(spark: SparkSession, text: str, syntax: str = "xml", base: str =
     return spark.createDataFrame(parse(text, syntax, "string", base)[0], TRIPLES).transform(_distinct)
 
 
-class RdfSource(DataSource):
-    """spark.read.format("rdf").option("path", ...): local or mounted files, one partition a file."""
+def parse_rdf_table():
+    """A table function: parse_rdf(text, syntax) gives the triples of one document, so that SQL parses a document a row.
 
-    @classmethod
-    def name(cls) -> str:
-        return "rdf"
-
-    def schema(self) -> str:
-        return TRIPLES
-
-    def reader(self, schema) -> DataSourceReader:  # noqa: ARG002
-        return _Reader(self.options)
-
-
-class _Reader(DataSourceReader):
-    def __init__(self, options) -> None:
-        self.options = dict(options)
+    spark.udtf.register("parse_rdf", parse_rdf_table()); then
+    SELECT t.* FROM docs, LATERAL parse_rdf(text, 'turtle') t.  A null text has
+    no triples; labels of blank nodes are the document's own only if a third
+    argument names it.
+    """
+    from pyspark.sql.functions import udtf
 
-    def partitions(self) -> list[InputPartition]:
-        import glob
+    class ParseRdf:
+        def eval(self, text: str, syntax: str, name: str = ""):
+            if text is not None:
+                yield from parse(text, syntax, name or "")[0]
 
-        return [InputPartition(p) for p in sorted(glob.glob(self.options["path"]))]
+    return udtf(ParseRdf, returnType=TRIPLES)
 
-    def read(self, partition: InputPartition):
-        with open(partition.value, encoding="utf-8-sig") as f:
-            yield from parse(f.read(), self.options.get("syntax"), partition.value)[0]
 
+from graphwright.sources.datasource import RdfSource  # noqa: E402 - needs parse()
 
-__all__ = ["TRIPLES", "detect_format", "from_string", "ntriples_errors", "parse", "read_ntriples", "read_prefixes", "read_rdf", "RdfSource", "unescape"]
+__all__ = ["TRIPLES", "detect_format", "from_string", "ntriples_errors", "parse", "parse_rdf_table", "read_ntriples", "read_prefixes", "read_rdf", "RdfSource", "unescape"]

@@ -1,12 +1,15 @@
-"""Writers: N-Triples and NDJSON in parallel; Turtle, RDF/XML and documents for graphs of moderate size."""
+"""Writers: N-Triples, NDJSON, and Turtle and RDF/XML in parts, in parallel; single documents for graphs of moderate size."""
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
+from itertools import chain, islice
 from pathlib import Path
 from xml.sax.saxutils import escape, quoteattr
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,8 +74,6 @@ def _sorted(triples: DataFrame) -> Iterator:
 
 
 def _short(uri: str, prefixes: dict[str, str]) -> str:
-    import re
-
     for name, ns in prefixes.items():
         rest = uri[len(ns) :]
         if uri.startswith(ns) and re.fullmatch(r"[A-Za-z_][\w-]*", rest):
@@ -80,57 +81,127 @@ def _short(uri: str, prefixes: dict[str, str]) -> str:
     return uri if uri.startswith("_:") else f"<{uri}>"
 
 
-def to_turtle(triples: DataFrame, prefixes: dict[str, str] | None = None) -> str:
-    """A Turtle document; rows come subject by subject."""
-    names = prefixes or v.PREFIXES
-    out, subject = [f"@prefix {k}: <{x}> ." for k, x in names.items()] + [""], None
-    for r in _sorted(triples):
-        if r["o_kind"] == "literal":
-            tag = f"@{r['o_lang']}" if r["o_lang"] else f"^^{_short(r['o_datatype'], names)}" if r["o_datatype"] else ""
-            value = json.dumps(r["o"], ensure_ascii=False) + tag
-        else:
-            value = _short(r["o"], names)
-        line = f"{'a' if r['p'] == v.TYPE else _short(r['p'], names)} {value}"
-        if r["s"] == subject:
-            out[-1] = out[-1][:-2] + " ;"
-            out.append(f"    {line} .")
-        else:
+def _ended(lines: Iterator[tuple[bool, str]]) -> Iterator[str]:
+    """Lines of Turtle: what another line of the same subject follows ends with a semicolon."""
+    held = None
+    for more, line in lines:
+        if held is not None:
+            yield held + (" ;" if more else " .")
+        held = line
+    if held is not None:
+        yield held + " ."
+
+
+def turtle_lines(rows: Iterator, names: dict[str, str]) -> Iterator[str]:
+    """A Turtle document from rows that come subject by subject."""
+    yield from (f"@prefix {k}: <{x}> ." for k, x in names.items())
+    yield ""
+
+    def statements() -> Iterator[tuple[bool, str]]:
+        subject = None
+        for r in rows:
+            if r["o_kind"] == "literal":
+                tag = f"@{r['o_lang']}" if r.get("o_lang") else f"^^{_short(r['o_datatype'], names)}" if r.get("o_datatype") else ""
+                value = json.dumps(r["o"], ensure_ascii=False) + tag
+            else:
+                value = _short(r["o"], names)
+            line = f"{'a' if r['p'] == v.TYPE else _short(r['p'], names)} {value}"
+            yield (True, f"    {line}") if r["s"] == subject else (False, f"{_short(r['s'], names)} {line}")
             subject = r["s"]
-            out.append(f"{_short(subject, names)} {line} .")
-    return "\n".join(out) + "\n"
 
+    yield from _ended(statements())
 
-def to_rdfxml(triples: DataFrame, prefixes: dict[str, str] | None = None) -> str:
-    names, out, subject = dict(prefixes or v.PREFIXES), [], None
-    for r in _sorted(triples):
+
+_NOT_XML = re.compile("[^\t\n\r\x20-\ud7ff\ue000-\ufffd\U00010000-\U0010ffff]")
+
+
+def rdfxml_lines(rows: Iterator, names: dict[str, str]) -> Iterator[str]:
+    """An RDF/XML document from rows that come subject by subject; predicates in a namespace without prefix declare it themselves."""
+    head = " ".join(f"xmlns:{k}={quoteattr(x)}" for k, x in names.items())
+    yield '<?xml version="1.0" encoding="UTF-8"?>'
+    yield f"<rdf:RDF {head}>"
+    prefix_of, subject = {x: k for k, x in names.items()}, None
+    for r in rows:
         if r["s"] != subject:
             if subject is not None:
-                out.append("  </rdf:Description>")
+                yield "  </rdf:Description>"
             subject = r["s"]
             about = f"rdf:nodeID={quoteattr(subject[2:])}" if subject.startswith("_:") else f"rdf:about={quoteattr(subject)}"
-            out.append(f"  <rdf:Description {about}>")
-        cut = max(r["p"].rfind("#"), r["p"].rfind("/")) + 1
-        ns, local = r["p"][:cut], r["p"][cut:]
-        name = next((k for k, x in names.items() if x == ns), None)
-        if name is None:
-            name = f"ns{len(names)}"
-            names[name] = ns
-        tag = f"{name}:{local}"
+            yield f"  <rdf:Description {about}>"
+        m = re.search(r"[^\W\d][\w.-]*$", r["p"])
+        if not m:
+            raise ValueError(f"RDF/XML has no name for the predicate {r['p']}")
+        ns, local = r["p"][: m.start()], m[0]
+        own = "" if ns in prefix_of else f" xmlns:ns={quoteattr(ns)}"
+        tag = f"{prefix_of.get(ns, 'ns')}:{local}"
         if r["o_kind"] == "literal":
-            extra = f" xml:lang={quoteattr(r['o_lang'])}" if r["o_lang"] else f" rdf:datatype={quoteattr(r['o_datatype'])}" if r["o_datatype"] else ""
-            out.append(f"    <{tag}{extra}>{escape(r['o'])}</{tag}>")
+            if _NOT_XML.search(r["o"]):
+                raise ValueError(f"XML has no such characters: {r['o'][:60]!r}")
+            extra = f" xml:lang={quoteattr(r['o_lang'])}" if r.get("o_lang") else f" rdf:datatype={quoteattr(r['o_datatype'])}" if r.get("o_datatype") else ""
+            yield f"    <{tag}{own}{extra}>{escape(r['o']).replace(chr(13), '&#13;')}</{tag}>"
         else:
             ref = f"rdf:nodeID={quoteattr(r['o'][2:])}" if r["o"].startswith("_:") else f"rdf:resource={quoteattr(r['o'])}"
-            out.append(f"    <{tag} {ref}/>")
+            yield f"    <{tag}{own} {ref}/>"
     if subject is not None:
-        out.append("  </rdf:Description>")
-    head = " ".join(f"xmlns:{k}={quoteattr(x)}" for k, x in names.items())
-    return "\n".join(['<?xml version="1.0" encoding="UTF-8"?>', f"<rdf:RDF {head}>", *out, "</rdf:RDF>"]) + "\n"
+        yield "  </rdf:Description>"
+    yield "</rdf:RDF>"
+
+
+def document_lines(rows: Iterator, syntax: str, prefixes: dict[str, str] | None = None) -> Iterator[str]:
+    """The lines of a document in Turtle, N3 or RDF/XML."""
+    names = {"rdf": v.RDF} | (prefixes or v.PREFIXES)
+    if syntax not in ("turtle", "n3", "xml"):
+        raise ValueError(f"no writer of {syntax!r} in parts")
+    return rdfxml_lines(rows, names) if syntax == "xml" else turtle_lines(rows, names)
+
+
+def to_turtle(triples: DataFrame, prefixes: dict[str, str] | None = None) -> str:
+    """A Turtle document; rows come subject by subject."""
+    return "\n".join(turtle_lines((r.asDict() for r in _sorted(triples)), prefixes or v.PREFIXES)) + "\n"
+
+
+def to_rdfxml(triples: DataFrame, prefixes: dict[str, str] | None = None) -> str:
+    return "\n".join(rdfxml_lines((r.asDict() for r in _sorted(triples)), {"rdf": v.RDF} | (prefixes or v.PREFIXES))) + "\n"
+
+
+def by_subject(triples: DataFrame) -> DataFrame:
+    """The triples dealt by ranges of subject and value, so that a subject with any number of values is spread, and sorted."""
+    t = triples.select(*[F.col(c) if c in triples.columns else F.lit(None).cast("string").alias(c) for c in ("s", "p", "o", "o_kind", "o_datatype", "o_lang")])
+    return t.repartitionByRange("s", "p", "o").sortWithinPartitions("s", "p", "o")
+
+
+def write_parts(triples: DataFrame, path: str, syntax: str = "turtle", prefixes: dict[str, str] | None = None) -> None:
+    """A folder of documents in Turtle, N3 or RDF/XML, one for each range of subjects, all with the same prefixes.
+
+    Spark's text writer commits them, so any file system that Spark reaches
+    will do.  Labels of blank nodes are those of the graph: read_rdf() keeps
+    them apart by file, so a graph with blank nodes belongs in one file or in
+    N-Triples, and is refused here.
+    """
+    if not triples.where(F.startswith("s", F.lit("_:")) | (F.col("o_kind") == "bnode")).isEmpty():
+        raise ValueError("blank nodes cannot be shared by several documents")
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = next((b for b in batches if b.num_rows), None)
+        if first is None:
+            return
+        rows = (r for b in chain([first], batches) for r in b.to_pylist())
+        lines = document_lines(rows, syntax, prefixes)
+        while batch := list(islice(lines, 10_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(batch, pa.string())], names=["value"])
+
+    by_subject(triples).mapInArrow(f, "value string").write.mode("overwrite").text(path)
+
 
+def save(triples: DataFrame, path: str, parts: bool = False) -> None:
+    """By extension: .nt and .jsonl as folders written in parallel, .rdf/.owl/.xml, .jsonld and by default Turtle (.ttl, .n3: it is N3 too) as files.
 
-def save(triples: DataFrame, path: str) -> None:
-    """By extension: .nt and .jsonl as folders written in parallel, .rdf/.owl/.xml, .jsonld and by default Turtle (.ttl, .n3: it is N3 too) as files."""
+    With `parts`, Turtle and RDF/XML are folders of documents too (write_parts()), of any size.
+    """
     extension = Path(path).suffix.lower()
+    if parts and extension not in (".nt", ".jsonl", ".jsonld", ".json"):
+        write_parts(triples, path, "xml" if extension in (".rdf", ".owl", ".xml") else "turtle")
+        return
     if extension == ".nt":
         write_ntriples(triples, path)
     elif extension == ".jsonl":

@@ -21,10 +21,10 @@ Triple = tuple[Term, str, Term]
 
 _LEXER = re.compile(
     r"""(?P<skip>(?:\s+|\#[^\n]*)+)
-    |(?P<iri><[^<>"{}|^`\\\x00-\x20]*>)
+    |(?P<iri><(?:[^<>"{}|^`\\\x00-\x20]|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8})*>)
     |(?P<long>\"\"\"(?:(?:"|"")?(?:[^"\\]|\\.))*\"\"\"|'''(?:(?:'|'')?(?:[^'\\]|\\.))*''')
     |(?P<text>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')
-    |(?P<directive>@prefix\b|@base\b|(?:PREFIX|BASE)\b)
+    |(?P<directive>@prefix\b|@base\b|(?i:PREFIX|BASE)(?=[\s<]))
     |(?P<lang>@[A-Za-z]+(?:-[A-Za-z0-9]+)*)
     |(?P<type>\^\^)
     |(?P<blank>_:[\w](?:[\w.-]*[\w-])?)
