@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from graphwright.llm import textvec as tv
 from graphwright.llm.common import table
-from graphwright.llm.tokens import public_path
+from graphwright.llm.tokens import CACHE_BYTES, public_path
 
 HOLD_OUT, FOLDS = 1, 5
 TABLE_SIZE = 1 << 17
@@ -68,13 +68,18 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x.clear()
         return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(n[0]), pa.array(n[1])], names=["word", "n", "held"])
 
+    size = 0  # bytes of the long words in the tally, at most
     for batch in batches:
         held, at = batch.column("held_out").to_pylist(), 0
         for docs in _lists(batch.column("text")):
             for words in docs:
-                seen[bool(held[at])].update(words)
+                tally = seen[bool(held[at])]
+                tally.update(words)
+                if words and max(map(len, words)) > CACHE_BYTES:
+                    size += sum(len(w) for w in words if len(w) > CACHE_BYTES)
                 at += 1
-            if len(seen[0]) + len(seen[1]) > TALLY_SIZE:
+            if len(seen[0]) + len(seen[1]) > TALLY_SIZE or size > TALLY_SIZE * CACHE_BYTES:
+                size = 0
                 yield out()
     yield out()
 
@@ -203,7 +208,7 @@ def score(docs: DataFrame, model: str = "piece_bpe_32k.model") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("word", "n", "held")], pa.array(scores, pa.float64())], names=["word", "n", "held", "score"])
 
     scored = table(counts.mapInArrow(lattice, "word binary, n long, held long, score double"), "word-scores")
-    top = scored.orderBy(F.desc(F.col("n") + F.col("held")), "word").limit(TABLE_SIZE).toArrow()
+    top = scored.where(F.length("word") <= CACHE_BYTES).orderBy(F.desc(F.col("n") + F.col("held")), "word").limit(TABLE_SIZE).toArrow()
     scored = scored.drop("held")
     base_of = lambda n: np.log10((n + 0.5) / scale)
     frequent = spark.sparkContext.broadcast((b"\n".join(top.column("word").to_pylist()), base_of(top.column("n").to_numpy()).tobytes(), top.column("score").to_numpy().tobytes(), top.column("n").to_numpy().tobytes()))

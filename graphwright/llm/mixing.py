@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from graphwright.llm.common import WORD, identified, source_key, table, word_count
-from graphwright.llm.ranks import hash_bucket, key_order, row_key, running_sum
+from graphwright.llm.ranks import content, content_keys, hash_bucket, key_order, running_sum
 
 WEIGHTS = (5, 2, 1)
 #: A document is taken at most so often.
@@ -153,7 +153,7 @@ def _pieces(n_shards: int, seed: int) -> str:
         'pass', t.pass, 'block', b,
         'first', greatest(t.a, b * block_words) - t.a,
         'words', least(t.z, (b + 1) * block_words) - greatest(t.a, b * block_words)))))"""
-    return f"""transform({cut}, p -> named_struct('shard', {shard}, 'place', xxhash64({seed}, doc_id, at, p.pass, p.block), 'pass', p.pass, 'block', p.block, 'first_word', p.first, 'words', p.words))"""
+    return f"""transform({cut}, p -> named_struct('shard', {shard}, 'place', xxhash64({seed}, _source, start, p.pass, p.block), 'pass', p.pass, 'block', p.block, 'first_word', p.first, 'words', p.words))"""
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, n_shards: int = 16, block_words: int = BLOCK_WORDS, seed: int = 17) -> DataFrame:
@@ -164,19 +164,22 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, n_shards: int = 1
     within the shard), pass, block, first_word and words.  The last document
     that a source's quota reaches is taken in part, so quotas hold to the word.
 
-    Null texts have size 0 and no pieces; a null source is one source, sorted
-    last; rows with one doc_id, or none, are separate documents; an empty table
-    gives an empty result.  Other columns are not looked at.
+    The mix depends on the seed and on what the rows have in these columns, not
+    on files, partitions or joins.  Null texts have size 0 and no pieces; a null
+    source is one source, sorted last; rows with one doc_id, or none, are
+    separate documents; an empty table gives an empty result.  Other columns are
+    not looked at.
     """
-    slim = table(_sized(identified(docs), seed), "sizes")
+    slim = _sized(identified(docs), seed)
     taken = F.expr("aggregate(pieces, 0L, (a, p) -> a + p.words)")
     return _dealt(slim, weights, n_shards, block_words, seed).select("doc_id", "size", "source_size", "target", taken.alias("taken"), "pieces")
 
 
 def _sized(rows: DataFrame, seed: int) -> DataFrame:
-    """file, at, doc_id, _source, size, key of every row; one pass over the texts."""
-    key = row_key(seed, F.col("row.doc_id"), F.col("at"))
-    return rows.select("file", "at", "row.doc_id", source_key(F.col("row.source")).alias("_source"), word_count(F.col("row.text")).alias("size"), key.alias("key"))
+    """A table of file, at, doc_id, _source, size, key of every row; one pass over the texts."""
+    whole = content(F.col("row.doc_id"), F.col("row.source"), F.col("row.text"))
+    made = rows.select("file", "at", "row.doc_id", source_key(F.col("row.source")).alias("_source"), word_count(F.col("row.text")).alias("size"), whole.alias("content"))
+    return table(content_keys(table(made, "contents"), seed), "sizes")
 
 
 def _dealt(slim: DataFrame, weights: tuple[float, ...], n_shards: int, block_words: int, seed: int) -> DataFrame:
@@ -216,7 +219,7 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, n_sha
     """
     columns = docs.columns
     rows = identified(docs)
-    slim = table(_sized(rows, seed), "sizes")
+    slim = _sized(rows, seed)
     dealt = _dealt(slim, weights, n_shards, block_words, seed).where("size(pieces) > 0").select("file", "at", "size", "pieces")
     parts = -(-int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // n_shards)
     cut = rows.join(dealt.hint("merge"), ["file", "at"]).select("row", F.explode(_texts(F.col("row.text"))).alias("piece"))

@@ -133,14 +133,14 @@ def features(column: pa.Array) -> dict[str, np.ndarray]:
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         f = features(batch.column("text"))
-        arrays = [batch.column("doc_id").cast(pa.int64()), batch.column("lang")]
+        arrays = [batch.column("doc_id").cast(pa.int64()), batch.column("lang"), batch.column("digest")]
         arrays += [pa.array(f[c].astype(np.int64)) for c in COUNTS] + [pa.array(f[r].astype(np.float64)) for r in RULES]
-        yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "lang", *COUNTS, *RULES])
+        yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "lang", "digest", *COUNTS, *RULES])
 
 
 def feature_table(docs: DataFrame) -> DataFrame:
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
-    return slim.mapInArrow(_feature_rows, f"doc_id long, lang string, {FEATURES}")
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.xxhash64("text").alias("digest"), "text")
+    return slim.mapInArrow(_feature_rows, f"doc_id long, lang string, digest long, {FEATURES}")
 
 
 def upper_bound(rejected: int, n: int, level: float) -> float:
@@ -225,7 +225,10 @@ def _upto(level: float, risk: float):
 
 
 def fit(feats: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA, most: int = FIT_ROWS) -> DataFrame:
-    """stratum, and the cutoff of each rule or null: a table() from all labelled rows of `feats`.
+    """stratum, and the cutoff of each rule or null: a table() from all labelled documents of `feats`.
+
+    A document that is there several times has one label, and so have equal
+    texts of a stratum: their worst.
 
     labels: doc_id, quality (1 good, 0 bad).  A stratum without certified steps
     has no row, or one of nulls.
@@ -233,7 +236,11 @@ def fit(feats: DataFrame, labels: DataFrame, risk: float = RISK, delta: float =
     marks = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
     marks = marks.agg(F.min("quality").alias("quality"))
     seen = feats.where(f"n_words >= {MIN_WORDS} and 100 * n_repeat_words <= {MAX_REPEAT_PERCENT} * n_words").join(marks, "doc_id")
-    labelled = table(seen.select("doc_id", _stratum(F.col("lang")).alias("stratum"), "quality", *RULES), "labelled")
+    values = F.struct(*RULES).alias("values")
+    # the bounds hold for independent labels: one for each document, and one for equal texts, the worst
+    of_document = seen.select("doc_id", "quality", _stratum(F.col("lang")).alias("stratum"), "digest", values).groupBy("doc_id").agg(F.min(F.struct("digest", "stratum", "quality", "values")).alias("x"))
+    of_text = of_document.groupBy("x.stratum", "x.digest").agg(F.min("doc_id").alias("doc_id"), F.min("x.quality").alias("quality"), F.min("x.values").alias("values"))
+    labelled = table(of_text.select("doc_id", "stratum", "quality", "values.*"), "labelled")
     strata = table(labelled.where(f"not ({_PART})").groupBy("stratum").agg(F.count_if(F.col("quality") == 1).alias("n_good")), "strata")
     order = table(_sample(labelled, most).select("stratum", "quality", *RULES).groupBy("stratum").applyInPandas(_order, "stratum string, step int, rule int, cut double"), "steps")
     path = order.groupBy("stratum").agg(F.array_sort(F.collect_list(F.struct("step", "rule", "cut"))).alias("path"))

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from graphwright.llm.common import table
+
 BUCKETS = 1 << 24
 
 
@@ -34,13 +36,31 @@ def _before(by: list[Column], order: list[Column], weight: str) -> Column:
     return F.coalesce(F.sum(weight).over(w), F.lit(0).cast("long"))
 
 
-def row_key(seed: int, doc_id: Column, at: Column) -> Column:
-    """A 64-bit key of a row; the place in the file is in it, so that rows of one doc_id, or without, are spread too."""
-    return F.xxhash64(F.lit(seed), doc_id, at)
+def content(*columns: Column) -> Column:
+    """A 64-bit hash of what a row has."""
+    return F.xxhash64(*columns)
+
+
+def content_keys(slim: DataFrame, seed: int) -> DataFrame:
+    """slim (file, at, content, ...) with `key`: a 64-bit key of a row's content and its number among rows of that content.
+
+    So an order by key is the same however files are split, written or joined,
+    and rows of one content, which may be any share of all, are spread.  Only
+    rows that have a twin are numbered; which of them gets which number cannot
+    be seen in a result that depends on the content alone.
+    """
+    key = lambda number: F.xxhash64(F.lit(seed), "content", number)
+    twins = table(slim.groupBy("content").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("content"), "twins")
+    if twins.isEmpty():
+        return slim.withColumn("key", key(F.lit(0).cast("long"))).drop("content")
+    own = table(slim.join(twins, "content", "left_semi").withColumn("place", F.xxhash64("file", "at")), "twin-rows")
+    own = running_sum(own, ["content"], hash_bucket(F.col("place")), [hash_order(F.col("place")), F.col("at"), F.col("file")], F.lit(1), "number").drop("place")
+    single = slim.join(twins, "content", "left_anti").withColumn("number", F.lit(0).cast("long"))
+    return single.unionByName(own.select(*single.columns)).withColumn("key", key(F.col("number"))).drop("number", "content")
 
 
 def key_order(key: str) -> list[Column]:
-    """The order of rows by their key; file and at decide between equal ones."""
+    """The order of rows by their key; file and at decide between equal ones, which only differ by chance."""
     return [hash_order(F.col(key)), F.col("at"), F.col("file")]
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from graphwright.llm import mixing, sharding
 from graphwright.llm.common import identified, word_count
-from graphwright.llm.ranks import row_key
+from graphwright.llm.ranks import content, content_keys
 
 
 def brute_targets(sizes: dict, weights=(5, 2, 1), cap=3):
@@ -176,24 +176,50 @@ def test_shard_edges(empty, clashing, same_rows):
 
 def test_order_is_that_of_fractional_ranks(spark):
     """Brute force: rows ranked by key within their source, all rows in the order of their fractional ranks."""
-    rows = [(i if i % 7 else None, "ab\u0436c"[i % 4] if i % 11 else None) for i in range(150)] + [(3, "a")] * 40
-    docs = spark.createDataFrame(rows, "doc_id long, source string").coalesce(1)
+    rows = [(i, i if i % 7 else None, "ab\u0436c"[i % 4] if i % 11 else None) for i in range(150)] + [(150 + i, 3, "a") for i in range(40)]
+    docs = spark.createDataFrame(rows, "number int, doc_id long, source string")
     made = identified(docs)
-    keys = made.select("at", "row.*", row_key(29, F.col("row.doc_id"), F.col("at")).alias("key")).collect()
+    whole = content(*[F.col(f"row.{c}") for c in docs.columns])
+    keys = content_keys(made.select("file", "at", "row", whole.alias("content")), 29).select("row.*", "key").collect()
+    shares = {r["source"]: r["x"] for r in docs.select("source", sharding.offset(sharding.source_key(F.col("source")), 29).alias("x")).distinct().collect()}
     by = defaultdict(list)
     for r in keys:
-        by[r["source"]].append((r["key"] % 2**64, r["at"]))
+        by[r["source"]].append((r["key"] % 2**64, r["number"]))
     places = []
     for source, own in by.items():
-        for i, (_, at) in enumerate(sorted(own)):
-            places.append(((2 * i + 1) / (2 * len(own)), (source is None, source or ""), i, at))
+        for i, (_, number) in enumerate(sorted(own)):
+            places.append(((i + shares[source]) / len(own), (source is None, source or ""), i, number))
     wanted = {x[-1]: n for n, x in enumerate(sorted(places))}
-    docs = docs.withColumn("number", F.lit(0))
-    got = sharding.assign_shards(made.select("row.*", F.col("at").alias("number")), 7).collect()
+    got = sharding.assign_shards(docs, 7).collect()
     start = [-(-i * len(rows) // 7) for i in range(8)]
     assert {r["number"]: start[r["shard"]] + r["slot"] for r in got} == wanted
 
 
+def test_small_sources_do_not_tie(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), "id").alias("source"))
+    shares = docs.select(F.floor(sharding.offset(F.concat(F.lit("0"), "source"), 29) * 4096).alias("b")).groupBy("b").count().agg(F.count("b"), F.max("count")).first()
+    assert shares[0] > 1900 and shares[1] < 10
+    slots = Counter(r["shard"] for r in sharding.assign_shards(docs, 16).collect())
+    assert max(slots.values()) - min(slots.values()) <= 1
+
+
+def test_results_depend_on_the_rows_alone(spark, small, same_rows):
+    """Other files, partition counts and join plans, and twins, change neither mix nor shards."""
+    docs = small.unionByName(small.where("doc_id < 20")).unionByName(small.where("doc_id < 5"))
+    run = lambda d: (mixing.mix(d, n_shards=5, block_words=64).drop("file"), mixing.mixed_documents(d, n_shards=5, block_words=64), sharding.assign_shards(d, 7))
+    first = run(docs)
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "7", "spark.sql.adaptive.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in settings}
+    for k, x in settings.items():
+        spark.conf.set(k, x)
+    try:
+        for a, b in zip(first, run(docs.repartition(6, "text")), strict=True):
+            assert same_rows(a, b)
+    finally:
+        for k, x in old.items():
+            spark.conf.set(k, x)
+
+
 def test_op4_query(spark, small, tmp_path):
     from graphwright.llm import queries
 

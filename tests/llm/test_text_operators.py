@@ -490,6 +490,20 @@ def test_exact_bound():
     assert quality.certified([0, 0, 40], 1000, 0.01, 0.02) == 2 and quality.certified([1], 5, 0.05, 0.05) == 0
 
 
+def test_repeated_labels_are_one_label(spark, make):
+    """Copies of a table, and copies under other ids, certify no more than the table itself."""
+    rng = random.Random(21)
+    rows = [(i, make(rng, 80) + (" #" * 60 if i % 2 else ""), "en") for i in range(60)]
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(60)] + [(1000 * k + i, 1 - i % 2) for k in range(1, 8) for i in range(60)], "doc_id long, quality int")
+    docs = lambda x: spark.createDataFrame(x, "doc_id long, text string, lang string")
+    cuts = lambda x: sorted(map(str, quality.fit(quality.feature_table(docs(x)), labels).collect()))
+    once = cuts(rows)
+    assert cuts(rows * 8) == once
+    assert quality.judge(docs(rows * 8), labels).where("kept").count() == 8 * quality.judge(docs(rows), labels).where("kept").count()
+    again = [(1000 * k + i, t, lang) for k in range(1, 8) for i, t, lang in rows]
+    assert cuts(rows + again) == once
+
+
 def test_cutoffs_are_those_of_brute_force(spark, make):
     """Two languages, overlapping features, some good documents with symbols, unlabelled rows, a language of few labels."""
     rng = random.Random(19)
