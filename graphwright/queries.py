@@ -398,17 +398,8 @@ def type_closure(spark, sf_dir):
     return base.unionByName(up).groupBy("type").agg(F.sum("n").alias("n"))
 
 
-@query("SELECT * FROM (VALUES ('a'), ('b'), ('c')) v(node)")
-def circular_definitions(spark, sf_dir):
-    edges = spark.sql("SELECT * FROM VALUES ('a', 'b'), ('b', 'c'), ('c', 'a'), ('d', 'a'), ('e', 'f') AS t(src, dst)")
-    return closure.circular(edges)
-
-
-# --- ontology operators on a small T-box -----------------------------------------
-
-
-def _tbox(spark: SparkSession):
-    """The vocabulary of the test tables, as rows."""
+def _tbox(spark: SparkSession, further: list[tuple[str, str]] = ()):
+    """The vocabulary of the test tables, as rows; further classes are pairs of a name and the class above."""
     from graphwright.operators.tbox import CHARACTERISTICS, TBox
 
     off = (False,) * len(CHARACTERISTICS)
@@ -417,8 +408,8 @@ def _tbox(spark: SparkSession):
     u = lambda x: BASE + x
     return TBox.from_rows(
         spark,
-        classes=[(u(c), i, {"en": c}, None) for i, c in enumerate(cls)],
-        class_super=[(u("Customer"), u("Agent"), 0), (u("Supplier"), u("Agent"), 1)],
+        classes=[(u(c), i, {"en": c}, None) for i, c in enumerate([*cls, *[c for c, _ in further]])],
+        class_super=[(u("Customer"), u("Agent"), 0), (u("Supplier"), u("Agent"), 1), *[(u(c), u(up), i) for i, (c, up) in enumerate(further, 2)]],
         class_disjoint=[(u("Customer"), u("Supplier"), 0)],
         properties=[
             (u("placedBy"), 0, "object", None, None, u("hasOrder"), *flags("Functional")),
@@ -439,88 +430,6 @@ def _short(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[terms.local_name(n).alias(n) if n in names else n for n in df.columns])
 
 
-@query("SELECT * FROM (VALUES ('placedBy', 'Order'), ('quantity', 'LineItem'), ('hasOrder', 'Customer')) v(prop, domain)")
-def property_domain_inference(spark, sf_dir):
-    t = _tbox(spark)
-    return _short(rules.property_domains(t.properties, t.prop_domain, t.prop_range).select("prop", "domain"), "prop", "domain")
-
-
-@query("SELECT * FROM (VALUES ('placedBy', 'Customer'), ('hasOrder', 'Order'), ('ofPart', NULL), ('partIn', 'LineItem'), ('quantity', 'double')) v(prop, range)")
-def property_range_inference(spark, sf_dir):
-    t = _tbox(spark)
-    return _short(rules.property_ranges(t.properties, t.prop_domain, t.prop_range, t.restrictions), "prop", "range")
-
-
-@query("SELECT * FROM (VALUES ('placedBy', true), ('hasOrder', false), ('ofPart', false), ('partIn', false), ('quantity', true)) v(prop, functional)")
-def property_functional_inference(spark, sf_dir):
-    return _short(rules.property_functional(_tbox(spark).properties), "prop")
-
-
-@query("SELECT * FROM (VALUES ('ofPart', 'LineItem'), ('hasLine', 'Order')) v(prop, user)")
-def property_usage(spark, sf_dir):
-    return _short(rules.property_usage(_tbox(spark).restrictions), "prop", "user")
-
-
-@query("SELECT * FROM (VALUES ('placedBy', 'Order'), ('quantity', 'LineItem'), ('hasOrder', 'Customer')) v(prop, class)")
-def property_to_class(spark, sf_dir):
-    t = _tbox(spark)
-    domains = rules.property_domains(t.properties, t.prop_domain, t.prop_range)
-    return _short(rules.property_to_class(domains, t.classes).select("prop", "class"), "prop", "class")
-
-
-@query("SELECT * FROM (VALUES ('LineItem', 'ofPart', true, CAST(NULL AS INT), 3), ('Order', 'hasLine', true, 1, NULL)) v(class, prop, required, min_items, max_items)")
-def restriction_merge(spark, sf_dir):
-    m = rules.merged_restrictions(_tbox(spark).restrictions)
-    return _short(m.select("class", "prop", "required", "min_items", "max_items"), "class", "prop")
-
-
-@query("SELECT * FROM (VALUES ('LineItem', 'ofPart', 1, 3)) v(class, prop, min, max)")
-def effective_cardinality(spark, sf_dir):
-    return _short(rules.effective_cardinality(_tbox(spark).restrictions), "class", "prop")
-
-
-@query("SELECT * FROM (VALUES ('Customer', 'Agent'), ('Supplier', 'Agent')) v(class, ref)")
-def hierarchy_refs(spark, sf_dir):
-    """What definitions of the compiled schema inherit from."""
-    from graphwright.plans.compile import Engine, definitions_table
-
-    schema = Engine({"rules": {"thing_with_uri": {"enabled": False}}}).transform(_tbox(spark))
-    parts = F.from_json(F.get_json_object("schema_json", "$.allOf"), "array<map<string,string>>")
-    rows = definitions_table(spark, schema).select(F.col("name").alias("class"), F.explode(parts).alias("x"))
-    return rows.select("class", F.substring_index(F.try_element_at("x", F.lit("$ref")), "/", -1).alias("ref")).where("ref is not null")
-
-
-@query("SELECT * FROM (VALUES ('Agent', 'Customer'), ('Agent', 'Supplier')) v(parent, child)")
-def sibling_disjoint_union(spark, sf_dir):
-    t = _tbox(spark)
-    return rules.disjoint_unions(t.class_super, t.class_disjoint).select("parent", "child")
-
-
-@query("SELECT * FROM (VALUES ('Customer'), ('Supplier'), ('Order'), ('LineItem'), ('Part'), ('Nation')) v(class)")
-def concrete_classes(spark, sf_dir):
-    t = _tbox(spark)
-    return rules.concrete_classes(t.classes, t.class_super, t.class_disjoint, t.enum_members).select(terms.local_name("uri").alias("class"))
-
-
-@query("SELECT * FROM (VALUES ('Order', 'placedBy'), ('LineItem', 'quantity'), ('LineItem', 'ofPart')) v(class, prop)")
-def applicable_properties(spark, sf_dir):
-    t = _tbox(spark)
-    return _short(rules.applicable_properties(t.classes, t.class_super, t.prop_domain, t.properties, t.restrictions), "class", "prop")
-
-
-@query("""SELECT 'h' || head AS head, CAST(pos AS INT) AS pos, member FROM (SELECT i % 3 AS head, i // 3 AS pos, 'm' || i AS member FROM range(300) t(i))""")
-def rdf_list_flatten(spark, sf_dir):
-    """Three lists of 100 cells each."""
-    from graphwright.functions import vocab as v
-    from graphwright.operators.tbox import list_members
-
-    cell = lambda x: F.when(x < 3, F.concat(F.lit("h"), x.cast("string"))).otherwise(F.concat(F.lit("c"), x.cast("string")))
-    i = F.col("id")
-    first = spark.range(300).select(cell(i).alias("s"), F.lit(v.FIRST).alias("p"), F.concat(F.lit("m"), i.cast("string")).alias("o"), F.lit("uri").alias("o_kind"))
-    rest = spark.range(300).select(cell(i).alias("s"), F.lit(v.REST).alias("p"), F.when(i < 297, cell(i + 3)).otherwise(v.NIL).alias("o"), F.lit("uri").alias("o_kind"))
-    return list_members(first.unionByName(rest)).select("head", "pos", "member")
-
-
 @query("SELECT c_mktsegment AS value, CAST(row_number() OVER (ORDER BY c_mktsegment) - 1 AS INT) AS pos FROM (SELECT DISTINCT c_mktsegment FROM customer)")
 def enum_members(spark, sf_dir):
     """Segments as the labelled members of an enumeration's RDF list, by the model's extraction."""
@@ -643,45 +552,15 @@ def sample_targets(spark, sf_dir):
     return rules.sample_targets(load(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey", 2)
 
 
-@query("""WITH placed AS (SELECT * FROM (VALUES ('Order', 'placedBy'), ('LineItem', 'quantity'), ('Customer', 'hasOrder')) v(class, prop)),
-restricted AS (SELECT * FROM (VALUES ('LineItem', 'ofPart'), ('Order', 'hasLine')) v(class, prop))
-SELECT CAST(7 + 1 AS BIGINT) AS definitions, (SELECT count(*) + 1 FROM (SELECT * FROM placed UNION SELECT * FROM restricted)) AS properties, (SELECT count(*) FROM restricted) AS required""")
-def schema_statistics(spark, sf_dir):
-    """Statistics of the schema that the vocabulary of the test tables compiles to."""
-    from graphwright.plans.compile import Engine, definitions_table, statistics
-
-    schema = Engine().transform(_tbox(spark))
-    wanted = statistics(definitions_table(spark, schema)).select("definitions", "properties", "required")
-    return wanted.select(*[F.col(c).cast("long").alias(c) for c in wanted.columns])
-
-
-_REF = '{{"oneOf": [{{"$ref": "#/definitions/{0}"}}, {{"type": "object", "properties": {{"@id": {{"type": "string", "format": "uri"}}}}, "required": ["@id"], "additionalProperties": false}}]}}'
-_SCHEMA_ROWS = [
-    ("Agent", 0, '{"allOf": [{"$ref": "#/definitions/_Thing"}, {"oneOf": [{"$ref": "#/definitions/Customer"}, {"$ref": "#/definitions/Supplier"}]}], "title": "Agent", "description": "Disjoint union of: Customer, Supplier"}'),
-    ("Customer", 1, '{"allOf": [{"$ref": "#/definitions/_Thing"}, {"type": "object", "properties": {"hasOrder": {"type": "array", "items": ' + _REF.format("Order") + '}}, "allOf": [{"$ref": "#/definitions/Agent"}, {"type": "object", "properties": {}}]}], "title": "Customer"}'),
-    ("Supplier", 2, '{"allOf": [{"$ref": "#/definitions/_Thing"}, {"type": "object", "properties": {}, "allOf": [{"$ref": "#/definitions/Agent"}, {"type": "object", "properties": {}}]}], "title": "Supplier"}'),
-    ("Order", 3, '{"allOf": [{"$ref": "#/definitions/_Thing"}, {"type": "object", "properties": {"hasLine": {"type": "array", "minItems": 1, "items": ' + _REF.format("LineItem") + '}, "placedBy": ' + _REF.format("Customer") + '}, "required": ["hasLine"]}], "title": "Order"}'),
-    ("LineItem", 4, '{"allOf": [{"$ref": "#/definitions/_Thing"}, {"type": "object", "properties": {"ofPart": {"type": "array", "maxItems": 3}, "quantity": {"type": "number"}}, "required": ["ofPart"]}], "title": "LineItem"}'),
-    ("Part", 5, '{"allOf": [{"$ref": "#/definitions/_Thing"}, {"type": "object", "properties": {}}], "title": "Part"}'),
-    ("Nation", 6, '{"allOf": [{"$ref": "#/definitions/_Thing"}, {"type": "object", "properties": {}}], "title": "Nation"}'),
-    ("_Thing", 7, '{"type": "object", "properties": {"uri": {"type": "string", "format": "uri", "description": "The URI identifier for this instance"}}, "required": [], "description": "Base object that all classes inherit from", "title": "_Thing"}'),
-]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{n}', {i}, '{text}')" for n, i, text in _SCHEMA_ROWS) + ") v(name, ord, schema_json)")
-def compiled_schema(spark, sf_dir):
-    """The compiled definitions of the test tables' vocabulary, whole."""
-    from graphwright.plans.compile import Engine, definitions_table
-
-    return definitions_table(spark, Engine({"rules": {"disjoint_classes": {"enabled": True}}}).transform(_tbox(spark))).select("name", "ord", "schema_json")
-
-
 @query()
 def generate_individuals(spark, sf_dir):
-    """Seeded synthetic individuals of the vocabulary."""
+    """Seeded synthetic individuals of the vocabulary, in which the tables' segments and brands are classes."""
     from graphwright.operators.generate import Generator
 
-    return Generator(_tbox(spark), BASE, seed=7).generate(2, 5).select("s", "p", "o", "o_kind")
+    named = lambda table, c, up: load(spark, sf_dir, table).select(F.initcap(F.regexp_replace(c, "[^A-Za-z0-9]", "")).alias("c"), F.lit(up).alias("up")).distinct()
+    further = named("customer", "c_mktsegment", "Customer").unionByName(named("part", "p_brand", "Part")).orderBy("c")
+    classes = [tuple(r) for r in further.collect()]  # classes of the vocabulary
+    return Generator(_tbox(spark, classes), BASE, seed=7).generate(2, 5).select("s", "p", "o", "o_kind")
 
 
-from graphwright import instance_queries, model_queries, reasoning_queries, source_queries  # noqa: E402, F401 - register their queries
+from graphwright import catalog_queries, instance_queries, model_queries, reasoning_queries, source_queries  # noqa: E402, F401 - register their queries
