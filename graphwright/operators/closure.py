@@ -57,18 +57,22 @@ def circular(edges: DataFrame, source: str = "src", target: str = "dst") -> Data
     return transitive_closure(edges, source, target).where(F.col(source) == F.col(target)).select(F.col(source).alias("node"))
 
 
-def equivalence_groups(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
-    """node, root: connected components; root is the least member.  Labels jump to their label's label each round."""
+def equivalence_groups(edges: DataFrame, left: str = "a", right: str = "b", most_rounds: int = 1000) -> DataFrame:
+    """node, root: connected components; root is the least member.  Labels jump to their label's label each round; a round's table goes when the next is written."""
     both = settled(edges.select(F.col(left).alias("a"), F.col(right).alias("b")).unionByName(edges.select(F.col(right).alias("a"), F.col(left).alias("b"))).distinct())
-    now = settled(both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("root")).withColumnRenamed("a", "node"))
-    while True:
+    held = Parts()
+    now = held.add(both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("root")).withColumnRenamed("a", "node"))
+    for _ in range(most_rounds):
         near = both.join(now.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         step = now.join(near, "node").select("node", F.least("root", "near").alias("root"))
         jump = step.select(F.col("node").alias("root"), F.col("root").alias("up"))
-        new = settled(step.join(jump, "root").select("node", F.col("up").alias("root")))
+        made = Parts()
+        new = made.add(step.join(jump, "root").select("node", F.col("up").alias("root")))
         if new.join(now, ["node", "root"], "left_anti").isEmpty():
             return new
-        now = new
+        held.drop()
+        now, held = new, made
+    raise RuntimeError(f"no fix-point after {most_rounds} rounds")
 
 
 def strongly_connected(edges: DataFrame, source: str = "src", target: str = "dst") -> DataFrame:

@@ -296,10 +296,8 @@ def validate(instances: DataFrame, schema: dict) -> DataFrame:
     def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         validator = Validator(root)
         for batch in batches:
-            good = batch.loc[batch["obj"].isna(), ["type", "uri", "idx"]]
-            yield good.assign(valid=True, path=None, error=None)
             out = []
-            for r in batch[batch["obj"].notna()].itertuples(index=False):
+            for r in batch.itertuples(index=False):
                 if r.type not in definitions:
                     found = ((), f"no definition of type '{r.type}'")
                 elif r.type in skipped:
@@ -315,9 +313,12 @@ def validate(instances: DataFrame, schema: dict) -> DataFrame:
                 out.append((r.type, r.uri, r.idx, found is None, path, None if found is None else found[1]))
             yield pd.DataFrame(out, columns=["type", "uri", "idx", "valid", "path", "error"])
 
-    # an instance that is surely valid goes to the worker without its text
-    rows = instances.select("type", "uri", "idx", F.when(~surely_valid(schema), F.coalesce("obj", F.lit("null"))).alias("obj"))
-    return rows.mapInPandas(f, RESULTS)
+    # an instance that is surely valid never leaves the JVM; exchanges below are reused by both branches
+    quick = surely_valid(schema)
+    named = instances.select("type", "uri", "idx", "obj")
+    good = named.where(quick).select("type", "uri", "idx", F.lit(True).alias("valid"), F.lit(None).cast("string").alias("path"), F.lit(None).cast("string").alias("error"))
+    rest = named.where(~quick).select("type", "uri", "idx", F.coalesce("obj", F.lit("null")).alias("obj"))
+    return good.unionByName(rest.mapInPandas(f, RESULTS))
 
 
 def summary(results: DataFrame) -> DataFrame:
