@@ -1,10 +1,11 @@
 """Hard negatives by a two-dimensional block matrix multiply.
 
 Scores of anchors against all rows are a matrix product.  Anchors and rows are
-dealt to blocks by a hash, their dimensions to chunks; every (anchor block, row
-block, chunk) gets its two panels and gives a partial tile of 64-bit scores.
-Partial tiles meet by a shuffle, are added, and leave only the best of each
-anchor in the tile; these are reduced over the tiles.  Two such products are
+dealt to blocks by a hash, their dimensions to chunks.  Every pair of an anchor
+block and a row block gets all chunks of its two panels, adds the partial
+products chunk by chunk in 64-bit integers, a strip of anchors at a time, and
+leaves only the best of each anchor in the tile; these are reduced over the
+tiles.  So panels and the best travel, but no tile does.  Two such products are
 made: of anchors and rows of their label (positives), in groups of labels, and
 of anchors and all rows (negatives), where a negative must lie in a window
 below the positive's score.
@@ -12,6 +13,8 @@ below the positive's score.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -21,9 +24,14 @@ from pyspark.sql.window import Window
 
 from graphwright.llm.common import table
 
-#: Rows and anchors of a block: a tile has 2 ** 19 scores.
+#: Rows of a block at least and at most, of which a shard has some 64 in between; anchors of a block at most.
 BLOCK_ROWS = 2048
-BLOCK_ANCHORS = 256
+MOST_ROWS = 16384
+BLOCK_ANCHORS = 8192
+#: Numbers that a panel has at most, beyond 256 rows.
+PANEL = 1 << 22
+#: Scores that a strip of a tile has.
+STRIP = 1 << 22
 #: Dimensions of a chunk at least, and chunks at most.
 CHUNK = 32
 MOST_CHUNKS = 16
@@ -53,12 +61,15 @@ def _kind(values: np.ndarray) -> str:
     return "i2" if most < 1 << 15 else "i4" if most < 1 << 31 else "i8"
 
 
-def _panels(rows: DataFrame, size: int, dims: int, chunk: int) -> tuple[DataFrame, DataFrame]:
+def _panels(rows: DataFrame, least: int, most: int, dims: int, chunk: int) -> tuple[DataFrame, DataFrame]:
     """Blocks of rows of a shard cut into chunks of their dimensions; and (shard, n_blocks), a row for each shard.
 
     rows: shard, vec_id, label, x, wanted (struct arrays of positives, or null).
     """
-    blocks = table(rows.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("n_blocks")), "blocks")
+    most = min(most, max(256, PANEL // max(1, dims)))
+    n = F.count(F.lit(1))
+    size = F.least(F.lit(most), F.greatest(F.lit(least), F.ceil(n / 64)))
+    blocks = table(rows.groupBy("shard").agg(F.ceil(n / size).cast("int").alias("n_blocks")), "blocks")
     dealt = rows.join(F.broadcast(blocks), "shard")  # at most LABEL_GROUPS rows
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("n_blocks")).cast("int")).drop("n_blocks")
 
@@ -87,10 +98,6 @@ def _panels(rows: DataFrame, size: int, dims: int, chunk: int) -> tuple[DataFram
 
 
 _PANEL_ARROW = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("chunk", pa.int32()), ("kind", pa.string()), ("n", pa.int32()), ("panel", pa.binary()), ("ids", pa.binary()), ("labels", pa.binary()), ("wanted", pa.binary())])
-_TILE = "shard int, ab int, rb int, chunk int, kind string, na int, tile binary, a_ids binary, a_labels binary, wanted binary, r_ids binary, r_labels binary"
-_TILE_ARROW = pa.schema([("shard", pa.int32()), ("ab", pa.int32()), ("rb", pa.int32()), ("chunk", pa.int32()), ("kind", pa.string()), ("na", pa.int32()), ("tile", pa.binary()), *[(n, pa.binary()) for n in ("a_ids", "a_labels", "wanted", "r_ids", "r_labels")]])
-
-
 def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """a @ b.T in 64-bit integers; by floating point where that is exact."""
     most = max(1, int(np.abs(a).max(initial=0))) * max(1, int(np.abs(b).max(initial=0))) * max(1, a.shape[1])
@@ -99,82 +106,101 @@ def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a.astype(np.int64) @ b.astype(np.int64).T
 
 
-def _partial(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-    """One partial tile from the two panels of a chunk."""
-    if not left.num_rows or not right.num_rows:
-        return _TILE_ARROW.empty_table()
-    a, r = left.to_pylist()[0], right.to_pylist()[0]
+def _strips(left: pa.Table, right: pa.Table) -> Iterator[tuple[slice, np.ndarray, dict]]:
+    """Strips of a tile's scores, each with its anchors' places, and the ids, labels and positives of the whole tile."""
+    a, r = ({x["chunk"]: x for x in t.to_pylist()} for t in (left, right))
     panel = lambda x: np.frombuffer(x["panel"], f"<{x['kind']}").reshape(x["n"], -1)
-    tile = _product(panel(a), panel(r))
-    kind = _kind(tile)
-    row = [[k.as_py()] for k in key] + [[kind], [a["n"]], [tile.astype(f"<{kind}").tobytes()], [a["ids"]], [a["labels"]], [a["wanted"]], [r["ids"]], [r["labels"]]]
-    return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(row, _TILE_ARROW, strict=True)], schema=_TILE_ARROW)
-
-
-def _whole(t: pa.Table) -> tuple[np.ndarray, dict]:
-    """The sum of partial tiles, and the row that has ids and labels."""
-    total, lead = None, {}
-    for x in t.to_pylist():
-        part = np.frombuffer(x["tile"], f"<{x['kind']}").astype(np.int64).reshape(x["na"], -1)
-        total = part if total is None else total + part
-        if x["chunk"] == 0:
-            lead = {n: np.frombuffer(x[n], "<i8") for n in ("a_ids", "a_labels", "r_ids", "r_labels", "wanted") if x[n] is not None}
-    return total, lead
-
-
-def _best_positives(most: int):
-    def f(key: tuple, t: pa.Table) -> pa.Table:  # noqa: ARG001
-        scores, x = _whole(t)
-        out_a, out_r, out_s = [], [], []
-        for label in np.unique(x["a_labels"]):
-            rows, own = np.flatnonzero(x["r_labels"] == label), np.flatnonzero(x["a_labels"] == label)
-            if not len(rows):
-                continue
-            part = scores[np.ix_(own, rows)]
-            # columns are in the order of ids, so a stable sort leaves ties so
-            order = np.argsort(~part, axis=1, kind="stable")[:, : most + 1]  # ~x falls as x rises, without overflow
-            a = np.repeat(x["a_ids"][own], order.shape[1])
-            r, s = x["r_ids"][rows[order.ravel()]], np.take_along_axis(part, order, 1).ravel()
-            keep = a != r
-            out_a.append(a[keep])
-            out_r.append(r[keep])
-            out_s.append(s[keep])
-        join = lambda parts: pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64), pa.int64())
-        return pa.table({"anchor_id": join(out_a), "vec_id": join(out_r), "score": join(out_s)})
+    pairs = [(panel(a[c]), panel(r[c])) for c in sorted(a)]
+    lead = {f"{side}_{n}": np.frombuffer(x[0][n], "<i8") for side, x in (("a", a), ("r", r)) for n in ("ids", "labels")}
+    if a[0]["wanted"] is not None:
+        lead["wanted"] = np.frombuffer(a[0]["wanted"], "<i8").reshape(-1, 3)
+    step = max(1, STRIP // max(1, r[0]["n"]))
+    for i in range(0, a[0]["n"], step):
+        part = slice(i, min(i + step, a[0]["n"]))
+        scores = None
+        for x, y in pairs:
+            more = _product(x[part], y)
+            scores = more if scores is None else scores + more
+        yield part, scores, lead
+
+
+def _columns(schema: pa.Schema, parts: list[tuple]) -> pa.Table:
+    joined = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * len(schema)
+    return pa.Table.from_arrays([pa.array(x, pa.int64()) for x in joined], schema=schema)
+
+
+_POSITIVES = pa.schema([(n, pa.int64()) for n in ("anchor_id", "vec_id", "score")])
+_NEGATIVES = pa.schema([(n, pa.int64()) for n in ("anchor_id", "positive_id", "positive_score", "negative_id", "negative_score")])
+
+
+def _best_positives(most: int) -> Callable:
+    def f(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:  # noqa: ARG001
+        out: list[tuple] = []
+        if not left.num_rows or not right.num_rows:
+            return _POSITIVES.empty_table()
+        for strip, scores, x in _strips(left, right):
+            a_ids, a_labels = x["a_ids"][strip], x["a_labels"][strip]
+            for label in np.unique(a_labels):
+                rows, own = np.flatnonzero(x["r_labels"] == label), np.flatnonzero(a_labels == label)
+                if not len(rows):
+                    continue
+                part, k = scores[np.ix_(own, rows)], min(most + 1, len(rows))  # one more: the anchor may be among them
+                least = np.partition(part, len(rows) - k, axis=1)[:, len(rows) - k]
+                for i, anchor in enumerate(a_ids[own]):
+                    at = np.flatnonzero(part[i] >= least[i])
+                    s = part[i][at]
+                    # places are in the order of ids, so a stable sort leaves ties so
+                    order = np.argsort(~s, kind="stable")[:k]  # ~x falls as x rises, without overflow
+                    found = x["r_ids"][rows[at[order]]]
+                    keep = found != anchor
+                    out.append((np.full(int(keep.sum()), anchor), found[keep], s[order][keep]))
+        return _columns(_POSITIVES, out)
 
     return f
 
 
-def _best_negatives(most: int, low: int, high: int):
-    def f(key: tuple, t: pa.Table) -> pa.Table:  # noqa: ARG001
-        scores, x = _whole(t)
-        order = np.argsort(~scores, axis=1, kind="stable")
-        other = x["r_labels"][None, :] != x["a_labels"][:, None]
-        out = []
-        for i, positive, wanted in x["wanted"].reshape(-1, 3).tolist():
-            at = order[i][other[i][order[i]]]
-            s = scores[i][at]
-            # low * wanted <= 100 * score <= high * wanted, in whole numbers; s falls
-            begin = int(np.searchsorted(-s, -(high * wanted // 100), "left"))
-            end = int(np.searchsorted(-s, low * -wanted // 100, "right"))
-            for j in range(begin, min(end, begin + most)):
-                out.append((int(x["a_ids"][i]), positive, wanted, int(x["r_ids"][at[j]]), int(s[j])))
-        columns = list(zip(*out, strict=True)) or [[]] * 5
-        return pa.table({n: pa.array(list(c), pa.int64()) for n, c in zip(("anchor_id", "positive_id", "positive_score", "negative_id", "negative_score"), columns, strict=True)})
+def _best_negatives(most: int, low: int, high: int) -> Callable:
+    def f(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:  # noqa: ARG001
+        out: list[tuple] = []
+        if not left.num_rows or not right.num_rows:
+            return _NEGATIVES.empty_table()
+        for strip, scores, x in _strips(left, right):
+            # low * wanted <= 100 * score <= high * wanted, in whole numbers; by anchor
+            asked: dict[int, list[tuple[int, int, int, int]]] = {}
+            begin, end = np.searchsorted(x["wanted"][:, 0], [strip.start, strip.stop])
+            for i, positive, wanted in x["wanted"][begin:end].tolist():
+                if (least := -(low * -wanted // 100)) <= (top := high * wanted // 100):
+                    asked.setdefault(i - strip.start, []).append((positive, wanted, least, top))
+            for i, windows in asked.items():
+                s = scores[i]
+                # only what lies in some window is put in order
+                at = np.flatnonzero((s >= min(w[2] for w in windows)) & (s <= max(w[3] for w in windows)))
+                at = at[x["r_labels"][at] != x["a_labels"][strip.start + i]]
+                at = at[np.argsort(~s[at], kind="stable")]
+                falling = ~s[at]
+                for positive, wanted, least, top in windows:
+                    first = int(np.searchsorted(falling, ~top, "left"))
+                    found = at[first : min(first + most, int(np.searchsorted(falling, ~least, "right")))]
+                    anchor = x["a_ids"][strip.start + i]
+                    out.append((*(np.full(len(found), v) for v in (anchor, positive, wanted)), x["r_ids"][found], s[found]))
+        return _columns(_NEGATIVES, out)
 
     return f
 
 
-def _tiles(anchors: DataFrame, rows: DataFrame, dims: int) -> DataFrame:
-    """Partial tiles of every anchor block, row block of its shard and chunk."""
+def _tiles(anchors: DataFrame, rows: DataFrame, dims: int, best: Callable, names: str) -> DataFrame:
+    """What `best` leaves of the tiles of every anchor block and row block of its shard."""
     chunk = max(CHUNK, -(-dims // MOST_CHUNKS))
-    a, a_blocks = _panels(anchors, BLOCK_ANCHORS, dims, chunk)
-    r, r_blocks = _panels(rows, BLOCK_ROWS, dims, chunk)
+    a, a_blocks = _panels(anchors, BLOCK_ANCHORS, BLOCK_ANCHORS, dims, chunk)
+    r, r_blocks = _panels(rows, BLOCK_ROWS, MOST_ROWS, dims, chunk)
+    n = a_blocks.withColumnRenamed("n_blocks", "m").join(F.broadcast(r_blocks), "shard").agg(F.sum(F.col("m") * F.col("n_blocks"))).first()[0] or 1
     many = lambda d, blocks, name: d.join(F.broadcast(blocks), "shard").withColumn(name, F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).drop("n_blocks")
+    keys = ["shard", "ab", "rb"]
+    # panels are small beside the work on them: so many partitions that tiles are not put together in few tasks
+    dealt = lambda d: d.repartition(min(2 * n, 2000), *keys).groupBy(*keys)
     left = many(a.withColumnRenamed("block", "ab"), r_blocks, "rb")
     right = many(r.withColumnRenamed("block", "rb"), a_blocks, "ab")
-    keys = ["shard", "ab", "rb", "chunk"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_partial, _TILE)
+    return dealt(left).cogroup(dealt(right)).applyInArrow(best, names)
 
 
 def hard_negatives(rows: DataFrame, is_anchor: Column, n_positives: int = 5, n_negatives: int = 3, low: int = 50, high: int = 95) -> DataFrame:
@@ -192,16 +218,15 @@ def hard_negatives(rows: DataFrame, is_anchor: Column, n_positives: int = 5, n_n
     dims = kept.agg(F.max(F.size("x"))).first()[0] or 0
     group = F.pmod(F.xxhash64("label"), F.lit(LABEL_GROUPS)).cast("int").alias("shard")
     own = ["vec_id", "label", "x"]
-    found = _tiles(kept.where("is_anchor").select(group, *own), kept.select(group, *own), dims)
-    found = found.groupBy("shard", "ab", "rb").applyInArrow(_best_positives(n_positives), "anchor_id long, vec_id long, score long")
+    found = _tiles(kept.where("is_anchor").select(group, *own), kept.select(group, *own), dims, _best_positives(n_positives), "anchor_id long, vec_id long, score long")
     first = lambda by, score, tie, most: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(score), tie)) <= most
     best = found.withColumn("_in", first(["anchor_id"], "score", "vec_id", n_positives)).where("_in")
     wanted = best.groupBy(F.col("anchor_id").alias("vec_id")).agg(F.collect_list(F.struct("vec_id", "score")).alias("wanted"))
     wanted = table(wanted, "positives")
     everywhere = F.lit(0).alias("shard")
-    tiles = _tiles(kept.where("is_anchor").join(wanted, "vec_id").select(everywhere, *own, "wanted"), kept.select(everywhere, *own), dims)
     names = "anchor_id long, positive_id long, positive_score long, negative_id long, negative_score long"
-    near = tiles.groupBy("shard", "ab", "rb").applyInArrow(_best_negatives(n_negatives, low, high), names)
+    asking = kept.where("is_anchor").join(wanted, "vec_id").select(everywhere, *own, "wanted")
+    near = _tiles(asking, kept.select(everywhere, *own), dims, _best_negatives(n_negatives, low, high), names)
     rank = F.row_number().over(Window.partitionBy("anchor_id", "positive_id").orderBy(F.desc("negative_score"), "negative_id"))
     out = near.withColumn("rank", rank).where(F.col("rank") <= n_negatives)
     return out.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")

@@ -242,3 +242,15 @@ def test_op13_query_is_its_contract(spark, tmp_path):
     spark.createDataFrame(rows, VECTORS).write.parquet(str(tmp_path / "embeddings.parquet"))
     relabelled = [(i, (label + 1) % 10 if i % 7 == 0 else label, x) for i, label, x in rows]
     assert sorted(tuple(r) for r in queries.op13_hard_negatives(spark, str(tmp_path)).collect()) == brute_negatives(relabelled)
+
+
+def test_tiles_stay_in_their_task(spark, monkeypatch):
+    """Panels are shuffled, tiles are not; a tile is worked off in strips."""
+    monkeypatch.setattr(negatives, "STRIP", 40)
+    rng = np.random.default_rng(4)
+    rows = [(i, int(rng.integers(0, 3)), [float(x) for x in rng.normal(size=70).round(2)]) for i in range(1, 500)]
+    df = spark.createDataFrame(rows, "vec_id long, label long, embedding array<double>")
+    out = negatives.hard_negatives(negatives.points(df), F.col("vec_id") % 50 == 0)
+    assert sorted(tuple(r) for r in out.collect()) == brute_negatives(rows)
+    plan = out._jdf.queryExecution().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "tile" not in plan
