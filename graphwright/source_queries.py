@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphwright.functions import vocab as v
-from graphwright.plans.tables import Parts, settled
+from graphwright.plans.tables import Parts
 from graphwright.queries import _CUSTOMER_SQL, _iri_sql, _triples_sql, query
 from graphwright.sources import rdf, sinks
 from graphwright.sources.relational import BASE, ENTITIES, graph, load, triplify
@@ -28,24 +25,12 @@ def _folder(spark: SparkSession) -> str:
     return parts.paths[0] + "/out"
 
 
-@contextmanager
-def _small_blocks(spark: SparkSession, size: str) -> Iterator[None]:
-    """Files are read in blocks of so many bytes."""
-    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
-    try:
-        yield
-    finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
-
-
 @query(_ORDERS_SQL)
 def turtle_written(spark, sf_dir):
     """All orders written as Turtle in parts and read again, in blocks of 256 KB."""
     path = _folder(spark)
     sinks.write_parts(triplify(load(spark, sf_dir, "orders"), ENTITIES["Order"]), path, "turtle", _PREFIXES)
-    with _small_blocks(spark, "256k"):
-        return settled(rdf.read_rdf(spark, path, "turtle", split=True).select("s", "p", "o"))
+    return rdf.read_rdf(spark, path, "turtle", split=True, block="256k").select("s", "p", "o")
 
 
 @query(_ORDERS_SQL)
@@ -66,8 +51,7 @@ def turtle_long_texts(spark, sf_dir):
     line = F.concat(F.lit("d:Document_"), F.col("doc_id").cast("string"), F.lit(' d:text\n  """'), text, F.lit('""" ;\n  a d:Document .'))
     path = _folder(spark)
     d.select(F.concat(F.when(F.col("doc_id") % 7 == 0, F.lit(f"PREFIX d: <{BASE}>\n")).otherwise(f"@prefix d: <{BASE}> . "), line).alias("value")).where("doc_id is not null").write.text(path)
-    with _small_blocks(spark, "64k"):
-        t = settled(rdf.read_rdf(spark, path, "turtle", split=True))
+    t = rdf.read_rdf(spark, path, "turtle", split=True, block="64k")
     return t.where(F.col("p") == BASE + "text").select(F.substring_index("s", "_", -1).cast("bigint").alias("doc_id"), F.md5(F.encode("o", "UTF-8")).alias("digest"))
 
 

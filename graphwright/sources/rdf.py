@@ -144,11 +144,12 @@ def _splits(spark: SparkSession, path: str) -> bool:
     return largest is not None and largest > most
 
 
-def read_rdf(spark: SparkSession, path: str, syntax: str | None = None, base: str = "", split: bool | None = None) -> DataFrame:
+def read_rdf(spark: SparkSession, path: str, syntax: str | None = None, base: str = "", split: bool | None = None, block: str | None = None) -> DataFrame:
     """Triples of one or more files (a path, folder or glob), as a set.
 
     Turtle and N3 are read in blocks with `split`, by default if a file is
-    larger than what Spark gives to one task; the result is the same.
+    larger than what Spark gives to one task; the result is the same.  `block`
+    is the size of the blocks, by default what Spark gives to one task.
     """
     kind = syntax or detect_format(path)
     if kind == "nt":
@@ -156,7 +157,7 @@ def read_rdf(spark: SparkSession, path: str, syntax: str | None = None, base: st
     if kind in ("turtle", "n3") and (split or split is None and _splits(spark, path)):
         from graphwright.sources.turtle_blocks import read_turtle
 
-        return _distinct(read_turtle(spark, path, base))
+        return _distinct(read_turtle(spark, path, base, block=block))
 
     def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

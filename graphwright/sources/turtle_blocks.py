@@ -8,9 +8,12 @@ that the block before began, and which prefixes hold.
   can begin in (no string, a long string in either kind of quotes), which gives
   a function from the state at its start to that at its end.  Composed along
   the file (a few numbers for each block), these give the true states.
-* The scan also leaves the block's first and last statement fragments and its
-  directives.  Fragments of neighbouring blocks make whole statements.
-* Directives, which are few, go to all tasks; then blocks are parsed alone.
+* The scan also leaves the block's directives.  Those that change nothing are
+  left out along the file; the others, which are few, go to all tasks.
+* Then blocks are parsed alone, each once; what they cannot parse, the head of
+  their text and its tail, make whole statements with those of their neighbours.
+
+A task works off many blocks, so their size does not set the number of tasks.
 
 A file in which a directive itself crosses a block is read whole.
 """
@@ -19,6 +22,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from urllib.parse import unquote
 
 import pandas as pd
@@ -33,11 +37,14 @@ from graphwright.sources.turtle import _LEXER, Term, Turtle
 _LONG_END = {"double": re.compile(r'(?:(?:"|"")?(?:[^"\\]|\\.))*"""', re.S), "single": re.compile(r"(?:(?:'|'')?(?:[^'\\]|\\.))*'''", re.S)}
 _STATES = ("plain", "double", "single")
 _OPENS = {'"""': "double", "'''": "single"}
-#: Directives of all files; more are refused.
+#: Directives of all files that change something; more are refused.
 MOST_DIRECTIVES = 100_000
 #: Triples of one batch that a task hands on.
 _BATCH = 20_000
-_SCANS = "path string, start long, state string, end_state string, dots boolean, head string, tail string, tail_at long, directives array<string>, cut boolean"
+#: Bytes of text that a task works off.
+TASK_BYTES = 32 << 20
+_SCANS = "path string, start long, state string, end_state string, directives array<string>, cut boolean"
+_MARK = re.compile("prefix|base", re.I)
 
 
 def scan(text: str, state: str) -> dict:
@@ -158,31 +165,57 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, str]]
         yield *key, "\n".join(lines) + "\n"
 
 
+def changes(directives: list[str], known: dict[str, str] | None = None) -> list[str]:
+    """The directives without those that state what holds anyway; `known` has the prefixes' IRIs so far and is kept up to date."""
+    known, out = {} if known is None else known, []
+    for text in directives:
+        word, *rest = text.split(" ")
+        if word.strip("@").lower() == "base":
+            known.clear()  # the same IRI may mean another one now
+            out.append(text)
+        elif not rest[1].startswith("<"):
+            known.pop(rest[0], None)
+            out.append(text)
+        elif known.get(rest[0]) != rest[1]:
+            known[rest[0]] = rest[1]
+            out.append(text)
+    return out
+
+
 def _scans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for path, start, text in _blocks(batches):
         text = text.removeprefix("\ufeff") if start == 0 else text
-        found = [{"path": path, "start": start, **scan(text, s)} for s in _STATES if s == "plain" or start and {v: k for k, v in _OPENS.items()}[s] in text]
-        # without its quotes in the block, a long string goes on through all of it
-        missing = [s for s in _STATES[1:] if start and s not in [x["state"] for x in found]]
-        found += [{"path": path, "start": start, "state": s, "end_state": s, "dots": False, "head": text, "tail": "", "tail_at": 0, "directives": [], "cut": False} for s in missing]
+        found = []
+        for s in _STATES if start else _STATES[:1]:
+            # without its quotes in the block, a long string goes on through all of it; without any, and without directives, nothing changes
+            if s == "plain" and not _MARK.search(text) and not any(q in text for q in _OPENS) or s != "plain" and _QUOTES[s] not in text:
+                x = {"end_state": s, "directives": [], "cut": False}
+            else:
+                x = scan(text, s)
+            found.append({"path": path, "start": start, "state": s, "end_state": x["end_state"], "directives": changes(x["directives"]), "cut": x["cut"]})
         yield pa.RecordBatch.from_pylist(found, schema=_SCANS_ARROW)
 
 
-_SCANS_ARROW = pa.schema([("path", pa.string()), ("start", pa.int64()), ("state", pa.string()), ("end_state", pa.string()), ("dots", pa.bool_()), ("head", pa.string()), ("tail", pa.string()), ("tail_at", pa.int64()), ("directives", pa.list_(pa.string())), ("cut", pa.bool_())])
+_QUOTES = {v: k for k, v in _OPENS.items()}
+_SCANS_ARROW = pa.schema([("path", pa.string()), ("start", pa.int64()), ("state", pa.string()), ("end_state", pa.string()), ("directives", pa.list_(pa.string())), ("cut", pa.bool_())])
 
 
 def _true_states(scans: DataFrame) -> DataFrame:
-    """path, start, state of every block: the functions of a file's blocks composed, a row of texts for each block."""
+    """path, start, state, directives, cut of every block: the functions of a file's blocks composed, a row of a few texts for each block.
+
+    Directives are those that change something along the file.
+    """
 
     def f(batch: pd.DataFrame) -> pd.DataFrame:
-        state, out = "plain", []
-        by = {(r.start, r.state): r.end_state for r in batch.itertuples(index=False)}
+        state, out, known = "plain", [], {}
+        by = {(r.start, r.state): r for r in batch.itertuples(index=False)}
         for start in sorted(set(batch["start"])):
-            out.append((batch["path"].iloc[0], start, state))
-            state = by[start, state]
-        return pd.DataFrame(out, columns=["path", "start", "state"])
+            x = by[start, state]
+            out.append((x.path, start, state, changes(list(x.directives), known), x.cut))
+            state = x.end_state
+        return pd.DataFrame(out, columns=["path", "start", "state", "directives", "cut"])
 
-    return scans.select("path", "start", "state", "end_state").groupBy("path").applyInPandas(f, "path string, start long, state string")
+    return scans.groupBy("path").applyInPandas(f, "path string, start long, state string, directives array<string>, cut boolean")
 
 
 def _crossing(true: DataFrame) -> DataFrame:
@@ -200,8 +233,19 @@ def _crossing(true: DataFrame) -> DataFrame:
     return pieces.select("path", F.col("from").alias("start"), F.col("x")[0]["at"].alias("at"), F.array_join(F.transform("x", lambda e: e["text"]), "").alias("text"))
 
 
-def read_turtle(spark: SparkSession, path: str, base: str = "", whole: Callable[[str, str], list[tuple]] | None = None) -> DataFrame:
-    """The triples of Turtle files (a path, folder or glob), each file read in as many blocks as Spark splits it into.
+@contextmanager
+def _block_size(spark: SparkSession, size: str | None) -> Iterator[None]:
+    """Files are read in blocks of so many bytes, if a size is named."""
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size or old)
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def read_turtle(spark: SparkSession, path: str, base: str = "", whole: Callable[[str, str], list[tuple]] | None = None, block: str | None = None) -> DataFrame:
+    """The triples of Turtle files (a path, folder or glob), each file read in blocks: as many as Spark splits it into, or of the size `block`.
 
     A statement must fit a worker's memory, a file's directives all of them.
     Relative IRIs and labels of blank nodes are the file's.  Rows of TRIPLES,
@@ -212,8 +256,11 @@ def read_turtle(spark: SparkSession, path: str, base: str = "", whole: Callable[
     whole = whole or (lambda name, text: parse(text, "turtle", name, base)[0])
     place = "_metadata.file_path as path", "_metadata.file_block_start as start"
     lines = spark.read.option("lineSep", "\n").text(path).selectExpr(*place, "value")
-    scans = settled(lines.mapInArrow(_scans, _SCANS))
-    true = settled(_true_states(scans).join(scans, ["path", "start", "state"]))
+    total = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] or 0
+    lines = lines.coalesce(max(4 * spark.sparkContext.defaultParallelism, -(-total // TASK_BYTES)))
+    with _block_size(spark, block):
+        scans = settled(lines.mapInArrow(_scans, _SCANS))
+    true = settled(_true_states(scans))
     cut = [r[0] for r in true.where("cut").select("path").distinct().collect()]  # names of files that are read whole
     inside = {(r[0], r[1]): r[2] for r in true.where("state <> 'plain'").select("path", "start", "state").collect()}  # blocks, at most as many as there are
     stated = true.where(F.size("directives") > 0).select("path", "start", "directives")
@@ -249,22 +296,29 @@ def read_turtle(spark: SparkSession, path: str, base: str = "", whole: Callable[
         yield _columns(batch)
 
     def parse_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        starts, stated, skipped = shared.value
+        starts, _, skipped = shared.value
         for name, start, text in _blocks(batches):
             if name in skipped:
                 continue
             text = text.removeprefix("\ufeff") if start == 0 else text
             at, prefixes = environment(name, start)
+            found = 0
             if start:
-                found = scan_head(text, starts.get((name, start), "plain"))
+                state = starts.get((name, start), "plain")
+                found = scan_head(text, state)
                 if found is None:
+                    yield _fragment(name, start, False, text, None, 0)
                     continue
-                text = text[found:]
-                own = next((texts for s, texts in stated.get(name, []) if s == start), [])
-                if own:  # directives before the first statement's end hold too
-                    at, prefixes = declared(own[: len(own) - len(scan(text, "plain")["directives"])], at, prefixes)
-            reader = _Block(text, at, f"{abs(hash_name(name)):x}-", f"{start:x}-", prefixes)
-            yield from rows(name, reader, 2 * start)
+                # directives before the first statement's end hold too
+                if _MARK.search(text, 0, found) and (own := scan(text[:found], state)["directives"]):
+                    at, prefixes = declared(own, at, prefixes)
+            reader = _Block(text[found:], at, f"{abs(hash_name(name)):x}-", f"{start:x}-", prefixes)
+            for batch in rows(name, reader, 2 * start):
+                yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.nulls(batch.num_rows, f.type) for f in _FRAGMENT_ARROW)], schema=_PARSED_ARROW)
+            if start or reader.rest:
+                yield _fragment(name, start, True, text[:found], text[found + reader.rest :], found + reader.rest)
+            else:
+                yield _fragment(name, start, False, text, None, 0)
 
     def parse_crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -277,7 +331,10 @@ def read_turtle(spark: SparkSession, path: str, base: str = "", whole: Callable[
                 if text[reader.rest :].strip() and _has_tokens(text[reader.rest :]):
                     raise ValueError(f"no Turtle at {text[reader.rest :].strip()[:60]!r}")
 
-    out = lines.mapInArrow(parse_blocks, TRIPLES).unionByName(settled(_crossing(true)).mapInArrow(parse_crossing, TRIPLES))
+    with _block_size(spark, block):
+        parsed = settled(lines.mapInArrow(parse_blocks, f"{TRIPLES}, {_FRAGMENT}"))
+    true = parsed.where("start is not null").select(F.col("graph").alias("path"), "start", "dots", "head", "tail", "tail_at")
+    out = parsed.where("start is null").select(*COLUMNS).unionByName(settled(_crossing(true)).mapInArrow(parse_crossing, TRIPLES))
     if cut:
 
         def parse_whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -312,8 +369,18 @@ def _has_tokens(text: str) -> bool:
     return not (m and m.lastgroup == "skip" and m.end() == len(text))
 
 
+#: What a block leaves beside triples: the head and tail of its text, and whether a statement ends in it.
+_FRAGMENT = "start long, dots boolean, head string, tail string, tail_at long"
+_FRAGMENT_ARROW = [pa.field("start", pa.int64()), pa.field("dots", pa.bool_()), pa.field("head", pa.string()), pa.field("tail", pa.string()), pa.field("tail_at", pa.int64())]
 _TRIPLES_ARROW = pa.schema([*[(n, pa.string()) for n in ("graph", "s", "s_kind", "p", "o", "o_kind", "o_datatype", "o_lang")], ("ord", pa.int64())])
 
+_PARSED_ARROW = pa.schema([*_TRIPLES_ARROW, *_FRAGMENT_ARROW])
+
+
+def _fragment(path: str, start: int, dots: bool, head: str, tail: str | None, tail_at: int) -> pa.RecordBatch:
+    row = {"graph": path, "start": start, "dots": dots, "head": head, "tail": tail, "tail_at": tail_at}
+    return pa.RecordBatch.from_pylist([row], schema=_PARSED_ARROW)
+
 
 def _columns(rows: list[tuple]) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) or [()] * len(_TRIPLES_ARROW)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphwright.functions import vocab as v
-from graphwright.sources import rdf, sinks
+from graphwright.sources import rdf, sinks, turtle_blocks
 from graphwright.sources.turtle_blocks import scan
 
 KEYS = ["s", "p", "o", "o_kind", "o_datatype", "o_lang"]
@@ -164,3 +164,32 @@ def test_table_function(spark):
     docs.createOrReplaceTempView("rdf_docs")
     got = spark.sql("SELECT id, t.p, t.o, t.o_kind, t.o_lang FROM rdf_docs, LATERAL parse_rdf(text, syntax, '') t").collect()
     assert sorted(tuple(r) for r in got) == [(1, "http://t.org/b", "2", "literal", None), (1, "http://t.org/b", "http://t.org/c", "uri", None), (3, "http://t.org/b", "x", "literal", "en")]
+
+
+def test_directives_that_change_nothing_do_not_add_up(spark, tmp_path, monkeypatch):
+    """Every statement may state its prefixes again; one that changes counts from there on."""
+    monkeypatch.setattr(turtle_blocks, "MOST_DIRECTIVES", 8)
+    again = lambda i: ("@prefix a: <http://t.org/{}/> . ", "PREFIX a: <http://t.org/{}/>\n")[i % 3 == 0]
+    text = "".join(again(i).format(i // 50) + f'a:s{i} a:p """line\nline {i}""" .\n' for i in range(200))
+    (tmp_path / "a.ttl").write_text(text)
+    got = nameless(tuple(r[c] for c in KEYS) for r in rdf.read_rdf(spark, f"{tmp_path}/a.ttl", "turtle", split=True, block="500").collect())
+    assert got == whole(text)
+    base = ["@prefix a: <b> .", "@base <http://x.org/> .", "@prefix a: <b> .", "PREFIX a: <b>"]
+    assert turtle_blocks.changes(base) == base[:3]
+
+
+def test_size_of_blocks_does_not_set_the_number_of_tasks(spark, tmp_path):
+    (tmp_path / "a.ttl").write_text("".join(f"<http://t.org/s{i}> <http://t.org/p> {i} .\n" for i in range(3000)))
+    spark.sparkContext.setJobGroup("many blocks", "")
+    assert rdf.read_rdf(spark, f"{tmp_path}/a.ttl", "turtle", split=True, block="500").count() == 3000
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    stages = [tracker.getStageInfo(i) for j in tracker.getJobIdsForGroup("many blocks") for i in tracker.getJobInfo(j).stageIds]
+    assert max(x.numTasks for x in stages if x) <= 32
+
+
+def test_documents_of_a_large_graph_stay_small(spark, monkeypatch):
+    monkeypatch.setattr(sinks, "PART_TRIPLES", 100)
+    t = spark.range(5000).selectExpr("concat('http://t.org/s', id) as s", "'http://t.org/p' as p", "'x' as o", "'literal' as o_kind")
+    sizes = [r["n"] for r in sinks.by_subject(t).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) > 30 and max(sizes) < 400 and sum(sizes) == 5000
