@@ -164,10 +164,18 @@ def to_rdfxml(triples: DataFrame, prefixes: dict[str, str] | None = None) -> str
     return "\n".join(rdfxml_lines((r.asDict() for r in _sorted(triples)), {"rdf": v.RDF} | (prefixes or v.PREFIXES))) + "\n"
 
 
+#: Triples of one of several documents, about: readers of most syntaxes hold a document whole.
+PART_TRIPLES = 50_000
+
+
 def by_subject(triples: DataFrame) -> DataFrame:
-    """The triples dealt by ranges of subject and value, so that a subject with any number of values is spread, and sorted."""
+    """The triples dealt by ranges of subject and value, so that a subject with any number of values is spread, and sorted.
+
+    There are so many ranges that one has some PART_TRIPLES, however large the graph is.
+    """
     t = triples.select(*[F.col(c) if c in triples.columns else F.lit(None).cast("string").alias(c) for c in ("s", "p", "o", "o_kind", "o_datatype", "o_lang")])
-    return t.repartitionByRange("s", "p", "o").sortWithinPartitions("s", "p", "o")
+    n = -(-t.count() // PART_TRIPLES)
+    return (t.repartitionByRange(n, "s", "p", "o") if n > 1 else t.repartitionByRange("s", "p", "o")).sortWithinPartitions("s", "p", "o")
 
 
 def write_parts(triples: DataFrame, path: str, syntax: str = "turtle", prefixes: dict[str, str] | None = None) -> None:
