@@ -17,7 +17,7 @@ from graphwright.functions import vocab as v
 from graphwright.functions.terms import local_name
 from graphwright.operators import closure, rules
 from graphwright.operators import tbox as tb
-from graphwright.plans.compile import Engine, definitions_table
+from graphwright.plans.compile import Engine
 from graphwright.plans.tables import settled
 from graphwright.queries import _short, query
 from graphwright.sources.relational import BASE, load
@@ -290,8 +290,7 @@ def applicable_properties(spark, sf_dir):
 
 
 def _definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = Engine({"rules": {"thing_with_uri": {"enabled": False}, "disjoint_classes": {"enabled": True}}}).transform(tb.TBox.of(catalog(spark, sf_dir)))
-    return settled(definitions_table(spark, schema))
+    return Engine({"rules": {"thing_with_uri": {"enabled": False}, "disjoint_classes": {"enabled": True}}}).definitions(tb.TBox.of(catalog(spark, sf_dir)))
 
 
 @query(_SUPER.replace("AS other", "AS ref"))

@@ -6,6 +6,10 @@ and one job collects them.  They are as many as the ontology has axioms.  The
 driver folds them, in rule order, into the document; of two writers to one
 place the later rule wins.
 
+An ontology whose document the driver cannot hold is compiled by
+Engine.definitions(): what rules say of a definition is dealt by its name, and
+tasks fold the same rules over their names.
+
 Profiles: `parity` uses the rules of config.PARITY; `documented` uses all.
 """
 
@@ -13,8 +17,9 @@ from __future__ import annotations
 
 import json
 from collections import defaultdict
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +27,7 @@ from graphwright.functions import datatypes as dt
 from graphwright.operators import rules as r
 from graphwright.operators.tbox import TBox
 from graphwright.plans.config import PARITY, RULES, Config
+from graphwright.plans.tables import settled
 from graphwright.sources.sinks import bounded
 
 SCHEMA_ID = "http://json-schema.org/draft-07/schema#"
@@ -342,7 +348,7 @@ def _disjoint_classes(doc: Document, rows: Rows, c: Config) -> None:
     for x in rows["unions"]:
         kids.setdefault(x["parent"], []).append(x)
     for parent, found in sorted(kids.items()):
-        names = [x["child"] for x in sorted(found, key=lambda x: (order.get(x["class"], len(order)), x["child"]))]
+        names = [x["child"] for x in sorted(found, key=lambda x: (x.get("class_ord", order.get(x["class"], float("inf"))), x["child"]))]
         old = doc.definitions.get(clean(parent))
         if old is None:
             continue
@@ -521,13 +527,89 @@ class Engine:
             wrap(doc, self.config, self.profile)
         return doc.build()
 
+    def definitions(self, tbox: TBox) -> DataFrame:
+        """name, schema_json, n_properties, n_required, is_enum, inherits: the definitions of transform(), folded by tasks.
+
+        For the rules of the package but equivalent_classes, which joins definitions.
+        """
+        used = [x for x in self.rules if (self.profile != "parity" or x in PARITY or x not in FOLDS) and self.config.is_enabled(x)]
+        if alone := [x for x in used if self.rules[x] is not FOLDS.get(x) or x == "equivalent_classes"]:
+            raise ValueError(f"{alone} need the whole document")
+        folds = [self.rules[x] for x in used if x not in _OF_ROOT]
+        config, profile, wrapped = self.config, self.profile, "thing_with_uri" in used
+        rows = None
+        for kind, df in _by_definition(tables(tbox, config, profile)).items():
+            one = df.select(F.lit(kind).alias("kind"), F.regexp_extract("_owner", "[^:/#]*$", 0).alias("_owner"), F.to_json(F.struct(*[c for c in df.columns if c != "_owner"])).alias("row"))
+            rows = one if rows is None else rows.unionByName(one)
+        dealt = settled(rows.withColumn("_owner", F.translate("_owner", " -", "__")))
+        n = max(1, -(-dealt.count() // DEFINITION_ROWS))
+
+        def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in _whole_owners(batches):
+                for some in part.values():
+                    some.sort(key=lambda x: (x.get("ord", 0), json.dumps(x, sort_keys=True)))
+                doc = Document()
+                for fold in folds:
+                    fold(doc, part, config)
+                if wrapped:
+                    wrap(doc, config, profile)
+                yield pa.RecordBatch.from_pylist([dict(zip(_DEFINITION.names, _definition(name, d), strict=True)) for name, d in doc.definitions.items()], schema=_DEFINITION)
+
+        made = dealt.repartition(n, "_owner").sortWithinPartitions("_owner").mapInArrow(f, _DEFINITION_SQL)
+        if wrapped:
+            thing = Document()
+            _thing_with_uri(thing, {}, config)
+            made = made.unionByName(tbox.classes.sparkSession.createDataFrame([_definition(*x) for x in thing.definitions.items()], _DEFINITION_SQL))
+        return made
+
+
+#: Rules that say nothing of a single definition.
+_OF_ROOT = ("ontology_to_document", "individuals_to_examples", "ontology_metadata", "thing_with_uri")
+#: Rows of a task and of a fold.
+DEFINITION_ROWS, _FOLD_ROWS = 200_000, 5_000
+#: The column that names the class of a row's definition.
+_OWNERS = {"classes": "uri", "annotations": "subject", "supers": "class", "merged": "class", "restrictions": "class", "enums": "class", "expressions": "class", "unions": "parent"}
+_DEFINITION_SQL = "name string, schema_json string, n_properties int, n_required int, is_enum boolean, inherits boolean"
+_DEFINITION = pa.schema([("name", pa.string()), ("schema_json", pa.string()), ("n_properties", pa.int32()), ("n_required", pa.int32()), ("is_enum", pa.bool_()), ("inherits", pa.bool_())])
+
+
+def _by_definition(frames: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The tables with a column _owner, whose name is that of the definition that a row says something of."""
+    out = {kind: df.withColumn("_owner", F.col(_OWNERS[kind])) for kind, df in frames.items() if kind in _OWNERS}
+    if "unions" in out:
+        order = frames["classes"].select(F.col("uri").alias("class"), F.col("ord").alias("class_ord"))
+        out["unions"] = out["unions"].join(order, "class", "left")
+    if "properties" in frames:
+        each = frames["properties"].withColumn("_d", F.explode("domains"))
+        out["properties"] = each.withColumn("domains", F.array("_d")).withColumn("_owner", F.col("_d")["domain"]).drop("_d")
+    return out
+
+
+def _whole_owners(batches: Iterator[pa.RecordBatch]) -> Iterator[Rows]:
+    """Rows by table, some thousand at once, never without all of an owner; they come owner by owner."""
+    part, n, owner = defaultdict(list), 0, None
+    for batch in batches:
+        for name, kind, row in zip(*(batch.column(c).to_pylist() for c in ("_owner", "kind", "row")), strict=True):
+            if name != owner and n >= _FOLD_ROWS:
+                yield part
+                part, n = defaultdict(list), 0
+            owner, n = name, n + 1
+            part[kind].append(json.loads(row))
+    if n:
+        yield part
+
+
+def _definition(name: str, d: dict) -> tuple:
+    body = next((x for x in d.get("allOf", []) if "$ref" not in x), d) if "properties" not in d and "allOf" in d else d
+    return name, json.dumps(d), len(body.get("properties", {})), len(body.get("required", [])), "enum" in body, "allOf" in body
+
 
 def definitions_table(spark, schema: dict) -> DataFrame:
     """name, ord, schema_json, n_properties, n_required, is_enum, inherits of a compiled schema."""
     rows = []
     for i, (name, d) in enumerate(schema.get("definitions", {}).items()):
-        body = next((x for x in d.get("allOf", []) if "$ref" not in x), d) if "properties" not in d and "allOf" in d else d
-        rows.append((name, i, json.dumps(d), len(body.get("properties", {})), len(body.get("required", [])), "enum" in body, "allOf" in body))
+        name, *rest = _definition(name, d)
+        rows.append((name, i, *rest))
     return spark.createDataFrame(rows, "name string, ord int, schema_json string, n_properties int, n_required int, is_enum boolean, inherits boolean")
 
 

@@ -140,3 +140,22 @@ def test_cli(spark, tmp_path, capsys):
     assert cli.main(["generate-config", f"{tmp_path}/c.json"]) == 0
     assert cli.main(["transform", f"{tmp_path}/x.ttl", "-o", f"{tmp_path}/o.json", "-c", f"{tmp_path}/c.json", "--disable-rule", "thing_with_uri"]) == 0
     assert json.loads((tmp_path / "o.json").read_text())["definitions"] == {"A": {"type": "object", "properties": {}}}
+
+
+@pytest.mark.parametrize("wrapped", [False, True])
+def test_definitions_folded_by_tasks_are_those_of_the_document(spark, monkeypatch, wrapped):
+    """The same definitions without a document on the driver, also where every task folds a few rows at once."""
+    from graphwright.catalog_queries import catalog
+    from graphwright.operators.tbox import TBox
+    from graphwright.plans import compile as c
+
+    rules = {"disjoint_classes": {"enabled": True}, "annotations_to_metadata": {"enabled": True}, "thing_with_uri": {"enabled": wrapped}, "equivalent_classes": {"enabled": False}}
+    tbox = TBox.of(catalog(spark, "/root/testdata/sf0.001"))
+    for profile in ("parity", "documented"):
+        engine = c.Engine({"rules": rules}, profile)
+        wanted = engine.transform(tbox)["definitions"]
+        monkeypatch.setattr(c, "DEFINITION_ROWS", 300)
+        monkeypatch.setattr(c, "collect", None)
+        got = {r["name"]: json.loads(r["schema_json"]) for r in engine.definitions(tbox).collect()}
+        monkeypatch.undo()
+        assert got == wanted
