@@ -24,6 +24,8 @@ from graphwright.operators import closure
 from graphwright.plans.tables import Parts, settled
 from graphwright.sources.sinks import bounded
 
+#: Values of a task where they are dealt to their individuals, individuals of a range that is numbered, and objects that are broadcast at most.
+TASK_VALUES, RANGE_ROWS, SMALL = 500_000, 200_000, 1_000
 DECLARED = (v.CLASS, v.RDFS + "Class", v.OBJECT_PROPERTY, v.DATATYPE_PROPERTY, v.RDF + "Property")
 
 
@@ -89,13 +91,20 @@ def quoted(c: Column) -> Column:
     return F.substring(text, F.lit(2), F.length(text) - 2)
 
 
-def individuals(triples: DataFrame, names: DataFrame, base: str) -> DataFrame:
+def _dealt(df: DataFrame, n: int, *columns: str) -> DataFrame:
+    """The rows dealt by columns to tasks of some TASK_VALUES of n rows, so that tasks grow in number."""
+    tasks = -(-n // TASK_VALUES)
+    return df.repartition(tasks, *columns) if tasks > 1 else df
+
+
+def individuals(triples: DataFrame, names: DataFrame, base: str, n: int = 0) -> DataFrame:
     """uri, type: named subjects that are no class or property, with the first of their types that has a definition.
 
     names has one column, name; an IRI counts as a definition's if it is the
-    name, the base and the name, or has the name behind its last # or /.
+    name, the base and the name, or has the name behind its last # or /.  n is
+    the number of triples, if known.
     """
-    typed = triples.where((F.col("p") == v.TYPE) & (F.col("s_kind") == "uri"))
+    typed = _dealt(triples.where((F.col("p") == v.TYPE) & (F.col("s_kind") == "uri")), n, "s")
     declared = typed.where(F.col("o").isin(*DECLARED)).select("s").distinct()
     mapped = F.when(F.startswith(F.col("o"), F.lit(base)), F.substring(F.col("o"), F.lit(len(base) + 1), F.length("o")))
     rows = typed.where(F.col("o") != v.NAMED).join(declared, "s", "left_anti").select(F.col("s").alias("uri"), "ord", local_name("o").alias("local"), mapped.alias("mapped"))
@@ -105,13 +114,14 @@ def individuals(triples: DataFrame, names: DataFrame, base: str) -> DataFrame:
     return hit.where("type is not null").groupBy("uri").agg(F.min_by("type", F.struct("ord", "type")).alias("type"))
 
 
-def values(triples: DataFrame, who: DataFrame, props: DataFrame, fallback: DataFrame | None = None) -> DataFrame:
+def values(triples: DataFrame, who: DataFrame, props: DataFrame, fallback: DataFrame | None = None, n: int = 0) -> DataFrame:
     """type, uri, name, is_array, kind, o, o_kind, ord of all values that the schema has a place for.
 
     A predicate belongs to the property of its local name.  A property without
     values by that takes those of the first of its `fallback` IRIs that has any.
     """
-    t = triples.where(~F.col("p").isin(v.TYPE, v.LABEL, v.COMMENT)).select(F.col("s").alias("uri"), "p", "o", "o_kind", "ord").join(who, "uri")
+    t = triples.where(~F.col("p").isin(v.TYPE, v.LABEL, v.COMMENT)).select(F.col("s").alias("uri"), "p", "o", "o_kind", "ord")
+    t = _dealt(t, n, "uri").join(_grows(who), "uri")
     named = t.withColumn("name", local_name("p")).join(props, ["type", "name"])
     if fallback is None:
         return named.drop("p")
@@ -119,8 +129,13 @@ def values(triples: DataFrame, who: DataFrame, props: DataFrame, fallback: DataF
     if probed.isEmpty():
         return named.drop("p")
     best = probed.groupBy("type", "uri", "name").agg(F.min("rank").alias("rank"))
-    best = best.join(named.select("type", "uri", "name").distinct(), ["type", "uri", "name"], "left_anti")
-    return named.drop("p").unionByName(probed.join(best, ["type", "uri", "name", "rank"]).drop("p", "rank"))
+    best = best.join(_grows(named.select("type", "uri", "name").distinct()), ["type", "uri", "name"], "left_anti")
+    return named.drop("p").unionByName(probed.join(_grows(best), ["type", "uri", "name", "rank"]).drop("p", "rank"))
+
+
+def _grows(df: DataFrame) -> DataFrame:
+    """A table that grows with the graph: it is not broadcast, however small its file is (IRIs are packed tightly there)."""
+    return df.hint("merge")
 
 
 def json_value(o: Column, o_kind: Column, kind: Column) -> Column:
@@ -142,14 +157,17 @@ def objects(found: DataFrame, who: DataFrame) -> DataFrame:
     """The columns of who (type, uri, ...) and obj: one JSON object of each individual, its properties by name.
 
     Values are dealt to their individuals once; both groupings and the join
-    need no further shuffle of them.
+    need no further shuffle of them.  There are so many partitions that one has
+    some TASK_VALUES; found is settled, so it is quickly counted.
     """
-    dealt = found.select("type", "uri", "name", "is_array", "ord", "o", "json").repartition("type", "uri")
+    dealt = found.select("type", "uri", "name", "is_array", "ord", "o", "json")
+    n = found.count()
+    dealt = _dealt(dealt, n, "type", "uri") if n > TASK_VALUES else dealt.repartition("type", "uri")
     lists = dealt.groupBy("type", "uri", "name").agg(F.array_sort(F.collect_list(F.struct("ord", "o", "json"))).alias("x"), F.first("is_array").alias("is_array"))
     items = F.array_join(F.transform("x", lambda e: e["json"]), ",")
     text = F.concat(quoted(F.col("name")), F.lit(":"), F.when(F.col("is_array"), F.concat(F.lit("["), items, F.lit("]"))).otherwise(F.col("x")[0]["json"]))
     body = lists.where("name <> 'uri'").groupBy("type", "uri").agg(F.array_join(F.array_sort(F.collect_list(text)), ",").alias("body"))
-    rows = who.join(body, ["type", "uri"], "left")
+    rows = who.join(_grows(body), ["type", "uri"], "left")
     return rows.select(*who.columns, F.concat(F.lit('{"uri":'), quoted(F.col("uri")), F.when(F.col("body").isNotNull(), F.concat(F.lit(","), F.col("body"))).otherwise(""), F.lit("}")).alias("obj"))
 
 
@@ -165,8 +183,9 @@ def convert(triples: DataFrame, schema: dict, base: str = "https://example.org#"
     spark, definitions = triples.sparkSession, schema.get("definitions", {})
     names = spark.createDataFrame([(n,) for n in definitions], "name string")
     props = property_table(spark, definitions, deep)
-    who = settled(individuals(triples, names, base))
-    found = settled(values(triples, who, props, fallback_table(spark, definitions, base, deep)).withColumn("json", json_value(F.col("o"), F.col("o_kind"), F.col("kind"))))
+    n = triples.count()
+    who = settled(individuals(triples, names, base, n))
+    found = settled(values(triples, who, props, fallback_table(spark, definitions, base, deep), n).withColumn("json", json_value(F.col("o"), F.col("o_kind"), F.col("kind"))))
     numbered = settled(ranked(who))
     if style == "reference":
         return objects(found, numbered).select("type", "uri", "idx", "obj")
@@ -184,14 +203,21 @@ def _refers() -> Column:
 
 
 def _with_objects(found: DataFrame, inner: DataFrame) -> DataFrame:
-    """The values with finished objects (o, inner) in place of references to them."""
-    joined = found.join(inner, "o", "left").withColumn("json", F.when(_refers(), F.coalesce("inner", "json")).otherwise(F.col("json")))
-    return joined.select(*found.columns)
+    """The values with finished objects (o, inner) in place of references to them.
+
+    Only references are dealt by what they refer to: a literal that many have
+    would fill a task.  Few objects, to which many may refer, are broadcast.
+    """
+    few = inner.limit(SMALL + 1).count() <= SMALL
+    refs = found.where(_refers())
+    joined = (refs if few else _dealt(refs, found.count(), "o")).join(F.broadcast(inner) if few else _grows(inner), "o", "left").withColumn("json", F.coalesce("inner", "json"))
+    return joined.select(*found.columns).unionByName(found.where(~F.coalesce(_refers(), F.lit(False))))
 
 
 def _inlined(found: DataFrame, who: DataFrame) -> DataFrame:
     """Objects of all individuals with what they refer to inside, type by type."""
-    edges = settled(found.where(_refers()).select("type", "uri", "o").distinct().join(who.select(F.col("uri").alias("o"), F.col("type").alias("target")), "o"))
+    targets = who.select(F.col("uri").alias("o"), F.col("type").alias("target"))
+    edges = settled(found.where(_refers()).select("type", "uri", "o").distinct().join(_grows(targets), "o"))
     present = [r[0] for r in who.select("type").distinct().collect()]  # names of definitions
     pairs = [(r[0], r[1]) for r in edges.select("type", "target").distinct().collect()]
     done, parts = Parts(), []
@@ -263,7 +289,9 @@ def ranked(who: DataFrame) -> DataFrame:
     """
     from pyspark.sql.window import Window
 
-    ranged = settled(who.select("type", "uri").repartitionByRange("uri").withColumn("_part", F.spark_partition_id()))
+    n = -(-who.count() // RANGE_ROWS)
+    names = who.select("type", "uri")
+    ranged = settled((names.repartitionByRange(n, "uri") if n > 1 else names.repartitionByRange("uri")).withColumn("_part", F.spark_partition_id()))
     starts = ranged.groupBy("type", "_part").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("type").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = starts.select("type", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))

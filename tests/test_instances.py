@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import json
 import random
+import re
 
 import pytest
 from hypothesis import given, settings
@@ -246,3 +247,26 @@ def test_generator_is_registered_over_the_whole_vocabulary(spark):
     rows = entry.queries()["generate_individuals"](spark, entry.SMOKE_DIR).collect()
     types = {r["o"].rsplit("#", 1)[-1] for r in rows if r["p"] == v.TYPE}
     assert {"Customer", "Supplier", "Order", "LineItem", "Part", "Nation"} <= types
+
+
+def test_literals_that_many_have_do_not_fill_a_task(spark):
+    """Only references meet finished objects; a literal that is the IRI of one stays a literal."""
+    found = spark.createDataFrame([("A", f"u{i}", n, False, k, o, j, i, kind) for i in range(50) for n, k, o, j, kind in (("p", "literal", "x", '"x"', "string"), ("r", "uri", "x", '{"@id":"x"}', "ref"), ("s", None, "x", '"x"', "any"))],
+                                  "type string, uri string, name string, is_array boolean, o_kind string, o string, json string, ord long, kind string")
+    inner = spark.createDataFrame([("x", "{}")], "o string, inner string")
+    made = instances._with_objects(found, inner)
+    assert sorted({(r["name"], r["json"]) for r in made.collect()}) == [("p", '"x"'), ("r", "{}"), ("s", '"x"')] and made.count() == 150
+    assert "hashpartitioning(o" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tables_that_grow_are_not_broadcast(spark, monkeypatch):
+    """Neither individuals nor values, and their tasks grow in number, not in size."""
+    monkeypatch.setattr(instances, "TASK_VALUES", 100)
+    monkeypatch.setattr(instances, "RANGE_ROWS", 100)
+    who = spark.range(3000).selectExpr("'A' as type", "concat('http://t.org/', id) as uri")
+    found = who.selectExpr("*", "'p' as name", "false as is_array", "1L as ord", "'x' as o", "'1' as json").cache()
+    made = instances.objects(found, instances.ranked(who))
+    plan = made._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and not re.search(r"BroadcastHashJoin \[type#\d+L?, uri", plan)
+    assert "hashpartitioning(type" in made._jdf.queryExecution().executedPlan().toString() and ", 30)" in made._jdf.queryExecution().executedPlan().toString()
+    assert [r["idx"] for r in made.orderBy("uri").select("idx").collect()] == list(range(3000))
