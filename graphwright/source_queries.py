@@ -15,6 +15,8 @@ _ORDERS_SQL = _triples_sql(
     "Order", "orders", "o_orderkey",
     [("o_orderstatus", "o_orderstatus"), ("o_totalprice", "CAST(o_totalprice AS VARCHAR)"), ("o_orderpriority", "o_orderpriority")], [("placedBy", "Customer", "o_custkey")], None,
 )
+#: Documents that one task parses.
+DOCUMENTS = 10_000
 _PREFIXES = {"rdf": v.RDF, "xsd": v.XSD, "d": BASE}
 
 
@@ -78,6 +80,8 @@ def parse_rdf_rows(spark, sf_dir):
         F.lit(" ; :c_mktsegment "), q("c_mktsegment"), F.lit(" ; :customerNation :Nation_"), F.col("c_nationkey").cast("string"), F.lit(" ."),
     )
     spark.udtf.register("parse_rdf", rdf.parse_rdf_table())
+    # a small file is one task, but parsing it is not
+    c = c.repartition(max(1, -(-c.count() // DOCUMENTS)))
     c.select(text.alias("text")).createOrReplaceTempView("customer_documents")
     return spark.sql("SELECT t.s, t.p, t.o FROM customer_documents, LATERAL parse_rdf(text, 'turtle', '') t")
 
