@@ -193,3 +193,11 @@ def test_documents_of_a_large_graph_stay_small(spark, monkeypatch):
     t = spark.range(5000).selectExpr("concat('http://t.org/s', id) as s", "'http://t.org/p' as p", "'x' as o", "'literal' as o_kind")
     sizes = [r["n"] for r in sinks.by_subject(t).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
     assert len(sizes) > 30 and max(sizes) < 400 and sum(sizes) == 5000
+
+
+def test_documents_of_a_small_file_are_parsed_by_several_tasks(spark, monkeypatch):
+    from graphwright import source_queries
+
+    monkeypatch.setattr(source_queries, "DOCUMENTS", 50, raising=False)
+    parsed = source_queries.parse_rdf_rows(spark, "/root/testdata/sf0.001")
+    assert parsed.groupBy(F.spark_partition_id()).count().count() > 1
