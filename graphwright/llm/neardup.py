@@ -16,7 +16,10 @@ of the links.
     chance collisions of compressed registers) is within four standard
     deviations of the threshold are verified on the full shingle sets.
 4.  Keys whose nodes are not all known to be in one component (one round of the
-    search for components tells) are searched exactly.
+    search for components tells) are searched exactly.  Under very crowded ones
+    further hubs, drawn by a hash, are first paired with all nodes of other
+    components, as long as that merges many: near copies of one text become few
+    components in a number of pairs that grows with their own.
     Those of up to BLOCK nodes are one block.  A crowded one is split by prefix
     filters: sets are put in one order, rare shingles first, and two sets at
     the threshold must share one of the first |set| - ceil(threshold * |set|) +
@@ -25,7 +28,9 @@ of the links.
     places in the two prefixes leave enough room for the threshold, which its
     first shingle in common does.  Blocks are compared on registers, then on a
     sketch of the shingle sets, which for short documents holds nearly the
-    whole set; what is near the threshold is verified likewise.
+    whole set; what is near the threshold is verified on the full sets there,
+    and a link is given only where no component or earlier link of the block
+    joins its ends.  So a block gives less links than it has nodes.
 
 Joins on keys and hubs, of which one may hold any share of all rows, are
 between two shuffled tables of which one has a row per key, so that adaptive
@@ -39,6 +44,7 @@ on registers and sketches loses one in 30,000.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +61,12 @@ REGISTERS = 192
 MANTISSA = 10
 #: Members of a block in step 4, about.
 BLOCK = 512
+#: Shingles of a block's sets, about; what one node has beyond them stays with it.
+BLOCK_SHINGLES = 1 << 20
+#: Rounds of further hubs, at most, under keys of more than so many blocks (a round is some twenty jobs); any choice gives the same groups.
+HUB_ROUNDS, HUB_BLOCKS = 12, 8
+#: Sets that a block's node is verified with at a time.
+AT_ONCE = 32
 #: Shingles that are known to be frequent in crowded keys, at most; any choice gives the same links.
 FREQUENT = 1 << 16
 #: Bins of the sketch in step 4, by the top bits of a shingle's hash; each keeps 16 bits of its least one.
@@ -187,11 +199,25 @@ def _estimates(floor: float):
     return f
 
 
-def _compare_blocks(floor: float, ratio: float):
-    def pairs(group: dict[str, np.ndarray], i: int, j: int):
-        regs, comp, size, block, sketches, place = (group[c] for c in ("registers", "comp", "n_shingles", "block", "sketch", "place"))
+def _at_threshold(one: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which of the other sorted sets reach the threshold with the first."""
+    sizes = np.array([len(x) for x in others], np.int64)
+    flat = np.concatenate(others)
+    found = one[np.minimum(np.searchsorted(one, flat), len(one) - 1)] == flat
+    both = np.add.reduceat(found.astype(np.int64), np.cumsum(sizes) - sizes)
+    return 100 * both >= percent * (len(one) + sizes - both)
+
+
+def _compare_blocks(percent: int):
+    floor, ratio = floor_for(percent / 100), percent / 100
+
+    def links(group: dict[str, np.ndarray], sets: list[np.ndarray], i: int, j: int):
+        """Pairs at the threshold that join what components and earlier pairs of the block do not."""
+        regs, comp, size, block, place = (group[c] for c in ("registers", "comp", "n_shingles", "block", "place"))
         left = np.flatnonzero(block == i)
         right = np.flatnonzero(block == j)
+        comp = comp.copy()
+        sketches = np.array([sketch(x) for x in sets])
         bands = regs[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS)
         band = int(group["band"][0])
         for k, x in enumerate(left):
@@ -200,32 +226,40 @@ def _compare_blocks(floor: float, ratio: float):
             if band < 0:  # from this shingle on there must be room for an intersection at the threshold
                 room = np.minimum(size[x] - place[x], size[others] - place[others])
                 others = others[room >= ratio / (1 + ratio) * (size[x] + size[others]) - 1e-6]
-            if len(others):
-                near = others[similarity_estimate((regs[others] == regs[x]).sum(axis=1)) >= floor]
-                if len(near):
-                    near = near[sketches_near(sketches[x], sketches[near], size[x], size[near], ratio)]
-                if band > 0 and len(near):  # a pair that shares an earlier band too is found there
-                    near = near[~(bands[near, :band] == bands[x, :band]).all(axis=2).any(axis=1)]
-                for y in near:
-                    yield x, y
+            if not len(others):
+                continue
+            near = others[similarity_estimate((regs[others] == regs[x]).sum(axis=1)) >= floor]
+            if len(near):
+                near = near[sketches_near(sketches[x], sketches[near], size[x], size[near], ratio)]
+            if band > 0 and len(near):  # a pair that shares an earlier band too is found there
+                near = near[~(bands[near, :band] == bands[x, :band]).all(axis=2).any(axis=1)]
+            while len(near):
+                some, near = near[:AT_ONCE], near[AT_ONCE:]
+                for y in some[_at_threshold(sets[x], [sets[y] for y in some], percent)]:
+                    if comp[y] != comp[x]:
+                        comp[comp == comp[y]] = comp[x]
+                        yield x, y
+                near = near[comp[near] != comp[x]]
 
     def whole(table_: pa.Table) -> Iterator[pa.RecordBatch]:
         table_ = table_.combine_chunks()
         node = table_.column("node").to_pylist()
         arrays = {
             "registers": np.frombuffer(b"".join(table_.column("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS),
-            "sketch": np.frombuffer(b"".join(table_.column("sketch").to_pylist()), np.uint16).reshape(-1, BINS),
             "comp": table_.column("comp").combine_chunks().dictionary_encode().indices.to_numpy(),
             "n_shingles": table_.column("n_shingles").to_numpy(),
             "block": table_.column("block").to_numpy(),
             "place": table_.column("place").to_numpy(),
             "band": table_.column("band").to_numpy(),
         }
+        lists = table_.column("shingles").combine_chunks()
+        values, at = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
         i, j, key = (table_.column(c).to_numpy() for c in ("i", "j", "key"))
         cuts = np.flatnonzero((np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
         found: set[tuple[bytes, bytes]] = set()
         for lo, hi in zip([0, *cuts], [*cuts, len(key)], strict=True):
-            for x, y in pairs({k: v[lo:hi] for k, v in arrays.items()}, i[lo], j[lo]):
+            sets = [values[at[x] : at[x + 1]] for x in range(lo, hi)]
+            for x, y in links({k: v[lo:hi] for k, v in arrays.items()}, sets, i[lo], j[lo]):
                 found.add((min(node[lo + x], node[lo + y]), max(node[lo + x], node[lo + y])))
         if found:
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
@@ -287,25 +321,23 @@ def _sets_of(wanted: bytes):
                 sets = _sorted_sets(shingles, at)
                 values = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)
-                bins = np.array([sketch(x) for x in sets], np.uint16).reshape(len(sets), BINS)
                 some = np.diff(by_doc) > 0
                 yield pa.RecordBatch.from_arrays(
                     [
                         _binary(_digests(words, by_doc), some),
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64))),
-                        _binary(bins, some),
                     ],
-                    names=["node", "shingles", "sketch"],
+                    names=["node", "shingles"],
                 )
 
     return f
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, needed: DataFrame) -> DataFrame:
-    """node, shingles, sketch of the needed nodes, by a second pass over their documents."""
+    """node, shingles of the needed nodes, by a second pass over their documents."""
     wanted = _id_filter(nodes.join(needed, "node", "left_semi").select("doc_id"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = texts.mapInArrow(_sets_of(wanted), "node binary, shingles array<long>, sketch binary").where("node is not null")
+    sets = texts.mapInArrow(_sets_of(wanted), "node binary, shingles array<long>").where("node is not null")
     return table(sets.join(needed, "node", "left_semi").dropDuplicates(["node"]), "sets")
 
 
@@ -322,6 +354,41 @@ def _verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _star_links(star: DataFrame, signs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Table of those pairs (a, b) that reach the threshold; a may be the hub of any number."""
+    a, b = (signs.select(F.col("node").alias(x), F.col("n_shingles").alias("n" + x), F.col("registers").alias("r" + x)) for x in "ab")
+    close = star.join(b, "b").join(a, "a").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    near = table(close.select("a", "b", "ra", "rb").mapInArrow(_estimates(floor_for(percent / 100)), "a binary, b binary"), "near")
+    return table(_verified(sets, near, percent), "links")
+
+
+def _gathered(members: DataFrame, signs: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """_mixed() members after rounds of further hubs under very crowded keys, and the tables of links that they found.
+
+    A round pairs one node of each key with those of other components, so its
+    pairs are as many as members at most.  Rounds end when one merges few.
+    """
+    links: list[DataFrame] = []
+    for k in range(HUB_ROUNDS):
+        crowded = members.where(f"blocks > {HUB_BLOCKS}")
+        was = crowded.select("comp").distinct().count()
+        if not was:
+            break
+        drawn = crowded.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", "comp")).alias("x"))
+        drawn = table(drawn.select("key", F.col("x.node").alias("a"), F.col("x.comp").alias("_comp")), "hubs")
+        star = table(crowded.join(drawn, "key").where("comp <> _comp").select("a", F.col("node").alias("b")).distinct(), "star")
+        links.append(_star_links(star, signs, sets, percent))
+        of = crowded.select("node", "comp").distinct()
+        ends = (of.select(F.col("node").alias(x), F.col("comp").alias("c" + x)) for x in "ab")
+        joined = components(links[-1].join(next(ends), "a").join(next(ends), "b").select("ca", "cb").distinct(), "ca", "cb")
+        joined = table(joined.where("node <> root").select(F.col("node").alias("comp"), "root"), "merged")
+        members = members.drop("blocks").join(joined, "comp", "left").withColumn("comp", F.coalesce("root", "comp")).drop("root")
+        members = table(_mixed(table(members, "rest"), "keys"), "mixed")
+        if 8 * joined.count() < was:
+            break
+    return members, links
+
+
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Shingles that are frequent among a batch's sets, with their numbers."""
     for batch in batches:
@@ -350,27 +417,27 @@ def _prefixes(frequent: tuple[bytes, bytes], percent: int):
             found = [prefix(values[a:z], known, rank, percent) for a, z in zip(offsets[:-1], offsets[1:], strict=True)]
             ends = np.cumsum([0, *[len(x) for x in found]]).astype(np.int32)
             tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("comp"), tokens], names=["node", "comp", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("comp"), pa.array(np.diff(offsets).astype(np.int64)), tokens], names=["node", "comp", "n_shingles", "tokens"])
 
     return f
 
 
 def _split(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """band (-1), key, node, comp, blocks, place: nodes (node, comp) under the shingles of their prefixes, those with one component left out."""
+    """band (-1), key, node, comp, n_shingles, blocks, place: nodes (node, comp) under the shingles of their prefixes, those with one component left out."""
     own = table(sets.join(members, "node").select("node", "comp", "shingles"), "crowded")
     top = own.select("shingles").mapInArrow(_tally, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shingle").limit(FREQUENT).toArrow()
     hashes, rank = top.column("shingle").to_numpy(), np.arange(top.num_rows)[::-1]
     order = np.argsort(hashes)
-    tokens = own.mapInArrow(_prefixes((hashes[order].tobytes(), rank[order].tobytes()), percent), "node binary, comp binary, tokens array<long>")
-    finer = tokens.select(F.lit(-1).alias("band"), "node", "comp", F.posexplode("tokens").alias("place", "key"))
+    tokens = own.mapInArrow(_prefixes((hashes[order].tobytes(), rank[order].tobytes()), percent), "node binary, comp binary, n_shingles long, tokens array<long>")
+    finer = tokens.select(F.lit(-1).alias("band"), "node", "comp", "n_shingles", F.posexplode("tokens").alias("place", "key"))
     return _mixed(table(finer, "finer"), "finer-keys")
 
 
 def _mixed(members: DataFrame, name: str) -> DataFrame:
-    """members (band, key, node, comp, place) of keys with several components, with blocks: about how many times BLOCK there are."""
-    keys = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    keys = table(keys.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), name)
-    return members.join(keys, "key").select("band", "key", "node", "comp", "place", "blocks")
+    """members (band, key, node, comp, n_shingles, place) of keys with several components, with blocks: about how many times BLOCK or BLOCK_SHINGLES there are."""
+    keys = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("all"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("all") / BLOCK_SHINGLES)).cast("int").alias("blocks")
+    return members.join(table(keys.select("key", blocks), name), "key").select("band", "key", "node", "comp", "n_shingles", "place", "blocks")
 
 
 def _bands(nodes: DataFrame) -> DataFrame:
@@ -384,7 +451,6 @@ def _bands(nodes: DataFrame) -> DataFrame:
 
 def _grouped(docs: DataFrame, rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Tables of signatures() of all rows, of nodes, and of the nodes that are linked (node, root)."""
-    floor, ratio = floor_for(percent / 100), percent / 100
     signed = table(signatures(rows), "signatures")
     nodes = table(
         signed.where("node is not null")
@@ -398,23 +464,20 @@ def _grouped(docs: DataFrame, rows: DataFrame, percent: int) -> tuple[DataFrame,
     sets = _sets(docs, nodes, met)
     signs = table(nodes.join(met, "node", "left_semi").select("node", "n_shingles", "registers"), "signs")
 
-    a, b = (signs.select(F.col("node").alias(x), F.col("n_shingles").alias("n" + x), F.col("registers").alias("r" + x)) for x in "ab")
-    close = star.join(b, "b").join(a, "a").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    near = table(close.select("a", "b", "ra", "rb").mapInArrow(_estimates(floor), "a binary, b binary"), "near")
-    links = table(_verified(sets, near, percent), "links")
+    links = _star_links(star, signs, sets, percent)
     known = table(components(links, rounds=1), "known")
 
-    least = F.coalesce("root", "node").alias("comp")
-    rest = crowd.select("band", "key", "node").join(known, "node", "left").select("band", "key", "node", least, F.lit(0).alias("place"))
-    rest = table(_mixed(table(rest, "rest"), "keys"), "mixed")
+    least = signs.join(known, "node", "left").select("node", "n_shingles", F.coalesce("root", "node").alias("comp"))
+    rest = crowd.select("band", "key", "node").join(least, "node").select("band", "key", "node", "comp", "n_shingles", F.lit(0).alias("place"))
+    rest, more = _gathered(table(_mixed(table(rest, "rest"), "keys"), "mixed"), signs, sets, percent)
     split = _split(rest.where("blocks > 1").select("node", "comp").distinct(), sets, percent)
-    dealt = rest.where("blocks = 1").unionByName(split).join(signs, "node").join(sets.select("node", "sketch"), "node")
+    dealt = rest.where("blocks = 1").unionByName(split).join(signs.select("node", "registers"), "node").join(sets, "node")
     dealt = dealt.withColumn("block", F.expr("pmod(xxhash64(node, 7), blocks)").cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select(
-        "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "band", "block", "node", "comp", "place", "n_shingles", "registers", "sketch"
+        "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "band", "block", "node", "comp", "place", "n_shingles", "registers", "shingles"
     )
     dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    more = table(dealt.mapInArrow(_compare_blocks(floor, ratio), "a binary, b binary").distinct(), "more")
-    links = links.unionByName(table(_verified(sets, more, percent), "links"))
+    more.append(table(dealt.mapInArrow(_compare_blocks(percent), "a binary, b binary").distinct(), "more"))
+    links = reduce(DataFrame.unionByName, more, links)
     return signed, nodes, table(components(links), "components")
 
 

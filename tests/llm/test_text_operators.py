@@ -110,6 +110,43 @@ def test_crowded_keys(spark, make, monkeypatch):
     assert members > 600 and dealt < members
 
 
+@pytest.mark.parametrize(("block", "block_shingles"), [(512, 1 << 20), (8, 1 << 20), (512, 2000)])
+def test_crowds_give_forests(spark, make, monkeypatch, block, block_shingles):
+    """Changed copies of one text, most of them near the threshold: what a block gives grows with its nodes, not with their pairs."""
+    rng = random.Random(23)
+    text, rows = make(rng, 200).split(" "), []
+    for _ in range(200):
+        copy = list(text)
+        for at in rng.sample(range(len(text)), rng.choice([1, 2, 2, 3, 3, 3])):
+            copy[at] = make(rng, 1)
+        rows.append((len(rows), " ".join(copy)))
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", block_shingles)
+    table, made = neardup.table, []
+
+    def counted(df, name):
+        out = table(df, name)
+        if name == "more":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(neardup, "table", counted)
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 85).collect()
+    assert sorted([(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got], key=str) == brute_groups(rows, 85)
+    assert len(made) == 1 and made[0] < 2 * len(rows)
+
+
+def test_sets_at_the_threshold():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        pool = np.unique(rng.integers(0, 2**64, 60, dtype=np.uint64))
+        one, *others = (pool[rng.random(len(pool)) < 0.9] for _ in range(6))
+        others[0] = one
+        for percent in (80, 85):
+            want = [100 * (n := len(np.intersect1d(one, x))) >= percent * (len(one) + len(x) - n) for x in others]
+            assert neardup._at_threshold(one, others, percent).tolist() == want
+
+
 def test_keep_first_decides_by_row(spark, make):
     rng = random.Random(22)
     a, b, c = (make(rng, 80) for _ in range(3))
