@@ -18,19 +18,43 @@ from graphwright.operators.tbox import list_members
 from graphwright.plans.tables import Parts, settled
 
 
-def fixpoint(seed: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], most_rounds: int = 1000, closed: Parts | None = None) -> DataFrame:
+#: So many predicates at most are told apart where a round leaves out rules that nothing new can meet.
+NAMED = 1000
+
+
+def predicates(facts: DataFrame) -> set[str] | None:
+    """The predicates of facts; None if they are more than NAMED."""
+    rows = facts.select("p").distinct().limit(NAMED + 1).collect()
+    return None if len(rows) > NAMED else {r["p"] for r in rows}
+
+
+def fixpoint(seed: DataFrame, step: Callable[..., DataFrame], most_rounds: int = 1000, closed: Parts | None = None, settled_seed: bool = False) -> DataFrame:
     """The least set of rows with `seed` and closed under step(new, all).  A round writes what it found, and nothing again.
 
     `closed`, if given, has rows that are closed already and share none with
     `seed`: only what follows from the seed is worked out; the parts found are
-    added to it.
+    added to it.  With `settled_seed` the seed, distinct, is all that is in
+    `closed`, and not written again.
+
+    A step with a function `active` (rules()) says by predicates which rules can
+    fire: the others are left out, what is found is compared only with known
+    rows of the predicates that it may have, and no round is run for nothing.
     """
     parts = Parts() if closed is None else closed
-    fresh = parts.add(seed.distinct())
+    fresh = seed if settled_seed else parts.add(seed.distinct())
     known = parts.all(fresh)
+    active = getattr(step, "active", None)
+    names = active and predicates(known)
     for _ in range(most_rounds):
-        found = step(fresh, known).select(*known.columns).distinct()
-        fresh = parts.add(found.join(known, known.columns, "left_anti"))
+        may, old = None, known
+        if active and (may := active(predicates(fresh), names)) is not None:
+            if not may:
+                return known
+            made = set().union(*may.values())
+            old = known.where(F.col("p").isin(*made & names))
+            names = names | made
+        found = (step(fresh, known) if may is None else step(fresh, known, may)).select(*known.columns).distinct()
+        fresh = parts.add(found.join(old, known.columns, "left_anti"))
         if fresh.isEmpty():
             return known
         known = parts.all(fresh)
@@ -200,7 +224,7 @@ def owl_rl(triples: DataFrame, schema: dict[str, DataFrame] | None = None) -> Da
     consistency.check().
     """
     facts = triples.select("s", "p", "o", "o_kind")
-    sch = schema or schema_tables(triples)
+    sch = schema_tables(triples) if schema is None else schema
     return without_partial(fixpoint(with_members(facts, sch), rules(sch)), sch)
 
 
@@ -215,8 +239,44 @@ def without_partial(facts: DataFrame, sch: dict[str, DataFrame]) -> DataFrame:
     return facts.where(~F.startswith("p", F.lit(PARTIAL))) if "chain" in sch else facts
 
 
-def rules(sch: dict[str, DataFrame]) -> Callable[[DataFrame, DataFrame], DataFrame]:
-    """One round of the rules that a schema has rows for, from what is new and all that is known."""
+def reach(sch: dict[str, DataFrame]) -> Callable[[set[str] | None, set[str] | None], dict[str, set[str]] | None]:
+    """active(new, known): the rules that facts of new predicates can fire, with the predicates they make.
+
+    It gives None where it cannot tell: with restrictions, intersections, or
+    more than NAMED predicates.
+    """
+    pairs: dict[str, set[tuple]] | None = {}
+    for name, d in sch.items():
+        if name == "one_of":
+            continue
+        columns = {"chain": ["left", "right", "result"], "symmetric": ["prop"], "transitive": ["prop"]}.get(name, ["src", "dst"])
+        if name == "sub":
+            pairs[name] = {(v.TYPE, v.TYPE)}
+        elif name in ("domain", "range", "subprop", "inverse", "symmetric", "transitive", "chain"):
+            rows = d.select(*columns).limit(NAMED + 1).collect()
+            if len(rows) > NAMED:
+                pairs = None
+                break
+            kind = {"domain": lambda r: (r[0], v.TYPE), "range": lambda r: (r[0], v.TYPE), "symmetric": lambda r: (r[0], r[0]), "transitive": lambda r: (r[0], r[0])}.get(name, tuple)
+            pairs[name] = {kind(r) for r in rows}
+        else:
+            pairs = None
+            break
+
+    def active(new: set[str] | None, known: set[str] | None) -> dict[str, set[str]] | None:
+        if pairs is None or new is None or known is None:
+            return None
+        out = {name: {x[1] for x in rows if x[0] in new} for name, rows in pairs.items() if name != "chain"}
+        chain = pairs.get("chain", set())
+        out["chain_left"] = {x[2] for x in chain if x[0] in new and x[1] in known}
+        out["chain_right"] = {x[2] for x in chain if x[1] in new and x[0] in known}
+        return {name: made for name, made in out.items() if made}
+
+    return active
+
+
+def rules(sch: dict[str, DataFrame]) -> Callable[..., DataFrame]:
+    """One round of the rules that a schema has rows for, from what is new and all that is known; of some rules only, if reach() named them."""
     is_type = F.col("p") == v.TYPE
 
     def types(rows: DataFrame) -> DataFrame:
@@ -231,32 +291,35 @@ def rules(sch: dict[str, DataFrame]) -> Callable[[DataFrame, DataFrame], DataFra
     def kind_of(d: DataFrame) -> DataFrame:
         return d.select(F.col("s").alias("x"), F.col("o").alias("k"))
 
-    def step(new: DataFrame, known: DataFrame) -> DataFrame:
+    def step(new: DataFrame, known: DataFrame, may: dict[str, set[str]] | None = None) -> DataFrame:
         """Only the rules whose part of the schema has rows are in the plan."""
         typed, links = new.where(is_type), new.where(~is_type)
         all_types, all_links = known.where(is_type), known.where(~is_type)
         things = links.where("o_kind <> 'literal'")
         uri = F.lit("uri").alias("o_kind")
         out = [new.limit(0)]
-        if "sub" in sch:
+        has = lambda name: name in sch if may is None else name in may
+        if has("sub"):
             out.append(types(via(typed, "sub", "o").select("s", F.col("q").alias("c"))))
-        if "subprop" in sch:
+        if has("subprop"):
             out.append(via(links, "subprop", "p").select("s", F.col("q").alias("p"), "o", "o_kind"))
-        if "domain" in sch:
+        if has("domain"):
             out.append(types(via(links, "domain", "p").select("s", F.col("q").alias("c"))))
-        if "range" in sch:
+        if has("range"):
             out.append(types(via(things, "range", "p").select(F.col("o").alias("s"), F.col("q").alias("c"))))
-        if "inverse" in sch:
+        if has("inverse"):
             out.append(via(things, "inverse", "p").select(F.col("o").alias("s"), F.col("q").alias("p"), F.col("s").alias("o"), uri))
-        if "symmetric" in sch:
+        if has("symmetric"):
             out.append(only(links, "symmetric").select(F.col("o").alias("s"), "p", F.col("s").alias("o"), uri))
-        if "transitive" in sch:
+        if has("transitive"):
             for a, b in ((new, known), (known, new)):
                 left, right = only(a, "transitive").select("s", "p", F.col("o").alias("m")), only(b, "transitive").select(F.col("s").alias("m"), "p", "o", "o_kind")
                 out.append(left.join(right, ["m", "p"]).select("s", "p", "o", "o_kind"))
         if "chain" in sch:
             firsts, nexts = (sch["chain"].select(F.col(c).alias("p")).distinct() for c in ("left", "right"))  # rows of the ontology
-            for a, b in ((things, all_links), (all_links.where("o_kind <> 'literal'"), links)):
+            for name, a, b in (("chain_left", things, all_links), ("chain_right", all_links.where("o_kind <> 'literal'"), links)):
+                if may is not None and name not in may:
+                    continue
                 left = a.join(firsts, "p", "left_semi").join(sch["chain"].withColumnRenamed("left", "p"), "p").select("s", F.col("o").alias("m"), "right", "result")
                 right = b.join(nexts, "p", "left_semi").select(F.col("s").alias("m"), F.col("p").alias("right"), "o", "o_kind")
                 out.append(left.join(right, ["m", "right"]).select("s", F.col("result").alias("p"), "o", "o_kind"))
@@ -273,9 +336,9 @@ def rules(sch: dict[str, DataFrame]) -> Callable[[DataFrame, DataFrame], DataFra
             any_value = sch["some"].where(F.col("filler") == v.THING).withColumnRenamed("prop", "p")
             out.append(types(links.join(any_value, "p").select("s", F.col("node").alias("c"))))
         if "has" in sch:
-            has = sch["has"]
-            out.append(typed.join(has.withColumnRenamed("node", "o"), "o").select("s", F.col("prop").alias("p"), F.col("filler").alias("o"), uri))
-            out.append(types(links.join(has.select(F.col("prop").alias("p"), F.col("filler").alias("o"), "node"), ["p", "o"]).select("s", F.col("node").alias("c"))))
+            value = sch["has"]
+            out.append(typed.join(value.withColumnRenamed("node", "o"), "o").select("s", F.col("prop").alias("p"), F.col("filler").alias("o"), uri))
+            out.append(types(links.join(value.select(F.col("prop").alias("p"), F.col("filler").alias("o"), "node"), ["p", "o"]).select("s", F.col("node").alias("c"))))
         if "intersection" in sch:
             sizes = sch["intersection"].groupBy("src").agg(F.count(F.lit(1)).alias("n"))
             whole = all_types.join(typed.select("s").distinct(), "s", "left_semi").join(sch["intersection"].select(F.col("dst").alias("o"), "src"), "o")
@@ -283,6 +346,7 @@ def rules(sch: dict[str, DataFrame]) -> Callable[[DataFrame, DataFrame], DataFra
             out.append(types(met.select("s", F.col("src").alias("c"))))
         return reduce(DataFrame.unionByName, out)
 
+    step.active = reach(sch)
     return step
 
 

@@ -79,6 +79,26 @@ def test_chains_against_brute_force(spark, seed):
     assert {x for x in facts(closure.owl_rl(t)) if x[1] in "pqrw" and x[0].startswith("n")} == want
 
 
+def test_rounds_end_where_nothing_can_fire(spark, monkeypatch):
+    """Each round writes a part: none is written for rules that nothing new can meet, and facts without rules are written once."""
+    add, made = closure.Parts.add, []
+    monkeypatch.setattr(closure.Parts, "add", lambda self, df: made.append(self) or add(self, df))
+    t = read(spark, ":in owl:inverseOf :of . :sold owl:propertyChainAxiom ( :in :by :at ) . :l :of :p . :l :by :c . :c :at :n .")
+    sch = closure.schema_tables(t)
+    made.clear()
+    got = facts(closure.owl_rl(t, sch))
+    assert {("p", "in", "l"), ("p", "sold", "n")} <= got and len(got) == t.count() + 2
+    assert len(made) == 4  # the facts, :in, the first two of the chain, :sold
+    plain = read(spark, ":a :p :b . :b a :C . :a :q 1 .")
+    sch = closure.schema_tables(plain)
+    made.clear()
+    assert closure.owl_rl(plain, sch).count() == 3 and len(made) == 1
+    # kinds of rules that predicates do not tell apart
+    some = read(spark, ":R owl:onProperty :p ; owl:someValuesFrom :C . :a :p :b . :b a :C .")
+    assert ("a", "type", "R") in facts(closure.owl_rl(some))
+    assert closure.reach({"some": some})({"p"}, {"p"}) is None
+
+
 def test_keys_and_qualified_maxima(spark):
     t = read(spark, """:Line owl:hasKey ( :order :number ) .
 :a a :Line ; :order :o1 ; :number "1"^^xsd:int . :b a :Line ; :order :o1 ; :number "01.0"^^xsd:decimal . :c a :Line ; :order :o2 ; :number 1 . :d a :Line ; :order :o1 . :e :order :o1 ; :number 1 .
