@@ -153,11 +153,14 @@ def entail(triples: DataFrame, most_rounds: int = 1000) -> Entailed:
     the same has all facts of each other.  Facts are over one representative of
     each group.  Classes and properties are not merged.
     """
-    t = settled(by_value(triples).distinct())
+    closed = Parts()
+    t = closed.add(by_value(triples).distinct())
     sch, axioms = closure.schema_tables(t), _axioms(t)
-    closed, seed, same = Parts(), closure.with_members(t, sch), None
+    written = "one_of" not in sch  # the facts are the first part themselves
+    closed, seed, same = closed if written else Parts(), closure.with_members(t, sch), None
     for _ in range(most_rounds):
-        known = closure.fixpoint(seed, closure.rules(sch), closed=closed)
+        known = closure.fixpoint(seed, closure.rules(sch), closed=closed, settled_seed=written)
+        written = False
         pairs = settled(same_pairs(closure.without_partial(known, sch), axioms))
         if pairs.isEmpty():
             break
@@ -178,7 +181,9 @@ def entail(triples: DataFrame, most_rounds: int = 1000) -> Entailed:
         before, same, closed = closed, settled(again), Parts()
         kept = closed.add(rewritten.where("not _moved").drop("_moved"))
         before.drop()
-        seed = closure.with_members(rewritten.where("_moved").drop("_moved"), sch).distinct().join(kept, kept.columns, "left_anti")
+        seed = settled(closure.with_members(rewritten.where("_moved").drop("_moved"), sch).distinct())
+        near = closure.small(seed.select("s"))  # only facts of the same subjects can be known
+        seed = seed if near is None else seed.join(kept.join(near, "s", "left_semi"), kept.columns, "left_anti")
     else:
         raise RuntimeError(f"no fix-point after {most_rounds} mergers")
     if same is None:
