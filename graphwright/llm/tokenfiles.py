@@ -43,8 +43,10 @@ BLOCK = 256
 PERCENTILE = 90
 #: A segment ends with the document that brings it to so many ids.
 SEGMENT_IDS = 1 << 20
+#: Bytes of text that are encoded in one step; their runs should stay in the CPU's cache.
+STEP_BYTES = 1 << 18
 END_ID = 0
-_ALNUM = frozenset(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
+_ALNUM = frozenset(bytes([x]) for x in b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
 
 
 def _pack(values: np.ndarray, width: int) -> np.ndarray:
@@ -135,6 +137,16 @@ def read_segment(raw: bytes) -> tuple[list, np.ndarray, np.ndarray, int]:
     return [None if z else x for x, z in zip(docs.tolist(), nulls.tolist(), strict=True)], lengths, ids, first
 
 
+class _Kept(dict):
+    """Ids of runs; what is missing gives None and is noted."""
+
+    def __init__(self) -> None:
+        self.missing: set[bytes] = set()
+
+    def __missing__(self, run: bytes) -> None:
+        self.missing.add(run)
+
+
 class _Encoder:
     """Ids of texts, 16 bits each, by a byte-level BPE of the tokenizers library.
 
@@ -144,6 +156,9 @@ class _Encoder:
     character other than white space, and the pieces be encoded alone and kept.
     Texts with other white space before a space or next to a line end, or with
     a special string, are encoded whole.
+
+    For the same reason new runs are encoded many at a time, as one text with a
+    space before each or a line end between them, whose ids tell them apart.
     """
 
     _BLANK = np.zeros(256, bool)
@@ -154,16 +169,31 @@ class _Encoder:
         if self.t.get_vocab_size() > 1 << 16:
             raise ValueError("ids need more than 16 bits")
         self.special = [x.content.encode() for x in self.t.get_added_tokens_decoder().values()]
-        self.after_space: dict[bytes, bytes] = {}
-        self.at_start: dict[bytes, bytes] = {}
-        self.long: list[tuple[dict[bytes, bytes], bytes]] = []
+        #: Behind a space the run itself is the key; behind a line end or at the start of a text, a line end and the run.
+        self.kept = _Kept()
+        self.long: list[bytes] = []
         self.line_end = self.whole([b"\n"])[0]
         self.stops = dict(zip(b".,", self.whole([b".", b","]), strict=True))
+        #: Ids that begin with a space (which byte-level vocabularies write as U+0120), and those that are a line end.
+        self.begins = {b" ": np.zeros(1 << 16, bool), b"\n": np.zeros(1 << 16, bool)}
+        for token, i in self.t.get_vocab(with_added_tokens=False).items():
+            self.begins[b" "][i] = token.startswith("\u0120")
+        self.begins[b"\n"][np.frombuffer(self.line_end, np.uint16)] = True
 
     def whole(self, texts: list[bytes]) -> list[bytes]:
         got = self.t.encode_batch_fast([x.decode() for x in texts], add_special_tokens=False)
         return [array("H", x.ids).tobytes() for x in got]
 
+    def together(self, runs: list[bytes], before: bytes) -> list[bytes]:
+        """Ids of runs without white space or special strings, each behind `before`: a space or line end."""
+        text = (before + before.join(runs)).decode()
+        ids = np.array(self.t.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint16)
+        starts = np.flatnonzero(self.begins[before][ids])
+        if len(starts) != len(runs) or starts[0]:
+            return self.whole([before + x for x in runs])
+        raw, at = ids.tobytes(), (2 * starts).tolist()
+        return [raw[a:b] for a, b in zip(at, [*at[1:], len(raw)], strict=True)]
+
     def _simple(self, data: np.ndarray) -> np.ndarray:
         """Byte positions of spaces and line ends that forbid cutting."""
         n = len(data)
@@ -193,57 +223,64 @@ class _Encoder:
         doc = np.searchsorted(offsets, bad, "right") - 1
         hard = set(doc.tolist())
         hard |= {i for i, x in enumerate(docs) if any(s in x for s in self.special)}
-        split = {i: [line.split(b" ") for line in x.split(b"\n")] for i, x in enumerate(docs) if i not in hard}
-        spaced: set[bytes] = set()
-        first: set[bytes] = set()
-        for lines in split.values():
-            for x in lines:
-                first.add(x[0])
-                spaced.update(x[1:])
-        for kept, x in self.long:
-            kept.pop(x, None)
+        for x in self.long:
+            self.kept.pop(x, None)
         self.long = []
-        self._learn(self.at_start, first, b"")
-        self._learn(self.after_space, spaced, b" ")
+        if len(self.kept) > CACHE_SIZE:
+            self.kept.clear()
+        runs: list[bytes] = []
+        ends = []
+        for i, x in enumerate(docs):
+            if i not in hard:
+                own = x.replace(b"\n", b" \n").split(b" ")
+                own[0] = b"\n" + own[0]
+                runs += own
+            ends.append(len(runs))
+        get = self.kept.__getitem__
+        ids = list(map(get, runs))
+        if self.kept.missing:
+            self._learn()
+            for k in [k for k, x in enumerate(ids) if x is None]:
+                ids[k] = get(runs[k])
         whole = dict(zip(sorted(hard), self.whole([docs[i] for i in sorted(hard)]), strict=True)) if hard else {}
-        out, start, after = [], self.at_start, self.after_space.__getitem__
-        for i in range(len(docs)):
-            if i in hard:
-                out.append(whole[i])
-                continue
-            ids: list[bytes] = []
-            for x in split[i]:
-                ids.append(start[x[0]])
-                ids.extend(map(after, x[1:]))
-                ids.append(self.line_end)
-            out.append(b"".join(ids[:-1]))
-        return out
-
-    def _learn(self, kept: dict[bytes, bytes], runs: set[bytes], before: bytes) -> None:
-        """Puts all of `runs` into `kept`; those of more than CACHE_BYTES stay until the next texts.
+        skip = len(self.line_end)  # that of the first run, which stands at the text's start
+        return [whole[i] if i in hard else b"".join(ids[a:b])[skip:] for i, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True))]
+
+    def _learn(self) -> None:
+        """Puts all missing runs into what is kept; those of more than CACHE_BYTES stay until the next texts.
 
         A full stop or comma behind a letter or digit is a pre-token of its own,
         so such a run is encoded without it.
         """
-        if len(kept) > CACHE_SIZE:
-            kept.clear()
-        fresh = [x for x in runs if x not in kept]
-        self.long += [(kept, x) for x in fresh if len(x) > CACHE_BYTES]
+        kept, fresh = self.kept, self.kept.missing
+        kept.missing = set()
         missing, stopped = set(), []
         for x in fresh:
-            if x[-1:] in (b".", b",") and len(x) > 1 and (x[-2] in _ALNUM or x[-3:-2] == b"\xc3" and x[-2] not in (0x97, 0xB7)):
+            if x[-1:] in (b".", b",") and (x[-2:-1] in _ALNUM or x[-3:-2] == b"\xc3" and x[-2] not in (0x97, 0xB7)):
                 stopped.append(x)
                 if x[:-1] not in kept:
                     missing.add(x[:-1])
-                    if len(x) > CACHE_BYTES:
-                        self.long.append((kept, x[:-1]))
             else:
                 missing.add(x)
-        if missing:
-            kept.update(zip(missing, self.whole([before + x for x in missing]), strict=True))
+        self.long += [x for x in (*missing, *stopped) if len(x) > CACHE_BYTES]
+        lines = [x[1:] for x in missing if x[:1] == b"\n"]
+        for before, runs in ((b"\n", lines), (b" ", [x for x in missing if x[:1] != b"\n"])):
+            # only runs without any white space can be told apart in one text
+            text = b" ".join(runs).decode()
+            plain = runs if text.split() == text.split(" ") else [x for x in runs if x.decode().split() == [x.decode()]]
+            odd = list(set(runs) - set(plain))
+            if odd:
+                at_start = before == b"\n"
+                found = self.whole(odd if at_start else [before + x for x in odd])
+                self._keep(odd, [self.line_end + x for x in found] if at_start else found, before)
+            if plain:
+                self._keep(plain, self.together(plain, before), before)
         for x in stopped:
             kept[x] = kept[x[:-1]] + self.stops[x[-1]]
 
+    def _keep(self, runs: list[bytes], ids: list[bytes], before: bytes) -> None:
+        self.kept.update(zip([before + x for x in runs] if before == b"\n" else runs, ids, strict=True))
+
 
 _encoders: dict[str, _Encoder] = {}
 
@@ -275,7 +312,7 @@ def _write(name: str):
         for batch in batches:
             data, offsets = tv.buffers(batch.column("text"))
             ids = batch.column("doc_id").to_pylist()
-            for lo, hi in tv.runs(offsets):
+            for lo, hi in tv.runs(offsets, STEP_BYTES):
                 for i, x in enumerate(e.texts(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]), lo):
                     docs.append(ids[i])
                     texts.append(x + end)

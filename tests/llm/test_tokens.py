@@ -78,6 +78,26 @@ def test_encoder_agrees_on_odd_texts(texts):
     assert got == [e.t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
+def test_new_runs_are_encoded_together():
+    from graphwright.llm import textvec
+
+    e = tokenfiles._Encoder("byte_bpe_50k.json")
+    t, given_ = e.t, []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **options):
+            given_.extend(texts)
+            return t.encode_batch_fast(texts, **options)
+
+    e.t = Counted()
+    texts = ["\n".join(" ".join(f"w{k}é{i * j}x" for i in range(k, k + 9)) + "." for j in range(2, 40)) + " \t odd\u3000run" * (k % 2) for k in range(1, 9)]
+    for _ in range(2):
+        data, offsets = textvec.buffers(pa.array(texts))
+        got = [np.frombuffer(x, np.uint16).tolist() for x in e.texts(data, offsets)]
+        assert got == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert len(e.kept) > 1000 and len(given_) < 40
+
+
 def test_a_foreign_segment_is_refused():
     with pytest.raises(ValueError):
         tokenfiles.read_segment(b"nothing")
