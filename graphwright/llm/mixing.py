@@ -123,16 +123,16 @@ def splitting_tree(sources: DataFrame, n_shards: int, seed: int) -> DataFrame:
         "1 as node", "0 as lo", f"{n_shards} as hi", "transform(q, x -> x.blocks) as q", "aggregate(q, 0L, (a, x) -> a + x.blocks) as n_all"
     ).where("size(q) > 0")
     level, done = root, None
-    for _ in range(max(1, (n_shards - 1).bit_length())):
-        inner = level.where("hi - lo > 1").withColumn("mid", F.expr("(lo + hi) div 2"))
+    for depth in range(max(1, (n_shards - 1).bit_length())):
+        inner = level.where("hi - lo > 1").withColumn("mid", F.expr("cast((lo + hi) div 2 as int)"))
         inner = inner.withColumn("n_left", F.expr(f"(mid * n_all) div {n_shards} - (lo * n_all) div {n_shards}"))
         inner = inner.withColumn("left", F.expr(_split(seed)))
         inner = inner.select("node", "lo", "mid", "hi", "q", "n_all", "left")
         inner = table(inner, "tree")
         done = inner.select("node", "left") if done is None else done.unionByName(inner.select("node", "left"))
-        left = inner.selectExpr("2 * node as node", "lo", "mid as hi", "left as q", "n_all")
-        right = inner.selectExpr("2 * node + 1 as node", "mid as lo", "hi", "transform(q, (x, i) -> x - left[i]) as q", "n_all")
-        level = left.unionByName(right)
+        # in one branch, as a union would hold the draw's long expression twice; a task for each node
+        halves = "stack(2, 2 * node, lo, mid, left, n_all, 2 * node + 1, mid, hi, transform(q, (x, i) -> x - left[i]), n_all) as (node, lo, hi, q, n_all)"
+        level = inner.selectExpr(halves).repartition(2 << depth)
     rows = done.select("node", F.posexplode("left").alias("ord", "n"))
     tree = rows.groupBy("ord").agg(F.map_from_entries(F.collect_list(F.struct("node", "n"))).alias("tree"))
     return tree

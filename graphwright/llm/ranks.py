@@ -70,9 +70,11 @@ def running_sum(slim: DataFrame, by: list[str], bucket: Column, order: list[Colu
     `bucket` (0 to BUCKETS - 1) must not contradict `order`; the columns `by`
     must not be null.  slim is read twice and shuffled once, so it should be a
     table() of few narrow columns, none of them named with a leading underscore.
+    The sums and the buckets' starts are tables too: adaptive execution plans
+    all that is left of a query anew behind every shuffle, in the driver.
     """
     d = slim.withColumns({"_k": bucket.cast("long"), "_w": weight.cast("long")})
-    sums = d.groupBy(*by, "_k").agg(F.sum("_w").alias("_w"))
+    sums = table(d.groupBy(*by, "_k").agg(F.sum("_w").alias("_w")), "sums")
     sums = sums.withColumns({"_m": F.shiftright("_k", 8), "_t": F.shiftright("_k", 16)})
     middle = sums.groupBy(*by, "_m").agg(F.sum("_w").alias("_w")).withColumn("_t", F.shiftright("_m", 8))
     top = middle.groupBy(*by, "_t").agg(F.sum("_w").alias("_w"))
@@ -81,6 +83,6 @@ def running_sum(slim: DataFrame, by: list[str], bucket: Column, order: list[Colu
     middle = middle.select(*by, "_m", "_t", _before([*keys, F.col("_t")], [F.col("_m")], "_w").alias("_mid"))
     middle = middle.join(top, [*by, "_t"]).select(*by, "_m", (F.col("_top") + F.col("_mid")).alias("_start"))
     leaves = sums.select(*by, "_k", "_m", _before([*keys, F.col("_m")], [F.col("_k")], "_w").alias("_leaf"))
-    leaves = leaves.join(middle, [*by, "_m"]).select(*by, "_k", (F.col("_start") + F.col("_leaf")).alias("_start"))
+    leaves = table(leaves.join(middle, [*by, "_m"]).select(*by, "_k", (F.col("_start") + F.col("_leaf")).alias("_start")), "starts")
     inner = _before([*keys, F.col("_k")], order, "_w")
     return d.join(leaves, [*by, "_k"]).withColumn(out, F.col("_start") + inner).drop("_k", "_w", "_start")

@@ -240,3 +240,19 @@ def test_op1_query(spark, small, tmp_path):
     got = queries.op1_mixing(spark, str(tmp_path)).collect()
     assert sorted(((r["doc_id"], r["size"]) for r in got), key=str) == sorted(((r["doc_id"], len((r["text"] or "").encode().split())) for r in small.collect()), key=str)
     assert all(0 <= r["taken"] <= 3 * r["size"] <= 3 * r["source_size"] for r in got)
+
+
+def test_running_sums_are_planned_in_small_pieces(spark):
+    from graphwright.llm import common, ranks
+
+    rows = spark.range(200).selectExpr("id as at", "id % 7 as file", "cast(id % 3 as string) as source", "xxhash64(id) as key")
+    slim = common.table(rows, "test-slim")
+    out = ranks.running_sum(slim, ["source"], ranks.hash_bucket(F.col("key")), ranks.key_order("key"), F.lit(1), "rank")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 4 and plan.count("Window") <= 2
+    got = {}
+    for r in out.collect():
+        got.setdefault(r["source"], []).append((r["rank"], r["key"] % (1 << 64)))
+    for pairs in got.values():
+        assert [rank for rank, _ in sorted(pairs)] == list(range(len(pairs)))
+        assert sorted(pairs) == sorted(pairs, key=lambda p: p[1])
