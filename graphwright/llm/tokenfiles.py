@@ -27,6 +27,7 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -43,10 +44,13 @@ BLOCK = 256
 PERCENTILE = 90
 #: A segment ends with the document that brings it to so many ids.
 SEGMENT_IDS = 1 << 20
-#: Bytes of text that are encoded in one step; their runs should stay in the CPU's cache.
-STEP_BYTES = 1 << 18
+#: Bytes of text that are encoded in one step; bounds the scratch memory.
+STEP_BYTES = 1 << 23
+#: New runs, and bytes of texts that are encoded alone, that go to the library at once.
+TOGETHER, WHOLE_BYTES = 1 << 10, 1 << 18
+#: Runs whose ids are gathered at once.
+GATHERED = 1 << 16
 END_ID = 0
-_ALNUM = frozenset(bytes([x]) for x in b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
 
 
 def _pack(values: np.ndarray, width: int) -> np.ndarray:
@@ -137,65 +141,70 @@ def read_segment(raw: bytes) -> tuple[list, np.ndarray, np.ndarray, int]:
     return [None if z else x for x, z in zip(docs.tolist(), nulls.tolist(), strict=True)], lengths, ids, first
 
 
-class _Kept(dict):
-    """Ids of runs; what is missing gives None and is noted."""
-
-    def __init__(self) -> None:
-        self.missing: set[bytes] = set()
-
-    def __missing__(self, run: bytes) -> None:
-        self.missing.add(run)
-
-
 class _Encoder:
     """Ids of texts, 16 bits each, by a byte-level BPE of the tokenizers library.
 
     Its pre-tokenizer never joins a character that is not white space with a
-    space or line end that follows, and what follows does not look back.  So a
-    text may be cut before a space, and around a line end, that stand after a
-    character other than white space, and the pieces be encoded alone and kept.
+    space or line end that follows, nor a letter or digit with punctuation, and
+    what follows does not look back.  So a text may be cut before a space or
+    line end that stands after a character other than white space, and between
+    a letter or digit and punctuation, and the runs be encoded alone and kept.
     Texts with other white space before a space or next to a line end, or with
-    a special string, are encoded whole.
+    a special string, are one run.
 
-    For the same reason new runs are encoded many at a time, as one text with a
-    space before each or a line end between them, whose ids tell them apart.
+    For the same reason new runs are encoded many at a time, as one text, whose
+    ids tell them apart by the space or line end that each begins with.
+
+    The runs of a step are made distinct by Arrow, so that only distinct ones
+    become Python objects, and numpy puts their ids in the order of the texts.
     """
 
     _BLANK = np.zeros(256, bool)
     _BLANK[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
+    _ALNUM = np.zeros(256, bool)
+    _ALNUM[list(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")] = True
+    _PUNCT = np.zeros(256, bool)
+    _PUNCT[list(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")] = True
 
     def __init__(self, name: str) -> None:
         self.t = tokenizer(public_path(name))
         if self.t.get_vocab_size() > 1 << 16:
             raise ValueError("ids need more than 16 bits")
         self.special = [x.content.encode() for x in self.t.get_added_tokens_decoder().values()]
-        #: Behind a space the run itself is the key; behind a line end or at the start of a text, a line end and the run.
-        self.kept = _Kept()
-        self.long: list[bytes] = []
-        self.line_end = self.whole([b"\n"])[0]
-        self.stops = dict(zip(b".,", self.whole([b".", b","]), strict=True))
+        self.line_end = self._alone([b"\n"])[0]
+        self._forget()
         #: Ids that begin with a space (which byte-level vocabularies write as U+0120), and those that are a line end.
         self.begins = {b" ": np.zeros(1 << 16, bool), b"\n": np.zeros(1 << 16, bool)}
         for token, i in self.t.get_vocab(with_added_tokens=False).items():
             self.begins[b" "][i] = token.startswith("\u0120")
-        self.begins[b"\n"][np.frombuffer(self.line_end, np.uint16)] = True
+        self.begins[b"\n"][self.line_end] = True
 
-    def whole(self, texts: list[bytes]) -> list[bytes]:
-        got = self.t.encode_batch_fast([x.decode() for x in texts], add_special_tokens=False)
-        return [array("H", x.ids).tobytes() for x in got]
+    def _forget(self) -> None:
+        #: Numbers of the runs that are known; the ids of all of them one after another, and where each run's end.
+        self.kept: dict[bytes, int] = {b".": 0, b",": 1}
+        self.ids, lengths = self._alone([b".", b","])
+        self.ends = np.cumsum(lengths)
+        self.long: list[bytes] = []
 
-    def together(self, runs: list[bytes], before: bytes) -> list[bytes]:
-        """Ids of runs without white space or special strings, each behind `before`: a space or line end."""
-        text = (before + before.join(runs)).decode()
-        ids = np.array(self.t.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint16)
+    def _alone(self, texts: list[bytes]) -> tuple[np.ndarray, list[int]]:
+        """Ids of all texts, and the number of ids of each."""
+        ids, lengths = array("H"), []
+        for lo, hi in tv.runs(np.cumsum([0, *map(len, texts)]), WHOLE_BYTES):
+            for x in self.t.encode_batch_fast([x.decode() for x in texts[lo:hi]], add_special_tokens=False):
+                ids.extend(x.ids)
+                lengths.append(len(x))
+        return np.array(ids, np.uint16), lengths
+
+    def _together(self, runs: list[bytes], before: bytes) -> tuple[np.ndarray, np.ndarray | list[int]]:
+        """The same of runs that begin with `before`, a space or line end, and have no other white space or special string."""
+        ids = np.array(self.t.encode_batch_fast([b"".join(runs).decode()], add_special_tokens=False)[0].ids, np.uint16)
         starts = np.flatnonzero(self.begins[before][ids])
         if len(starts) != len(runs) or starts[0]:
-            return self.whole([before + x for x in runs])
-        raw, at = ids.tobytes(), (2 * starts).tolist()
-        return [raw[a:b] for a, b in zip(at, [*at[1:], len(raw)], strict=True)]
+            return self._alone(runs)
+        return ids, np.diff(starts, append=len(ids))
 
-    def _simple(self, data: np.ndarray) -> np.ndarray:
-        """Byte positions of spaces and line ends that forbid cutting."""
+    def _hard(self, data: np.ndarray, offsets: np.ndarray, cut: np.ndarray) -> np.ndarray:
+        """Numbers of the documents that may not be cut at all of their spaces and line ends, whose byte positions are `cut`."""
         n = len(data)
         blank = self._BLANK[data]
         tail = data >= 0x80
@@ -207,79 +216,154 @@ class _Encoder:
             blank |= (two == 0xE1) & (one == 0x9A) & (data == 0x80)
             blank |= (two == 0xE2) & (one == 0x80) & ((data >= 0x80) & (data <= 0x8A) | (data == 0xA8) | (data == 0xA9) | (data == 0xAF))
             blank |= ((two == 0xE2) & (one == 0x81) & (data == 0x9F)) | ((two == 0xE3) & (one == 0x80) & (data == 0x80))
-        cut = np.flatnonzero((data == 32) | (data == 10))
         bad = cut[(cut > 0) & blank[np.maximum(cut - 1, 0)]]
-        lines = np.flatnonzero(data == 10)
+        lines = cut[data[cut] == 10]
         # the first byte of what follows a line end: ASCII white space, or a lead byte that white space may have
         follow = data[np.minimum(lines + 1, n - 1)]
         odd = lines[(lines + 1 < n) & (self._BLANK[follow] | (follow == 0xC2) | (follow == 0xE1) | (follow == 0xE2) | (follow == 0xE3))]
-        return np.concatenate((bad, odd))
+        raw, special = data.tobytes(), []
+        for x in self.special:
+            at = raw.find(x)
+            while at >= 0:
+                special.append(at)
+                at = raw.find(x, at + 1)
+        # a blank in the document before, or at the next one's start, makes a document hard that need not be
+        return np.unique(np.searchsorted(offsets, np.concatenate((bad, odd, np.array(special, np.int64))), "right") - 1)
+
+    def _starts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Where the runs of a step begin."""
+        begins = (data == 32) | (data == 10)
+        hard = self._hard(data, offsets, np.flatnonzero(begins))
+        texts = offsets[:-1][np.diff(offsets) > 0]
+        begins[texts] = True
+        mark = np.flatnonzero(self._PUNCT[data[1:]]) + 1
+        last, lead = data[mark - 1], data[np.maximum(mark - 2, 0)]
+        # ASCII, or a letter of Latin-1: no multiplication or division sign
+        mark = mark[self._ALNUM[last] | (lead == 0xC3) & (last >= 0x80) & (last != 0x97) & (last != 0xB7)]
+        # a last full stop or comma stays with its run
+        stop = (data[mark] == 46) | (data[mark] == 44)
+        begins[mark[~(stop & np.append(begins[1:], True)[mark])]] = True
+        for i in hard.tolist():
+            begins[offsets[i] : offsets[i + 1]] = False
+        begins[texts] = True
+        return np.flatnonzero(begins).astype(np.int32)
+
+    def flat(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a step, one text after another, and the number of ids of each."""
+        if not len(data):
+            return np.zeros(0, np.uint16), np.zeros(len(offsets) - 1, np.int64)
+        starts = self._starts(data, offsets)
+        at = np.append(starts, np.int32(len(data)))
+        runs = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(data)]).dictionary_encode()
+        number = self._numbers(_bytes_of(runs.dictionary))
+        ids, ends = self._gather(number[runs.indices.to_numpy()])
+        before = np.concatenate(([0], ends))  # ids before each run
+        return ids, np.diff(before[np.searchsorted(starts, offsets)])
+
+    def _gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of known runs, one run after another, and where each run's end."""
+        lengths = np.diff(self.ends, prepend=0)
+        first = self.ends - lengths
+        ends = np.cumsum(lengths[numbers])
+        ids = np.empty(int(ends[-1]), np.uint16)
+        done = 0
+        for lo in range(0, len(numbers), GATHERED):
+            own = numbers[lo : lo + GATHERED]
+            many, to = lengths[own], int(ends[lo + len(own) - 1])
+            shift = first[own] - (ends[lo : lo + len(own)] - many)
+            ids[done:to] = self.ids[np.repeat(shift, many) + np.arange(done, to)]
+            done = to
+        return ids, ends
 
     def texts(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
-        raw, at = data.tobytes(), offsets.tolist()
-        docs = [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
-        bad = self._simple(data) if len(data) else np.zeros(0, np.int64)
-        # a blank in the document before does not count, nor the next document's start
-        doc = np.searchsorted(offsets, bad, "right") - 1
-        hard = set(doc.tolist())
-        hard |= {i for i, x in enumerate(docs) if any(s in x for s in self.special)}
-        for x in self.long:
-            self.kept.pop(x, None)
-        self.long = []
-        if len(self.kept) > CACHE_SIZE:
-            self.kept.clear()
-        runs: list[bytes] = []
-        ends = []
-        for i, x in enumerate(docs):
-            if i not in hard:
-                own = x.replace(b"\n", b" \n").split(b" ")
-                own[0] = b"\n" + own[0]
-                runs += own
-            ends.append(len(runs))
-        get = self.kept.__getitem__
-        ids = list(map(get, runs))
-        if self.kept.missing:
-            self._learn()
-            for k in [k for k, x in enumerate(ids) if x is None]:
-                ids[k] = get(runs[k])
-        whole = dict(zip(sorted(hard), self.whole([docs[i] for i in sorted(hard)]), strict=True)) if hard else {}
-        skip = len(self.line_end)  # that of the first run, which stands at the text's start
-        return [whole[i] if i in hard else b"".join(ids[a:b])[skip:] for i, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True))]
-
-    def _learn(self) -> None:
-        """Puts all missing runs into what is kept; those of more than CACHE_BYTES stay until the next texts.
-
-        A full stop or comma behind a letter or digit is a pre-token of its own,
-        so such a run is encoded without it.
+        """Ids of each text."""
+        ids, lengths = self.flat(data, offsets)
+        return [x.tobytes() for x in np.split(ids, np.cumsum(lengths)[:-1])]
+
+    def _numbers(self, runs: list[bytes]) -> np.ndarray:
+        """Numbers of distinct runs; new ones are learnt.  Runs of more than CACHE_BYTES stay until the next step."""
+        kept = self.kept
+        if len(kept) - len(self.long) > CACHE_SIZE:
+            self._forget()
+            kept = self.kept
+        elif self.long:  # they came last
+            for x in self.long:
+                del kept[x]
+            self.ends = self.ends[: len(kept)]
+            self.ids, self.long = self.ids[: self.ends[-1]], []
+        out = np.fromiter(map(kept.get, runs, repeat(-1)), np.int64, len(runs))
+        new = np.flatnonzero(out < 0).tolist()
+        if new:
+            self._learn([runs[i] for i in new])
+            out[new] = [kept[runs[i]] for i in new]
+        return out
+
+    def _learn(self, new: list[bytes]) -> None:
+        """Puts new runs into what is kept.
+
+        One that ends with a full stop or comma behind a letter or digit is
+        encoded without it, since other runs may be the same then.
         """
-        kept, fresh = self.kept, self.kept.missing
-        kept.missing = set()
-        missing, stopped = set(), []
-        for x in fresh:
-            if x[-1:] in (b".", b",") and (x[-2:-1] in _ALNUM or x[-3:-2] == b"\xc3" and x[-2] not in (0x97, 0xB7)):
-                stopped.append(x)
-                if x[:-1] not in kept:
-                    missing.add(x[:-1])
-            else:
-                missing.add(x)
-        self.long += [x for x in (*missing, *stopped) if len(x) > CACHE_BYTES]
-        lines = [x[1:] for x in missing if x[:1] == b"\n"]
-        for before, runs in ((b"\n", lines), (b" ", [x for x in missing if x[:1] != b"\n"])):
-            # only runs without any white space can be told apart in one text
-            text = b" ".join(runs).decode()
-            plain = runs if text.split() == text.split(" ") else [x for x in runs if x.decode().split() == [x.decode()]]
-            odd = list(set(runs) - set(plain))
-            if odd:
-                at_start = before == b"\n"
-                found = self.whole(odd if at_start else [before + x for x in odd])
-                self._keep(odd, [self.line_end + x for x in found] if at_start else found, before)
-            if plain:
-                self._keep(plain, self.together(plain, before), before)
-        for x in stopped:
-            kept[x] = kept[x[:-1]] + self.stops[x[-1]]
-
-    def _keep(self, runs: list[bytes], ids: list[bytes], before: bytes) -> None:
-        self.kept.update(zip([before + x for x in runs] if before == b"\n" else runs, ids, strict=True))
+        kept, ids, lengths = self.kept, [], []
+
+        def add(runs: list[bytes], found: np.ndarray, many: np.ndarray | list[int]) -> None:
+            kept.update(zip(runs, range(len(kept), len(kept) + len(runs)), strict=True))
+            ids.append(found)
+            lengths.append(np.asarray(many, np.int64))
+
+        def store() -> None:
+            before = len(self.ids)
+            self.ids = np.concatenate((self.ids, *ids))
+            self.ends = np.concatenate((self.ends, before + np.cumsum(np.concatenate((*lengths, np.zeros(0, np.int64))))))
+            ids.clear()
+            lengths.clear()
+
+        self.long = [x for x in new if len(x) > CACHE_BYTES]
+        ends = [x for x in new if x.endswith((b".", b",")) and len(x) <= CACHE_BYTES]
+        stopped = [x for x in ends if x[-2:-1].isalnum() or x[-3:-2] == b"\xc3" and x[-2] not in (0x97, 0xB7)]
+        missing = {*new}.difference(self.long, stopped)
+        missing.update([x[:-1] for x in stopped if x[:-1] not in kept])
+        spaced = [x for x in missing if x[0] == 32]
+        lines = [x for x in missing if x[0] == 10]
+        others = [x for x in missing if x[0] not in (10, 32)]
+        for lead, runs in ((b" ", spaced), (b"\n", lines), (b"", others)):
+            for lo in range(0, len(runs), TOGETHER):
+                own = runs[lo : lo + TOGETHER]
+                odd = self._odd(own, lead)
+                if odd:
+                    add(odd, *self._alone(odd))
+                    own = [x for x in own if x not in kept]
+                if own and lead:
+                    add(own, *self._together(own, lead))
+                elif own:  # such a run is what it is behind a line end
+                    found, many = self._together([b"\n" + x for x in own], b"\n")
+                    many = np.asarray(many)
+                    skip = len(self.line_end)
+                    at = (np.cumsum(many) - many)[:, None] + np.arange(skip)
+                    add(own, np.delete(found, at.ravel()), many - skip)
+        store()
+        if stopped:
+            both = np.array([[kept[x[:-1]] for x in stopped], [kept[x[-1:]] for x in stopped]])
+            found, to = self._gather(both.T.ravel())
+            add(stopped, found, np.diff(to[1::2], prepend=0))
+        if self.long:
+            add(self.long, *self._alone(self.long))
+        store()
+
+    def _odd(self, runs: list[bytes], lead: bytes) -> list[bytes]:
+        """Those with white space beside the leading one, or a special string: in one text with others they could not be told apart."""
+        raw = (b"" if lead else b"\n").join(runs)
+        text = raw.decode()
+        words = text.split()
+        if len(words) == len(runs) and words == text.split(lead.decode() or "\n")[len(lead) :] and not any(s in raw for s in self.special):
+            return []
+        return [x for x in runs if x.decode().split() != [x[len(lead) :].decode()] or any(s in x for s in self.special)]
+
+
+def _bytes_of(column: pa.BinaryArray) -> list[bytes]:
+    """What to_pylist() gives of a whole column without nulls, in a fraction of its time."""
+    at, raw = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1).tolist(), column.buffers()[2].to_pybytes()
+    return [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
 _encoders: dict[str, _Encoder] = {}
@@ -294,30 +378,36 @@ def encoder(name: str) -> _Encoder:
 def _write(name: str):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq, first = TaskContext.get().partitionId(), 0, 0
-        e, end = encoder(name), np.array([END_ID], np.uint16).tobytes()
+        e = encoder(name)
         docs: list = []
-        texts: list[bytes] = []
-        held = 0
+        lengths: list[np.ndarray] = []
+        held: list[np.ndarray] = []
 
         def segment() -> pa.RecordBatch:
-            nonlocal seq, first, held
-            ids = np.frombuffer(b"".join(texts), np.uint16).astype(np.uint32)
-            raw = write_segment(docs, [len(x) // 2 for x in texts], ids, first)
+            nonlocal seq, first
+            ids = np.concatenate(held).astype(np.uint32)
+            raw = write_segment(docs, np.concatenate(lengths).tolist(), ids, first)
             row = [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([raw], pa.binary())]
-            seq, first, held = seq + 1, first + len(ids), 0
-            docs.clear()
-            texts.clear()
+            seq, first = seq + 1, first + len(ids)
+            for x in (docs, lengths, held):
+                x.clear()
             return pa.RecordBatch.from_arrays(row, names=["part", "seq", "n_ids", "segment"])
 
         for batch in batches:
             data, offsets = tv.buffers(batch.column("text"))
-            ids = batch.column("doc_id").to_pylist()
+            own = batch.column("doc_id").to_pylist()
             for lo, hi in tv.runs(offsets, STEP_BYTES):
-                for i, x in enumerate(e.texts(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]), lo):
-                    docs.append(ids[i])
-                    texts.append(x + end)
-                    held += len(x) // 2 + 1
-                    if held >= SEGMENT_IDS:
+                ids, n = e.flat(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                ids, ends = np.insert(ids, np.cumsum(n), END_ID), np.cumsum(n + 1)
+                at = done = 0  # documents and ids of this step that are dealt with
+                while at < len(n):
+                    full = SEGMENT_IDS - sum(map(len, held))
+                    to = min(int(np.searchsorted(ends, done + full)) + 1, len(n))
+                    docs += own[lo + at : lo + to]
+                    lengths.append(n[at:to] + 1)
+                    held.append(ids[done : ends[to - 1]])
+                    at, done = to, int(ends[to - 1])
+                    if sum(map(len, held)) >= SEGMENT_IDS:
                         yield segment()
         if docs:
             yield segment()

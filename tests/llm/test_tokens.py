@@ -98,6 +98,75 @@ def test_new_runs_are_encoded_together():
     assert len(e.kept) > 1000 and len(given_) < 40
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet="aZ9 éß×'st.,&$@-(_\n\r　漢²“", max_size=40), min_size=1, max_size=6))
+def test_encoder_agrees_on_punctuation(texts):
+    from graphwright.llm import textvec
+
+    e = tokenfiles.encoder("byte_bpe_50k.json")
+    data, offsets = textvec.buffers(pa.array(texts))
+    got = [np.frombuffer(x, np.uint16).tolist() for x in e.texts(data, offsets)]
+    assert got == [e.t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_punctuation_behind_a_word_is_no_new_run():
+    from graphwright.llm import textvec
+
+    e = tokenfiles._Encoder("byte_bpe_50k.json")
+    t, given_ = e.t, []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **options):
+            given_.extend(texts)
+            return t.encode_batch_fast(texts, **options)
+
+    e.t = Counted()
+    words = [f"w{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10]}é" for k in range(100)]
+    texts = [" ".join(w + mark for w in words) for mark in ("", ".", ",", "&&&", "$$$", "'s", "@x.de")]
+    data, offsets = textvec.buffers(pa.array(texts))
+    got = [np.frombuffer(x, np.uint16).tolist() for x in e.texts(data, offsets)]
+    assert got == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert sum(map(len, given_)) < 1000
+
+
+def test_known_runs_are_forgotten_and_learnt_again(monkeypatch):
+    from graphwright.llm import textvec
+
+    monkeypatch.setattr(tokenfiles, "CACHE_SIZE", 40)
+    e = tokenfiles._Encoder("byte_bpe_50k.json")
+    for k in range(30):
+        texts = [" ".join(f"w{i}" for i in range(k, k + 9)), f"{'long' * 20}{k} {'x' * 70} a", "a  b", "c <|endoftext|>", ""]
+        data, offsets = textvec.buffers(pa.array(texts))
+        got = [np.frombuffer(x, np.uint16).tolist() for x in e.texts(data, offsets)]
+        assert got == [e.t.encode(x, add_special_tokens=False).ids for x in texts]
+        assert len(e.kept) <= 70 and len(e.ends) == len(e.kept) and len(e.ids) == e.ends[-1]
+
+
+def test_segments_end_with_the_document_that_fills_them(monkeypatch):
+    class Context:
+        partitionId = staticmethod(lambda: 3)  # noqa: N815
+
+    monkeypatch.setattr(tokenfiles.TaskContext, "get", lambda: Context)
+    monkeypatch.setattr(tokenfiles, "SEGMENT_IDS", 30)
+    texts = ["", None, "one two", "a b c d e f g h i j " * 9, "x", "y z", "", "a b c " * 7, "", "end"] * 3
+    ids = [None, *range(1, len(texts))]
+    t = tokens.tokenizer(tokens.public_path("byte_bpe_50k.json"))
+    expected = [[*t.encode(x or "", add_special_tokens=False).ids, 0] for x in texts]
+    for step in (1, 60, 1 << 20):
+        monkeypatch.setattr(tokenfiles, "STEP_BYTES", step)
+        batches = [pa.RecordBatch.from_arrays([pa.array(ids[a:b], pa.int64()), pa.array(texts[a:b])], names=["doc_id", "text"]) for a, b in ((0, 7), (7, 8), (8, 30))]
+        rows = [r for batch in tokenfiles._write("byte_bpe_50k.json")(iter(batches)) for r in batch.to_pylist()]
+        at = first = 0
+        for k, r in enumerate(rows):
+            docs, lengths, found, before = tokenfiles.read_segment(r["segment"])
+            assert (r["part"], r["seq"], r["n_ids"], before) == (3, k, len(found), first)
+            assert docs == ids[at : at + len(docs)] and list(lengths) == [len(x) for x in expected[at : at + len(docs)]]
+            assert found.tolist() == [i for x in expected[at : at + len(docs)] for i in x]
+            assert len(found) - lengths[-1] < 30 and (len(found) >= 30 or k == len(rows) - 1)
+            at, first = at + len(docs), first + len(found)
+        assert at == len(texts)
+
+
 def test_a_foreign_segment_is_refused():
     with pytest.raises(ValueError):
         tokenfiles.read_segment(b"nothing")
