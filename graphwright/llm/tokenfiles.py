@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from graphwright.llm import textvec as tv
-from graphwright.llm.tokens import CACHE_BYTES, CACHE_SIZE, public_path, tokenizer
+from graphwright.llm.tokens import CACHE_BYTES, public_path, tokenizer
 
 MAGIC = b"GWP1"
 BLOCK = 256
@@ -48,6 +48,8 @@ SEGMENT_IDS = 1 << 20
 STEP_BYTES = 1 << 23
 #: New runs, and bytes of texts that are encoded alone, that go to the library at once.
 TOGETHER, WHOLE_BYTES = 1 << 10, 1 << 18
+#: A worker forgets runs beyond so many, those that stood in one step only if that is enough.
+CACHE_SIZE = 1 << 21
 #: Runs whose ids are gathered at once.
 GATHERED = 1 << 16
 END_ID = 0
@@ -172,7 +174,12 @@ class _Encoder:
             raise ValueError("ids need more than 16 bits")
         self.special = [x.content.encode() for x in self.t.get_added_tokens_decoder().values()]
         self.line_end = self._alone([b"\n"])[0]
-        self._forget()
+        #: Numbers of the runs that are known, in this order; the ids of all of them one after another, where each run's
+        #: end, and whether it stood in one step (1) or more (2).
+        self.kept: dict[bytes, int] = {b".": 0, b",": 1}
+        self.ids, lengths = self._alone([b".", b","])
+        self.ends, self.used = np.cumsum(lengths), np.zeros(2, np.uint8)
+        self.long: list[bytes] = []
         #: Ids that begin with a space (which byte-level vocabularies write as U+0120), and those that are a line end.
         self.begins = {b" ": np.zeros(1 << 16, bool), b"\n": np.zeros(1 << 16, bool)}
         for token, i in self.t.get_vocab(with_added_tokens=False).items():
@@ -180,11 +187,15 @@ class _Encoder:
         self.begins[b"\n"][self.line_end] = True
 
     def _forget(self) -> None:
-        #: Numbers of the runs that are known; the ids of all of them one after another, and where each run's end.
-        self.kept: dict[bytes, int] = {b".": 0, b",": 1}
-        self.ids, lengths = self._alone([b".", b","])
-        self.ends = np.cumsum(lengths)
-        self.long: list[bytes] = []
+        """Keeps the stops and what stood in several steps; the stops alone if that is too much."""
+        keep = self.used > 1
+        if keep.sum() > CACHE_SIZE // 2:
+            keep[:] = False
+        keep[:2] = True
+        runs = [x for x, k in zip(self.kept, keep.tolist(), strict=True) if k]  # in the order of their numbers
+        self.kept = dict(zip(runs, range(len(runs)), strict=True))
+        self.ids, self.ends = self._gather(np.flatnonzero(keep))
+        self.used = np.zeros(len(runs), np.uint8)
 
     def _alone(self, texts: list[bytes]) -> tuple[np.ndarray, list[int]]:
         """Ids of all texts, and the number of ids of each."""
@@ -282,20 +293,21 @@ class _Encoder:
 
     def _numbers(self, runs: list[bytes]) -> np.ndarray:
         """Numbers of distinct runs; new ones are learnt.  Runs of more than CACHE_BYTES stay until the next step."""
-        kept = self.kept
-        if len(kept) - len(self.long) > CACHE_SIZE:
+        for x in self.long:  # they came last
+            del self.kept[x]
+        self.long = []
+        n = len(self.kept)
+        self.ends, self.used = self.ends[:n], self.used[:n]
+        self.ids = self.ids[: self.ends[-1]]
+        if n > CACHE_SIZE:
             self._forget()
-            kept = self.kept
-        elif self.long:  # they came last
-            for x in self.long:
-                del kept[x]
-            self.ends = self.ends[: len(kept)]
-            self.ids, self.long = self.ids[: self.ends[-1]], []
+        kept = self.kept
         out = np.fromiter(map(kept.get, runs, repeat(-1)), np.int64, len(runs))
         new = np.flatnonzero(out < 0).tolist()
         if new:
             self._learn([runs[i] for i in new])
             out[new] = [kept[runs[i]] for i in new]
+        self.used[out] = np.minimum(self.used[out] + 1, 2)
         return out
 
     def _learn(self, new: list[bytes]) -> None:
@@ -315,6 +327,7 @@ class _Encoder:
             before = len(self.ids)
             self.ids = np.concatenate((self.ids, *ids))
             self.ends = np.concatenate((self.ends, before + np.cumsum(np.concatenate((*lengths, np.zeros(0, np.int64))))))
+            self.used = np.concatenate((self.used, np.zeros(len(self.ends) - len(self.used), np.uint8)))
             ids.clear()
             lengths.clear()
 

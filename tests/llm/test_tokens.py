@@ -142,6 +142,28 @@ def test_known_runs_are_forgotten_and_learnt_again(monkeypatch):
         assert len(e.kept) <= 70 and len(e.ends) == len(e.kept) and len(e.ids) == e.ends[-1]
 
 
+def test_runs_of_several_steps_are_not_learnt_again(monkeypatch):
+    from graphwright.llm import textvec
+
+    monkeypatch.setattr(tokenfiles, "CACHE_SIZE", 60)
+    e = tokenfiles._Encoder("byte_bpe_50k.json")
+    t, given_ = e.t, []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **options):
+            given_.extend(texts)
+            return t.encode_batch_fast(texts, **options)
+
+    e.t = Counted()
+    for k in range(40):
+        texts = ["often seen words, " * 3, " ".join(f"rare{k}x{i}" for i in range(9))]
+        data, offsets = textvec.buffers(pa.array(texts))
+        got = [np.frombuffer(x, np.uint16).tolist() for x in e.texts(data, offsets)]
+        assert got == [t.encode(x, add_special_tokens=False).ids for x in texts]
+        assert len(e.kept) < 80
+    assert sum(x.count(" seen") for x in given_) == 1
+
+
 def test_segments_end_with_the_document_that_fills_them(monkeypatch):
     class Context:
         partitionId = staticmethod(lambda: 3)  # noqa: N815
