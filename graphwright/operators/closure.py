@@ -81,6 +81,16 @@ def circular(edges: DataFrame, source: str = "src", target: str = "dst") -> Data
     return transitive_closure(edges, source, target).where(F.col(source) == F.col(target)).select(F.col(source).alias("node"))
 
 
+def disjoint_stars(edges: DataFrame, left: str = "a", right: str = "b") -> bool:
+    """Whether every edge leads to the least member of its group: each greater end is there once, and no lesser end is one.
+
+    It reads the edges once and shuffles a count per node.  False where an edge is there twice or leads to itself.
+    """
+    ends = F.array(F.struct(F.least(left, right).alias("node"), F.lit(0).alias("n")), F.struct(F.greatest(left, right).alias("node"), F.lit(1).alias("n")))
+    nodes = edges.select(F.explode(ends).alias("x")).groupBy("x.node").agg(F.sum("x.n").alias("n"), F.min("x.n").alias("least"))
+    return nodes.where("n > 1 OR n = 1 AND least = 0").isEmpty()
+
+
 def equivalence_groups(edges: DataFrame, left: str = "a", right: str = "b", most_rounds: int = 1000) -> DataFrame:
     """node, root: connected components; root is the least member.  Labels jump to their label's label each round; a round's table goes when the next is written."""
     both = settled(edges.select(F.col(left).alias("a"), F.col(right).alias("b")).unionByName(edges.select(F.col(right).alias("a"), F.col(left).alias("b"))).distinct())
@@ -140,7 +150,11 @@ BROADCAST_ROWS = 200_000
 
 def small(df: DataFrame) -> DataFrame | None:
     """The table, settled, with a hint to broadcast it if it is small enough; None if it is empty."""
-    kept = settled(df.distinct())
+    return hinted(settled(df.distinct()))
+
+
+def hinted(kept: DataFrame) -> DataFrame | None:
+    """A settled table with a hint to broadcast it if it is small enough; None if it is empty."""
     n = kept.count()
     return None if n == 0 else F.broadcast(kept) if n <= BROADCAST_ROWS else kept
 
@@ -162,9 +176,9 @@ def schema_tables(triples: DataFrame) -> dict[str, DataFrame]:
     closures are counted themselves.
     """
     is_axiom = F.col("p").isin(*_STATED) | (F.col("p") == v.TYPE) & F.col("o").isin(*_KINDS)
-    t = settled(triples.where(is_axiom).select("s", "p", "o", "o_kind"))
+    t = settled(triples.where(is_axiom).select("s", "p", "o", "o_kind").distinct())
     counts = {r[0].removeprefix(v.OWL): r[1] for r in t.groupBy(F.when(F.col("p") == v.TYPE, F.col("o")).otherwise(F.col("p"))).count().collect()}  # at most as many as named above
-    stated, hinted = set(counts), (F.broadcast if sum(counts.values()) <= BROADCAST_ROWS else lambda d: d)
+    stated, marked = set(counts), (F.broadcast if sum(counts.values()) <= BROADCAST_ROWS else lambda d: d)
     has = lambda *names: any(n in stated for n in names)
     edge = lambda p: t.where((F.col("p") == p) & (F.col("o_kind") != "literal")).select(F.col("s").alias("src"), F.col("o").alias("dst"))
     flip = lambda d: d.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
@@ -182,7 +196,7 @@ def schema_tables(triples: DataFrame) -> dict[str, DataFrame]:
     chains, single = None, None
     if has("propertyChainAxiom"):
         chains, single = chain_steps(edge(v.OWL + "propertyChainAxiom").join(members.select(F.col("head").alias("dst"), "pos", "member"), "dst"))
-        out["chain"] = hinted(settled(chains))
+        out["chain"] = marked(settled(chains))
     if has(v.SUBPROP, "equivalentProperty", "propertyChainAxiom"):
         edges = edge(v.SUBPROP).unionByName(both(edge(v.OWL + "equivalentProperty")))
         out["subprop"] = small(transitive_closure(edges if single is None else edges.unionByName(single)))  # a chain of one property is a subproperty
@@ -190,7 +204,7 @@ def schema_tables(triples: DataFrame) -> dict[str, DataFrame]:
     direct |= {"symmetric": ("SymmetricProperty", lambda: kind("SymmetricProperty")), "transitive": ("TransitiveProperty", lambda: kind("TransitiveProperty"))}
     direct |= {"some": ("someValuesFrom", lambda: value("someValuesFrom")), "all": ("allValuesFrom", lambda: value("allValuesFrom")), "has": ("hasValue", lambda: value("hasValue"))}
     direct["one_of"] = ("oneOf", lambda: lists(v.OWL + "oneOf").select(F.col("member").alias("s"), F.col("src").alias("c")))
-    out |= {name: hinted(make()) for name, (needs, make) in direct.items() if has(needs)}
+    out |= {name: marked(make()) for name, (needs, make) in direct.items() if has(needs)}
     return {k: d for k, d in out.items() if d is not None}
 
 

@@ -4,24 +4,30 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settled(df: DataFrame) -> DataFrame:
+def settled(df: DataFrame, compression: str | None = None) -> DataFrame:
     """The same rows, computed once, written as Parquet and read back.
 
     They go to the folder of spark.checkpoint.dir, which all executors share
     (a local one only under a local master), and are removed when the driver's
     JVM ends.  The planner knows the size of what it reads.
     """
-    return Parts().add(df)
+    return Parts(compression).add(df)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished steps, which it does when the driver's JVM collects their plans."""
+    spark._jvm.System.gc()
 
 
 class Parts:
-    """A table that grows: every part is written once and stays as it is."""
+    """A table that grows: every part is written once and stays as it is.  `compression` is Parquet's, by default the session's."""
 
-    def __init__(self) -> None:
+    def __init__(self, compression: str | None = None) -> None:
         self.paths: list[str] = []
+        self.options = {"compression": compression} if compression else {}
 
     def add(self, df: DataFrame) -> DataFrame:
         """The rows of `df`, settled as a further part."""
@@ -35,14 +41,12 @@ class Parts:
         path = f"{folder.rstrip('/')}/settled-{uuid.uuid4().hex}"
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(where)
-        df.write.parquet(path)
+        df.write.options(**self.options).parquet(path)
         self.paths.append(path)
         return spark.read.schema(df.schema).parquet(path)
 
     def drop(self) -> None:
         """Frees the parts, which no later plan may read."""
-        from pyspark.sql import SparkSession
-
         spark = SparkSession.getActiveSession()
         for path in self.paths:
             where = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -89,8 +89,7 @@ _LINE_SQL = f"'{BASE}Line_' || " + " || '_' || ".join(_LINE)
 SELECT node, min(node) OVER w AS root FROM n WINDOW w AS (PARTITION BY l_orderkey, l_linenumber) QUALIFY count(*) OVER w > 1""")
 def key_same_lines(spark, sf_dir):
     """Line items that are the same by the key of order and number."""
-    rows = load(spark, sf_dir, "lineitem").select(*_LINE).distinct()
-    t = statements(rows, iri("Line", *_LINE), _type("Line"), _statement(BASE + "inOrder", iri("Order", "l_orderkey")), _statement(BASE + "number", F.col("l_linenumber"), "int"))
+    t = statements(load(spark, sf_dir, "lineitem"), iri("Line", *_LINE), _type("Line"), _statement(BASE + "inOrder", iri("Order", "l_orderkey")), _statement(BASE + "number", F.col("l_linenumber"), "int"))
     return equality.entail(axioms(spark, ":Line owl:hasKey ( :inOrder :number ) .").unionByName(t)).same
 
 

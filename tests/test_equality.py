@@ -148,3 +148,53 @@ def test_equality_of_nothing(spark):
     e = equality.entail(empty)
     assert e.facts.isEmpty() and e.same.isEmpty()
     assert consistency.check(empty, empty, equality=True).isEmpty()
+
+
+def test_merged_facts_that_are_known(spark, monkeypatch):
+    """Groups of one key are stars and need no rounds, and facts that their roots have already end the job."""
+    calls = []
+    for module, name in ((equality, "same_pairs"), (closure, "equivalence_groups")):
+        monkeypatch.setattr(module, name, lambda *a, _f=getattr(module, name), _n=name: calls.append(_n) or _f(*a))
+    text = ":Line owl:hasKey ( :order :number ) . :a a :Line ; :order :o1 ; :number 1 . :b a :Line ; :order :o1 ; :number 1 . :c a :Line ; :order :o2 ; :number 1 . "
+    t = read(spark, text)
+    e = equality.entail(t.unionByName(t))
+    assert groups(e) == {"a": {"a", "b"}} and calls == ["same_pairs"]
+    assert sorted(r["s"] for r in e.facts.where(F.col("o").endswith("#Line")).collect()) == ["http://p.org/x#a", "http://p.org/x#c"]
+    calls.clear()
+    # b has a fact of its own; that a and b are the same makes their orders the same, and these make c and f the same
+    more = ":b :code 7 . :Order owl:hasKey ( :line ) . :o2 a :Order ; :line :a . :o3 a :Order ; :line :b . :f a :Line ; :order :o3 ; :number 1 ."
+    e = equality.entail(read(spark, text + more))
+    assert groups(e) == {"a": {"a", "b"}, "o2": {"o2", "o3"}, "c": {"c", "f"}}
+    assert ("a", "code", '"7"^^decimal') in facts(e.facts) and calls.count("same_pairs") > 2
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_keys_against_brute_force(spark, seed):
+    rng = random.Random(seed)
+    rows = {(f"n{rng.randrange(14)}", rng.choice(["p", "q", "r", "f"]), f"n{rng.randrange(14)}") for _ in range(26)} | {(f"n{i}", "type", rng.choice("CD")) for i in range(14)} | {("n3", "sameAs", "n9")}
+    name = {"type": "a", "sameAs": "owl:sameAs"}
+    text = ":C owl:hasKey ( :p :q ) . :D owl:hasKey ( :r ) . :f a owl:FunctionalProperty .\n" + "\n".join(f":{s} {name.get(p, ':' + p)} :{o} ." for s, p, o in sorted(rows))
+    root = {f"n{i}": f"n{i}" for i in range(14)}
+    least = lambda a, b: min(a, b)
+    while True:
+        now = {(root[s], p, root.get(o, o)) for s, p, o in rows}
+        of = lambda s, p: {o for x, y, o in now if (x, y) == (s, p)}
+        pairs = {(root[s], root[o]) for s, p, o in rows if p == "sameAs"}
+        for s in set(root.values()):
+            pairs |= {(a, b) for a in of(s, "f") for b in of(s, "f")}
+            for z in set(root.values()):
+                both = of(s, "type") & of(z, "type")
+                if "C" in both and of(s, "p") & of(z, "p") and of(s, "q") & of(z, "q") or "D" in both and of(s, "r") & of(z, "r"):
+                    pairs.add((s, z))
+        pairs = {(a, b) for a, b in pairs if a != b}
+        if not pairs:
+            break
+        a, b = sorted(pairs)[0]
+        root = {n: least(a, b) if r in (a, b) else r for n, r in root.items()}
+    e = equality.entail(read(spark, text))
+    want = {}
+    for n, r in root.items():
+        want.setdefault(r, set()).add(n)
+    assert groups(e) == {r: m for r, m in want.items() if len(m) > 1}
+    got = [(short(r["s"]), short(r["p"]), short(r["o"])) for r in e.facts.collect()]
+    assert len(got) == len(set(got)) and {x for x in got if x[1] in ("p", "q", "r", "f") and x[0] != "f"} == {x for x in now if x[1] in ("p", "q", "r", "f")}
